@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.bind import let
 from folioscope.functions.text import LINE_BREAK, SPACE, trim
+from folioscope.functions.urls import Site, rewritten_link
 
 _RAW_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
 _TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>"""
@@ -77,8 +78,8 @@ def _from(markup: Column, start: str) -> Column:
     return F.regexp_extract(markup, rf"(?s)({start}.*)", 1)
 
 
-def _whole_element(tail: Column) -> Column:
-    """The element that opens ``tail``; all of it if the element never closes."""
+def _whole_element(opened: Column) -> Column:
+    """The element that opens the markup; all of it if the element never closes."""
 
     def close(parts: Column, name: Column) -> Column:
         counted = F.aggregate(
@@ -101,13 +102,16 @@ def _whole_element(tail: Column) -> Column:
             ).otherwise(F.array_join(parts, "")),
         )
 
-    return let(
-        F.regexp_extract(tail, _NAME, 1),
-        lambda name: let(
-            F.split(tail, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))),
-            lambda parts: close(parts, name),
-        ),
-    )
+    def element(tail: Column) -> Column:
+        return let(
+            F.regexp_extract(tail, _NAME, 1),
+            lambda name: let(
+                F.split(tail, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))),
+                lambda parts: close(parts, name),
+            ),
+        )
+
+    return let(opened, element)
 
 
 def _from_within(markup: Column, outer: str, start: str) -> Column:
@@ -156,16 +160,22 @@ def _from_within(markup: Column, outer: str, start: str) -> Column:
     return let(F.split(markup, rf"(?=</?(?i:{outer})[\s/>])"), locate)
 
 
-def main_content(markup: Column) -> Column:
+def main_content(page: Column) -> Column:
     """First hit of seven selectors, tried in order; the whole page if none.
 
     The cheap ``contains`` guards keep pages without such a class out of the
     expensive searches.
     """
+    return let(page, lambda markup: F.coalesce(_whole_element(_main_tail(markup)), markup))
+
+
+def _main_tail(markup: Column) -> Column:
     themed, marked = _class_token("theme-doc-markdown"), _class_token("markdown")
     root = _start_tag(_ANY, _attribute("id", "__docusaurus"))
     has_theme, has_mark = markup.contains("theme-doc-markdown"), markup.contains("markdown")
-    in_root = _from(F.regexp_replace(_whole_element(_from(markup, root)), r"\A<[^>]*>", ""), _start_tag(_ANY, marked))
+    in_root = _from(
+        F.regexp_replace(_whole_element(_from(markup, root)), r"\A<[^>]*>", ""), _start_tag(_ANY, marked)
+    )
     tails = [
         F.when(has_theme, _from(markup, _start_tag("article", themed))),
         F.when(has_mark, _from_within(markup, "article", _start_tag(_ANY, marked))),
@@ -178,8 +188,7 @@ def main_content(markup: Column) -> Column:
         ),
         _from(markup, _start_tag("article")),
     ]
-    chosen = F.coalesce(*[F.nullif(tail, F.lit("")) for tail in tails])
-    return let(chosen, lambda tail: F.coalesce(_whole_element(tail), markup))
+    return F.coalesce(*[F.nullif(tail, F.lit("")) for tail in tails])
 
 
 # ---------------------------------------------------------------- removal
@@ -190,7 +199,7 @@ def strip_raw_text(markup: Column) -> Column:
     return F.regexp_replace(markup, _RAW_TEXT, "")
 
 
-def _drop_elements(markup: Column, start: str) -> Column:
+def _drop_elements(page: Column, start: str) -> Column:
     """Remove every element whose start tag matches, keeping what follows it.
 
     One linear pass over the tags finds the piece ranges to cut; an element
@@ -267,8 +276,11 @@ def _drop_elements(markup: Column, start: str) -> Column:
             ),
         )
 
-    return F.when(markup.rlike(start), let(F.regexp_extract_all(markup, F.lit(_PIECE), F.lit(0)), rebuild)).otherwise(
-        markup
+    return let(
+        page,
+        lambda markup: F.when(
+            markup.rlike(start), let(F.regexp_extract_all(markup, F.lit(_PIECE), F.lit(0)), rebuild)
+        ).otherwise(markup),
     )
 
 
@@ -339,7 +351,9 @@ def decode_entities(text: Column) -> Column:
             "",
         )
 
-    return F.when(text.contains("&"), let(F.split(text, "&"), join)).otherwise(text)
+    return let(
+        text, lambda raw: F.when(raw.contains("&"), let(F.split(raw, "&"), join)).otherwise(raw)
+    )
 
 
 def _text_pieces(markup: Column) -> Column:
@@ -398,3 +412,59 @@ def has_residual_html(markdown: Column) -> Column:
 def is_challenge(markup: Column) -> Column:
     """A bot-check page answered instead of the document."""
     return markup.contains("Just a moment") & markup.contains("challenge-platform")
+
+
+# ----------------------------------------------------------------- links
+
+_HREF = r"""(?is)\A(<a\s(?:[^>]*?\s)?href\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)(.*)\z"""
+
+
+def _anchor_parts(markup: Column) -> Column:
+    """Markup cut before each anchor start tag; a new anchor ends the one before."""
+    return F.split(markup, r"(?i)(?=<a\s)")
+
+
+def _href(part: Column) -> Column:
+    quoted = F.regexp_extract(part, _HREF, 2)
+    return decode_entities(F.regexp_replace(quoted, r"""\A["']|["']\z""", ""))
+
+
+def anchors(markup: Column) -> Column:
+    """Links in page order as array<struct<href, text>>; empty targets left out."""
+    found = F.transform(
+        _anchor_parts(markup),
+        lambda part: F.struct(
+            _href(part).alias("href"),
+            inner_text(F.regexp_extract(part, r"(?is)\A<a\s[^>]*>(.*?)(?:</a\s*>|\z)", 1)).alias("text"),
+        ),
+    )
+    return F.filter(found, lambda link: link["href"] != "")
+
+
+def rewrite_links(markup: Column, page_url: Column, site: Site) -> Column:
+    """The markup with every link target replaced by ``rewritten_link``."""
+
+    def relink(part: Column) -> Column:
+        return let(
+            _href(part),
+            lambda href: F.when(href == "", part).otherwise(
+                F.concat(
+                    F.regexp_extract(part, _HREF, 1),
+                    F.lit('"'),
+                    _escape_attribute(rewritten_link(href, page_url, site)),
+                    F.lit('"'),
+                    F.regexp_extract(part, _HREF, 3),
+                )
+            ),
+        )
+
+    return let(
+        markup,
+        lambda page: F.when(
+            page.rlike(r"(?i)<a\s"), F.array_join(F.transform(_anchor_parts(page), relink), "")
+        ).otherwise(page),
+    )
+
+
+def _escape_attribute(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,15 +64,17 @@ def fragment(url: Column) -> Column:
 
 def canonical(url: Column, base_url: str) -> Column:
     """Scheme, host and path only; no trailing slash except for the root."""
-    base = F.lit(base_url)
-    raw = path(url)
-    clean = (
-        F.when(raw.isin("", "/"), F.lit("/"))
-        .otherwise(F.regexp_replace(raw, r"(?<!/)/+\z|\A/+\z", ""))
-    )
-    return F.concat(
-        _or_else(scheme(url), scheme(base)), F.lit("://"), _or_else(host(url), host(base)), clean
-    )
+    base = urlsplit(base_url)
+
+    def join(raw: Column) -> Column:
+        clean = F.when(raw["path"].isin("", "/"), F.lit("/")).otherwise(
+            F.regexp_replace(raw["path"], r"(?<!/)/+\z|\A/+\z", "")
+        )
+        return F.concat(
+            _or_else(raw["scheme"], F.lit(base.scheme)), F.lit("://"), _or_else(raw["host"], F.lit(base.netloc)), clean
+        )
+
+    return let(url, lambda u: let(F.struct(scheme(u).alias("scheme"), host(u).alias("host"), path(u).alias("path")), join))
 
 
 def _or_else(value: Column, default: Column) -> Column:
@@ -81,12 +84,16 @@ def _or_else(value: Column, default: Column) -> Column:
 def category(url: Column, categories: Sequence[Category]) -> Column:
     """Key of the first category whose prefix holds the path; the host is not
     looked at. A handful of prefixes folds into one CASE, so no join."""
-    where = path(url)
-    chain = F.lit(None).cast("string")
-    for entry in reversed(categories):
-        stem = entry.prefix.rstrip("/")
-        chain = F.when((where == stem) | where.startswith(stem + "/"), F.lit(entry.key)).otherwise(chain)
-    return chain
+
+
+    def first(where: Column) -> Column:
+        chain = F.lit(None).cast("string")
+        for entry in reversed(categories):
+            stem = entry.prefix.rstrip("/")
+            chain = F.when((where == stem) | where.startswith(stem + "/"), F.lit(entry.key)).otherwise(chain)
+        return chain
+
+    return let(url, lambda u: let(path(u), first))
 
 
 def slug(url: Column) -> Column:
@@ -95,10 +102,13 @@ def slug(url: Column) -> Column:
 
 def title_guess(slug_col: Column) -> Column:
     """Readable title: separators to spaces, every letter run capitalised."""
-    words = trim(F.regexp_replace(slug_col, "[-_]+", " "))
-    runs = F.regexp_extract_all(words, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    cased = F.array_join(F.transform(runs, F.initcap), "")
-    return _or_else(cased, slug_col)
+
+    def cased(name: Column) -> Column:
+        words = trim(F.regexp_replace(name, "[-_]+", " "))
+        runs = F.regexp_extract_all(words, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+        return let(F.array_join(F.transform(runs, F.initcap), ""), lambda title: _or_else(title, name))
+
+    return let(slug_col, cased)
 
 
 def markdown_path(category_col: Column, slug_col: Column) -> Column:
@@ -107,32 +117,47 @@ def markdown_path(category_col: Column, slug_col: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen from ``base`` (RFC 3986, as ``urljoin``)."""
-    own = scheme(href)
-    own_path = F.regexp_replace(_part(href, 3), r"\A((?:.*/)?[^/;]*);\z", "$1")
-    tail = F.concat(_prefixed("?", query(href)), _prefixed("#", fragment(href)))
-    origin = F.concat(scheme(base), F.lit("://"), host(base))
-    beside = F.regexp_extract(_part(base, 3), r"\A(.*/)", 1)
-    rooted = F.split(own_path, "/")
-    merged = F.split(F.concat(_or_else(beside, F.lit("/")), own_path), "/")
+    return let(
+        F.struct(base.alias("base"), href.alias("href")),
+        lambda pair: let(
+            F.struct(
+                pair["base"].alias("base"),
+                pair["href"].alias("href"),
+                scheme(pair["base"]).alias("base_scheme"),
+                host(pair["base"]).alias("base_host"),
+                _part(pair["base"], 3).alias("base_path"),
+                query(pair["base"]).alias("base_query"),
+                scheme(pair["href"]).alias("scheme"),
+                host(pair["href"]).alias("host"),
+                F.regexp_replace(_part(pair["href"], 3), r";[^/]*\z", "").alias("path"),
+                _prefixed(";", F.regexp_extract(_part(pair["href"], 3), r";([^/]*)\z", 1)).alias("parameters"),
+                query(pair["href"]).alias("query"),
+                _prefixed("#", fragment(pair["href"])).alias("fragment"),
+            ),
+            _resolved,
+        ),
+    )
+
+
+def _resolved(p: Column) -> Column:
+    tail = F.concat(p["parameters"], _prefixed("?", p["query"]), p["fragment"])
+    origin = F.concat(p["base_scheme"], F.lit("://"), p["base_host"])
+    beside = F.regexp_extract(p["base_path"], r"\A(.*/)", 1)
+    rooted = F.split(p["path"], "/")
     # Only a path joined to the base loses its empty inner segments.
     inner = let(
-        merged,
-        lambda parts: F.filter(
-            parts, lambda part, i: (i == 0) | (i == F.size(parts) - 1) | (part != "")
-        ),
+        F.split(F.concat(_or_else(beside, F.lit("/")), p["path"]), "/"),
+        lambda parts: F.filter(parts, lambda part, i: (i == 0) | (i == F.size(parts) - 1) | (part != "")),
     )
-    segments = F.when(own_path.startswith("/"), rooted).otherwise(inner)
-    inherited = F.concat(
-        origin,
-        _part(base, 3),
-        F.when(query(href) != "", _prefixed("?", query(href))).otherwise(_prefixed("?", query(base))),
-        _prefixed("#", fragment(href)),
+    segments = F.when(p["path"].startswith("/"), rooted).otherwise(inner)
+    same_page = F.concat(
+        origin, p["base_path"], _prefixed("?", _or_else(p["query"], p["base_query"])), p["fragment"]
     )
     return (
-        F.when(href == "", base)
-        .when((own != "") & (own != scheme(base)), href)
-        .when(host(href) != "", F.concat(scheme(base), F.lit("://"), host(href), own_path, tail))
-        .when(own_path == "", inherited)
+        F.when(p["href"] == "", p["base"])
+        .when((p["scheme"] != "") & (p["scheme"] != p["base_scheme"]), p["href"])
+        .when(p["host"] != "", F.concat(p["base_scheme"], F.lit("://"), p["host"], p["path"], tail))
+        .when((p["path"] == "") & (p["parameters"] == ""), same_page)
         .otherwise(F.concat(origin, _fold_dots(segments), tail))
     )
 
@@ -169,3 +194,33 @@ def relative_markdown(from_category: Column, to_category: Column, to_slug: Colum
     return F.when(from_category == to_category, near).otherwise(
         F.concat(F.lit("../"), markdown_path(to_category, to_slug))
     )
+
+
+def rewritten_link(href: Column, page_url: Column, site: Site) -> Column:
+    """Where a link on a converted page points.
+
+    In-page links stay. A link into a known category becomes a relative path to
+    that page's Markdown file, fragment kept, unless it has a query. All others
+    become absolute. The Markdown path follows from the URL alone, so no lookup
+    table is needed to find it.
+    """
+
+    def target(absolute: Column) -> Column:
+        page_category = category(page_url, site.categories)
+
+        def inward(url: Column) -> Column:
+            to_category = category(url, site.categories)
+            return F.when(
+                page_category.isNotNull() & to_category.isNotNull() & (query(absolute) == ""),
+                F.concat(
+                    relative_markdown(page_category, to_category, slug(url)),
+                    _prefixed("#", fragment(absolute)),
+                ),
+            ).otherwise(absolute)
+
+        return let(canonical(absolute, site.base_url), inward)
+
+    return let(
+        href,
+        lambda ref: F.when((ref == "") | ref.startswith("#"), ref).otherwise(let(resolve(page_url, ref), target)),
+    )
