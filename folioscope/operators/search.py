@@ -143,11 +143,15 @@ def search_batch(
     return best.select("query_id", "rank", key, "score")
 
 
-def with_documents(hits: DataFrame, enriched: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add name, title, uri and description to hits: few rows against a large
-    table, so the hits are broadcast if their number allows."""
-    slim = enriched.select(key, "name", "title", "uri", "description")
-    return slim.join(F.broadcast(hits) if fits(hits, BROADCAST_ROWS) else hits, key)
+def with_documents(hits: DataFrame, docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hits with their documents' columns: few rows against a large table.
+
+    There are at most twenty hits per query, so counting the queries proves
+    that the hits can be broadcast. Derive titles and descriptions from the
+    result rather than before, so that only winners are read for them.
+    """
+    few = fits(queries, BROADCAST_ROWS // MAX_TOP_K)
+    return docs.join(F.broadcast(hits) if few else hits, key)
 
 
 def search_response(queries: DataFrame, hits: DataFrame) -> DataFrame:

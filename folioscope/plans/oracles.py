@@ -1,2 +1,331 @@
-def all_oracles():
-    return {}
+"""The registered queries restated in SQL, as independent checks.
+
+Written from the rules, for an engine without look-around: each statement uses
+another way to the result than the Spark query it checks where there is one.
+"""
+
+from __future__ import annotations
+
+from folioscope.plans.queries import QUERY, URI_PREFIX
+
+# Whitespace and line boundaries as regular expression class bodies.
+_S = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_L = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_S}]+|[{_S}]+$', '', 'g')"
+
+
+def _squeeze(x: str) -> str:
+    return f"regexp_replace({_trim(x)}, '[{_S}]+', ' ', 'g')"
+
+
+def _heads(source: str) -> str:
+    """CTE ``h``: title and raw lead line of (doc_id, stem, text) rows."""
+    return f"""
+    lines_ AS (SELECT *, list_transform(string_split_regex(text, '{_L}'), lambda x: {_trim('x')}) AS ls FROM {source}),
+    at_ AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: x <> '' AND NOT starts_with(x, '#')), true), 0) AS bp
+            FROM lines_),
+    h AS (SELECT * EXCLUDE (ls, bp), CASE WHEN bp > 0 THEN ls[bp] END AS lead,
+            coalesce(list_filter(list_transform(list_filter(CASE WHEN bp > 0 THEN ls[1:bp - 1] ELSE ls END,
+                       lambda x: starts_with(x, '#')), lambda x: {_trim("regexp_replace(x, '^[# ]+', '')")}),
+                     lambda x: x <> '')[-1], stem) AS title
+          FROM at_)"""
+
+
+_DOCS = f"""
+    d AS (SELECT doc_id, lang AS category, CAST(doc_id AS VARCHAR) AS stem, text,
+            lang || '/' || doc_id AS name, '{URI_PREFIX}' || lang || '/' || doc_id AS uri FROM documents),
+    {_heads('d')},
+    q_ AS (SELECT *, {_squeeze('coalesce(lead, title)')} AS flat FROM h),
+    e AS (SELECT * EXCLUDE (flat, lead), CASE WHEN length(flat) <= 180 THEN flat
+            ELSE rtrim(regexp_extract(flat, '^(.{{0,179}}) ', 1)) || '…' END AS description FROM q_)"""
+
+_POSTINGS = f"""{_DOCS},
+    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(title || chr(10) || description || chr(10) || text), '[a-z0-9]+')) AS term FROM e),
+    post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term),
+    norms AS (SELECT doc_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) AS norm FROM post GROUP BY doc_id)"""
+
+
+def _hits(queries: str) -> str:
+    """CTE ``hits`` for (query_id, query, top_k) rows."""
+    return f"""{_POSTINGS},
+    asked AS ({queries}),
+    qtok AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked),
+    qt AS (SELECT query_id, term, count(*) AS w FROM qtok GROUP BY query_id, term),
+    qn AS (SELECT query_id, sqrt(CAST(sum(w * w) AS DOUBLE)) AS qnorm FROM qt GROUP BY query_id),
+    dots AS (SELECT query_id, doc_id, CAST(sum(tf * w) AS DOUBLE) AS dot FROM post JOIN qt USING (term) GROUP BY query_id, doc_id),
+    scored AS (SELECT query_id, doc_id, dot / (norm * qnorm) AS score FROM dots JOIN norms USING (doc_id) JOIN qn USING (query_id)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM scored),
+    hits AS (SELECT query_id, CAST(rk AS INTEGER) AS rank, doc_id, score, name, title, uri, description
+             FROM ranked JOIN asked USING (query_id) JOIN e USING (doc_id) WHERE rk <= top_k)"""
+
+
+def _canon(url: str) -> str:
+    return f"regexp_replace(regexp_extract({url}, '^[^?#]*'), '/+$', '')"
+
+
+def _cat(url: str) -> str:
+    return f"nullif(regexp_extract({url}, '^[a-z]+://[^/]*/(en|fr|de|es)(/|$|[?#])', 1), '')"
+
+
+def _slug(url: str) -> str:
+    return f"regexp_extract({url}, '([^/]*)$', 1)"
+
+
+_TARGETS = f"""
+    c AS (SELECT page_id, {_canon('url')} AS url FROM pages),
+    targets AS (SELECT min(page_id) AS ord, {_cat('url')} AS category, {_slug('url')} AS slug, url
+                FROM c WHERE {_cat('url')} IS NOT NULL GROUP BY url)"""
+
+# The two robots groups: rule number, path prefix, verdict.
+_ROBOTS = """
+    rules(agent, n, prefix, allow) AS (VALUES
+      ('browser', 1, '/fr/8', true), ('browser', 2, '/fr', false), ('browser', 3, '', true),
+      ('other', 1, '/en/1', false), ('other', 2, '/en/15', true), ('other', 3, '/de/', false), ('other', 4, '/fr/23', false)),
+    verdicts AS (SELECT u.url, r.agent, arg_min(r.allow, r.n) AS allow
+                 FROM (SELECT DISTINCT {canon} AS url FROM pages) u
+                 JOIN rules r ON starts_with(regexp_replace(u.url, '^[a-z]+://[^/]*', ''), r.prefix)
+                 GROUP BY u.url, r.agent)""".format(canon=_canon("url"))
+
+_STATUS = f"""{_TARGETS}, {_ROBOTS},
+    stored AS (SELECT {_canon('url')} AS url, bool_or(NOT contains(url, '#')) AS present
+               FROM pages WHERE NOT contains(url, '?') GROUP BY 1),
+    fetched AS (SELECT {_canon('url')} AS url, bool_or(NOT contains(url, '.example.net/')) AS ok
+                FROM pages WHERE NOT contains(url, '/es/') GROUP BY 1),
+    plan AS (SELECT t.url, t.category, t.slug, coalesce(s.present, false) AS stored_ok,
+               CASE WHEN coalesce(s.present, false) AND NOT contains(t.url, '.example.org/') THEN 'CACHE' ELSE 'FETCH' END AS plan
+             FROM targets t LEFT JOIN stored s USING (url)),
+    status AS (SELECT p.url, p.category, p.slug,
+                 CASE WHEN NOT coalesce(v.allow, true) THEN 'SKIP ROBOTS'
+                      WHEN p.plan = 'CACHE' AND p.stored_ok THEN 'OK CACHE'
+                      WHEN coalesce(f.ok, false) THEN 'OK FETCH' ELSE 'FAIL' END AS status
+               FROM plan p LEFT JOIN verdicts v ON v.url = p.url AND v.agent = 'browser' LEFT JOIN fetched f ON f.url = p.url),
+    results AS (SELECT * FROM status WHERE status LIKE 'OK%')"""
+
+
+def _title_case(x: str) -> str:
+    """Separators to spaces, each letter run capitalised (ASCII letters)."""
+    words = f"trim(regexp_replace({x}, '[-_]+', ' ', 'g'))"
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({words}, '[A-Za-z]+|[^A-Za-z]+'), "
+        "lambda w: upper(w[1]) || lower(w[2:])), '')"
+    )
+
+
+def _decode(x: str) -> str:
+    for name, character in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{character}', 'g')"
+    return x
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>.*</article>')"
+_RAW = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+
+# The main element each category gets in the derived pages, and how to find it.
+_SELECTABLE = f"""
+    s AS (SELECT page_id, url, {_cat('url')} AS cat, html FROM pages),
+    m AS (SELECT page_id, url, cat, CASE cat
+            WHEN 'de' THEN replace(replace(html, '<article>', '<main><div class="x markdown"><div>'), '</article>', '</div></div></main>')
+            WHEN 'fr' THEN replace(replace(html, '<article>', '<section itemprop="articleBody">'), '</article>', '</section>')
+            WHEN 'es' THEN replace(replace(html, '<article>', '<div>'), '</article>', '</div>')
+            ELSE html END AS html FROM s)"""
+_SELECTED = """CASE cat
+            WHEN 'de' THEN regexp_extract(html, '(?s)<div class="x markdown">.*</div>(?:</main>)', 0)[:-8]
+            WHEN 'fr' THEN regexp_extract(html, '(?s)<section .*</section>')
+            WHEN 'es' THEN html
+            ELSE regexp_extract(html, '(?s)<article>.*</article>') END"""
+
+
+def _lines_of(markup: str) -> str:
+    """Visible text of markup without raw text elements, one block per line."""
+    blocks = "h1|p|br|div|article|ul|li|nav|footer"
+    broken = f"regexp_replace({markup}, '</?(?:{blocks})[^>a-z0-9]?[^>]*>', chr(10), 'g')"
+    bare = _decode(f"regexp_replace({broken}, '<[a-zA-Z/!][^>]*>', '', 'g')")
+    return (
+        f"array_to_string(list_filter(list_transform(string_split_regex({bare}, '{_L}'), lambda x: {_trim('x')}), "
+        "lambda x: x <> ''), chr(10))"
+    )
+
+
+def _links(page: str = "html") -> str:
+    """CTE ``a``: links of each page in order; all are written alike here."""
+    return f"""
+    raw_ AS (SELECT page_id, url, {page} AS html FROM pages),
+    found_ AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS fs FROM raw_),
+    a AS (SELECT page_id, url, CAST(unnest(generate_series(1, len(fs))) - 1 AS INTEGER) AS pos, unnest(fs) AS f,
+            regexp_extract(url, '^[a-z]+://[^/]*') AS site FROM found_),
+    b AS (SELECT *, {_decode('''regexp_extract(f, 'href="([^"]*)"', 1)''')} AS href,
+            {_trim(_decode("regexp_extract(f, '>([^<]*)<', 1)"))} AS text FROM a)"""
+
+
+def _sanitized(x: str) -> str:
+    x = f"regexp_replace({x}, '<img[^>]*>', '', 'gi')"
+    x = f"regexp_replace({x}, '<a[^>]*>(.*?)</a>', '\\1', 'gis')"
+    x = f"regexp_replace({x}, '</?(?:span|div|section|article|header|footer|main|figure|figcaption)[^>]*>', '', 'gi')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    parts = f"list_transform(string_split_regex({x}, '{_L}'), lambda l: regexp_replace(l, '[{_S}]+$', ''))"
+    return _trim(f"array_to_string({parts}, chr(10))") + " || chr(10)"
+
+
+_LIST = f"""
+    v AS (SELECT page_id * 4 + 2 AS ord, {_canon('url')} AS url FROM pages
+          UNION ALL SELECT page_id * 4 + 3, {_canon("replace(url, '/en/', '/zz/')")} FROM pages)"""
+
+_VARIANTS = f"""
+    v AS (SELECT page_id * 3 + pos AS ord, {_canon('url')} AS url, 'spelling ' || pos || ' of ' || page_id AS title
+          FROM pages, (VALUES (0), (1), (2)) t(pos))"""
+
+_SITEMAP = f"""
+    SELECT ord, category, {_title_case('slug')} AS title_guess, url, slug FROM targets"""
+
+
+def _json_content(entry: str) -> str:
+    return f"to_json(struct_pack(content := {entry}))"
+
+
+def _text_entry(message: str) -> str:
+    return _json_content(f"[struct_pack(\"type\" := 'text', text := {message})]")
+
+
+def all_oracles() -> dict[str, str]:
+    benchmark = "SELECT item_id AS query_id, text AS query, {k} AS top_k FROM benchmark"
+    bare = "regexp_replace(lower(text), '[a-z0-9]', '', 'g')"
+    link = (
+        "struct_pack(\"type\" := 'resource_link', uri := uri, name := name, description := description, "
+        "mimeType := 'text/markdown')"
+    )
+    resource = (
+        "[struct_pack(\"type\" := 'resource', resource := struct_pack(uri := e.uri, title := e.title, "
+        "mimeType := 'text/markdown', text := e.text))]"
+    )
+    plain = "to_json(struct_pack(url := url, category := category, slug := slug))"
+    return {
+        "corpus_load": """
+            SELECT lang AS category, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters
+            FROM documents GROUP BY lang""",
+        "path_identity": """
+            WITH f AS (SELECT CASE lang WHEN 'en' THEN lang || '/' || source || '/' || doc_id || '.md'
+                WHEN 'de' THEN doc_id || '.md' WHEN 'fr' THEN 'fr/' || doc_id || '.v1.md'
+                ELSE lang || '/' || doc_id || '.md' END AS path FROM documents),
+            p AS (SELECT path, split_part(path, '/', 1) AS category,
+                regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS stem FROM f WHERE contains(path, '/'))
+            SELECT *, category || '/' || stem AS name, 'doc://corpus/' || category || '/' || stem AS uri FROM p""",
+        "doc_catalog": f"WITH {_DOCS} SELECT uri, name, title, description, 'text/markdown' AS mime_type, text FROM e",
+        "doc_title": f"""
+            WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS stem, CASE WHEN lang = 'es' THEN text ELSE
+                '#  ' || lang || chr(13) || chr(10) || chr(10) || ' ' ||
+                CASE WHEN source LIKE '%1' THEN '##' ELSE '##' || chr(9) || source || ' # of ' || lang || ' ' END
+                || chr(10) || text END AS text FROM documents),
+            {_heads('d')} SELECT doc_id, title FROM h""",
+        "doc_description": f"WITH {_DOCS} SELECT doc_id, description FROM e",
+        "tokens": """
+            WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)
+            SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM t""",
+        "term_frequency": f"WITH {_POSTINGS} SELECT doc_id, term, tf FROM post",
+        "doc_norms": f"WITH {_POSTINGS} SELECT doc_id, coalesce(norm, 1.0) AS norm FROM e LEFT JOIN norms USING (doc_id)",
+        "search_topk": f"""
+            WITH {_hits(f"SELECT 0 AS query_id, '{QUERY}' AS query, 10 AS top_k")}
+            SELECT rank, doc_id, name, title, uri, description, score FROM hits""",
+        "search_batch": f"WITH {_hits(benchmark.format(k=5))} SELECT * FROM hits",
+        "search_empty": f"""
+            WITH {_hits(benchmark.format(k=3) + f" UNION ALL SELECT -1 - item_id, {bare}, 3 FROM benchmark")}
+            SELECT query_id, count(doc_id) AS hits FROM asked LEFT JOIN hits USING (query_id) GROUP BY query_id""",
+        "search_validate": """
+            WITH q AS (SELECT item_id AS query_id, CASE WHEN length(text) > 300 THEN '' ELSE text END AS query,
+                CAST(floor(length(text) / 8) - 10 AS INTEGER) AS top_k FROM benchmark)
+            SELECT query_id, top_k, query <> '' AND top_k BETWEEN 1 AND 20 AS valid FROM q""",
+        "search_response": f"""
+            WITH {_hits(f"SELECT item_id AS query_id, CASE WHEN length(text) > 230 THEN text ELSE {bare} END AS query, 3 AS top_k FROM benchmark")},
+            g AS (SELECT query_id, CAST({_json_content(f'list({link} ORDER BY rank)')} AS VARCHAR) AS r FROM hits GROUP BY query_id)
+            SELECT query_id, coalesce(r, CAST({_text_entry("'未找到与 ''' || query || ''' 相关的文档, 请尝试其他关键词。'")} AS VARCHAR)) AS response
+            FROM asked LEFT JOIN g USING (query_id)""",
+        "open_doc": f"""
+            WITH {_DOCS},
+            r AS (SELECT doc_id AS request_id, lang || '/' || doc_id AS name FROM documents
+                  UNION ALL SELECT -1 - item_id, 'none/' || item_id FROM benchmark)
+            SELECT request_id, r.name, CASE WHEN e.name IS NULL
+                THEN CAST({_text_entry("'未找到名称为 ''' || r.name || ''' 的文档, 可先调用 search_docs 确认可用列表。'")} AS VARCHAR)
+                ELSE CAST({_json_content(resource)} AS VARCHAR) END AS response
+            FROM r LEFT JOIN e ON r.name = e.name""",
+        "url_canonical": f"SELECT page_id, {_canon('url')} AS url FROM pages",
+        "url_category": f"""
+            WITH u AS (SELECT page_id, unnest([url, replace(url, '/en/', '/english/'), regexp_replace(url, '/[0-9].*', '')]) AS url FROM pages)
+            SELECT page_id, url, {_cat('url')} AS category FROM u""",
+        "url_slug": f"SELECT page_id, {_slug(_canon('url'))} AS slug FROM pages",
+        "slug_title": f"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+            s AS (SELECT doc_id, coalesce(t[1], '') || '-' || coalesce(t[2], '') || '__' || doc_id || coalesce(t[3], '') || '_' AS slug FROM w)
+            SELECT doc_id, slug, {_title_case('slug')} AS title_guess FROM s""",
+        "url_dedupe": f"WITH {_VARIANTS} SELECT min(ord) AS ord, url, arg_min(title, ord) AS title FROM v GROUP BY url",
+        "url_dedupe_last": f"WITH {_VARIANTS} SELECT max(ord) AS ord, url, arg_max(title, ord) AS title FROM v GROUP BY url",
+        "url_list_targets": f"""
+            WITH {_LIST}, f AS (SELECT min(ord) AS ord, url, {_cat('url')} AS category, {_slug('url')} AS slug FROM v GROUP BY url)
+            SELECT ord, category, {_title_case('slug')} AS title_guess, url, slug FROM f WHERE category IS NOT NULL""",
+        "url_list_rejects": f"WITH {_LIST} SELECT url, min(ord) AS ord FROM v WHERE {_cat('url')} IS NULL GROUP BY url",
+        "sitemap_targets": f"WITH {_TARGETS} {_SITEMAP}",
+        "index_targets": f"""
+            WITH {_links(f'''replace(html, 'href="/', 'href="/' || {_cat("url")} || '/')''')},
+            t AS (SELECT {_cat('url')} AS category, page_id, pos, text, 'https://docs.example.com' || regexp_replace(href, '/+$', '') AS target FROM b),
+            k AS (SELECT category, target AS url, arg_min(text, page_id * 1000000 + pos) AS text, {_slug('target')} AS slug FROM t GROUP BY category, target)
+            SELECT category, CASE WHEN text = '' THEN {_title_case('slug')} ELSE text END AS title_guess, url, slug FROM k""",
+        "robots_allowed": f"""
+            WITH {_ROBOTS}, u AS (SELECT page_id, {_canon('url')} AS url FROM pages)
+            SELECT page_id, coalesce(b.allow, true) AS browser, coalesce(o.allow, true) AS other FROM u
+            LEFT JOIN verdicts b ON b.url = u.url AND b.agent = 'browser' LEFT JOIN verdicts o ON o.url = u.url AND o.agent = 'other'""",
+        "html_main": f"WITH {_SELECTABLE} SELECT page_id, {_SELECTED} AS main FROM m",
+        "html_denoise": f"""
+            SELECT page_id, regexp_replace(html, '{_RAW}|<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">[^<]*</div>', '', 'gs') AS html
+            FROM pages""",
+        # All that the query puts in must be gone again.
+        "html_decor": "SELECT page_id, html FROM pages",
+        "html_title": f"""
+            WITH {_SELECTABLE},
+            t AS (SELECT page_id, {_slug(_canon('url'))} AS slug, CASE WHEN length(html) > 4000 THEN '' ELSE
+                {_trim(_decode("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} END AS h FROM m)
+            SELECT page_id, CASE WHEN h = '' THEN {_title_case('slug')} ELSE h END AS title FROM t""",
+        "html_text": f"SELECT page_id, {_lines_of(_ARTICLE)} AS text FROM pages",
+        "md_sanitize": f"""
+            SELECT page_id, {_sanitized("replace(html, '</p>', '</p> ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || '<IMG src=x>')")} AS markdown
+            FROM pages""",
+        "residual_html": f"""
+            WITH p AS (SELECT {_cat('url')} AS category, {_sanitized("regexp_extract(html, '(?s)<p>(.*?)</p>', 1)")} AS md FROM pages)
+            SELECT category, count(*) AS documents, count(*) FILTER (regexp_matches(md, '<[A-Za-z/!]')) AS with_tags FROM p GROUP BY category""",
+        "page_links": f"""
+            WITH {_links()}, t AS (SELECT *, site || regexp_replace(href, '/+$', '') AS target FROM b)
+            SELECT page_id, pos, href, target, CASE WHEN text = '' THEN {_title_case(_slug('target'))} ELSE text END AS title FROM t""",
+        "link_rewrite": f"""
+            WITH l0 AS (SELECT page_id, url, {_cat('url')} AS cat, regexp_extract_all(html, '<a href="[^"]*">') AS fs FROM pages),
+            l1 AS (SELECT *, CAST(unnest(generate_series(1, len(fs))) - 1 AS INTEGER) AS pos, unnest(fs) AS f FROM l0),
+            l2 AS (SELECT page_id, url, cat, pos, {_decode('''regexp_extract(f, 'href="([^"]*)"', 1)''')} AS old FROM l1)
+            SELECT page_id, url, pos,
+              CASE old WHEN '/The' THEN '/' || cat || '/the/#top' WHEN '/and' THEN '../de/9/' WHEN '/of' THEN '/' || cat || '/7?x=1'
+                WHEN '/to' THEN '#top' WHEN '/de' THEN '//fr.example.org/fr/8#a' ELSE old END AS href,
+              CASE old WHEN '/The' THEN 'the.md#top' WHEN '/and' THEN CASE WHEN cat = 'de' THEN '9.md' ELSE '../de/9.md' END
+                WHEN '/of' THEN regexp_extract(url, '^[a-z]+://[^/]*') || '/' || cat || '/7?x=1' WHEN '/to' THEN '#top'
+                WHEN '/de' THEN CASE WHEN cat = 'fr' THEN '8.md#a' ELSE '../fr/8.md#a' END
+                ELSE CASE WHEN NOT regexp_matches(old, '^/(en|fr|es)$') THEN regexp_extract(url, '^[a-z]+://[^/]*') || old
+                  WHEN old = '/' || cat THEN cat || '.md' ELSE '..' || old || old || '.md' END END AS new_href
+            FROM l2""",
+        "challenge_pages": """
+            SELECT page_id, starts_with(url, 'http:') AND contains(url, '.example.org') AS challenge FROM pages""",
+        "fetch_plan": f"WITH {_STATUS} SELECT url, category, slug, plan FROM plan",
+        "page_status": f"WITH {_STATUS} SELECT * FROM status",
+        "missing_pages": f"WITH {_STATUS} SELECT url, category, slug FROM targets WHERE url NOT IN (SELECT url FROM results)",
+        "category_summary": f"""
+            WITH {_STATUS} SELECT t.category, count(*) AS expected, count(r.url) AS succeeded
+            FROM targets t LEFT JOIN results r USING (url) GROUP BY t.category""",
+        "url_manifest": f"""
+            WITH {_STATUS}
+            SELECT 'expected_items' AS section, CAST({plain} AS VARCHAR) AS item FROM targets
+            UNION ALL SELECT 'missing_items', CAST({plain} AS VARCHAR) FROM targets WHERE url NOT IN (SELECT url FROM results)
+            UNION ALL SELECT 'items', CAST(to_json(struct_pack(url := url, category := category, title := {_title_case('slug')}, slug := slug,
+                raw_html := 'raw_html/' || category || '/' || slug || '.html',
+                cleaned_html := 'cleaned_html/' || category || '/' || slug || '.html',
+                markdown := 'md/' || category || '/' || slug || '.md')) AS VARCHAR) FROM results""",
+        "category_merge": """
+            SELECT lang AS category, CAST(floor(doc_id / 100) AS BIGINT) AS volume, count(*) AS documents,
+              string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS markdown
+            FROM documents GROUP BY 1, 2""",
+    }

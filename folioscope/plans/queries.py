@@ -40,13 +40,17 @@ Disallow:
 """
 
 
-def _documents(spark: SparkSession, root: str) -> DataFrame:
-    rows = spread(table(spark, root, "documents").select("doc_id", "lang", "text"), "doc_id")
+def _raw_documents(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "documents")
     return rows.select("doc_id", F.col("lang").alias("category"), F.col("doc_id").cast("string").alias("stem"), "text")
 
 
+def _enrich(rows: DataFrame) -> DataFrame:
+    return documents.enrich(documents.identify(rows, URI_PREFIX))
+
+
 def _enriched(spark: SparkSession, root: str) -> DataFrame:
-    return documents.enrich(documents.identify(_documents(spark, root), URI_PREFIX))
+    return _enrich(spread(_raw_documents(spark, root), "doc_id"))
 
 
 def _counted(spark: SparkSession, root: str) -> DataFrame:
@@ -146,10 +150,17 @@ def search_topk(spark: SparkSession, root: str) -> DataFrame:
     return search.search(_counted(spark, root), QUERY, 10)
 
 
+def _ranked(spark: SparkSession, root: str, queries: DataFrame) -> DataFrame:
+    """Hits with document columns; only winners get a title and description."""
+    hits = search.search_batch(_postings(spark, root), queries)
+    return _enrich(search.with_documents(hits, _raw_documents(spark, root), queries))
+
+
 def search_batch(spark: SparkSession, root: str) -> DataFrame:
     queries = _benchmark(spark, root).withColumn("top_k", F.lit(search.DEFAULT_TOP_K))
-    hits = search.search_batch(_postings(spark, root), queries)
-    return search.with_documents(hits, _enriched(spark, root))
+    return _ranked(spark, root, queries).select(
+        "query_id", "rank", "doc_id", "name", "title", "uri", "description", "score"
+    )
 
 
 def search_empty(spark: SparkSession, root: str) -> DataFrame:
@@ -176,9 +187,7 @@ def search_response(spark: SparkSession, root: str) -> DataFrame:
     asked = _benchmark(spark, root)
     query = F.when(F.char_length("query") > 230, F.col("query")).otherwise(_without_tokens(F.col("query")))
     queries = asked.select("query_id", query.alias("query"), F.lit(3).alias("top_k"))
-    enriched = _enriched(spark, root)
-    hits = search.search_batch(documents.postings(documents.counted(enriched)), queries)
-    return search.search_response(queries, search.with_documents(hits, enriched))
+    return search.search_response(queries, _ranked(spark, root, queries))
 
 
 def open_doc(spark: SparkSession, root: str) -> DataFrame:
