@@ -7,18 +7,24 @@ unclosed tags around or inside them.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from functools import reduce
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.bind import let
-from folioscope.functions.text import LINE_BREAK, SPACE, trim
+from folioscope.functions.text import LINE_BREAK, SPACES, trim
 from folioscope.functions.urls import Site, rewritten_link
 
-_RAW_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
-_TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>"""
-_PIECE = rf"(?s)<!--.*?(?:-->|\z)|{_TAG}|<[!?][^>]*>|[^<]+|<"
+# Alternatives share their first character, so the search skips text quickly.
+_RAW_TEXT = (
+    r"(?s)<(?:!--.*?(?:-->|\z)|((?i:script|style|noscript))(?=[\s/>])[^>]*>.*?(?:</(?i:\1)\s*>|\z))"
+)
+_TAG_END = r"""/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|/?[a-zA-Z][^>]*>"""
+_TAG = rf"<(?:{_TAG_END})"
+_PIECE = rf"(?s)<(?:!--.*?(?:-->|\z)|{_TAG_END}|[!?][^>]*>|)|[^<]+"
 _NAME = r"^</?([a-zA-Z][a-zA-Z0-9-]*)"
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr")
 
@@ -55,17 +61,15 @@ NOISE_CLASSES = (
     "theme-doc-sidebar-container",
     "breadcrumbs",
 )
-_NOISE_START = "|".join(
-    [_start_tag("|".join(NOISE_TAGS))] + [_start_tag(_ANY, _class_token(c)) for c in NOISE_CLASSES]
-)
 
 # Decoration and media.
-_DECOR_START = "|".join(
+MEDIA_TAGS = ("img", "picture", "figure", "svg")
+_DECOR_MARKS = ("hash-link", "aria-hidden", "copyButton")
+_DECOR_TAG = "|".join(
     [
         _start_tag("a|span", _class_part("hash-link")),
         _start_tag("a", _attribute("aria-hidden", "true")),
         _start_tag(_ANY, _class_part("copyButton")),
-        _start_tag("img|picture|figure|svg"),
     ]
 )
 
@@ -188,7 +192,7 @@ def _main_tail(markup: Column) -> Column:
         ),
         _from(markup, _start_tag("article")),
     ]
-    return F.coalesce(*[F.nullif(tail, F.lit("")) for tail in tails])
+    return F.coalesce(*[let(tail, lambda found: F.when(found != "", found)) for tail in tails])
 
 
 # ---------------------------------------------------------------- removal
@@ -199,14 +203,26 @@ def strip_raw_text(markup: Column) -> Column:
     return F.regexp_replace(markup, _RAW_TEXT, "")
 
 
-def _drop_elements(page: Column, start: str) -> Column:
-    """Remove every element whose start tag matches, keeping what follows it.
+def _drop_elements(page: Column, names: Sequence[str], marks: Sequence[str], marked: str) -> Column:
+    """Remove every element with one of ``names``, or whose start tag matches
+    the pattern ``marked``, keeping what follows it. Only tags that hold one of
+    ``marks`` are tried against the pattern.
 
     One linear pass over the tags finds the piece ranges to cut; an element
     inside a removed one goes with it. Pages without a match are returned as
     they are.
     """
 
+    def relevant(tags: Column) -> Column:
+        """Tags that can open, nest in or close a removed element."""
+        same_name = F.transform(F.filter(tags, lambda tag: tag.marked), lambda tag: tag["name"])
+        return let(
+            F.array_distinct(same_name),
+            lambda marked_names: F.filter(
+                tags, lambda tag: tag["name"].isin(*names) | F.array_contains(marked_names, tag["name"])
+            ),
+        )
+
     def cuts(pieces: Column) -> Column:
         tags = F.filter(
             F.transform(
@@ -214,7 +230,7 @@ def _drop_elements(page: Column, start: str) -> Column:
                 lambda piece, i: F.struct(
                     F.lower(F.regexp_extract(piece, _NAME, 1)).alias("name"),
                     piece.startswith("</").alias("ends"),
-                    piece.rlike(rf"\A(?:{start})").alias("hit"),
+                    (_has_any(piece, marks) & piece.rlike(rf"\A(?:{marked})")).alias("marked"),
                     (i + 1).alias("at"),
                 ),
             ),
@@ -223,10 +239,11 @@ def _drop_elements(page: Column, start: str) -> Column:
 
         def step(s: Column, tag: Column) -> Column:
             inside = s["name"] != ""
-            opening = ~inside & tag.hit & ~tag["name"].isin(*_VOID)
+            hit = ~inside & ~tag.ends & (tag.marked | tag["name"].isin(*names))
+            opening = hit & ~tag["name"].isin(*_VOID)
+            lone = hit & tag["name"].isin(*_VOID)
             same = inside & (tag["name"] == s["name"])
             closing = same & tag.ends & (s.depth == 1)
-            lone = ~inside & tag.hit & tag["name"].isin(*_VOID)
             return F.struct(
                 F.when(closing, F.lit("")).when(opening, tag["name"]).otherwise(s["name"]).alias("name"),
                 F.when(opening, 1)
@@ -248,7 +265,7 @@ def _drop_elements(page: Column, start: str) -> Column:
             F.array().cast("array<struct<first:int,last:int>>").alias("cut"),
         )
         return F.aggregate(
-            tags,
+            let(tags, relevant),
             start_state,
             step,
             lambda s: F.concat(
@@ -279,23 +296,40 @@ def _drop_elements(page: Column, start: str) -> Column:
     return let(
         page,
         lambda markup: F.when(
-            markup.rlike(start), let(F.regexp_extract_all(markup, F.lit(_PIECE), F.lit(0)), rebuild)
+            _has_any(markup, marks) | markup.rlike(rf"<(?i:{'|'.join(names)})(?=[\s/>])"),
+            let(
+                F.when(_has_any(markup, marks), F.regexp_extract_all(markup, F.lit(_PIECE), F.lit(0))).otherwise(
+                    F.regexp_extract_all(markup, F.lit(_pieces_between(names)), F.lit(0))
+                ),
+                rebuild,
+            ),
         ).otherwise(markup),
     )
 
 
+def _pieces_between(names: Sequence[str]) -> str:
+    """Tags with one of ``names``, and whole stretches of anything else."""
+    other = rf"(?!/?(?i:{'|'.join(names)})[\s/>])(?:!--.*?(?:-->|\z)|{_TAG_END}|[!?][^>]*>|)"
+    return rf"(?s)(?:[^<]++|<{other})++|<(?:{_TAG_END}|)"
+
+
+def _has_any(text: Column, parts: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [text.contains(part) for part in parts])
+
+
 def _range(first: Column, last: Column) -> Column:
     return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))
 
 
 def denoise(markup: Column) -> Column:
     """Without headers, navigation, footers, asides, scripts, styles and TOCs."""
-    return _drop_elements(strip_raw_text(markup), _NOISE_START)
+    marked = "|".join(_start_tag(_ANY, _class_token(name)) for name in NOISE_CLASSES)
+    return _drop_elements(strip_raw_text(markup), NOISE_TAGS, NOISE_CLASSES, marked)
 
 
 def undecorate(markup: Column) -> Column:
     """Without hash links, copy buttons and media."""
-    return _drop_elements(markup, _DECOR_START)
+    return _drop_elements(markup, MEDIA_TAGS, _DECOR_MARKS, _DECOR_TAG)
 
 
 # ------------------------------------------------------------------- text
@@ -303,22 +337,25 @@ def undecorate(markup: Column) -> Column:
 _LEGACY = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
 
 
+def _literal_map(keys: Iterable[str], values: Iterable[str]) -> Column:
+    """A constant map, built from two literals rather than one per entry."""
+    return F.map_from_arrays(F.split(F.lit(" ".join(keys)), " "), F.split(F.lit("\x00".join(values)), "\x00"))
+
+
 def decode_entities(text: Column) -> Column:
     """Character references to characters, in one left-to-right pass."""
-    names = F.create_map(*[F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))])
-    cp1252 = F.create_map(
-        *[
-            F.lit(v)
-            for code in range(0x80, 0xA0)
-            for v in (code, bytes([code]).decode("cp1252", errors="ignore") or chr(code))
-        ]
+    names = _literal_map(name2codepoint, [chr(code) for code in name2codepoint.values()])
+    # Numbers in this range mean characters of the Windows code page.
+    cp1252 = _literal_map(
+        map(str, range(0x80, 0xA0)),
+        [bytes([code]).decode("cp1252", errors="ignore") or chr(code) for code in range(0x80, 0xA0)],
     )
 
     def character(code: Column) -> Column:
         known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         as_text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return (
-            F.when(code.between(0x80, 0x9F), F.try_element_at(cp1252, code))
+            F.when(code.between(0x80, 0x9F), F.try_element_at(cp1252, code.cast("string")))
             .when(known, as_text)
             .otherwise(F.lit("\ufffd"))
         )
@@ -382,7 +419,7 @@ BLOCK_TAGS = (
 def plain_text(markup: Column) -> Column:
     """Visible text, one block per line, without blank lines."""
     broken = F.regexp_replace(strip_raw_text(markup), rf"</?(?i:{'|'.join(BLOCK_TAGS)})(?=[\s/>])[^>]*>", "\n")
-    bare = decode_entities(F.regexp_replace(broken, rf"{_TAG}|<[!?][^>]*>", ""))
+    bare = decode_entities(F.regexp_replace(broken, rf"<(?:{_TAG_END}|[!?][^>]*>)", ""))
     kept = F.filter(F.transform(F.split(bare, LINE_BREAK), trim), lambda line: line != "")
     return F.array_join(kept, "\n")
 
@@ -400,8 +437,8 @@ def sanitize_markdown(markdown: Column) -> Column:
     text = F.regexp_replace(text, r"(?isu)<a[^>]*>(.*?)</a>", "$1")
     text = F.regexp_replace(text, rf"(?iu)</?(?:{'|'.join(CONTAINER_TAGS)})[^>]*>", "")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, LINE_BREAK, "\n")
-    text = F.regexp_replace(text, rf"(?<![{SPACE}&&[^\n]])[{SPACE}&&[^\n]]+(?=\n|\z)", "")
+    ends = F.transform(F.split(text, LINE_BREAK), lambda line: F.rtrim(line, F.lit(SPACES)))
+    text = F.array_join(ends, "\n")
     return F.concat(trim(text), F.lit("\n"))
 
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.bind import let
 
-# Whitespace removed by ``str.strip`` and the line boundaries of
-# ``str.splitlines``, as Java regex class bodies.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters ``str.strip`` removes and the line boundaries of
+# ``str.splitlines``. The class form is for patterns that start with (?U).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"\s\x1c-\x1f"
 EOL = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
-LINE_BREAK = rf"\r\n|[{EOL}]"
+LINE_BREAK = r"\R|[\x1c-\x1e]"
 
 # Description width and its mark for cut text.
 WIDTH = 180
@@ -21,7 +24,7 @@ TOKEN = "[a-z0-9]+"
 
 # First line that is neither blank nor a heading. Blank lines are swallowed by
 # the possessive run, so no group repeats and long heads cannot overflow.
-_BODY = rf"(?:^|[{EOL}])[{SPACE}]*+([^#{SPACE}][^{EOL}]*)"
+_BODY = rf"(?U)(?:^|[{EOL}])[{SPACE}]*+([^#{SPACE}][^{EOL}]*)"
 
 # Longest prefix that leaves room for the mark and ends where a wrapped line
 # may break: before whitespace, after a word hyphen, around a dash run.
@@ -37,12 +40,12 @@ _BREAKABLE = (
 
 def trim(text: Column) -> Column:
     """Strip every kind of leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """Trim, then turn each whitespace run into one space."""
-    return F.regexp_replace(trim(text), rf"[{SPACE}]+", " ")
+    return F.regexp_replace(trim(text), rf"(?U)[{SPACE}]+", " ")
 
 
 def lines(text: Column) -> Column:
@@ -61,10 +64,11 @@ def shorten(text: Column) -> Column:
 
 def title(text: Column, fallback: Column) -> Column:
     """The last non-empty heading above the first body line, else ``fallback``."""
-    lead = F.split(text, _BODY, 2)[0]
-    heads = F.transform(
-        lines(lead), lambda line: trim(F.regexp_replace(trim(line), "^[# ]+", ""))
-    )
+    # The match is the first of its kind, so nothing above it repeats it and
+    # the text up to its first occurrence is the block of headings and blanks.
+    match = F.regexp_extract(text, _BODY, 0)
+    lead = let(match, lambda m: F.when(m == "", text).otherwise(F.call_function("substring_index", text, m, F.lit(1))))
+    heads = F.transform(lines(lead), lambda line: trim(F.ltrim(trim(line), F.lit("# "))))
     named = F.filter(heads, lambda head: head != "")
     return F.coalesce(F.try_element_at(named, F.lit(-1)), fallback)
 

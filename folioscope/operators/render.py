@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -31,66 +31,89 @@ _BLOCKS = frozenset(BLOCK_TAGS) - {"br"} | {"article", "body", "html"}
 _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "col", "wbr"})
 _UNSEEN = frozenset({"head", "script", "style", "title", "template"})
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~"}
-# A start tag of the key ends open elements of these names.
-_ENDS = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dd", "dt"}, "dd": {"dd", "dt"}}
+# A block ends an open paragraph; these end elements of their own kind as well.
+_PARAGRAPH = frozenset({"p"})
+_CLOSED_BY = {
+    "li": {"p", "li"},
+    "tr": {"p", "tr", "td", "th"},
+    "td": {"p", "td", "th"},
+    "th": {"p", "td", "th"},
+    "dt": {"p", "dd", "dt"},
+    "dd": {"p", "dd", "dt"},
+}
 _SCOPES = frozenset({"ul", "ol", "table", "blockquote", "div"})
 _BREAK = "  \n"
 
+_TOKEN = re.compile(
+    r"""([^<]+|<(?![a-zA-Z/!?]))|<!--.*?(?:-->|\Z)"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?/][^>]*>?""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_MARK = re.compile(r"([\\`*\[\]<>])")
+_EDGE_UNDERSCORE = re.compile(r"(?<!\w)_|_(?!\w)")
+_BLOCK_START = re.compile(r"^(?:#{1,6}(?=\s|$)|[-+](?= )|\d+(?=[.)] ))")
+_SPACES = re.compile(r"(?<=[^\n]) {2,}(?!\n)")
+_AROUND_BREAK = re.compile(r" *\n *")
+_BLANK = re.compile(r"[ \t\r\n\f]+")
+
 
 class _Node:
-    def __init__(self, tag: str, attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+    __slots__ = ("tag", "attributes", "children")
+
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.attributes, self.children = tag, attributes, []
 
+    def get(self, name: str) -> str:
+        for key, *values in _ATTRIBUTE.findall(self.attributes):
+            if key.lower() == name:
+                return unescape("".join(values))
+        return ""
 
-class _Tree(HTMLParser):
+
+class _Tree:
     """Element tree of tag soup: a block ends an open paragraph together with
     the inline elements left open in it."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    def __init__(self, markup: str):
         self.root = _Node("root")
         self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
+        for match in _TOKEN.finditer(markup):
+            text, end, name, attributes = match.groups()
+            if text:
+                self.open[-1].children.append(unescape(text) if "&" in text else text)
+            elif name and end:
+                self._end({name.lower()}, frozenset())
+            elif name:
+                self._start(name.lower(), attributes)
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
-            self._end({"p"} | _ENDS.get(tag, set()), _SCOPES)
-        node = _Node(tag, attrs)
+            self._end(_CLOSED_BY.get(tag, _PARAGRAPH), _SCOPES)
+        node = _Node(tag, attributes)
         self.open[-1].children.append(node)
-        if tag not in _VOID:
+        if tag not in _VOID and not attributes.endswith("/"):
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        self._end({tag}, frozenset())
-
-    def _end(self, tags, scopes):
+    def _end(self, tags, scopes) -> None:
         """Close up to the outermost open element of ``tags`` within scope."""
         for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag in scopes and self.open[depth].tag not in tags:
-                return
-            if self.open[depth].tag in tags:
+            tag = self.open[depth].tag
+            if tag in tags:
                 del self.open[depth:]
                 if not scopes:
                     return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
+            elif tag in scopes:
+                return
 
 
 def to_markdown(markup: str) -> str:
-    tree = _Tree()
-    tree.feed(markup)
-    tree.close()
-    return "\n\n".join(_blocks(tree.root))
+    return "\n\n".join(_blocks(_Tree(markup).root))
 
 
 def _escape(text: str) -> str:
-    text = re.sub(r"([\\`*\[\]<>])", r"\\\1", re.sub(r"[ \t\r\n\f]+", " ", text))
-    return re.sub(r"(?<!\w)_|_(?!\w)", r"\\_", text)
+    text = _MARK.sub(r"\\\1", _BLANK.sub(" ", text))
+    return _EDGE_UNDERSCORE.sub(r"\\_", text) if "_" in text else text
 
 
 def _inline(node: _Node | str) -> str:
@@ -109,8 +132,8 @@ def _inline(node: _Node | str) -> str:
             return inner
         start = inner.index(core)
         return inner[:start] + _MARKS[node.tag] + core + _MARKS[node.tag] + inner[start + len(core) :]
-    if node.tag == "a" and node.attrs.get("href"):
-        target = node.attrs["href"].replace(" ", "%20")
+    if node.tag == "a" and node.get("href"):
+        target = node.get("href").replace(" ", "%20")
         return f"<{target}>" if inner == _escape(target) and ":" in target else f"[{inner}]({target})"
     return inner
 
@@ -129,8 +152,13 @@ def _has_blocks(node: _Node) -> bool:
 
 def _paragraph(parts: list[str]) -> list[str]:
     """One paragraph of inline text; marks that would start a block are escaped."""
-    text = re.sub(r" *\n *", _BREAK, re.sub(r"(?<=[^\n]) {2,}(?!\n)", " ", "".join(parts))).strip()
-    return [re.sub(r"^(#{1,6}(?=\s|$)|[-+](?= )|\d+(?=[.)] ))", _escape_start, text)] if text else []
+    text = "".join(parts)
+    if "  " in text:
+        text = _SPACES.sub(" ", text)
+    if "\n" in text:
+        text = _AROUND_BREAK.sub(_BREAK, text)
+    text = text.strip()
+    return [_BLOCK_START.sub(_escape_start, text)] if text else []
 
 
 def _escape_start(match: re.Match) -> str:
@@ -160,7 +188,7 @@ def _block(node: _Node) -> list[str]:
         return ["---"]
     if node.tag == "pre":
         code = _verbatim(node).strip("\n")
-        classes = " ".join(str(n.attrs.get("class", "")) for n in [node, *node.children] if isinstance(n, _Node))
+        classes = " ".join(n.get("class") for n in [node, *node.children] if isinstance(n, _Node))
         language = re.search(r"(?:^|\s)lang(?:uage)?-(\S+)", classes)
         return [f"```{' ' + language.group(1) if language else ''}\n{code}\n```"]
     if node.tag == "blockquote":
@@ -175,7 +203,8 @@ def _block(node: _Node) -> list[str]:
 
 def _list(node: _Node) -> list[str]:
     items = []
-    number = int(node.attrs.get("start") or 1) if str(node.attrs.get("start") or 1).isdigit() else 1
+    start = node.get("start")
+    number = int(start) if start.isdigit() else 1
     loose = False
     for child in node.children:
         if not isinstance(child, _Node):

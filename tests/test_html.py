@@ -75,8 +75,17 @@ def test_undecorate(column):
 
 
 def test_drop_is_linear_on_many_tags(column):
-    page = "<nav>a</nav>b" * 3000
-    assert column(H.denoise, [page]) == ["b" * 3000]
+    pages = ["<nav>a</nav>b" * 3000, "<p>a<b>c" * 30000 + "<nav>x</nav>"]
+    assert column(H.denoise, pages) == ["b" * 3000, "<p>a<b>c" * 30000]
+
+
+def test_both_ways_to_cut_agree(column):
+    """A marked class makes every tag a piece of its own."""
+    rng = random.Random(9)
+    bits = ["<nav>", "</nav>", "<aside x='>'>", "</aside>", "<p>", "</p>", "t", "<", "<!-- <nav> -->", "<!x>", "<br>", "</"]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(400)]
+    mark = '<i class="breadcrumbs">z</i>'
+    assert column(H.denoise, [mark + r for r in rows]) == column(H.denoise, rows)
 
 
 TITLES = [
