@@ -10,9 +10,13 @@ from folioscope.functions.urls import Site
 
 
 def links(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per link of (url, html) pages: ``pos``, ``href``, ``text``."""
-    found = pages.select(*keep, "url", F.posexplode(html.anchors(F.col("html"))).alias("pos", "link"))
-    return found.select(*keep, "url", "pos", "link.href", "link.text")
+    """One row per link of (url, html) pages: ``pos``, ``href``, ``text``.
+
+    The outer form keeps Spark from deriving a size predicate, which would
+    extract the links a second time.
+    """
+    found = pages.select(*keep, "url", F.posexplode_outer(html.anchors(F.col("html"))).alias("pos", "link"))
+    return found.filter(F.col("pos").isNotNull()).select(*keep, "url", "pos", "link.href", "link.text")
 
 
 def edges(pages: DataFrame, site: Site, *keep: str) -> DataFrame:

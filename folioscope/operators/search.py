@@ -180,26 +180,31 @@ def _text_content(message: Column) -> Column:
     return F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), message.alias("text"))).alias("content")))
 
 
-def open_documents(requests: DataFrame, enriched: DataFrame, order: str = "doc_id") -> DataFrame:
-    """(request_id, name, response) for (request_id, name) rows.
+def find_documents(requests: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """The documents asked for by (request_id, name) rows, one per name.
 
     Wanted names are reduced to one each before they meet the documents, so a
     name asked for very often is looked up once. Of documents that share a name
-    the last in corpus order answers.
+    the last in corpus order answers; it is chosen on names alone, and only
+    then are texts read.
+    """
+    wanted = requests.select("name").distinct()
+    last = docs.select("name", order).join(wanted, "name", "left_semi").groupBy("name").agg(F.max(order).alias(order))
+    return docs.join(last, ["name", order])
+
+
+def open_response(requests: DataFrame, found: DataFrame) -> DataFrame:
+    """(request_id, name, response): the document as JSON, or a text naming it.
+
+    Requests without a name are rejected, that is, left out.
     """
     asked = requests.filter(F.char_length("name") >= 1)
-    wanted = asked.select("name").distinct()
-    found = last_by(
-        enriched.select("name", order, "uri", "title", "text").join(wanted, "name", "left_semi"), "name", ord=order
-    )
-    resource = F.struct(
-        "uri", "title", F.lit(MIME_TYPE).alias("mimeType"), F.col("text")
-    )
+    resource = F.struct("uri", "title", F.lit(MIME_TYPE).alias("mimeType"), F.col("text"))
     content = F.to_json(
         F.struct(F.array(F.struct(F.lit("resource").alias("type"), resource.alias("resource"))).alias("content"))
     )
     missing = _text_content(F.concat(F.lit(NO_DOCUMENT[0]), F.col("name"), F.lit(NO_DOCUMENT[1])))
-    return asked.join(found, "name", "left").select(
+    return asked.join(found.select("name", "uri", "title", "text"), "name", "left").select(
         "request_id", "name", F.when(F.col("uri").isNull(), missing).otherwise(content).alias("response")
     )
 

@@ -192,14 +192,15 @@ def search_response(spark: SparkSession, root: str) -> DataFrame:
 
 def open_doc(spark: SparkSession, root: str) -> DataFrame:
     """Every document by name, and a name without a document for every query."""
-    enriched = _enriched(spark, root)
     known = table(spark, root, "documents").select(
         F.col("doc_id").alias("request_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("name")
     )
     unknown = table(spark, root, "benchmark").select(
         (-1 - F.col("item_id")).alias("request_id"), F.concat(F.lit("none/"), F.col("item_id")).alias("name")
     )
-    return search.open_documents(known.unionByName(unknown), enriched)
+    requests = known.unionByName(unknown)
+    named = documents.identify(_raw_documents(spark, root), URI_PREFIX)
+    return search.open_response(requests, documents.enrich(search.find_documents(requests, named)))
 
 
 # ------------------------------------------------------------------- URLs

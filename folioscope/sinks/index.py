@@ -12,13 +12,13 @@ def write_index(enriched: DataFrame, name: str, buckets: int, key: str = "doc_id
     """Write ``<name>_documents`` and ``<name>_postings``.
 
     One shuffle of the texts places the documents; their postings are derived
-    in place. Both tables share the bucketing, so scoring needs no exchange,
-    and postings are sorted by term, so a query reads only the row groups that
-    hold its terms.
+    from the stored table, where they lie. Both tables share the bucketing, so
+    scoring needs no exchange, and postings are sorted by term, so a query
+    reads only the row groups that hold its terms.
     """
-    placed = enriched.repartition(buckets, key)
-    _save(placed, f"{name}_documents", buckets, key, key)
-    _save(documents.postings(documents.counted(placed), key), f"{name}_postings", buckets, key, "term")
+    _save(enriched.repartition(buckets, key), f"{name}_documents", buckets, key, key)
+    stored = enriched.sparkSession.table(f"{name}_documents")
+    _save(documents.postings(documents.counted(stored), key), f"{name}_postings", buckets, key, "term")
 
 
 def _save(df: DataFrame, table: str, buckets: int, key: str, sort: str) -> None:
