@@ -120,6 +120,18 @@ def _decode(x: str) -> str:
     return x
 
 
+def _escaped(x: str) -> str:
+    """Text of a paragraph with Markdown's own marks escaped."""
+    flat = f"trim(regexp_replace({_decode(x)}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
+    return f"regexp_replace({flat}, '([\\\\`*\\[\\]<>])', '\\\\\\1', 'g')"
+
+
+def _guarded(x: str) -> str:
+    """A paragraph whose first characters would start another kind of block."""
+    marked = rf"regexp_replace({x}, '^(#{{1,6}}(?:\s|$)|[-+] )', '\\\1')"
+    return rf"regexp_replace({marked}, '^([0-9]+)([.)] )', '\1\\\2')"
+
+
 _ARTICLE = "regexp_extract(html, '(?s)<article>.*</article>')"
 _RAW = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 
@@ -286,6 +298,15 @@ def all_oracles() -> dict[str, str]:
                 {_trim(_decode("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} END AS h FROM m)
             SELECT page_id, CASE WHEN h = '' THEN {_title_case('slug')} ELSE h END AS title FROM t""",
         "html_text": f"SELECT page_id, {_lines_of(_ARTICLE)} AS text FROM pages",
+        # Articles here hold a heading and paragraphs, some of them one bold line.
+        "html_markdown": f"""
+            WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art FROM pages),
+            p AS (SELECT page_id, art, list_transform(string_split(regexp_replace(art, '<h1>[^<]*</h1>', ''), '<p>'),
+                lambda x: struct_pack(bold := contains(x, '<b>'), t := {_escaped("regexp_replace(x, '<[^>]*>', '', 'g')")})) AS ps FROM a)
+            SELECT page_id, array_to_string(list_concat(['# ' || {_escaped("regexp_extract(art, '<h1>([^<]*)</h1>', 1)")}],
+                list_transform(list_filter(ps, lambda x: x.t <> ''), lambda x: CASE WHEN x.bold THEN '**' || x.t || '**'
+                  ELSE {_guarded('x.t')} END)),
+                chr(10) || chr(10)) || chr(10) AS markdown FROM p""",
         "md_sanitize": f"""
             SELECT page_id, {_sanitized("replace(html, '</p>', '</p> ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || '<IMG src=x>')")} AS markdown
             FROM pages""",
