@@ -71,6 +71,13 @@ def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -
     return tried.select("url", "category", "slug", status.alias("status"))
 
 
+def with_errors(status: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``error`` from converted pages; a page with one has failed."""
+    errors = pages.filter(F.col("render_error").isNotNull()).select("url", F.col("render_error").alias("error"))
+    joined = status.join(errors, "url", "left")
+    return joined.withColumn("status", F.when(F.col("error").isNull(), F.col("status")).otherwise(FAIL))
+
+
 def failures(status: DataFrame) -> DataFrame:
     return status.filter(F.col("status") == FAIL)
 

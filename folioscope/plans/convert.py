@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import html
 from folioscope.functions.urls import Site
 from folioscope.operators import coverage, render, robots
+from folioscope.sinks import tables as sinks
 
 
 def clean(pages: DataFrame, site: Site) -> DataFrame:
@@ -32,10 +33,15 @@ def to_markdown(pages: DataFrame, site: Site) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """Outcome of one conversion run, as lazy tables."""
+    """Outcome of one conversion run, as lazy tables.
 
+    ``pages`` holds every page that was converted, with ``render_error`` where
+    rendering failed; ``to_fetch`` is the work list for a crawler.
+    """
+
+    expected: DataFrame
     status: DataFrame
-    results: DataFrame
+    pages: DataFrame
     to_fetch: DataFrame
 
 
@@ -56,12 +62,30 @@ def run(
     """
     plan = coverage.fetch_plan(targets, stored, force)
     status = coverage.page_status(plan, fetched, rules)
-    guesses = targets.select("url", "title_guess")
-    good = coverage.succeeded(status).join(guesses, "url")
-    sources = [(stored, coverage.OK_CACHE), (fetched, coverage.OK_FETCH)]
-    taken = [
-        pages.select("url", "html").join(good.filter(F.col("status") == outcome), "url") for pages, outcome in sources
-    ]
-    results = to_markdown(taken[0].unionByName(taken[1]), site)
-    allowed = coverage.to_fetch(plan).filter(robots.allowed(F.col("url"), rules))
-    return Run(status, results.filter(F.col("render_error").isNull()).drop("render_error"), allowed)
+    good = coverage.succeeded(status).join(targets.select("url", "title_guess"), "url")
+    taken = _bodies(stored, good, coverage.OK_CACHE).unionByName(_bodies(fetched, good, coverage.OK_FETCH))
+    wanted = coverage.to_fetch(plan).filter(robots.allowed(F.col("url"), rules))
+    return Run(targets, status, to_markdown(taken, site), wanted)
+
+
+def _bodies(pages: DataFrame, good: DataFrame, outcome: str) -> DataFrame:
+    """One usable page for each target with this outcome. Copies of a page are
+    merged on the map side; of different ones the smallest is taken."""
+    usable = pages.select("url", "html").filter(coverage.readable(F.col("html")) & ~html.is_challenge(F.col("html")))
+    chosen = usable.join(good.filter(F.col("status") == outcome), "url")
+    return chosen.groupBy("url", "category", "slug", "status", "title_guess").agg(F.min("html").alias("html"))
+
+
+def publish(outcome: Run, path: str, output_root: str) -> None:
+    """Write the pages, then the reports from the written pages.
+
+    Conversion runs once; status, manifest and summary read its table instead
+    of repeating it.
+    """
+    spark = outcome.pages.sparkSession
+    sinks.write_pages(outcome.pages, f"{path}/pages")
+    pages = spark.read.parquet(f"{path}/pages")
+    sinks.write_status(coverage.with_errors(outcome.status, pages), f"{path}/status")
+    results = pages.filter(F.col("render_error").isNull())
+    sinks.write_manifest(outcome.expected, results, f"{path}/manifest", output_root)
+    coverage.category_summary(outcome.expected, results).coalesce(1).write.mode("overwrite").json(f"{path}/summary")

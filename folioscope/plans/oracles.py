@@ -317,7 +317,7 @@ def all_oracles() -> dict[str, str]:
             WITH {_links()}, t AS (SELECT *, site || regexp_replace(href, '/+$', '') AS target FROM b)
             SELECT page_id, pos, href, target, CASE WHEN text = '' THEN {_title_case(_slug('target'))} ELSE text END AS title FROM t""",
         "link_rewrite": f"""
-            WITH l0 AS (SELECT page_id, url, {_cat('url')} AS cat, regexp_extract_all(html, '<a href="[^"]*">') AS fs FROM pages),
+            WITH l0 AS (SELECT page_id, {_canon('url')} AS url, {_cat('url')} AS cat, regexp_extract_all(html, '<a href="[^"]*">') AS fs FROM pages),
             l1 AS (SELECT *, CAST(unnest(generate_series(1, len(fs))) - 1 AS INTEGER) AS pos, unnest(fs) AS f FROM l0),
             l2 AS (SELECT page_id, url, cat, pos, {_decode('''regexp_extract(f, 'href="([^"]*)"', 1)''')} AS old FROM l1)
             SELECT page_id, url, pos,

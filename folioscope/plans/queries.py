@@ -391,7 +391,8 @@ def link_rewrite(spark: SparkSession, root: str) -> DataFrame:
         ("de", F.lit("//fr.example.org/fr/8#a")),
     ):
         page = F.replace(page, F.lit(f'href="/{word}"'), F.concat(F.lit('href="'), target, F.lit('"')))
-    return links.rewritten(_pages(spark, root).select("page_id", "url", page.alias("html")), SITE, "page_id")
+    pages = _pages(spark, root).select("page_id", _canonical().alias("url"), page.alias("html"))
+    return links.rewritten(pages, SITE, "page_id")
 
 
 # --------------------------------------------------------------- coverage

@@ -18,12 +18,10 @@ def local_timestamp() -> Column:
     return F.concat(stamp, F.lit(ZONE))
 
 
-def write_cleaned(results: DataFrame, path: str) -> None:
-    results.select("category", "slug", "url", "cleaned_html").write.mode("overwrite").partitionBy("category").parquet(path)
-
-
-def write_markdown(results: DataFrame, path: str) -> None:
-    results.select("category", "slug", "url", "markdown").write.mode("overwrite").partitionBy("category").parquet(path)
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Cleaned HTML and Markdown side by side: readers take the column they
+    need, and the conversion behind both runs once."""
+    pages.write.mode("overwrite").partitionBy("category").parquet(path)
 
 
 def write_status(status: DataFrame, path: str) -> None:

@@ -123,13 +123,30 @@ PAGE = """<html><head><title>t</title></head><body><nav><a href="/en/9">n</a></n
 <a href="https://e.org/z?a&amp;b">e</a>.<img src="p.png"><script>var a = "<article>";</script></p></article></body></html>"""
 
 
+def test_publish(spark, tmp_path):
+    deep = "<b>" * 5000 + "x"
+    pages = [("https://h/en/1", "<h1>A</h1>"), ("https://h/en/1", "<h1>A</h1>"), ("https://h/en/2", deep), ("https://h/en/1", "")]
+    stored = spark.createDataFrame(pages, "url string, html string")
+    urls = spark.createDataFrame([(i, f"https://h/en/{i}") for i in (1, 2, 3)], "ord int, url string")
+    outcome = convert.run(targets.build(urls, SITE), stored, stored.limit(0), SITE, [])
+    convert.publish(outcome, str(tmp_path), "out")
+    kept = spark.read.parquet(str(tmp_path / "pages")).filter("render_error IS NULL").collect()
+    assert [(r.slug, r.title, r.markdown) for r in kept] == [("1", "A", "# A\n")]
+    status = {r.slug: (r.status, r.error) for r in spark.read.parquet(str(tmp_path / "status")).collect()}
+    assert status["1"] == ("OK CACHE", None) and status["3"] == ("FAIL", None)
+    assert status["2"][0] == "FAIL" and "RecursionError" in status["2"][1]
+    missing = spark.read.format("text").load(str(tmp_path / "manifest" / "lists" / "section=missing_items"))
+    assert sorted(json.loads(r.value)["slug"] for r in missing.collect()) == ["2", "3"]
+    assert spark.read.json(str(tmp_path / "summary")).first().asDict() == {"category": "en", "expected": 3, "succeeded": 1}
+
+
 def test_conversion(spark):
     urls = spark.createDataFrame([(1, "https://h/en/5/?q"), (2, "https://h/en/6"), (3, "https://h/de/1")], "ord int, url string")
     wanted = targets.build(urls, SITE)
     stored = spark.createDataFrame([("https://h/en/5", PAGE), ("https://h/en/6", "")], "url string, html string")
     fetched = spark.createDataFrame([("https://h/en/6", "<p>no heading")], "url string, html string")
     outcome = convert.run(wanted, stored, fetched, SITE, [])
-    got = {r.url: r for r in outcome.results.collect()}
+    got = {r.url: r for r in outcome.pages.collect()}
     assert set(got) == {"https://h/en/5", "https://h/en/6"}
     page = got["https://h/en/5"]
     assert (page.title, page.category, page.slug, page.status) == ("Big T", "en", "5", "OK CACHE")
@@ -198,14 +215,11 @@ def test_sinks(spark, tmp_path):
     rows = [("https://h/en/ü", "en", "ü", "T", "<p>x</p>", "x\n")]
     schema = "url string, category string, slug string, title string, cleaned_html string, markdown string"
     results = spark.createDataFrame(rows, schema)
+    sinks.write_pages(results, str(tmp_path / "pages"))
+    assert spark.read.parquet(str(tmp_path / "pages")).select(*results.columns).collect() == rows
     expected = results.select("url", "category", "slug").unionByName(
         spark.createDataFrame([("https://h/de/1", "de", "1")], "url string, category string, slug string")
     )
-    sinks.write_cleaned(results, str(tmp_path / "cleaned"))
-    sinks.write_markdown(results, str(tmp_path / "md"))
-    assert spark.read.parquet(str(tmp_path / "md")).select("category", "slug", "markdown").collect() == [("en", "ü", "x\n")]
-    assert spark.read.parquet(str(tmp_path / "cleaned")).first().cleaned_html == "<p>x</p>"
-
     status = expected.withColumn("status", F.lit("FAIL"))
     sinks.write_status(status, str(tmp_path / "status"))
     sinks.write_status(status.limit(1).withColumn("status", F.lit("OK FETCH")), str(tmp_path / "status"))

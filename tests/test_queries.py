@@ -1,0 +1,50 @@
+"""Every registered query against its SQL restatement, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registered
+
+ROOT = "/root/testdata/sf0.001"
+TABLES = ("documents", "pages", "benchmark")
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{ROOT}/{name}.parquet'")
+    return connection
+
+
+def rows_by_name(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(columns), sorted(repr([row[i] for i in order]) for row in rows)
+
+
+@pytest.mark.parametrize("name", sorted(registered.queries()))
+def test_query_equals_sql(spark, sql, name):
+    df = registered.queries()[name](spark, ROOT)
+    got = rows_by_name(df.columns, df.collect())
+    answer = sql.execute(registered.oracle_sql()[name])
+    want = rows_by_name([d[0] for d in answer.description], answer.fetchall())
+    assert got == want
+    assert got[1]
+
+
+def test_entry(spark):
+    assert registered.entry(spark).count() == 10
+
+
+@pytest.mark.parametrize("name", ["term_frequency", "doc_norms", "page_links", "html_markdown", "md_sanitize"])
+def test_per_row_work_needs_no_shuffle(spark, name, monkeypatch):
+    """On a table with enough partitions these plans have no exchange."""
+    from folioscope.plans import queries
+
+    monkeypatch.setattr(queries, "spread", lambda df, *keys: df)
+    plan = registered.queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
