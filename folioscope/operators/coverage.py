@@ -103,10 +103,11 @@ def category_summary(expected: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def result_items(results: DataFrame) -> DataFrame:
+def result_items(results: DataFrame, *keep: str) -> DataFrame:
     """Result rows with their three relative paths."""
     page = F.concat_ws("/", "category", "slug")
     return results.select(
+        *keep,
         "url",
         "category",
         "title",
@@ -120,15 +121,22 @@ def result_items(results: DataFrame) -> DataFrame:
 def manifest(expected: DataFrame, results: DataFrame) -> DataFrame:
     """(section, item): the three manifest lists as JSON rows.
 
-    The lists grow with the corpus, so they stay rows; nothing gathers them
-    into one value.
+    One join tells which expected items have a result, and each gives its two
+    rows. The lists grow with the corpus, so they stay rows; nothing gathers
+    them into one value.
     """
+    done = results.select("url", "title", F.lit(True).alias("done"))
+    items = result_items(expected.select("url", "category", "slug").join(done, "url", "left"), "done")
     plain = F.to_json(F.struct("url", "category", "slug"))
     full = F.to_json(F.struct("url", "category", "title", "slug", "raw_html", "cleaned_html", "markdown"))
-    return (
-        expected.select(F.lit("expected_items").alias("section"), plain.alias("item"))
-        .unionByName(result_items(results).select(F.lit("items").alias("section"), full.alias("item")))
-        .unionByName(missing(expected, results).select(F.lit("missing_items").alias("section"), plain.alias("item")))
+    entry = lambda section, item: F.struct(section.alias("section"), item.alias("item"))
+    return items.select(
+        F.inline_outer(
+            F.array(
+                entry(F.lit("expected_items"), plain),
+                F.when(F.col("done"), entry(F.lit("items"), full)).otherwise(entry(F.lit("missing_items"), plain)),
+            )
+        )
     )
 
 

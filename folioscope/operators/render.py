@@ -16,7 +16,7 @@ import sys
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,28 +235,33 @@ def _table(node: _Node) -> list[str]:
     return ["\n".join([lines[0], "|" + "---|" * width, *lines[1:]])]
 
 
+def _one(page: str | None) -> tuple[str | None, str | None]:
+    try:
+        return to_markdown(page or ""), None
+    except (AssertionError, RecursionError, ValueError) as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
 def render(pages: DataFrame, markup: str = "cleaned_html") -> DataFrame:
-    """Add ``markdown`` (sanitized) and ``render_error``; drop ``markup``.
+    """Add ``markdown`` (sanitized) and ``render_error``.
 
-    A page that cannot be rendered keeps its row, with the reason.
+    Other columns pass through as Arrow buffers. A page that cannot be rendered
+    keeps its row, with the reason. A batch holds as many pages as
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` says: lower it for large
+    pages.
     """
-    rest = [f for f in pages.schema.fields if f.name != markup]
-    schema = T.StructType(
-        [*rest, T.StructField("markdown", T.StringType()), T.StructField("render_error", T.StringType())]
-    )
-
-    def one(page: str | None) -> tuple[str | None, str | None]:
-        try:
-            return to_markdown(page or ""), None
-        except (AssertionError, RecursionError, ValueError) as error:
-            return None, f"{type(error).__name__}: {error}"
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [one(page) for page in frame[markup]]
-            yield frame.drop(columns=[markup]).assign(
-                markdown=[text for text, _ in results], render_error=[error for _, error in results]
+    added = [T.StructField("markdown", T.StringType()), T.StructField("render_error", T.StringType())]
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            page = batch.schema.get_field_index(markup)
+            drawn = [_one(text) for text in batch.column(page).to_pylist()]
+            texts, errors = zip(*drawn) if drawn else ((), ())
+            kind = batch.schema.field(page).type
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(texts, kind), pa.array(errors, kind)],
+                [*batch.schema.names, "markdown", "render_error"],
             )
 
-    drawn = pages.mapInPandas(batches, schema)
+    drawn = pages.mapInArrow(batches, T.StructType([*pages.schema.fields, *added]))
     return drawn.withColumn("markdown", sanitize_markdown(F.col("markdown")))

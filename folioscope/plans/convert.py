@@ -27,8 +27,7 @@ def clean(pages: DataFrame, site: Site) -> DataFrame:
 
 def to_markdown(pages: DataFrame, site: Site) -> DataFrame:
     """Cleaned pages with ``markdown``; unrenderable pages carry an error."""
-    cleaned = clean(pages, site)
-    return render.render(cleaned.withColumn("source", F.col("cleaned_html")), "source")
+    return render.render(clean(pages, site))
 
 
 @dataclass(frozen=True)
