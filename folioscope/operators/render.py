@@ -46,7 +46,7 @@ _BREAK = "  \n"
 
 _TOKEN = re.compile(
     r"""([^<]+|<(?![a-zA-Z/!?]))|<!--.*?(?:-->|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?/][^>]*>?""",
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>?""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text
 from folioscope.operators.documents import MIME_TYPE
@@ -27,9 +27,6 @@ NO_DOCUMENT = ("未找到名称为 '", "' 的文档, 可先调用 search_docs 
 # well below a hundred bytes.
 BROADCAST_ROWS = 1_000_000
 
-Order = Callable[[Column], Column]
-
-
 def valid_query(query: Column, top_k: Column) -> Column:
     return (F.char_length(query) >= 1) & top_k.between(1, MAX_TOP_K)
 
@@ -45,9 +42,12 @@ def _score(dot: Column, doc_norm: Column, query_norm: Column) -> Column:
     return dot.cast("double") / (doc_norm * query_norm)
 
 
-def search(
-    counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id", order: Order | None = None
-) -> DataFrame:
+def corpus_order(df: DataFrame, key: str) -> Column:
+    """Order of documents by their key; paths compare part by part."""
+    return F.split(F.col(key), "/") if isinstance(df.schema[key].dataType, T.StringType) else F.col(key)
+
+
+def search(counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id") -> DataFrame:
     """Best documents for one query: rank, key, name, title, uri, description, score.
 
     ``counted`` holds ``terms`` and ``norm`` per document, so each document is
@@ -67,21 +67,21 @@ def search(
         # The score is computed before the filter, and the filter names only
         # it, so the counting is not repeated inside the predicate.
         scored = counted.withColumn("score", _score(dot, F.col("norm"), F.lit(query_norm)))
-    best = _best(scored, top_k, key, order).filter(F.col("score") > 0)
-    rank = F.row_number().over(Window.orderBy(*_ranking(key, order))).alias("rank")
+    best = _best(scored, top_k, key).filter(F.col("score") > 0)
+    rank = F.row_number().over(Window.orderBy(*_ranking(best, key))).alias("rank")
     return best.select(rank, key, "name", "title", "uri", "description", "score")
 
 
-def _best(scored: DataFrame, top_k: int, key: str, order: Order | None) -> DataFrame:
+def _best(scored: DataFrame, top_k: int, key: str) -> DataFrame:
     """Top rows by score. Documents without a hit score zero and sort last, so
     limiting first and dropping zeros afterwards gives the same rows."""
     slim = scored.select(key, "name", "title", "uri", "description", "score")
-    return slim.orderBy(*_ranking(key, order)).limit(top_k)
+    return slim.orderBy(*_ranking(slim, key)).limit(top_k)
 
 
-def _ranking(key: str, order: Order | None) -> list[Column]:
+def _ranking(df: DataFrame, key: str) -> list[Column]:
     """Score first; equal scores keep corpus order."""
-    return [F.desc("score"), order(F.col(key)) if order else F.col(key)]
+    return [F.desc("score"), corpus_order(df, key)]
 
 
 def _weight(term: Column, weights: Counter) -> Column:
@@ -102,7 +102,6 @@ def search_batch(
     postings: DataFrame,
     queries: DataFrame,
     key: str = "doc_id",
-    order: Order | None = None,
     colocated: bool = False,
 ) -> DataFrame:
     """(query_id, rank, key, score) for many queries at once.
@@ -136,7 +135,7 @@ def search_batch(
         )
     )
     ranked = scored.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(key, order)))
+        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(scored, key)))
     )
     # The constant limit lets Spark cut each partition to it before shuffling.
     best = ranked.filter((F.col("rank") <= MAX_TOP_K) & (F.col("rank") <= F.col("top_k")))
@@ -180,7 +179,7 @@ def _text_content(message: Column) -> Column:
     return F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), message.alias("text"))).alias("content")))
 
 
-def find_documents(requests: DataFrame, docs: DataFrame, order: str = "doc_id") -> DataFrame:
+def find_documents(requests: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents asked for by (request_id, name) rows, one per name.
 
     Wanted names are reduced to one each before they meet the documents, so a
@@ -189,8 +188,9 @@ def find_documents(requests: DataFrame, docs: DataFrame, order: str = "doc_id")
     then are texts read.
     """
     wanted = requests.select("name").distinct()
-    last = docs.select("name", order).join(wanted, "name", "left_semi").groupBy("name").agg(F.max(order).alias(order))
-    return docs.join(last, ["name", order])
+    named = docs.select("name", key).join(wanted, "name", "left_semi")
+    last = named.groupBy("name").agg(F.max_by(key, corpus_order(docs, key)).alias(key))
+    return docs.join(last, ["name", key])
 
 
 def open_response(requests: DataFrame, found: DataFrame) -> DataFrame:
@@ -209,8 +209,9 @@ def open_response(requests: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def open_document(enriched: DataFrame, name: str, order: str = "doc_id") -> DataFrame:
+def open_document(enriched: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
     """One document by name; the equality reaches the scan of a stored table."""
     if not name:
         raise ValueError("name must not be empty")
-    return last_by(enriched.filter(F.col("name") == name), "name", ord=order)
+    found = enriched.filter(F.col("name") == name).withColumn("_order", corpus_order(enriched, key))
+    return last_by(found, "name", ord="_order").drop("_order")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from folioscope.functions.text import TOKEN
 from folioscope.operators import documents
+from folioscope.operators.search import MAX_TOP_K
 
 
 def write_index(enriched: DataFrame, name: str, buckets: int, key: str = "doc_id") -> None:
@@ -32,14 +33,13 @@ def read_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
 def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None:
     """Make ``<name>_search(query, top_k)`` a table function of this session.
 
-    It reads the stored index. Limits are checked as in the Python call.
+    It reads the stored index and gives at most twenty rows.
     """
-    from folioscope.functions.text import TOKEN
-    from folioscope.operators.search import MAX_TOP_K
-
+    kind = spark.table(f"{name}_documents").schema[key].dataType.simpleString()
+    order = f"split({key}, '/')" if kind == "string" else key
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}_search(asked STRING, top_k INT)
-        RETURNS TABLE ({key} BIGINT, name STRING, title STRING, uri STRING, description STRING, score DOUBLE)
+        RETURNS TABLE ({key} {kind}, name STRING, title STRING, uri STRING, description STRING, score DOUBLE)
         RETURN
           WITH words AS (
             SELECT word, count(*) AS weight
@@ -54,7 +54,7 @@ def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None
             GROUP BY p.{key}
           ),
           best AS (
-            SELECT *, row_number() OVER (ORDER BY score DESC, {key}) AS rk FROM scored
+            SELECT *, row_number() OVER (ORDER BY score DESC, {order}) AS rk FROM scored
           )
           SELECT b.{key}, d.name, d.title, d.uri, d.description, b.score
           FROM best b JOIN {name}_documents d ON b.{key} = d.{key}

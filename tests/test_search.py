@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import documents, search
+from folioscope.plans import corpus as corpus_plan
 from folioscope.sinks import index
 
 
@@ -119,6 +120,25 @@ def test_stored_index(spark, enriched):
     assert got == rule_search(corpus(300), "the of the", 4)
 
 
+def test_markdown_tree_to_search(spark, tmp_path):
+    """Path keys: corpus order breaks ties part by part."""
+    for name in ("apis/a-b.md", "apis/a/b.md", "apis/c.md", "ref/a.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# Other\nwords" if name.startswith("ref") else "# View port\nsame words\n")
+    docs = corpus_plan.load(spark, str(tmp_path), "doc://t").withColumnRenamed("path", "doc_id")
+    index.write_index(docs, "tree", 2)
+    stored, postings = index.read_index(spark, "tree")
+    want = ["apis/a/b.md", "apis/a-b.md", "apis/c.md"]
+    got = search.search(documents.counted(stored), "view", 3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == want and got[0].title == "View port"
+    queries = spark.createDataFrame([(1, "view", 3)], "query_id int, query string, top_k int")
+    hits = search.search_batch(postings, queries, colocated=True).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in hits] == [(r.doc_id, r.score) for r in got]
+    index.search_function(spark, "tree")
+    assert sorted(r.doc_id for r in spark.sql("SELECT * FROM tree_search('view', 2)").collect()) == sorted(want[:2])
+    assert search.open_document(stored, "apis/a-b").first().text == "# View port\nsame words\n"
+
+
 def test_hot_term_and_equal_scores_keep_order(spark):
     """A third of all documents are copies: ties follow the corpus order."""
     docs = [(i, "same text" if i % 3 == 0 else f"other {i} same") for i in range(600)]

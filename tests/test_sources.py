@@ -1,8 +1,6 @@
 import pytest
-from pyspark.sql import functions as F
-
 from folioscope.functions.urls import Category, Site
-from folioscope.operators import documents
+from folioscope.operators import documents, search
 from folioscope.plans import corpus
 from folioscope.sources import markdown, tables
 from folioscope.sources import targets as sources
@@ -43,7 +41,7 @@ def test_markdown_tree(spark, tmp_path):
 
 def test_corpus_order_compares_parts(spark):
     df = spark.createDataFrame([("apis/a-b.md",), ("apis/a/b.md",)], "path string")
-    ordered = df.orderBy(markdown.corpus_order(F.col("path"))).collect()
+    ordered = df.orderBy(search.corpus_order(df, "path")).collect()
     assert [r.path for r in ordered] == ["apis/a/b.md", "apis/a-b.md"]
 
 
