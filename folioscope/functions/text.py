@@ -12,8 +12,8 @@ from folioscope.functions.bind import let
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"\s\x1c-\x1f"
-EOL = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
+SPACE = r"\s\x1c\x1d\x1e\x1f"
+EOL = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 
 # Description width and its mark for cut text.
@@ -98,22 +98,25 @@ def term_counts(text: Column) -> Column:
 
     def runs(tok: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(tok), F.lit(1))),
-            lambda i: (i <= F.size(tok))
-            & F.coalesce(F.get(tok, i - 1) != F.get(tok, i - 2), F.lit(True)),
+            F.sequence(F.lit(0), F.size(tok) - 1),
+            lambda i: ~F.get(tok, i).eqNullSafe(F.get(tok, i - 1)),
         )
         return let(
             starts,
             lambda at: F.transform(
                 at,
                 lambda start, k: F.struct(
-                    F.get(tok, start - 1).alias("term"),
-                    (F.coalesce(F.get(at, k + 1), F.size(tok) + 1) - start).cast("bigint").alias("tf"),
+                    F.get(tok, start).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), F.size(tok)) - start).cast("bigint").alias("tf"),
                 ),
             ),
         )
 
-    return let(F.sort_array(tokens(text)), runs)
+    def counted(tok: Column) -> Column:
+        empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+        return F.when(F.size(tok) == 0, empty).otherwise(runs(tok))
+
+    return let(F.sort_array(tokens(text)), counted)
 
 
 def vector_norm(counts: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import sqrt
+from functools import reduce
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ NO_DOCUMENT = ("未找到名称为 '", "' 的文档, 可先调用 search_docs 
 # well below a hundred bytes.
 BROADCAST_ROWS = 1_000_000
 
+# Most times the postings are read for one batch of queries.
+MAX_PASSES = 16
+
 def valid_query(query: Column, top_k: Column) -> Column:
     return (F.char_length(query) >= 1) & top_k.between(1, MAX_TOP_K)
 
@@ -112,28 +116,16 @@ def search_batch(
     Each partition keeps its best rows per query before the final ranking.
     ``colocated`` postings (bucketed by ``key``) are not moved at all.
 
-    Queries whose terms are too many to broadcast are joined by term instead.
+    Queries whose terms are too many to broadcast at once are scored in several
+    passes, and if that takes too many, joined by term instead.
     """
     valid = queries.filter(valid_query(F.col("query"), F.col("top_k")))
     terms = query_terms(valid)
-    if fits(terms, BROADCAST_ROWS):
-        asked = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        placed = asked if colocated else asked.repartition(key)
-        matched = placed.join(F.broadcast(terms), "term")
+    passes = _passes(terms)
+    if passes:
+        scored = reduce(DataFrame.unionByName, [_score_in_place(postings, part, key, colocated) for part in passes])
     else:
-        matched = postings.join(terms, "term")
-    scored = (
-        matched.groupBy("query_id", key)
-        .agg(
-            F.sum(F.col("tf") * F.col("weight")).alias("dot"),
-            F.max("norm").alias("norm"),
-            F.max("query_norm").alias("query_norm"),
-            F.max("top_k").alias("top_k"),
-        )
-        .select(
-            "query_id", key, "top_k", _score(F.col("dot"), F.col("norm"), F.col("query_norm")).alias("score")
-        )
-    )
+        scored = _scores(postings.join(terms, "term"), key)
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(scored, key)))
     )
@@ -142,6 +134,37 @@ def search_batch(
     return best.select("query_id", "rank", key, "score")
 
 
+def _passes(terms: DataFrame) -> list[DataFrame]:
+    """Query terms in parts that are small enough to broadcast, whole queries
+    together; no part if there would be too many, or one too large."""
+    total = terms.count()
+    if total <= BROADCAST_ROWS:
+        return [terms]
+    parts = ceil(2 * total / BROADCAST_ROWS)
+    if parts > MAX_PASSES:
+        return []
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    largest = terms.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
+    return [terms.filter(part == i) for i in range(parts)] if largest <= BROADCAST_ROWS else []
+
+
+def _score_in_place(postings: DataFrame, terms: DataFrame, key: str, colocated: bool) -> DataFrame:
+    asked = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    placed = asked if colocated else asked.repartition(key)
+    return _scores(placed.join(F.broadcast(terms), "term"), key)
+
+
+def _scores(matched: DataFrame, key: str) -> DataFrame:
+    sums = matched.groupBy("query_id", key).agg(
+        F.sum(F.col("tf") * F.col("weight")).alias("dot"),
+        F.max("norm").alias("norm"),
+        F.max("query_norm").alias("query_norm"),
+        F.max("top_k").alias("top_k"),
+    )
+    score = _score(F.col("dot"), F.col("norm"), F.col("query_norm"))
+    return sums.select("query_id", key, "top_k", score.alias("score"))
+
+
 def with_documents(hits: DataFrame, docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits with their documents' columns: few rows against a large table.
 

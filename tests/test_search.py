@@ -88,10 +88,13 @@ def batch_expectation():
     return want
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_batch_equals_brute_force(spark, counted, monkeypatch, limit):
-    """Both ways to join the query terms."""
+@pytest.mark.parametrize("limit,passes", [(1_000_000, 1), (3, 4), (1, 0)])
+def test_batch_equals_brute_force(spark, counted, monkeypatch, limit, passes):
+    """One pass, several passes, and the join by term."""
     monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(search, "MAX_PASSES", 8)
+    valid = spark.createDataFrame([q for q in QUERIES if q[1] and 1 <= q[2] <= 20], "query_id int, query string, top_k int")
+    assert len(search._passes(search.query_terms(valid))) == passes
     queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
     hits = search.search_batch(documents.postings(counted), queries).collect()
     assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits} == batch_expectation()
