@@ -16,8 +16,10 @@ _SITEMAP_ENTRY = T.StructType([T.StructField("loc", T.StringType())])
 
 
 def from_sitemap(spark: SparkSession, path: str, site: Site) -> DataFrame:
-    """Targets of the ``<url><loc>`` entries of sitemap files."""
-    entries = spark.read.format("xml").option("rowTag", "url").schema(_SITEMAP_ENTRY).load(path)
+    """Targets of the ``<url><loc>`` entries of sitemap files. A malformed file
+    is an error when the result is read."""
+    reader = spark.read.format("xml").option("rowTag", "url").option("mode", "FAILFAST")
+    entries = reader.schema(_SITEMAP_ENTRY).load(path)
     return targets.build(_ordered(entries.select(F.col("loc").alias("url"))), site)
 
 
@@ -84,7 +86,8 @@ def choose(
         return url_list()
     try:
         found = sitemap()
-        found.isEmpty()
+        # Reads every entry, so that a fault anywhere shows now.
+        found.count()
         return found
     except Exception:  # noqa: BLE001 - any read failure means fall back
         return index_pages()

@@ -99,6 +99,14 @@ def test_index_pages(spark):
     ]
 
 
+def test_malformed_sitemap_falls_back(spark, tmp_path):
+    body = "<urlset><url><loc>https://h/x/apis/a</loc></url><url><loc>https://h/x/apis/b</b></url></urlset>"
+    write(tmp_path / "bad.xml", body)
+    other = sources.single(spark, "https://h/x/ref/b", SITE)
+    read = lambda: sources.from_sitemap(spark, str(tmp_path / "bad.xml"), SITE)
+    assert sources.choose(None, None, read, lambda: other) is other
+
+
 def test_single_and_choice(spark):
     one = sources.single(spark, "https://h/x/apis/a/?q", SITE)
     assert as_rows(one) == [("apis", "A", "https://h/x/apis/a", "a")]
