@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from folioscope.functions import text
 from folioscope.operators.documents import MIME_TYPE
 from folioscope.operators.targets import last_by
-from folioscope.sources.tables import fits
+from folioscope.sources.tables import BROADCAST_ROWS, fits
 
 # Result limits.
 DEFAULT_TOP_K = 5
@@ -24,10 +24,6 @@ MAX_TOP_K = 20
 NO_HIT = ("未找到与 '", "' 相关的文档, 请尝试其他关键词。")
 NO_DOCUMENT = ("未找到名称为 '", "' 的文档, 可先调用 search_docs 确认可用列表。")
 
-# Largest side sent to every executor: rows of one term or one winner each,
-# well below a hundred bytes.
-BROADCAST_ROWS = 1_000_000
-
 # Most times the postings are read for one batch of queries.
 MAX_PASSES = 16
 

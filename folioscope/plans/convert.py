@@ -11,6 +11,7 @@ from folioscope.functions import html
 from folioscope.functions.urls import Site
 from folioscope.operators import coverage, render, robots
 from folioscope.sinks import tables as sinks
+from folioscope.sources.tables import BROADCAST_ROWS, fits
 
 
 def clean(pages: DataFrame, site: Site) -> DataFrame:
@@ -56,9 +57,13 @@ def run(
 
     ``stored`` pages are reused, ``fetched`` ones (delivered by a crawler from
     an earlier run's ``to_fetch``) fill the gaps. The outcome is decided on
-    flags alone; then the pages meet only the targets that read them. Store
-    pages bucketed by ``url`` to keep that join from moving page bodies.
+    flags alone; then the pages meet the targets that read them. For few
+    targets, all other pages are left out before anything is moved; for many,
+    store pages bucketed by ``url`` to keep their bodies in place.
     """
+    if fits(targets, BROADCAST_ROWS):
+        listed = F.broadcast(targets.select("url"))
+        stored, fetched = (pages.join(listed, "url", "left_semi") for pages in (stored, fetched))
     plan = coverage.fetch_plan(targets, stored, force)
     status = coverage.page_status(plan, fetched, rules)
     good = coverage.succeeded(status).join(targets.select("url", "title_guess"), "url")
@@ -69,10 +74,11 @@ def run(
 
 def _bodies(pages: DataFrame, good: DataFrame, outcome: str) -> DataFrame:
     """One usable page for each target with this outcome. Copies of a page are
-    merged on the map side; of different ones the smallest is taken."""
-    usable = pages.select("url", "html").filter(coverage.readable(F.col("html")) & ~html.is_challenge(F.col("html")))
-    chosen = usable.join(good.filter(F.col("status") == outcome), "url")
-    return chosen.groupBy("url", "category", "slug", "status", "title_guess").agg(F.min("html").alias("html"))
+    merged on the map side, before the join; of different ones the smallest is
+    taken."""
+    usable = pages.filter(coverage.readable(F.col("html")) & ~html.is_challenge(F.col("html")))
+    merged = usable.groupBy("url").agg(F.min("html").alias("html"))
+    return merged.join(good.filter(F.col("status") == outcome), "url")
 
 
 def publish(outcome: Run, path: str, output_root: str) -> None:

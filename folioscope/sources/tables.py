@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Largest side sent to every executor: rows of a term, a hit or a URL, about a
+# hundred bytes each.
+BROADCAST_ROWS = 1_000_000
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input at least one partition per core.

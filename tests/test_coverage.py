@@ -123,7 +123,10 @@ PAGE = """<html><head><title>t</title></head><body><nav><a href="/en/9">n</a></n
 <a href="https://e.org/z?a&amp;b">e</a>.<img src="p.png"><script>var a = "<article>";</script></p></article></body></html>"""
 
 
-def test_publish(spark, tmp_path):
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_publish(spark, tmp_path, monkeypatch, limit):
+    """With the targets broadcast, and without."""
+    monkeypatch.setattr(convert, "BROADCAST_ROWS", limit)
     deep = "<b>" * 5000 + "x"
     pages = [("https://h/en/1", "<h1>A</h1>"), ("https://h/en/1", "<h1>A</h1>"), ("https://h/en/2", deep), ("https://h/en/1", "")]
     stored = spark.createDataFrame(pages, "url string, html string")
