@@ -31,13 +31,6 @@ def valid_query(query: Column, top_k: Column) -> Column:
     return (F.char_length(query) >= 1) & top_k.between(1, MAX_TOP_K)
 
 
-def _check(query: str, top_k: int) -> None:
-    if not query:
-        raise ValueError("query must not be empty")
-    if not 1 <= top_k <= MAX_TOP_K:
-        raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
-
-
 def _score(dot: Column, doc_norm: Column, query_norm: Column) -> Column:
     return dot.cast("double") / (doc_norm * query_norm)
 
@@ -53,12 +46,10 @@ def search(counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str
     ``counted`` holds ``terms`` and ``norm`` per document, so each document is
     scored in its own row and only ``top_k`` rows per partition are compared.
     """
-    _check(query, top_k)
-    weights = Counter(re.findall(text.TOKEN, query.lower()))
+    weights = _query_weights(query, top_k)
     if not weights:
         scored = counted.limit(0).withColumn("score", F.lit(0.0))
     else:
-        query_norm = sqrt(sum(n * n for n in weights.values()))
         dot = F.aggregate(
             F.filter("terms", lambda pair: pair.term.isin(*weights)),
             F.lit(0).cast("bigint"),
@@ -66,10 +57,52 @@ def search(counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str
         )
         # The score is computed before the filter, and the filter names only
         # it, so the counting is not repeated inside the predicate.
-        scored = counted.withColumn("score", _score(dot, F.col("norm"), F.lit(query_norm)))
+        scored = counted.withColumn("score", _score(dot, F.col("norm"), F.lit(_length(weights))))
     best = _best(scored, top_k, key).filter(F.col("score") > 0)
-    rank = F.row_number().over(Window.orderBy(*_ranking(best, key))).alias("rank")
-    return best.select(rank, key, "name", "title", "uri", "description", "score")
+    return best.select(_rank(best, key), key, "name", "title", "uri", "description", "score")
+
+
+def search_stored(
+    postings: DataFrame, docs: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id"
+) -> DataFrame:
+    """As ``search``, on a stored index.
+
+    The terms are constants, so the scan skips row groups without them; postings
+    bucketed by ``key`` are summed where they lie, and only the winners, at most
+    twenty, meet the documents.
+    """
+    weights = _query_weights(query, top_k)
+    if not weights:
+        return _columns(docs.limit(0).select(F.lit(0).alias("rank"), "*", F.lit(0.0).alias("score")), key)
+    sums = (
+        postings.filter(F.col("term").isin(*weights))
+        .groupBy(key)
+        .agg(F.sum(F.col("tf") * _weight(F.col("term"), weights)).alias("dot"), F.max("norm").alias("norm"))
+    )
+    scored = sums.select(key, _score(F.col("dot"), F.col("norm"), F.lit(_length(weights))).alias("score"))
+    best = scored.orderBy(*_ranking(scored, key)).limit(top_k)
+    return _columns(docs.join(F.broadcast(best.select(_rank(best, key), key, "score")), key), key)
+
+
+def _columns(hits: DataFrame, key: str) -> DataFrame:
+    return hits.select("rank", key, "name", "title", "uri", "description", "score")
+
+
+def _rank(best: DataFrame, key: str) -> Column:
+    """Position among at most twenty rows."""
+    return F.row_number().over(Window.orderBy(*_ranking(best, key))).alias("rank")
+
+
+def _query_weights(query: str, top_k: int) -> Counter:
+    if not query:
+        raise ValueError("query must not be empty")
+    if not 1 <= top_k <= MAX_TOP_K:
+        raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
+    return Counter(re.findall(text.TOKEN, query.lower()))
+
+
+def _length(weights: Counter) -> float:
+    return sqrt(sum(n * n for n in weights.values()))
 
 
 def _best(scored: DataFrame, top_k: int, key: str) -> DataFrame:

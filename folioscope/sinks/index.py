@@ -14,8 +14,8 @@ def write_index(enriched: DataFrame, name: str, buckets: int, key: str = "doc_id
 
     One shuffle of the texts places the documents; their postings are derived
     from the stored table, where they lie. Both tables share the bucketing, so
-    scoring needs no exchange, and postings are sorted by term, so a query
-    reads only the row groups that hold its terms.
+    scoring needs no exchange, and postings are sorted by term, so a query of
+    constant terms reads only the row groups that hold them.
     """
     _save(enriched.repartition(buckets, key), f"{name}_documents", buckets, key, key)
     stored = enriched.sparkSession.table(f"{name}_documents")

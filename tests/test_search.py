@@ -117,6 +117,12 @@ def test_stored_index(spark, enriched):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(query_id#" in plan
 
+    for query in ("the of the", "alpha x1!", "nothing", "文"):
+        found = search.search_stored(postings, docs, query, 7)
+        assert [(r.doc_id, r.score) for r in found.orderBy("rank").collect()] == rule_search(corpus(300), query, 7)
+    plan = search.search_stored(postings, docs, "the of", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [" in plan and "Exchange hashpartitioning" not in plan
+
     index.search_function(spark, "probe")
     rows = spark.sql("SELECT * FROM probe_search('the of the', 4)").collect()
     got = sorted(((r.doc_id, r.score) for r in rows), key=lambda hit: (-hit[1], hit[0]))
