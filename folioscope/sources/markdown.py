@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.sources.tables import read_tree
+
 
 class EmptyCorpusError(RuntimeError):
     """The corpus root holds no document."""
@@ -16,18 +18,7 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     Line ends are normalised as text mode does. Spark does not list empty files
     or names starting with ``_`` or ``.``.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    )
-    below = F.regexp_replace("file", r"^[a-z0-9]+:/+", "/")
-    # The listing may qualify the root, so cut at its own last occurrence.
-    stem = root.split("://", 1)[-1].rstrip("/") + "/"
-    relative = F.substring_index(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))), stem, -1)
-    text = F.regexp_replace("value", "\r\n?", "\n")
-    return files.select(relative.alias("path"), text.alias("text"))
+    return read_tree(spark, root, "*.md").select("path", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
 
 
 def require_documents(df: DataFrame) -> DataFrame:

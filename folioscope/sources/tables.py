@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest side sent to every executor: rows of a term, a hit or a URL, about a
 # hundred bytes each.
@@ -26,6 +27,20 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, text) of the files below ``root`` whose name matches, one row each."""
+    files = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .text(root, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    )
+    plain = F.url_decode(F.replace(F.regexp_replace("file", r"^[a-z0-9]+:/+", "/"), F.lit("+"), F.lit("%2B")))
+    # The listing may qualify the root, so cut at its own last occurrence.
+    stem = root.split("://", 1)[-1].rstrip("/") + "/"
+    return files.select(F.substring_index(plain, stem, -1).alias("path"), "text")
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
     return df.limit(rows + 1).count() <= rows

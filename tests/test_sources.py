@@ -1,8 +1,8 @@
 import pytest
 from folioscope.functions.urls import Category, Site
-from folioscope.operators import documents, search
+from folioscope.operators import documents, search, targets
 from folioscope.plans import corpus
-from folioscope.sources import markdown, tables
+from folioscope.sources import markdown, pages, tables
 from folioscope.sources import targets as sources
 
 SITE = Site(
@@ -85,14 +85,14 @@ def test_url_list_file(spark, tmp_path):
 
 
 def test_index_pages(spark):
-    pages = spark.createDataFrame(
+    index = spark.createDataFrame(
         [
             ("apis", 1, '<a href="a">First <b> one</b></a><a href="/x/apis/a/">Second</a><a href="../ref/z">no</a>'),
             ("ref", 1, '<a href="/x/ref/q-r"></a><a>none</a><a href="">empty</a>'),
         ],
         "category string, ord int, html string",
     )
-    got = sources.from_index_pages(pages, SITE).orderBy("category").collect()
+    got = sources.from_index_pages(index, SITE).orderBy("category").collect()
     assert [(r.category, r.title_guess, r.url, r.slug) for r in got] == [
         ("apis", "First one", "https://h/x/apis/a", "a"),
         ("ref", "Q R", "https://h/x/ref/q-r", "q-r"),
@@ -107,6 +107,16 @@ def test_malformed_sitemap_falls_back(spark, tmp_path):
     assert sources.choose(None, None, read, lambda: other) is other
 
 
+def test_raw_page_files(spark, tmp_path):
+    write(tmp_path / "apis" / "a.b.html", "<p>x\n</p>")
+    write(tmp_path / "ref" / "z.html", "<p>z</p>")
+    write(tmp_path / "apis" / "note.txt", "no")
+    rows = [(0, "https://h/x/apis/a.b"), (1, "https://h/x/apis/deep/a.b"), (2, "https://h/x/ref/none")]
+    wanted = targets.build(spark.createDataFrame(rows, "ord bigint, url string"), SITE)
+    stored = pages.stored_pages(wanted, pages.read_raw_pages(spark, str(tmp_path))).orderBy("url").collect()
+    assert [(r.url, r.html) for r in stored] == [(rows[0][1], "<p>x\n</p>"), (rows[1][1], "<p>x\n</p>")]
+
+
 def test_single_and_choice(spark):
     one = sources.single(spark, "https://h/x/apis/a/?q", SITE)
     assert as_rows(one) == [("apis", "A", "https://h/x/apis/a", "a")]

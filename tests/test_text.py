@@ -4,7 +4,6 @@ import re
 import textwrap
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
