@@ -9,8 +9,9 @@ from folioscope.functions import html, text
 from folioscope.functions.urls import markdown_path
 from folioscope.operators import robots
 
-# Page outcomes.
+# Page outcomes, and attempts per page.
 OK_CACHE, OK_FETCH, SKIP_ROBOTS, FAIL = "OK CACHE", "OK FETCH", "SKIP ROBOTS", "FAIL"
+ATTEMPTS = 3
 
 
 def readable(markup: Column) -> Column:
@@ -59,8 +60,9 @@ def to_fetch(plan: DataFrame) -> DataFrame:
 
 
 def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
-    """(url, category, slug, status). A stored page that fails is retried from
-    the fetched pages; a URL the robots file forbids is never tried."""
+    """(url, category, slug, status, attempt). A stored page that fails is
+    retried from the fetched pages; a URL the robots file forbids is never
+    tried. ``attempt`` is the one that decided: a failure takes all of them."""
     tried = plan.join(page_flags(fetched, "fetched"), "url", "left")
     status = (
         F.when(~robots.allowed(F.col("url"), rules), SKIP_ROBOTS)
@@ -68,7 +70,14 @@ def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -
         .when(F.coalesce(F.col("fetched_ok"), F.lit(False)), OK_FETCH)
         .otherwise(FAIL)
     )
-    return tried.select("url", "category", "slug", status.alias("status"))
+    decided = tried.select("url", "category", "slug", "plan", status.alias("status"))
+    attempt = (
+        F.when(F.col("status") == SKIP_ROBOTS, 0)
+        .when(F.col("status") == FAIL, ATTEMPTS)
+        .when((F.col("status") == OK_FETCH) & (F.col("plan") == "CACHE"), 2)
+        .otherwise(1)
+    )
+    return decided.select("url", "category", "slug", "status", attempt.alias("attempt"))
 
 
 def with_errors(status: DataFrame, pages: DataFrame) -> DataFrame:

@@ -97,11 +97,13 @@ _STATUS = f"""{_TARGETS}, {_ROBOTS},
     plan AS (SELECT t.url, t.category, t.slug, coalesce(s.present, false) AS stored_ok,
                CASE WHEN coalesce(s.present, false) AND NOT contains(t.url, '.example.org/') THEN 'CACHE' ELSE 'FETCH' END AS plan
              FROM targets t LEFT JOIN stored s USING (url)),
-    status AS (SELECT p.url, p.category, p.slug,
+    outcome AS (SELECT p.url, p.category, p.slug, p.plan,
                  CASE WHEN NOT coalesce(v.allow, true) THEN 'SKIP ROBOTS'
                       WHEN p.plan = 'CACHE' AND p.stored_ok THEN 'OK CACHE'
                       WHEN coalesce(f.ok, false) THEN 'OK FETCH' ELSE 'FAIL' END AS status
                FROM plan p LEFT JOIN verdicts v ON v.url = p.url AND v.agent = 'browser' LEFT JOIN fetched f ON f.url = p.url),
+    status AS (SELECT url, category, slug, status, CAST(CASE WHEN status = 'SKIP ROBOTS' THEN 0 WHEN status = 'FAIL' THEN 3
+                 WHEN status = 'OK FETCH' AND plan = 'CACHE' THEN 2 ELSE 1 END AS INTEGER) AS attempt FROM outcome),
     results AS (SELECT * FROM status WHERE status LIKE 'OK%')"""
 
 

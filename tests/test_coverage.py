@@ -108,6 +108,7 @@ def test_plan_status_and_missing(tables):
         "u1": "OK CACHE", "u2": "OK FETCH", "u3": "OK FETCH", "u4": "SKIP ROBOTS", "u5": "FAIL", "u6": "FAIL",
         "u7": "OK FETCH",
     }
+    assert {r.slug: r.attempt for r in status.collect()} == {"u1": 1, "u2": 1, "u3": 1, "u4": 0, "u5": 3, "u6": 3, "u7": 2}
     done = coverage.succeeded(status)
     gone = coverage.missing(expected, done)
     assert {r.slug for r in gone.collect()} == {"u4", "u5", "u6"}
