@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from folioscope.plans import queries
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark")
@@ -26,7 +27,7 @@ def rows_by_name(columns, rows):
     return sorted(columns), sorted(repr([row[i] for i in order]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(queries.all_queries()))
 def test_query_equals_sql(spark, sql, name):
     df = registered.queries()[name](spark, ROOT)
     got = rows_by_name(df.columns, df.collect())
@@ -43,8 +44,6 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["term_frequency", "doc_norms", "page_links", "html_markdown", "md_sanitize"])
 def test_per_row_work_needs_no_shuffle(spark, name, monkeypatch):
     """On a table with enough partitions these plans have no exchange."""
-    from folioscope.plans import queries
-
     monkeypatch.setattr(queries, "spread", lambda df, *keys: df)
     plan = registered.queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
