@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import mixing, sharding
+from folioscope.llm import mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_simhash_groups": simhash.op8_simhash_groups,
 }
 
 ORACLES: dict[str, str] = {
