@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, mixing, sharding, simhash
+from folioscope.llm import chat, decontaminate, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op6_chat_windows": chat.op6_chat_windows,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
 }
 
 ORACLES: dict[str, str] = {
     "op1_shard_documents": sharding.sql(),
     "op6_chat_windows": chat.SQL,
     "op7_mix_sources": mixing.SQL,
+    "op9_benchmark_leaks": decontaminate.SQL,
 }
 
 
