@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import n_words, same, stored
+from folioscope.llm.common import matched, n_words, stored
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -56,8 +56,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     blocks = rows.groupBy("conv", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("room").alias("r"))
     blocks = blocks.select("conv", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "t", "r")])
     return (
-        within.join(blocks, same(within, blocks, "conv", "block"))
-        .select(within.conv, "turn", "role", "text", "tokens", "long", "q", "system_turn",
+        matched(within, blocks, ["conv", "block"])
+        .select("conv", "turn", "role", "text", "tokens", "long", "q", "system_turn",
                 (F.col("ordinal") + F.col("n")).alias("ordinal"),
                 (F.col("tokens_before") + F.col("t")).alias("tokens_before"),
                 (F.col("room_before") + F.col("r")).alias("room_before"))
@@ -102,7 +102,7 @@ def windows(
     )
     rows = rows.withColumn("tokens", (n_words(F.col("text")) if tokens is None else tokens) + MARKS)
     system = rows.where("role = 'system'").groupBy("conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("system_turn"))
-    rows = rows.join(system, same(rows, system, "conv"), "left").select(rows["*"], "system_turn")
+    rows = matched(rows, system, ["conv"], "left")
     # the room for new turns, and the step
     room = F.greatest(F.lit(4), F.lit(budget - history_tokens) - F.coalesce("system_turn.tokens", F.lit(0)))
     rows = rows.withColumn("q", F.floor(room * 3 / 4)).withColumn("long", F.col("tokens") * 4 > room)
@@ -121,9 +121,9 @@ def windows(
     wanted = starts.select(F.col("conv"), F.col("window").alias("into"), F.col("tokens_before").alias("until"),
                            F.explode(F.sequence(F.lit(1), F.lit(max(1, history_turns)))).alias("back"), F.col("ordinal").alias("at"))
     wanted = wanted.where(F.col("back") <= history_turns).select("conv", "into", "until", (F.col("at") - F.col("back")).alias("ordinal"))
-    past = placed.join(wanted, same(placed, wanted, "conv", "ordinal")).where(
+    past = matched(placed.drop("window"), wanted, ["conv", "ordinal"]).where(
         (F.col("until") - F.col("tokens_before") <= history_tokens) & ~is_system)
-    past = past.select(placed.conv, F.col("into").alias("window"), F.lit(1).alias("kind"), placed.ordinal, "role", "text", "tokens")
+    past = past.select("conv", F.col("into").alias("window"), F.lit(1).alias("kind"), "ordinal", "role", "text", "tokens")
     new = placed.select("conv", "window", F.lit(2).alias("kind"), "ordinal", "role", "text", "tokens")
 
     turn = F.struct("kind", "ordinal", "role", "text", "tokens")

@@ -58,9 +58,11 @@ def row_key(id_column: str, text_column: str) -> Column:
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("text"))
 
 
-def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
-    """Join condition over columns in which null equals null."""
-    return reduce(Column.__and__, [left[c].eqNullSafe(right[c]) for c in columns])
+def matched(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns in which null equals null; they come out once, as the left has them."""
+    other = {c: f"{c}__right" for c in columns}
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
+    return left.join(right.withColumnsRenamed(other), on, how).drop(*other.values())
 
 
 def n_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import digits, n_words, same, stored
+from folioscope.llm.common import digits, matched, n_words, stored
 
 _UNIT = 1 << 52
 
@@ -89,7 +89,7 @@ def plan(
         size.alias("size"),
         digits(key, 13).alias("chance"),
     )
-    joined = rows.join(targets, same(rows, targets, "source"))
+    joined = matched(rows, targets, ["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     extra = F.col("chance") < (rate - whole) * F.lit(float(_UNIT))

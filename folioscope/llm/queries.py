@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, decontaminate, mixing, sharding, simhash
+from folioscope.llm import chat, decontaminate, mixing, perplexity, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op5_quality_rules": perplexity.op5_quality_rules,
     "op6_chat_windows": chat.op6_chat_windows,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash_groups": simhash.op8_simhash_groups,

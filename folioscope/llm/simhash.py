@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import same, stored
+from folioscope.llm.common import matched, stored
 
 SEED = 42
 #: Words hashed at once, so that a long text takes no more memory than its words.
@@ -356,7 +356,7 @@ def one_of_each(docs: DataFrame, *, words_each: int, max_bits: int, id: str = "d
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rank(id, text).alias("rank"))
     rows = rows.select("row", "rank.a", "rank.b", "rank.c")
     chosen = chosen.select("rank.*")
-    kept = rows.join(chosen, same(rows, chosen, "a", "b", "c"), "left_semi")
+    kept = matched(rows, chosen, ["a", "b", "c"], "left_semi")
     return kept.dropDuplicates(["a", "b", "c"]).select("row.*")
 
 
