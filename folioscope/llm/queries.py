@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, decontaminate, mixing, perplexity, sharding, simhash
+from folioscope.llm import (
+    chat,
+    decontaminate,
+    mixing,
+    perplexity,
+    sharding,
+    simhash,
+    site_lines,
+    substring_dedup,
+    wordpiece,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op2_site_lines": site_lines.op2_site_lines,
+    "op3_line_repeats": substring_dedup.op3_line_repeats,
     "op5_quality_rules": perplexity.op5_quality_rules,
     "op6_chat_windows": chat.op6_chat_windows,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
+    "op10_token_counts": wordpiece.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_shard_documents": sharding.sql(),
+    "op2_site_lines": site_lines.SQL,
+    "op3_line_repeats": substring_dedup.SQL,
     "op6_chat_windows": chat.SQL,
     "op7_mix_sources": mixing.SQL,
     "op9_benchmark_leaks": decontaminate.SQL,
