@@ -16,12 +16,14 @@ from folioscope.llm import (
     site_lines,
     substring_dedup,
     wordpiece,
+    wrappers,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_site_lines": site_lines.op2_site_lines,
     "op3_line_repeats": substring_dedup.op3_line_repeats,
+    "op4_main_text": wrappers.op4_main_text,
     "op5_quality_rules": perplexity.op5_quality_rules,
     "op6_chat_windows": chat.op6_chat_windows,
     "op7_mix_sources": mixing.op7_mix_sources,
@@ -34,6 +36,7 @@ ORACLES: dict[str, str] = {
     "op1_shard_documents": sharding.sql(),
     "op2_site_lines": site_lines.SQL,
     "op3_line_repeats": substring_dedup.SQL,
+    "op4_main_text": wrappers.SQL,
     "op6_chat_windows": chat.SQL,
     "op7_mix_sources": mixing.SQL,
     "op9_benchmark_leaks": decontaminate.SQL,
