@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -184,6 +185,10 @@ def choose_plan(nodes: DataFrame, max_bits: int) -> Plan:
     return best[1]
 
 
+def _probe(part: int, value: Column, flip: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), value.bitwiseXOR(flip).alias("key"), F.lit(True).alias("probe"))
+
+
 def _keyed(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Each fingerprint under its own value in each group, and probing those near it."""
     parts = []
@@ -194,9 +199,7 @@ def _keyed(nodes: DataFrame, plan: Plan) -> DataFrame:
         own = F.struct(F.lit(k).alias("part"), value.alias("key"), F.lit(False).alias("probe"))
         parts.append(F.array(own))
         if flips:
-            near = F.transform(F.lit(flips), lambda f, k=k, v=value: F.struct(
-                F.lit(k).alias("part"), v.bitwiseXOR(f).alias("key"), F.lit(True).alias("probe")))
-            parts.append(near)
+            parts.append(F.transform(F.lit(flips), partial(_probe, k, value)))
     return nodes.select("fingerprint", F.explode(F.concat(*parts)).alias("x")).select("fingerprint", "x.*")
 
 

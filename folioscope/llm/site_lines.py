@@ -76,9 +76,9 @@ def without_boilerplate(
     known = stored(boilerplate(rows.select("site", "lines"), ratio, min_pages), "boilerplate")
     rows = rows.join(known, "site", "left")
     rest = F.filter("lines", lambda x: F.col("digests").isNull() | ~F.array_contains("digests", F.xxhash64(x)))
-    out = rows.select("row.*", "site", rest.alias("rest"), F.size("lines").cast("long").alias("n_lines"))
+    out = rows.select("row", "site", rest.alias("rest"), F.size("lines").cast("long").alias("n_lines"))
     return out.select(
-        *[f"`{c}`" for c in kept], "site", F.array_join("rest", "\n").alias("text"), "n_lines",
+        "row.*", "site", F.array_join("rest", "\n").alias("text"), "n_lines",
         (F.col("n_lines") - F.size("rest")).alias("n_dropped"))
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored
+from folioscope.llm.common import matched, stored
 from folioscope.llm.page_tree import Node, blocks, parse
 from folioscope.llm.site_lines import host
 
@@ -294,15 +294,15 @@ def infer(pages: DataFrame, *, site: Column, html: str = "html") -> DataFrame:
     return whole.mapInArrow(_meet(True), "site string, wrapper string, pages long, expression string, region string, template string").drop("wrapper")
 
 
-def _apply(kept: list[str], usual: tuple[str | None, str]):
+def _apply(usual: tuple[str | None, str | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = len(kept)
+            row, pages, regions, templates = batch.columns
             texts = []
-            for page, where, fixed in zip(batch.column(at), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()):
+            for page, where, fixed in zip(pages, regions.to_pylist(), templates.to_pylist()):
                 where, fixed = (where, fixed) if where is not None else usual
                 texts.append(main_text(page.as_py(), where, json.loads(fixed) if fixed else None))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], names=[*kept, "text"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
@@ -325,10 +325,9 @@ def extract(pages: DataFrame, *, site: Column | None = None, html: str = "html",
     unusual = known.where(~((F.col("region") == usual[0]) & (F.col("template") == usual[1]))) if usual[0] else known
     unusual = stored(unusual.select("site", F.col("region").alias("at"), F.col("template").alias("fixed")), "unusual")
     kept = [c for c in keep or pages.columns if c not in (html, "text")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(html).alias("text"), site.alias("site__"))
-    rows = rows.join(unusual.withColumnRenamed("site", "site__right"), F.col("site__").eqNullSafe(F.col("site__right")), "left")
-    out = rows.select(*kept, F.col("text").alias("text"))
-    return rows.select(*kept, "text", "at", "fixed").mapInArrow(_apply(kept, usual), out.schema)
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(html).alias("text"), site.alias("site"))
+    rows = matched(rows, unusual, ["site"], "left").select("row", "text", "at", "fixed")
+    return rows.mapInArrow(_apply(usual), rows.select("row", "text").schema).select("row.*", "text")
 
 
 def op4_main_text(spark, root) -> DataFrame:

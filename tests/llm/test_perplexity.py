@@ -1,0 +1,161 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from folioscope.llm import perplexity as P
+
+ROOT = "/root/testdata/sf0.001"
+
+
+def base(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    seen, again = set(), 0
+    for line in lines:
+        again += line in seen
+        seen.add(line)
+    runs = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    within = {i + k for i in range(len(words) - 2) if runs[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(within)
+
+
+def kneser_ney(texts, order):
+    """Probability of each n-gram, by the textbook: recursive, over dictionaries."""
+    counts = {order: Counter()}
+    for text in texts:
+        data = b"\n" * (order - 1) + re.sub("[0-9]", "0", text or "").encode()
+        counts[order].update({data[i : i + order] for i in range(len(data) - order + 1)})
+    known = set(counts[order])
+    counts[order] = Counter({g: n - 1 for g, n in counts[order].items() if n > 1})  # other documents
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, contexts = {}, {}
+    for k, grams in counts.items():
+        of = Counter(grams.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] or of[2] else None
+        discounts[k] = [0.0]
+        for c in (1, 2, 3):
+            plain = c - (c + 1) * y * of[c + 1] / of[c] if y is not None and of[c] else c / 2
+            discounts[k].append(max(0.1, min(c - 0.1, plain)))
+        contexts[k] = defaultdict(list)
+        for g, n in grams.items():
+            contexts[k][g[:-1]].append(n)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        d = discounts[k]
+        if gram[:-1] not in contexts[k]:
+            return p(gram[1:])
+        total = sum(contexts[k][gram[:-1]])
+        rest = sum(d[min(3, n)] for n in contexts[k][gram[:-1]])
+        n = counts[k][gram]
+        return (n - d[min(3, n)] if n else 0) / total + rest / total * p(gram[1:])
+
+    return {g: p(g) for g in known}
+
+
+def median(values):
+    return sorted(values)[(len(values) + 1) // 2 - 1]
+
+
+@pytest.mark.parametrize("text", ["", "a b c a b c", "x\n\nx\n x\nx ", "# | ü𝒳 <b>", "a a a a", "one two three four one two", "ä\x0bö\x0cü\x1fß"])
+def test_measures(text):
+    assert P.measures(text.encode()) == base(text)
+
+
+def test_measures_of_random_texts():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "c", " ", " ", "\n", "\t", "é", "#"]) for _ in range(rng.randint(0, 120)))
+        assert P.measures(text.encode()) == base(text), text
+
+
+@pytest.mark.parametrize("order", [1, 2, 4, 5])
+def test_model(spark, table, monkeypatch, order):
+    monkeypatch.setattr(P, "_PIECE", 50)
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice(["the", "then", "hat", "ä", "atlas", "19", "27"]) for _ in range(rng.randint(0, 40))), rng.choice(["en", "fr", None])) for i in range(80)]
+    got = defaultdict(dict)
+    for r in P.model(table(rows).repartition(5), order=order).collect():
+        got[r.lang][r.gram] = r.logp
+    for lang in ("en", "fr", None):
+        want = kneser_ney([t for _, t, of in rows if of == lang], order)
+        assert got[lang].keys() == {int.from_bytes(g, "big") for g in want}
+        for g, p in want.items():
+            assert got[lang][int.from_bytes(g, "big")] == pytest.approx(math.log(p), abs=1e-9)
+
+
+def verdicts(rows, **settings):
+    """What ``judged`` should say, by brute force."""
+    s = {"order": 5, "lower": 8.0, "upper": 6.0, "least_width": 0.02, "min_docs": 20} | settings
+    models = {lang: kneser_ney([t for _, t, of in rows if of == lang], s["order"]) for lang in {r[2] for r in rows}}
+    out, levels = [], defaultdict(list)
+    for doc, text, lang in rows:
+        measured = base(text)
+        failed = measured[0] < 50 or 100 * measured[4] > 50 * measured[0]
+        data = b"\n" * (s["order"] - 1) + re.sub("[0-9]", "0", text or "").encode()
+        n = len(data) - s["order"] + 1
+        nats = -sum(math.log(models[lang][data[i : i + s["order"]]]) for i in range(n)) / n if n else None
+        out.append((doc, text, lang, measured, failed, nats))
+        if not failed:
+            levels[lang].append(math.floor(nats / 0.001 + 0.5))
+    final = []
+    for doc, text, lang, measured, failed, nats in out:
+        kept = not failed
+        if kept and len(levels[lang]) >= s["min_docs"]:
+            m = median(levels[lang])
+            width = max(s["least_width"], median([abs(x - m) for x in levels[lang]]) * 0.001 * 1.4826)
+            kept = m * 0.001 - s["lower"] * width <= nats <= m * 0.001 + s["upper"] * width
+        final.append((doc, text, *measured, failed, nats, kept))
+    return final
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_verdicts(spark, passes):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    settings = {"lower": 2.0, "upper": 2.0}
+    entries = P.PASS_ENTRIES if passes == 1 else P.model(docs).count() // 2
+    got = {r.key.id: r for r in P.judged(docs, pass_entries=entries, **settings).collect()}
+    want = verdicts(rows, **settings)
+    assert len(got) == len(want)
+    assert 0 < sum(not w[-1] and not w[-3] for w in want) < 40
+    for doc, _, *measured, failed, nats, kept in want:
+        r = got[doc]
+        assert [r[m] for m in P.MEASURES] == measured
+        assert (r.base_failed, r.kept) == (failed, kept)
+        assert math.log(r.perplexity) == pytest.approx(nats, abs=1e-9)
+    if passes == 1:
+        kept = {r.doc_id for r in P.good(docs, **settings).collect()}
+        assert kept == {w[0] for w in want if w[-1]}
+
+
+def test_outliers_go_and_clean_texts_stay(spark, table):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, say(rng.randint(60, 300)), "en") for i in range(300)]
+    rows += [(1000, "".join(chr(rng.randint(33, 126)) if rng.random() < 0.8 else " " for _ in range(2000)), "en")]
+    rows += [(1001, " ".join(f"{a}{b}" for a in range(30) for b in range(10)), "en")]
+    got = {r.key.id: r for r in P.judged(table(rows)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not got[1000].base_failed and not got[1000].kept
+
+
+def test_awkward(spark, table, awkward):
+    extra = ("key", "nats", "logp", "kept", "of", "row", "perplexity", "step", "n")
+    docs = table(awkward, extra)
+    got = P.judged(docs).collect()
+    assert len(got) == len(awkward)
+    by = {(r.key.id, r.n_words) for r in got if r.kept}
+    assert by == {(5, 60_000)}
+    assert all(r.perplexity is None for r in got if r.n_words == 0 and r.key.id != 4)
+    kept = P.good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5}
+    assert P.judged(table([])).collect() == [] and P.good(table([])).collect() == []

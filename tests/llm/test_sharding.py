@@ -1,0 +1,74 @@
+import random
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from folioscope.llm import sharding
+
+ROOT = "/root/testdata/sf0.001"
+
+
+def fits(rows, limit):
+    """Each shard holds at most the limit, or a single row."""
+    shards = defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r)
+    for name, members in shards.items():
+        assert sum(r.n_bytes for r in members) <= limit or len(members) == 1, name
+    return shards
+
+
+@pytest.mark.parametrize("limit", [1 << 10, 1 << 14, 1 << 17, 1 << 30])
+def test_equals_sql(spark, limit):
+    got = [tuple(r) for r in sharding.op1_shard_documents(spark, ROOT, limit).collect()]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{ROOT}/documents.parquet'")
+    want = connection.execute(sharding.sql(limit)).fetchall()
+    assert sorted(got) == sorted(want)
+
+
+def test_only_large_buckets_split(spark, table):
+    rng = random.Random(3)
+    docs = table([(i, "x" * rng.choice([1, 10, 100, 3000])) for i in range(2000)])
+    out = sharding.shard(docs, 4000).collect()
+    assert len(out) == 2000
+    shards = fits(out, 4000)
+    names = {n[1:] for n in shards}
+    for name in names:  # prefix-free, and no two that would fit together
+        assert not any(other != name and other.startswith(name) for other in names)
+    sizes = {n[1:]: sum(r.n_bytes for r in rows) for n, rows in shards.items()}
+    for name, size in sizes.items():
+        if name:
+            sibling = name[:-1] + "10"[int(name[-1])]
+            if sibling in sizes and len(shards["s" + name]) + len(shards["s" + sibling]) > 1:
+                assert size + sizes[sibling] > 4000
+    assert all(r.shard_bytes == sizes[r.shard[1:]] and r.depth == len(r.shard) - 1 for r in out)
+
+
+def test_deep_directory(spark, monkeypatch, table):
+    """More than one pass over the bits."""
+    monkeypatch.setattr(sharding, "STEP", 4)
+    docs = table([(i, "x" * 10) for i in range(600)])
+    out = sharding.shard(docs, 25).collect()
+    assert len(out) == 600 and max(r.depth for r in out) > 8
+    fits(out, 25)
+
+
+def test_hot_key(spark, table):
+    """A key with a third of all rows, alike and not, and null."""
+    rows = [(7, "same text")] * 300 + [(None, f"text {i}") for i in range(300)] + [(i, "y" * 9) for i in range(100, 400)]
+    out = sharding.shard(table(rows), 100).collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    assert sum(r.doc_id is None for r in out) == 300
+    fits(out, 100)
+
+
+def test_awkward(spark, table, awkward):
+    extra = ("row", "hash", "leaf", "depth", "cell", "shard", "salt", "bytes")
+    out = sharding.shard(table(awkward, extra), 2000)
+    rows = out.collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in rows) == sorted((str(r[0]), str(r[1])) for r in awkward)
+    assert rows[0].row == "<row>" and rows[0].cell == "<cell>" and rows[0].shard != "<shard>"
+    fits(rows, 2000)
+    assert sharding.shard(table([]), 100).collect() == []

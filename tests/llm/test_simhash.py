@@ -1,0 +1,150 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from folioscope.llm import simhash
+
+
+def print_of(text, n=4):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_of(prints, max_bits):
+    """component of each fingerprint, by comparing all."""
+    parent = {p: p for p in prints}
+
+    def find(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    distinct = sorted(parent)
+    array = np.array(distinct, dtype=np.uint64)
+    for i, p in enumerate(distinct):
+        for j in np.flatnonzero(np.bitwise_count(array[i + 1 :] ^ array[i]) <= max_bits) + i + 1:
+            parent[find(distinct[j])] = find(p)
+    return {p: find(p) for p in distinct}
+
+
+@pytest.mark.parametrize("text", ["", "   ", "One", "one two three", "One two THREE four", "Ä b c D e f " * 9, "x " * 3 + "y\x0bz\x1cq r", None])
+def test_fingerprint(text):
+    assert simhash.fingerprint(None if text is None else text.encode(), 4) == print_of(text)
+
+
+def test_fingerprint_of_a_long_text(monkeypatch):
+    text = " ".join(f"w{i * 7919 % 1009}" for i in range(5000))
+    whole = simhash.fingerprint(text.encode(), 4)
+    assert whole == print_of(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 100)
+    assert simhash.fingerprint(text.encode(), 4) == whole
+
+
+def near_prints(rng, n):
+    out = set()
+    for _ in range(n // 20):
+        p = rng.getrandbits(64)
+        out.add(p)
+        for _ in range(rng.choice([0, 5, 60])):  # chains away from it, and a ball around it
+            q = p if rng.random() < 0.7 else rng.choice(sorted(out))
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                q ^= 1 << b
+            out.add(q)
+    return out
+
+
+PLANS = [
+    None,
+    ([0xFFFF << 16 * k for k in range(4)], [1, 0, 0, 0]),
+    ([0xFFFFFFFF, 0xFFFFFFFF << 32], [2, 1]),
+    ([0x1FFFFF, 0x1FFFFF << 21, 0x3FFFFF << 42], [2, 1, -1]),
+]
+
+
+@pytest.mark.parametrize("plan", PLANS)
+@pytest.mark.parametrize("block", [1 << 13, 40])
+def test_links_join_what_is_near(spark, monkeypatch, plan, block):
+    prints = near_prints(random.Random(5), 800 if plan else 4000)
+    if plan:
+        used = [(simhash._signed(m), t) for m, t in zip(*plan) if t >= 0]
+        monkeypatch.setattr(simhash, "choose_plan", lambda *_: simhash.Plan([m for m, _ in used], [t for _, t in used]))
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = [(simhash._signed(p), i) for i, p in enumerate(sorted(prints))]
+    df = spark.createDataFrame(rows, "fingerprint long, doc_id long")
+    got = {r.fingerprint: r.component_id for r in simhash.groups(df, 4).collect()}
+    ids = {p: i for i, p in enumerate(sorted(prints))}
+    smallest = defaultdict(lambda: 1 << 60)
+    component = groups_of(prints, 4)
+    for p in prints:
+        smallest[component[p]] = min(smallest[component[p]], ids[p])
+    assert got == {simhash._signed(p): smallest[component[p]] for p in prints}
+
+
+def test_plan_obeys_the_pigeonhole_principle(spark):
+    rng = random.Random(1)
+    for n in (50, 3000):
+        rows = [(simhash._signed(rng.getrandbits(64)),) for _ in range(n)]
+        plan = simhash.choose_plan(spark.createDataFrame(rows, "fingerprint long"), 4)
+        assert sum(t + 1 for t in plan.thresholds) == 5
+        covered = 0
+        for mask in plan.masks:
+            assert covered & mask == 0
+            covered |= mask
+
+
+def test_correlated_bits_are_together():
+    rng = np.random.default_rng(2)
+    base = rng.random((500, 8)) < 0.5
+    bits = np.repeat(base, 8, axis=1)[:, rng.permutation(64)].astype(float)
+    groups = simhash._groups(500, bits.T @ bits, 4)
+    for group in groups:
+        assert len(group) == 16
+        assert len({tuple(bits[:, b]) for b in group}) == 2
+
+
+def test_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 201)}
+
+
+def test_awkward(spark, table, awkward):
+    extra = ("row", "rank", "fingerprint", "component_id", "a", "b", "c", "root", "smallest")
+    docs = table(awkward, extra)
+    got = simhash.near_duplicates(docs, words_each=4, max_bits=4).collect()
+    assert len(got) == len(awkward)
+    prints = {r[1]: print_of(r[1]) for r in awkward if r[0] != 5}
+    component = groups_of(set(prints.values()), 4)
+    zero = {r.component_id for r in got if r.fingerprint == 0}
+    assert zero == {2}  # null and empty texts; ids 2, 3, 4 and null
+    kept = simhash.one_of_each(docs, words_each=4, max_bits=4)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert len(rows) == len(set(component.values())) + 1
+    assert all(r.rank == "<rank>" for r in rows)
+    assert {r.doc_id for r in rows} >= {1, 2, 5, 6, 7}
+    assert simhash.near_duplicates(table([]), words_each=4, max_bits=4).collect() == []
+    assert simhash.one_of_each(table([]), words_each=4, max_bits=4).collect() == []
+    nulls = table([(None, "one two three four five")] * 3 + [(None, "other words are in this")])
+    assert len(simhash.one_of_each(nulls, words_each=4, max_bits=4).collect()) == 2
+
+
+def test_query(spark):
+    root = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in simhash.op8_simhash_groups(spark, root).collect()}
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", F.col("text")).collect()
+    prints = {d.doc_id: print_of(d.text) for d in docs}
+    component = groups_of(set(prints.values()), 4)
+    smallest = {}
+    for i in sorted(prints, reverse=True):
+        smallest[component[prints[i]]] = i
+    for i, p in prints.items():
+        assert (got[i].fingerprint, got[i].component_id) == (f"{p:016x}", smallest[component[p]])
