@@ -2,7 +2,9 @@
 
 The model has a modified Kneser-Ney estimate for every run of ``ORDER`` bytes,
 for each language, counted by Spark over all texts. Bytes need no vocabulary,
-cap nothing and give contexts that even short texts have seen.
+cap nothing and give contexts that even short texts have seen. A run counts as
+often as there are other documents that have it: else every odd document would
+vouch for itself, as its rare runs would make each other certain.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ _STEP = 0.001
 
 _SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
+_DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 _INSIDE = (np.arange(256) & 0xC0) == 0x80  # bytes of a code point after its first
 
 
@@ -69,8 +72,8 @@ def _repeat_words(words: list[bytes]) -> int:
 
 
 def grams(text: bytes, order: int) -> Iterator[np.ndarray]:
-    """Every run of ``order`` bytes as a number, line ends before the first; by pieces."""
-    padded = np.frombuffer(b"\n" * (order - 1) + text, dtype=np.uint8)
+    """Every run of ``order`` bytes as a number, line ends before the first; by pieces. Digits are alike."""
+    padded = np.frombuffer(b"\n" * (order - 1) + text.translate(_DIGITS), dtype=np.uint8)
     for at in range(0, len(text), _PIECE):
         piece = padded[at : at + _PIECE + order - 1].astype(np.int64)
         n = len(piece) - order + 1
@@ -89,7 +92,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(order: int):
-    """Count n-grams of (lang, text) rows; a row per language and n-gram of a task."""
+    """Count the texts that have an n-gram, of (lang, text) rows; a row per language and n-gram of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str | None, list] = {}
@@ -106,8 +109,9 @@ def _count(order: int):
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for keys in grams(text.as_py() or b"", order):
-                    waiting.setdefault(lang, []).append(keys)
+                own = [np.unique(keys) for keys in grams(text.as_py() or b"", order)]
+                if own:
+                    waiting.setdefault(lang, []).append(own[0] if len(own) == 1 else np.unique(np.concatenate(own)))
                     fold(lang, _PIECE)
         for lang in list(waiting):
             fold(lang, 0)
@@ -121,7 +125,7 @@ def _count(order: int):
 def _discounts(counts: DataFrame) -> DataFrame:
     """``d1``, ``d2``, ``d3`` by language, from how many n-grams occur one to four times."""
     ones = counts.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(k: int) -> Column:
         plain = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
@@ -134,28 +138,30 @@ def _discounts(counts: DataFrame) -> DataFrame:
 def model(docs: DataFrame, *, order: int = ORDER, lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang``, ``gram``, ``logp`` for every run of ``order`` bytes of the texts.
 
-    Interpolated modified Kneser-Ney: the longest n-grams have their counts,
-    shorter ones the number of bytes seen before them; the shortest fall back
-    on 1/256. All are counted over the whole corpus, within tasks first.
+    Interpolated modified Kneser-Ney: the longest n-grams count as often as
+    there are other documents that have them, shorter ones by the different
+    bytes seen before them; the shortest fall back on 1/256. An n-gram of one
+    document has the estimate of what is unseen. All are counted over the whole
+    corpus, within tasks first.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
-    counts = rows.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg((F.sum("n") - 1).alias("n"))
     tables = [stored(counts, "counts")]
     for k in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
-        tables.append(tables[-1].select("lang", shorter).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+        tables.append(tables[-1].select("lang", shorter, (F.col("n") > 0).cast("long").alias("n")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     lower = None
     for k, counts in zip(range(1, order + 1), reversed(tables)):
         found = _discounts(counts)
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = counts.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(
+        context = counts.where("n > 0").groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(
             F.sum("n").alias("total"), *[F.sum((F.col("n") == c).cast("long")).alias(f"c{c}") for c in (1, 2)],
             F.sum((F.col("n") > 2).cast("long")).alias("c3"))
         rows = counts.withColumn("context", F.shiftright("gram", 8))
-        rows = matched(rows, context, ["lang", "context"])
+        rows = matched(rows, context, ["lang", "context"], "left")
         rows = matched(rows, found, ["lang"])
-        rest = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-        own = (F.col("n") - d) / F.col("total")
+        rest = F.coalesce((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total"), F.lit(1.0))
+        own = F.when(F.col("n") > 0, (F.col("n") - d) / F.col("total")).otherwise(0.0)
         if lower is None:
             rows = rows.withColumn("p", own + rest / 256)
         else:
@@ -242,7 +248,7 @@ def judged(
     docs: DataFrame,
     *,
     order: int = ORDER,
-    lower: float = 9.0,
+    lower: float = 8.0,
     upper: float = 6.0,
     least_width: float = 0.02,
     min_docs: int = 20,
@@ -262,8 +268,8 @@ def judged(
     included, exact to 0.001; so a band moves with a language and not with its
     outliers. A language with fewer than ``min_docs`` such documents has no
     band. A null language is a language; a null or empty text has no
-    perplexity and fails. The model counts the same texts it scores, so no
-    n-gram is unknown; it is sent to the tasks in blocks of bounded size, each
+    perplexity and fails. The model is of the same texts it scores, so every
+    n-gram has an estimate; it is sent to the tasks in blocks of bounded size, each
     a pass over the documents.
 
     ``key`` is the row's id and the hash of its text; extra columns are not read.
