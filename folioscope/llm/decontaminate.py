@@ -9,46 +9,88 @@ any chunk; candidates are verified on the exact shingles of both.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Minima of a chunk. An item that fills a tenth of a chunk is missed with a
-#: probability of 0.9 ** 128, about one in a million.
-MINIMA = 128
+#: Minima of a chunk. An item that fills a fifth of a chunk is missed with a
+#: probability of 0.8 ** 64, less than one in a million.
+MINIMA = 64
 #: Size classes: chunks of so many shingles, for items of up to half as many.
-CHUNKS = (8, 32, 128, 512, 2048, 8192, 32768)
+CHUNKS = tuple(1 << k for k in range(3, 21))
 #: Words of the items that one pass over the documents holds.
 PASS_WORDS = 250_000
+#: Bytes of text that one vector operation reads, and words whose minima one finds.
+_BYTES_AT_ONCE = 1 << 19
+_WORDS_AT_ONCE = 1 << 16
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_SPACES = bytes(32 if c in _PUNCTUATION else c for c in range(256))
-_MIX = np.random.default_rng(20).integers(1, 1 << 63, size=(MINIMA, 2), dtype=np.uint64) | np.uint64(1)
+_PLAIN = bytes(32 if c in _PUNCTUATION or 9 <= c <= 13 else c for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, size=MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+#: Leading bits by which most minima are told to belong to no item.
+_FILTER_BITS = 20
 
 
-def words(text: bytes | str | None) -> list[bytes]:
-    """Words in lower case; white space and ASCII punctuation part them."""
-    if text is None:
-        return []
-    text = text if isinstance(text, str) else text.decode()
-    return text.lower().encode().translate(_SPACES).split()
+def plain(text: bytes | str | None) -> bytes:
+    """The text in lower case, spaces for white space and ASCII punctuation; words are what is between."""
+    text = text.decode() if isinstance(text, bytes) else text or ""
+    return text.lower().encode().translate(_PLAIN)
 
 
-class _WordHash(dict):
-    """Remembers the hashes of words, and forgets them when there are too many."""
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, which is odd and so has an inverse modulo 2**64, and of that."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+    def of(base: int) -> np.ndarray:
+        factors = np.full(n, base, dtype=np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
+
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of plain texts, one after another, and how many each text has.
+
+    A word's hash is a polynomial in its bytes, taken from sums over all bytes
+    before its end and its start.
+    """
+    line = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
+    powers, inverse = _powers(1 << max(20, len(line).bit_length()))
+    space = line == 32
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    sums = np.zeros(len(line) + 1, dtype=np.uint64)
+    np.cumsum(line.astype(np.uint64) * powers[: len(line)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * inverse[starts]
+    found ^= found >> np.uint64(32)
+    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return found * np.uint64(0xD6E8FEB86659FD93), np.diff(np.searchsorted(starts, bounds))
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same; long texts are cut between words first."""
+    if sum(map(len, texts)) <= 2 * _BYTES_AT_ONCE:
+        return _hashed(texts)
+    hashes, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            end = text.find(b" ", at + _BYTES_AT_ONCE)
+            part = text[at : end if end >= 0 else len(text)]
+            found, n = _hashed([part])
+            hashes.append(found)
+            sizes[k] += n[0]
+            at += len(part)
+    return np.concatenate(hashes), sizes
 
 
 def _shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -63,73 +105,118 @@ def _shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _minima(shingles: np.ndarray, chunk: int) -> np.ndarray:
-    """A row for each chunk of the shingles, a column for each hash function."""
-    starts = np.arange(0, len(shingles), chunk)
-    out = np.empty((len(starts), MINIMA), dtype=np.uint64)
-    for k, (a, b) in enumerate(_MIX):
-        out[:, k] = np.minimum.reduceat(shingles * a ^ (shingles >> np.uint64(31)) * b, starts)
-    return out
+def _cut(sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks of each run start, given the runs' sizes; and how many each has."""
+    n = -(-sizes // chunk)
+    before = np.repeat(np.cumsum(sizes) - sizes, n)
+    return before + chunk * (np.arange(len(before)) - np.repeat(np.cumsum(n) - n, n)), n
+
+
+def _minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row for each chunk of the shingles, a column for each hash function.
+
+    Shingles are well mixed, so a product with an odd number is a hash of them.
+    """
+    out = np.empty((MINIMA, len(starts)), dtype=np.uint64)
+    for k, factor in enumerate(_FACTORS):
+        np.minimum.reduceat(shingles * factor, starts, out=out[k])
+    return out.T
+
+
+class _Class:
+    """Items of one size: sorted keys of (function, minimum), and whose they are."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], items[order]
+        self.some = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.some[keys >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def meet(self, minima: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(document, item) for minima that agree; a row of ``minima`` is a chunk of document ``of``."""
+        asked = _keys(minima)
+        rows, columns = np.nonzero(self.some[asked >> np.uint64(64 - _FILTER_BITS)])
+        asked, docs = asked[rows, columns], of[rows]
+        low, high = np.searchsorted(self.keys, asked), np.searchsorted(self.keys, asked, side="right")
+        for k in np.flatnonzero(high > low):
+            for item in self.items[low[k] : high[k]]:
+                yield int(docs[k]), int(item)
 
 
 class Items:
     """Items by shingle width and size class, with their sorted minima."""
 
     def __init__(self, rows: list[tuple[object, str]], width: int) -> None:
-        self.ids, self.shingles, hashed = [], [], _WordHash()
+        self.ids, self.shingles = [], []
         classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item_id, text in rows:
-            own = words(text)
+            own = plain(text).split()
             if not own:
                 continue
             wide = min(width, len(own))
             self.ids.append(item_id)
             self.shingles.append({tuple(own[i : i + wide]) for i in range(len(own) - wide + 1)})
-            hashes = np.unique(_shingle_hashes(np.array([hashed[w] for w in own], dtype=np.uint64), wide))
+            hashes = np.unique(_shingle_hashes(_word_hashes([plain(text)])[0], wide))
             chunk = next((c for c in CHUNKS if len(hashes) * 2 <= c), CHUNKS[-1])
-            classes.setdefault((wide, chunk), []).append((len(self.ids) - 1, _minima(hashes, len(hashes))[0]))
-        #: by width: chunk -> for all items of the class, sorted keys of (function, minimum) and the items
-        self.classes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        for (wide, chunk), found in classes.items():
-            keys = np.concatenate([_keys(m[None])[0] for _, m in found])
-            items = np.repeat([i for i, _ in found], MINIMA)
-            order = np.argsort(keys, kind="stable")
-            self.classes.setdefault(wide, {})[chunk] = keys[order], items[order]
-
-    def candidates(self, hashes: np.ndarray) -> set[int]:
-        """Items that share a minimum with a chunk of a document, of its word hashes."""
-        found: set[int] = set()
+            classes.setdefault((wide, chunk), []).append((len(self.ids) - 1, _minima(hashes, np.zeros(1, np.int64))))
+        self.classes: dict[int, dict[int, _Class]] = {}
+        for (wide, chunk), found in sorted(classes.items()):
+            keys = np.concatenate([_keys(m)[0] for _, m in found])
+            self.classes.setdefault(wide, {})[chunk] = _Class(keys, np.repeat([i for i, _ in found], MINIMA))
+
+    def candidates(self, hashes: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) where they share a minimum; word hashes of documents of these sizes."""
+        found: set[tuple[int, int]] = set()
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(hashes))  # words to the document's end
         for wide, classes in self.classes.items():
             shingles = _shingle_hashes(hashes, wide)
+            shingles = shingles[left[: len(shingles)] >= wide]
+            runs = np.maximum(sizes - wide + 1, 0)
             minima, size = None, 0
-            for chunk in sorted(classes) if len(shingles) else ():
+            for chunk, items in classes.items() if len(shingles) else ():
                 if minima is None:
-                    minima = _minima(shingles, chunk)
+                    starts, runs = _cut(runs, chunk)
+                    minima = _minima(shingles, starts)
                 else:  # a larger chunk's minima are those of its smaller ones
-                    minima = np.minimum.reduceat(minima, np.arange(0, len(minima), chunk // size), axis=0)
+                    starts, runs = _cut(runs, chunk // size)
+                    minima = np.minimum.reduceat(minima, starts, axis=0)
                 size = chunk
-                keys, items = classes[chunk]
-                asked = _keys(minima).ravel()
-                at = np.searchsorted(keys, asked)
-                hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == asked)
-                for key in np.unique(asked[hit]):
-                    low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-                    found.update(items[low:high].tolist())
+                found.update(items.meet(minima, np.repeat(np.arange(len(runs)), runs)))
+        return found
+
+    def _met(self, hashes: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        """The same for texts of any length: long ones in sections that overlap by a shingle."""
+        most = max(self.classes, default=1) - 1
+        if len(hashes) <= 2 * _WORDS_AT_ONCE:
+            return self.candidates(hashes, sizes)
+        found: set[tuple[int, int]] = set()
+        for doc, (start, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+            for at in range(start, start + n, _WORDS_AT_ONCE):
+                part = hashes[at : min(at + _WORDS_AT_ONCE + most, start + n)]
+                found |= {(doc, item) for _, item in self.candidates(part, np.array([len(part)]))}
         return found
 
-    def contained(self, text: bytes | None, hashed: _WordHash, least: float) -> list[tuple[object, float]]:
-        """(item, share of its shingles in the text) for those that reach ``least``."""
-        own = words(text)
-        hashes = np.fromiter(map(hashed.__getitem__, own), dtype=np.uint64, count=len(own))
-        out, seen = [], {}
-        for i in sorted(self.candidates(hashes)):
+    def contained(self, texts: Iterable[bytes | None], least: float) -> Iterator[tuple[int, object, float]]:
+        """(number of the text, item, share of the item's shingles in it) for those that reach ``least``."""
+        first, held, waiting = 0, [], 0
+        for text in texts:
+            held.append(plain(text))
+            waiting += len(held[-1])
+            if waiting >= _BYTES_AT_ONCE:
+                yield from self._verified(first, held, least)
+                first, held, waiting = first + len(held), [], 0
+        yield from self._verified(first, held, least)
+
+    def _verified(self, first: int, texts: list[bytes], least: float) -> Iterator[tuple[int, object, float]]:
+        seen: dict[tuple[int, int], set] = {}
+        for doc, i in sorted(self._met(*_word_hashes(texts)) if texts else ()):
             wide = len(next(iter(self.shingles[i])))
-            if wide not in seen:
-                seen[wide] = set(zip(*[own[k:] for k in range(wide)]))
-            share = len(self.shingles[i] & seen[wide]) / len(self.shingles[i])
+            if (doc, wide) not in seen:
+                own = texts[doc].split()
+                seen = {(doc, wide): set(zip(*[own[k:] for k in range(wide)]))}
+            share = len(self.shingles[i] & seen[doc, wide]) / len(self.shingles[i])
             if share >= least:
-                out.append((self.ids[i], share))
-        return out
+                yield first + doc, self.ids[i], share
 
 
 def _keys(minima: np.ndarray) -> np.ndarray:
@@ -182,15 +269,10 @@ def _matcher(known, least: float, out: StructType):
     types = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _WordHash()
         for batch in batches:
-            at, items, shares = [], [], []
-            for k, text in enumerate(batch.column(1)):
-                for item, share in known.value.contained(text.as_py(), hashed, least):
-                    at.append(k)
-                    items.append(item)
-                    shares.append(share)
-            if at:
+            found = list(known.value.contained((t.as_py() for t in batch.column(1)), least))
+            if found:
+                at, items, shares = zip(*found)
                 columns = [batch.column(0).take(pa.array(at)), pa.array(items, types[1].type), pa.array(shares)]
                 yield pa.RecordBatch.from_arrays(columns, names=types.names)
 
@@ -205,10 +287,11 @@ def clean(docs: DataFrame, items: DataFrame, *, width: int = 5, least: float = 0
         at = docs.columns.index(text)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hashed = _WordHash()
             for batch in batches:
-                kept = [not sent.value.contained(t.as_py(), hashed, least) for t in batch.column(at)]
-                yield batch.filter(pa.array(kept, pa.bool_()))
+                texts = (t.as_py() for t in batch.column(at))
+                kept = np.ones(len(batch), dtype=bool)
+                kept[[k for k, _, _ in sent.value.contained(texts, least)]] = False
+                yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
