@@ -167,10 +167,10 @@ def _from_within(markup: Column, outer: str, start: str) -> Column:
 def main_content(page: Column) -> Column:
     """First hit of seven selectors, tried in order; the whole page if none.
 
-    The cheap ``contains`` guards keep pages without such a class out of the
+    Comments, scripts and styles hold no elements and go first. The cheap ``contains`` guards keep pages without such a class out of the
     expensive searches.
     """
-    return let(page, lambda markup: F.coalesce(_whole_element(_main_tail(markup)), markup))
+    return let(strip_raw_text(page), lambda markup: F.coalesce(_whole_element(_main_tail(markup)), markup))
 
 
 def _main_tail(markup: Column) -> Column:
@@ -345,6 +345,8 @@ def _literal_map(keys: Iterable[str], values: Iterable[str]) -> Column:
 def decode_entities(text: Column) -> Column:
     """Character references to characters, in one left-to-right pass."""
     names = _literal_map(name2codepoint, [chr(code) for code in name2codepoint.values()])
+    rare = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and name[:-1] not in name2codepoint}
+    others = _literal_map(rare, rare.values())
     # Numbers in this range mean characters of the Windows code page.
     cp1252 = _literal_map(
         map(str, range(0x80, 0xA0)),
@@ -361,7 +363,8 @@ def decode_entities(text: Column) -> Column:
         )
 
     def decoded(piece: Column) -> Column:
-        named = F.try_element_at(names, F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1))
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        named = F.coalesce(F.try_element_at(names, name), F.try_element_at(others, name))
         legacy = F.regexp_extract(piece, rf"^({_LEGACY})", 1)
         decimal = F.regexp_extract(piece, r"^#0*([0-9]{1,7})(?![0-9]);?", 1)
         hexadecimal = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6})(?![0-9a-fA-F]);?", 1)
@@ -433,6 +436,7 @@ CONTAINER_TAGS = ("span", "div", "section", "article", "header", "footer", "main
 def sanitize_markdown(markdown: Column) -> Column:
     """Five passes, in this order: image tags, inline anchors, container tags,
     runs of blank lines, line ends."""
+    # The patterns of the passes.
     text = F.regexp_replace(markdown, r"(?iu)<img[^>]*>", "")
     text = F.regexp_replace(text, r"(?isu)<a[^>]*>(.*?)</a>", "$1")
     text = F.regexp_replace(text, rf"(?iu)</?(?:{'|'.join(CONTAINER_TAGS)})[^>]*>", "")
@@ -467,9 +471,10 @@ def _href(part: Column) -> Column:
 
 
 def anchors(markup: Column) -> Column:
-    """Links in page order as array<struct<href, text>>; empty targets left out."""
+    """Links in page order as array<struct<href, text>>; empty targets left out.
+    What stands in comments, scripts and styles is no link."""
     found = F.transform(
-        _anchor_parts(markup),
+        _anchor_parts(strip_raw_text(markup)),
         lambda part: F.struct(
             _href(part).alias("href"),
             inner_text(F.regexp_extract(part, r"(?is)\A<a\s[^>]*>(.*?)(?:</a\s*>|\z)", 1)).alias("text"),

@@ -30,12 +30,14 @@ _BODY = rf"(?U)(?:^|[{EOL}])[{SPACE}]*+([^#{SPACE}][^{EOL}]*)"
 # may break: before whitespace, after a word hyphen, around a dash run.
 _LETTER = r"[^\d\W]"
 _PUNCT = r"""[\w!"'&.,?]"""
-_BREAKABLE = (
-    rf"(?U)^(.{{0,{WIDTH - 1}}})(?:(?=\s)"
+_BREAK = (
+    rf"(?:(?=\s)"
     rf"|(?<={_LETTER}{_LETTER}-|{_LETTER}-{_PUNCT}-)(?={_LETTER}-?{_LETTER})"
     rf"|(?<={_PUNCT})(?=-{{2,}}\w)"
     rf"|(?<={_PUNCT}-{{2,9}})(?=\w))"
 )
+_BREAKABLE = rf"(?U)^(.{{0,{WIDTH - 1}}}){_BREAK}"
+_FITS = rf"(?U)^.{{1,{WIDTH}}}(?:{_BREAK}|$)"
 
 
 def trim(text: Column) -> Column:
@@ -53,13 +55,27 @@ def lines(text: Column) -> Column:
 
 
 def shorten(text: Column) -> Column:
-    """One line of at most 180 characters, cut at a word boundary."""
-    return let(
-        squeeze(text),
-        lambda flat: F.when(F.char_length(flat) <= WIDTH, flat).otherwise(
-            F.concat(trim(F.regexp_extract(flat, _BREAKABLE, 1)), F.lit(ELLIPSIS))
-        ),
-    )
+    """One line of at most 180 characters, cut at a word boundary; within a
+    word that is longer than a line, behind its last hyphen that fits."""
+
+    def cut(flat: Column) -> Column:
+        return let(F.regexp_extract(flat, _BREAKABLE, 1), lambda head: F.concat(_with_part(flat, head), F.lit(ELLIPSIS)))
+
+    return let(squeeze(text), lambda flat: F.when(F.char_length(flat) <= WIDTH, flat).otherwise(cut(flat)))
+
+
+def _with_part(flat: Column, head: Column) -> Column:
+    """``head``, with the part of the word behind it that may stand on its line."""
+    at = F.char_length(head)
+    rest = F.substring(flat, at + 1, F.char_length(flat))
+
+    def long_word(word: Column) -> Column:
+        start = F.char_length(flat) - F.char_length(word)
+        part = F.regexp_extract(F.substring(word, F.lit(1), WIDTH - start), r"^(.*-)", 1)
+        taken = part.rlike("[^-]") & (start + F.char_length(part) < WIDTH) & ~word.rlike(_FITS)
+        return F.when(taken, F.concat(F.substring(flat, F.lit(1), start), part)).otherwise(trim(head))
+
+    return let(F.ltrim(rest), long_word)
 
 
 def title(text: Column, fallback: Column) -> Column:

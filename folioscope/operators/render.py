@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Generator, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -40,7 +41,10 @@ _CLOSED_BY = {
     "th": {"p", "td", "th"},
     "dt": {"p", "dd", "dt"},
     "dd": {"p", "dd", "dt"},
+    "a": {"a"},
 }
+# Blocks that are more than their content.
+_OWN = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote", "ul", "ol", "table"})
 _SCOPES = frozenset({"ul", "ol", "table", "blockquote", "div"})
 _BREAK = "  \n"
 
@@ -59,10 +63,12 @@ _BLANK = re.compile(r"[ \t\r\n\f]+")
 
 
 class _Node:
-    __slots__ = ("tag", "attributes", "children")
+    """``blocks``: whether an element within starts a block, not counting what marks enclose."""
+
+    __slots__ = ("tag", "attributes", "children", "blocks")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.blocks = tag, attributes, [], False
 
     def get(self, name: str) -> str:
         for key, *values in _ATTRIBUTE.findall(self.attributes):
@@ -73,42 +79,77 @@ class _Node:
 
 class _Tree:
     """Element tree of tag soup: a block ends an open paragraph together with
-    the inline elements left open in it."""
+    the inline elements left open in it, and a link ends the one before."""
 
     def __init__(self, markup: str):
         self.root = _Node("root")
         self.open = [self.root]
+        # Where each tag is open, outermost first, so that no end tag walks the stack.
+        self.depths: dict[str, list[int]] = {}
         for match in _TOKEN.finditer(markup):
             text, end, name, attributes = match.groups()
             if text:
                 self.open[-1].children.append(unescape(text) if "&" in text else text)
             elif name and end:
-                self._end({name.lower()}, frozenset())
+                self._end(name.lower())
             elif name:
                 self._start(name.lower(), attributes)
 
     def _start(self, tag: str, attributes: str) -> None:
-        if tag in _BLOCKS:
-            self._end(_CLOSED_BY.get(tag, _PARAGRAPH), _SCOPES)
+        if tag in _BLOCKS or tag == "a":
+            self._end_within(_CLOSED_BY.get(tag, _PARAGRAPH))
         node = _Node(tag, attributes)
-        self.open[-1].children.append(node)
+        parent = self.open[-1]
+        parent.children.append(node)
+        if tag in _BLOCKS:
+            for depth in range(len(self.open) - 1, -1, -1):
+                if self.open[depth].blocks:
+                    break
+                self.open[depth].blocks = True
+                if self.open[depth].tag in _MARKS or self.open[depth].tag in _BLOCKS:
+                    break
         if tag not in _VOID and not attributes.endswith("/"):
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
-    def _end(self, tags, scopes) -> None:
+    def _close(self, depth: int) -> None:
+        for node in self.open[depth:]:
+            self.depths[node.tag].pop()
+        del self.open[depth:]
+
+    def _end(self, tag: str) -> None:
+        """Close the innermost open element of this tag."""
+        if self.depths.get(tag):
+            self._close(self.depths[tag][-1])
+
+    def _end_within(self, tags: frozenset[str] | set[str]) -> None:
         """Close up to the outermost open element of ``tags`` within scope."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.open[depth].tag
-            if tag in tags:
-                del self.open[depth:]
-                if not scopes:
-                    return
-            elif tag in scopes:
-                return
+        scope = max((self.depths[tag][-1] for tag in _SCOPES if tag not in tags and self.depths.get(tag)), default=0)
+        found = []
+        for tag in tags:
+            depths = self.depths.get(tag, [])
+            at = bisect(depths, scope)
+            found += depths[at : at + 1]
+        if found:
+            self._close(min(found))
 
 
 def to_markdown(markup: str) -> str:
-    return "\n\n".join(_blocks(_Tree(markup).root))
+    return "\n\n".join(_run(_blocks(_Tree(markup).root.children)))
+
+
+def _run(step: Generator) -> list[str]:
+    """Run generators that yield generators and get their results: calls whose
+    depth the page decides, without Python's stack."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+    return result
 
 
 def _escape(text: str) -> str:
@@ -116,43 +157,79 @@ def _escape(text: str) -> str:
     return _EDGE_UNDERSCORE.sub(r"\\_", text) if "_" in text else text
 
 
-def _inline(node: _Node | str) -> str:
-    if isinstance(node, str):
-        return _escape(node)
-    if node.tag in _UNSEEN:
-        return ""
-    if node.tag == "br":
-        return _BREAK
-    if node.tag == "code":
-        return f"`{_verbatim(node)}`"
-    inner = "".join(map(_inline, node.children))
-    if node.tag in _MARKS:
-        core = inner.strip(" \n")
-        if not core:
-            return inner
-        start = inner.index(core)
-        return inner[:start] + _MARKS[node.tag] + core + _MARKS[node.tag] + inner[start + len(core) :]
-    if node.tag == "a" and node.get("href"):
-        target = node.get("href").replace(" ", "%20")
-        return f"<{target}>" if inner == _escape(target) and ":" in target else f"[{inner}]({target})"
-    return inner
-
-
-def _verbatim(node: _Node | str) -> str:
-    if isinstance(node, str):
-        return node
-    return "\n" if node.tag == "br" else "".join(map(_verbatim, node.children))
-
-
-def _has_blocks(node: _Node) -> bool:
-    return any(
-        isinstance(c, _Node) and (c.tag in _BLOCKS or (c.tag not in _MARKS and _has_blocks(c))) for c in node.children
-    )
-
-
-def _paragraph(parts: list[str]) -> list[str]:
-    """One paragraph of inline text; marks that would start a block are escaped."""
-    text = "".join(parts)
+def _inline(nodes: Iterable[_Node | str]) -> str:
+    """Text of inline elements; a mark within a mark of its kind adds nothing."""
+    out: list[str] = []
+    active: set[str] = set()
+    stack: list[tuple[Iterator, _Node | None, str, int]] = [(iter(nodes), None, "", 0)]
+    while stack:
+        children, node, mark, start = stack[-1]
+        for child in children:
+            if isinstance(child, str):
+                out.append(_escape(child))
+            elif child.tag == "br":
+                out.append(_BREAK)
+            elif child.tag == "code":
+                out.append(_code(_verbatim(child)))
+            elif child.tag not in _UNSEEN:
+                new = _MARKS.get(child.tag, "")
+                new = "" if new in active else new
+                active.add(new)
+                stack.append((iter(child.children), child, new, len(out)))
+                break
+        else:
+            stack.pop()
+            if mark:
+                active.discard(mark)
+                _enclose(out, start, mark)
+            elif node and node.tag == "a" and node.get("href"):
+                inner = "".join(out[start:])
+                target = node.get("href").replace(" ", "%20")
+                out[start:] = [f"<{target}>" if inner == _escape(target) and ":" in target else f"[{inner}]({target})"]
+    return "".join(out)
+
+
+def _enclose(out: list[str], start: int, mark: str) -> None:
+    """Put the mark around the pieces from ``start``, inside their outer white space."""
+    first = next((k for k in range(start, len(out)) if out[k].strip(" \n")), None)
+    if first is None:
+        return
+    last = next(k for k in range(len(out) - 1, -1, -1) if out[k].strip(" \n"))
+    core = out[first].lstrip(" \n")
+    out[first] = out[first][: len(out[first]) - len(core)] + mark + core
+    core = out[last].rstrip(" \n")
+    out[last] = core + mark + out[last][len(core) :]
+
+
+def _longest_run(text: str) -> int:
+    return max(map(len, re.findall("`+", text)), default=0)
+
+
+def _code(text: str) -> str:
+    """Inline code, in a longer run of backticks than it holds."""
+    fence = "`" * (_longest_run(text) + 1)
+    pad = " " if text.startswith("`") or text.endswith("`") else ""
+    return f"{fence}{pad}{text}{pad}{fence}"
+
+
+def _verbatim(node: _Node) -> str:
+    parts, stack = [], [iter([node])]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            parts.append(child)
+        elif child.tag == "br":
+            parts.append("\n")
+        else:
+            stack.append(iter(child.children))
+    return "".join(parts)
+
+
+def _paragraph(run: list[_Node | str]) -> list[str]:
+    """One paragraph of inline elements; marks that would start a block are escaped."""
+    text = _inline(run) if run else ""
     if "  " in text:
         text = _SPACES.sub(" ", text)
     if "\n" in text:
@@ -166,23 +243,33 @@ def _escape_start(match: re.Match) -> str:
     return mark + "\\" if mark.isdigit() else "\\" + mark
 
 
-def _blocks(node: _Node) -> list[str]:
+def _blocks(nodes: Iterable[_Node | str]) -> Generator:
+    """Blocks of a sequence of nodes; containers are part of the sequence around them."""
     done: list[str] = []
-    run: list[str] = []
-    for child in node.children:
-        if isinstance(child, _Node) and (child.tag in _BLOCKS or _has_blocks(child)):
-            done += _paragraph(run) + _block(child)
+    run: list[_Node | str] = []
+    stack = [iter(nodes)]
+    while stack:
+        for child in stack[-1]:
+            if isinstance(child, str) or not (child.tag in _BLOCKS or child.blocks):
+                run.append(child)
+                continue
+            done += _paragraph(run)
             run = []
+            if child.tag in _OWN:
+                done += yield _block(child)
+            elif child.tag not in _UNSEEN:
+                stack.append(iter(child.children))
+                break
         else:
-            run.append(_inline(child))
-    return done + _paragraph(run)
+            stack.pop()
+            done += _paragraph(run)
+            run = []
+    return done
 
 
-def _block(node: _Node) -> list[str]:
-    if node.tag in _UNSEEN:
-        return []
+def _block(node: _Node) -> Generator:
     if re.fullmatch("h[1-6]", node.tag):
-        text = " ".join("".join(map(_inline, node.children)).split())
+        text = " ".join(_inline(node.children).split())
         return [f"{'#' * int(node.tag[1])} {text}"] if text else []
     if node.tag == "hr":
         return ["---"]
@@ -190,44 +277,49 @@ def _block(node: _Node) -> list[str]:
         code = _verbatim(node).strip("\n")
         classes = " ".join(n.get("class") for n in [node, *node.children] if isinstance(n, _Node))
         language = re.search(r"(?:^|\s)lang(?:uage)?-(\S+)", classes)
-        return [f"```{' ' + language.group(1) if language else ''}\n{code}\n```"]
+        fence = "`" * max(3, _longest_run(code) + 1)
+        return [f"{fence}{' ' + language.group(1) if language else ''}\n{code}\n{fence}"]
     if node.tag == "blockquote":
-        quoted = "\n\n".join(_blocks(node))
+        quoted = "\n\n".join((yield _blocks(node.children)))
         return ["\n".join(("> " + line).rstrip() for line in quoted.split("\n"))] if quoted else []
     if node.tag in ("ul", "ol"):
-        return _list(node)
-    if node.tag == "table":
-        return _table(node)
-    return _blocks(node)
+        return (yield _list(node))
+    return (yield _table(node))
 
 
-def _list(node: _Node) -> list[str]:
+def _list(node: _Node) -> Generator:
     items = []
     start = node.get("start")
-    number = int(start) if start.isdigit() else 1
+    number = int(start) if re.fullmatch("[0-9]{1,9}", start) else 1
     loose = False
     for child in node.children:
         if not isinstance(child, _Node):
             continue
         mark = f"{number + len(items)}. " if node.tag == "ol" else "- "
-        blocks = _blocks(child) if child.tag == "li" else _block(child)
+        blocks = yield (_block(child) if child.tag in _OWN else _blocks(child.children))
         loose = loose or any(isinstance(c, _Node) and c.tag == "p" for c in child.children)
         body = ("\n\n" if loose else "\n").join(blocks)
         items.append(mark + re.sub(r"\n(?=[^\n])", "\n" + " " * len(mark), body))
     return [("\n\n" if loose else "\n").join(items)] if items else []
 
 
-def _rows(node: _Node) -> Iterator[list[str]]:
+def _rows(node: _Node) -> Iterator[_Node]:
     for child in node.children:
         if isinstance(child, _Node) and child.tag == "tr":
-            cells = [c for c in child.children if isinstance(c, _Node) and c.tag in ("td", "th")]
-            yield [" ".join(" ".join(_blocks(c)).split()).replace("|", "\\|") for c in cells]
+            yield child
         elif isinstance(child, _Node) and child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child)
-
-
-def _table(node: _Node) -> list[str]:
-    rows = list(_rows(node))
+            yield from (c for c in child.children if isinstance(c, _Node) and c.tag == "tr")
+
+
+def _table(node: _Node) -> Generator:
+    rows = []
+    for row in _rows(node):
+        cells = []
+        for cell in row.children:
+            if isinstance(cell, _Node) and cell.tag in ("td", "th"):
+                blocks = yield _blocks(cell.children)
+                cells.append(" ".join(" ".join(blocks).split()).replace("|", "\\|"))
+        rows.append(cells)
     width = max(map(len, rows), default=0)
     if not width:
         return []
@@ -238,7 +330,7 @@ def _table(node: _Node) -> list[str]:
 def _one(page: str | None) -> tuple[str | None, str | None]:
     try:
         return to_markdown(page or ""), None
-    except (AssertionError, RecursionError, ValueError) as error:
+    except Exception as error:  # the page is kept, with the reason
         return None, f"{type(error).__name__}: {error}"
 
 

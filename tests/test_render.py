@@ -1,5 +1,8 @@
+import time
+
 import pytest
 
+from folioscope.operators import render as render_module
 from folioscope.operators.render import render, to_markdown
 
 CASES = [
@@ -24,6 +27,28 @@ CASES = [
     ("<article><div><p>x</p> tail</div></article>", "x\n\ntail"),
     ("<head><title>no</title></head><p>yes</p>", "yes"),
     ("", ""),
+    ("<pre>a\n```\nb</pre>", "````\na\n```\nb\n````"),
+    ("<p><code>a`b</code> <code>`</code></p>", "``a`b`` `` ` ``"),
+    ("<ol start=\u00b2><li>a</ol>", "1. a"),
+    ("<p><b>a <b>b</b> <i>c</i></b> d</p>", "**a b *c*** d"),
+    ("<b><p>a</p>b", "a\n\nb"),
+    ("<p><a href=x>a<a href=y>b</a></p>", "[a](x)[b](y)"),
+    ("<h1>a &check; b</h1>", "# a \u2713 b"),
+    ("<p>x</q></b></p>y", "x\n\ny"),
+    ("<ul><ul><li>a</ul><li>b</ul>", "- - a\n- b"),
+]
+
+SOUP = [
+    ("<b>" * 5000 + "x", "**x**"),
+    ("<font>" * 20000 + "x", "x"),
+    ("<p>" + "<span>" * 20000 + "x</p>y", "x\n\ny"),
+    ("<div>" * 20000 + "x", "x"),
+    ("<b>a" * 40000, "**" + "a" * 40000 + "**"),
+    ("<b>a</i>" * 20000, "**" + "a" * 20000 + "**"),
+    ("<p>a<b>" * 20000, "\n\n".join(["a"] * 20000)),
+    ("<a href=x>a" * 10000, "[a](x)" * 10000),
+    ("<ul><li>" * 300 + "x", "- " * 300 + "x"),
+    ("<blockquote>" * 300 + "x", "> " * 300 + "x"),
 ]
 
 
@@ -32,6 +57,13 @@ def test_to_markdown(markup, markdown):
     assert to_markdown(markup) == markdown
 
 
+@pytest.mark.parametrize("markup,markdown", SOUP)
+def test_tag_soup_keeps_its_text_and_takes_linear_time(markup, markdown):
+    start = time.perf_counter()
+    assert to_markdown(markup) == markdown
+    assert time.perf_counter() - start < 2
+
+
 def test_render_keeps_rows_and_sanitizes(spark):
     deep = "<b>" * 5000 + "x"
     rows = [(1, "<h1>A</h1><p>a<br>b</p>"), (2, ""), (3, None), (4, deep)]
@@ -39,4 +71,13 @@ def test_render_keeps_rows_and_sanitizes(spark):
     got = {r.id: (r.markdown, r.render_error) for r in render(df).collect()}
     assert got[1] == ("# A\n\na\nb\n", None)
     assert got[2] == ("\n", None) and got[3] == ("\n", None)
-    assert got[4][0] is None and got[4][1].startswith("RecursionError")
+    assert got[4] == ("**x**\n", None)
+
+
+def test_a_page_that_fails_keeps_its_row(spark, monkeypatch):
+    def failing(markup):
+        raise KeyError(markup)
+
+    monkeypatch.setattr(render_module, "to_markdown", failing)
+    got = render(spark.createDataFrame([(1, "<p>a")], "id int, cleaned_html string")).first()
+    assert (got.id, got.markdown) == (1, None) and "KeyError" in got.render_error

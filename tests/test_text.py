@@ -84,6 +84,15 @@ def test_shorten_random(column):
     assert column(T.shorten, rows) == want
 
 
+def test_shorten_breaks_overlong_words_at_hyphens(column):
+    rng = random.Random(12)
+    rows = ["123456-" * 40, "ab " + "123456-" * 40, "x" * 400, "-" * 400, "a" * 178 + " " + "1-" * 200, "1" * 179 + "-" + "1" * 30]
+    for _ in range(1500):
+        words = ["".join(rng.choice(["12", "3", "4-"]) for _ in range(rng.choice([3, 20, 100, 119, 135, 180, 250]))) for _ in range(6)]
+        rows.append(" ".join(words))
+    assert column(T.shorten, rows) == [textwrap.shorten(r, width=180, placeholder="…") for r in rows]
+
+
 def test_trim_matches_strip(column):
     rows = random_texts(300, 12) + [" " * 5000 + "a" + " " * 5000 + "b"]
     assert column(T.trim, rows) == [r.strip() for r in rows]
