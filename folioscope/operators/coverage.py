@@ -10,34 +10,45 @@ from folioscope.functions.urls import markdown_path
 from folioscope.operators import robots
 
 # Page outcomes, and attempts per page.
-OK_CACHE, OK_FETCH, SKIP_ROBOTS, FAIL = "OK CACHE", "OK FETCH", "SKIP ROBOTS", "FAIL"
+OK_CACHE, OK_FETCH, SKIP_ROBOTS, RETRY, FAIL = "OK CACHE", "OK FETCH", "SKIP ROBOTS", "RETRY", "FAIL"
 ATTEMPTS = 3
 
 
 def readable(markup: Column) -> Column:
     """A page that can be parsed: present and not blank."""
-    return F.coalesce(text.trim(html.strip_raw_text(markup)) != "", F.lit(False))
+    return F.coalesce(text.trim(markup) != "", F.lit(False))
 
 
-def page_flags(pages: DataFrame, prefix: str) -> DataFrame:
-    """(url, ``prefix``_present, ``prefix``_ok) of stored or fetched pages.
+def page_flags(pages: DataFrame, prefix: str, answered: bool = False) -> DataFrame:
+    """(url, ``prefix``_present, ``prefix``_ok, ``prefix``_digest, ``prefix``_copies) of the copy
+    that counts, for each URL of stored or fetched pages.
 
-    The page bodies are read where they lie; only two flags are shuffled. An
-    ``ok`` column in the input, if there is one, overrides the parse check.
+    That is the newest by ``fetched_at``, if there is such a column; of copies
+    as new, one that can be used. ``digest`` finds its body again and ``copies``
+    is how often it is there. Bodies are read where they lie; only flags are
+    shuffled. Only an ``answered`` page, one that was fetched, can be a
+    challenge; then copies that are no document don't count. An ``ok`` column
+    in the input, if there is one, overrides the parse check.
     """
     ok = F.col("ok") if "ok" in pages.columns else readable(F.col("html"))
+    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
     flags = pages.select(
         "url",
+        at.alias("at"),
         (F.coalesce(F.length("html"), F.lit(0)) > 0).alias("present"),
-        (ok & ~html.is_challenge(F.col("html"))).alias("ok"),
+        F.coalesce(ok & ~html.is_challenge(F.col("html")) if answered else ok, F.lit(False)).alias("ok"),
+        F.xxhash64("html").alias("digest"),
     )
-    return flags.groupBy("url").agg(
-        F.max("present").alias(f"{prefix}_present"), F.max(F.coalesce("ok", F.lit(False))).alias(f"{prefix}_ok")
+    order = ("ok", "at", "present") if answered else ("at", "ok", "present")
+    bodies = flags.groupBy("url", "digest").agg(
+        F.max("at").alias("at"), F.max("present").alias("present"), F.max("ok").alias("ok"), F.count("*").alias("copies")
     )
+    newest = bodies.groupBy("url").agg(F.max(F.struct(*order, "digest", "copies")).alias("copy"))
+    return newest.select("url", *[F.col(f"copy.{c}").alias(f"{prefix}_{c}") for c in ("present", "ok", "digest", "copies")])
 
 
 def fetch_plan(targets: DataFrame, stored: DataFrame, force: Column | bool = False) -> DataFrame:
-    """(url, category, slug, plan, stored_ok): reuse the stored page or fetch.
+    """(url, category, slug, plan, stored_ok, stored_digest, stored_copies): reuse the stored page or fetch.
 
     A stored page is reused if it is non-empty and not forced; ``force`` may be
     a column of ``targets``.
@@ -51,6 +62,8 @@ def fetch_plan(targets: DataFrame, stored: DataFrame, force: Column | bool = Fal
         "slug",
         F.when(present & ~forced, "CACHE").otherwise("FETCH").alias("plan"),
         F.coalesce("stored_ok", F.lit(False)).alias("stored_ok"),
+        "stored_digest",
+        "stored_copies",
     )
 
 
@@ -59,32 +72,69 @@ def to_fetch(plan: DataFrame) -> DataFrame:
     return plan.filter((F.col("plan") == "FETCH") | ~F.col("stored_ok")).select("url", "category", "slug")
 
 
-def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
-    """(url, category, slug, status, attempt). A stored page that fails is
-    retried from the fetched pages; a URL the robots file forbids is never
-    tried. ``attempt`` is the one that decided: a failure takes all of them."""
-    tried = plan.join(page_flags(fetched, "fetched"), "url", "left")
+def decide(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
+    """``plan`` with ``status``, ``attempt``, and the flags of the fetched pages.
+
+    A stored page that fails is retried from the fetched pages; a URL the robots
+    file forbids is never tried. ``attempt`` is the one that decided: a failure
+    takes all of them.
+    """
+    tried = plan.join(page_flags(fetched, "fetched", answered=True), "url", "left")
     status = (
         F.when(~robots.allowed(F.col("url"), rules), SKIP_ROBOTS)
         .when((F.col("plan") == "CACHE") & F.col("stored_ok"), OK_CACHE)
         .when(F.coalesce(F.col("fetched_ok"), F.lit(False)), OK_FETCH)
         .otherwise(FAIL)
     )
-    decided = tried.select("url", "category", "slug", "plan", status.alias("status"))
-    attempt = (
+    return tried.withColumn("status", status).withColumn("attempt", _attempt())
+
+
+def _attempt() -> Column:
+    return (
         F.when(F.col("status") == SKIP_ROBOTS, 0)
         .when(F.col("status") == FAIL, ATTEMPTS)
         .when((F.col("status") == OK_FETCH) & (F.col("plan") == "CACHE"), 2)
         .otherwise(1)
     )
-    return decided.select("url", "category", "slug", "status", attempt.alias("attempt"))
 
 
-def with_errors(status: DataFrame, pages: DataFrame) -> DataFrame:
-    """Add ``error`` from converted pages; a page with one has failed."""
-    errors = pages.filter(F.col("render_error").isNotNull()).select("url", F.col("render_error").alias("error"))
-    joined = status.join(errors, "url", "left")
-    return joined.withColumn("status", F.when(F.col("error").isNull(), F.col("status")).otherwise(FAIL))
+def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
+    """(url, category, slug, status, attempt) of each target."""
+    return decide(plan, fetched, rules).select("url", "category", "slug", "status", "attempt")
+
+
+def retried(decided: DataFrame, pages: DataFrame) -> DataFrame:
+    """Decisions anew for stored pages that failed to render: the fetched page,
+    if there is a usable one."""
+    failed = pages.filter(F.col("render_error").isNotNull()).select("url")
+    again = decided.filter((F.col("status") == OK_CACHE) & F.col("fetched_ok")).join(failed, "url", "left_semi")
+    return again.withColumn("status", F.lit(OK_FETCH)).withColumn("attempt", F.lit(2))
+
+
+def attempts(status: DataFrame) -> DataFrame:
+    """A line per attempt: (url, category, slug, status, attempt, error); those
+    before the one that decided are RETRY."""
+    numbers = F.sequence(F.least(F.lit(1), F.col("attempt")), F.col("attempt"))
+    lines = status.withColumn("at", F.explode(numbers))
+    last = F.col("at") == F.col("attempt")
+    return lines.select(
+        "url", "category", "slug", F.when(last, F.col("status")).otherwise(RETRY).alias("status"),
+        F.col("at").alias("attempt"), F.when(last, F.col("error")).alias("error"),
+    )
+
+
+def with_errors(decided: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, category, slug, status, attempt, error) after rendering.
+
+    ``pages`` has the last outcome of each page. One with an error has failed,
+    after all attempts; a stored one that was converted from its fetched page
+    took two.
+    """
+    done = pages.select("url", F.col("render_error").alias("error"), F.col("status").alias("final"))
+    joined = decided.join(done, "url", "left")
+    status = F.when(F.col("error").isNotNull(), FAIL).otherwise(F.coalesce("final", "status"))
+    out = joined.withColumn("status", status).withColumn("attempt", _attempt())
+    return out.select("url", "category", "slug", "status", "attempt", "error")
 
 
 def failures(status: DataFrame) -> DataFrame:
@@ -101,12 +151,12 @@ def missing(expected: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def category_summary(expected: DataFrame, results: DataFrame) -> DataFrame:
-    """(category, expected, succeeded), one row per category."""
+    """(category, expected, succeeded), a row per category and one for all, with a null category."""
     tagged = expected.select("category", F.lit(1).alias("e"), F.lit(0).alias("s")).unionByName(
         results.select("category", F.lit(0).alias("e"), F.lit(1).alias("s"))
     )
     return (
-        tagged.groupBy("category")
+        tagged.rollup("category")
         .agg(F.sum("e").alias("expected"), F.sum("s").alias("succeeded"))
         .orderBy("category")
     )

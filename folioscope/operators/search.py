@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
-from math import ceil, sqrt
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from folioscope.functions import text
 from folioscope.operators.documents import MIME_TYPE
 from folioscope.operators.targets import last_by
-from folioscope.sources.tables import BROADCAST_ROWS, fits
+from folioscope.sinks.scratch import stored
 
 # Result limits.
 DEFAULT_TOP_K = 5
@@ -24,11 +23,27 @@ MAX_TOP_K = 20
 NO_HIT = ("未找到与 '", "' 相关的文档, 请尝试其他关键词。")
 NO_DOCUMENT = ("未找到名称为 '", "' 的文档, 可先调用 search_docs 确认可用列表。")
 
-# Most times the postings are read for one batch of queries.
-MAX_PASSES = 16
+# What is wrong with a rejected request.
+EMPTY_QUERY = "query must not be empty"
+BAD_TOP_K = f"top_k must be between 1 and {MAX_TOP_K}"
 
-def valid_query(query: Column, top_k: Column) -> Column:
-    return (F.char_length(query) >= 1) & top_k.between(1, MAX_TOP_K)
+
+def validated(queries: DataFrame) -> DataFrame:
+    """Requests (query_id, query, top_k) with ``problem``: why one is rejected, else null.
+
+    This is the only place that limits requests; the index functions answer
+    any. A null ``top_k`` is the default one.
+    """
+    top_k = F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K))
+    problem = F.when(F.coalesce(F.char_length("query"), F.lit(0)) < 1, F.lit(EMPTY_QUERY)).when(
+        ~top_k.between(1, MAX_TOP_K), F.lit(BAD_TOP_K)
+    )
+    return queries.withColumn("top_k", top_k).withColumn("problem", problem)
+
+
+def accepted(queries: DataFrame) -> DataFrame:
+    """The requests that are not rejected."""
+    return validated(queries).filter(F.col("problem").isNull()).drop("problem")
 
 
 def _score(dot: Column, doc_norm: Column, query_norm: Column) -> Column:
@@ -46,7 +61,7 @@ def search(counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str
     ``counted`` holds ``terms`` and ``norm`` per document, so each document is
     scored in its own row and only ``top_k`` rows per partition are compared.
     """
-    weights = _query_weights(query, top_k)
+    weights = _query_weights(query)
     if not weights:
         scored = counted.limit(0).withColumn("score", F.lit(0.0))
     else:
@@ -62,18 +77,15 @@ def search(counted: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str
     return best.select(_rank(best, key), key, "name", "title", "uri", "description", "score")
 
 
-def search_stored(
-    postings: DataFrame, docs: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id"
-) -> DataFrame:
-    """As ``search``, on a stored index.
+def stored_hits(postings: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id") -> DataFrame:
+    """(rank, key, score) for one query on a stored index.
 
-    The terms are constants, so the scan skips row groups without them; postings
-    bucketed by ``key`` are summed where they lie, and only the winners, at most
-    twenty, meet the documents.
+    The terms are constants, so the scan skips row groups without them, and
+    postings bucketed by ``key`` are summed where they lie.
     """
-    weights = _query_weights(query, top_k)
+    weights = _query_weights(query)
     if not weights:
-        return _columns(docs.limit(0).select(F.lit(0).alias("rank"), "*", F.lit(0.0).alias("score")), key)
+        return postings.limit(0).select(F.lit(0).alias("rank"), key, F.lit(0.0).alias("score"))
     sums = (
         postings.filter(F.col("term").isin(*weights))
         .groupBy(key)
@@ -81,7 +93,14 @@ def search_stored(
     )
     scored = sums.select(key, _score(F.col("dot"), F.col("norm"), F.lit(_length(weights))).alias("score"))
     best = scored.orderBy(*_ranking(scored, key)).limit(top_k)
-    return _columns(docs.join(F.broadcast(best.select(_rank(best, key), key, "score")), key), key)
+    return best.select(_rank(best, key), key, "score")
+
+
+def search_stored(
+    postings: DataFrame, docs: DataFrame, query: str, top_k: int = DEFAULT_TOP_K, key: str = "doc_id"
+) -> DataFrame:
+    """As ``search``, on a stored index: only the winners meet the documents."""
+    return _columns(with_documents(stored_hits(postings, query, top_k, key), docs, key), key)
 
 
 def _columns(hits: DataFrame, key: str) -> DataFrame:
@@ -89,15 +108,11 @@ def _columns(hits: DataFrame, key: str) -> DataFrame:
 
 
 def _rank(best: DataFrame, key: str) -> Column:
-    """Position among at most twenty rows."""
+    """Position among the best rows."""
     return F.row_number().over(Window.orderBy(*_ranking(best, key))).alias("rank")
 
 
-def _query_weights(query: str, top_k: int) -> Counter:
-    if not query:
-        raise ValueError("query must not be empty")
-    if not 1 <= top_k <= MAX_TOP_K:
-        raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
+def _query_weights(query: str) -> Counter:
     return Counter(re.findall(text.TOKEN, query.lower()))
 
 
@@ -118,10 +133,10 @@ def _ranking(df: DataFrame, key: str) -> list[Column]:
 
 
 def _weight(term: Column, weights: Counter) -> Column:
-    chain = F.lit(0)
-    for word, n in weights.items():
-        chain = F.when(term == word, F.lit(n)).otherwise(chain)
-    return chain.cast("bigint")
+    """The query's count of a term, from a constant map; terms are letters and digits."""
+    listed = ",".join(f"{word}:{n}" for word, n in weights.items())
+    known = F.str_to_map(F.lit(listed), F.lit(","), F.lit(":"))
+    return F.coalesce(F.try_element_at(known, term).cast("bigint"), F.lit(0))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -142,45 +157,17 @@ def search_batch(
     Only postings of asked terms are moved, once, to the partition of their
     document. There every query is scored against the document without a second
     shuffle: what crosses the network does not grow with the number of queries.
-    Each partition keeps its best rows per query before the final ranking.
-    ``colocated`` postings (bucketed by ``key``) are not moved at all.
-
-    Queries whose terms are too many to broadcast at once are scored in several
-    passes, and if that takes too many, joined by term instead.
+    ``colocated`` postings (bucketed by ``key``) are not moved at all. Whether
+    query terms are sent to the postings or both meet by term, Spark decides by
+    their size. A query without tokens has no hits; any ``top_k`` is answered.
     """
-    valid = queries.filter(valid_query(F.col("query"), F.col("top_k")))
-    terms = query_terms(valid)
-    passes = _passes(terms)
-    if passes:
-        scored = reduce(DataFrame.unionByName, [_score_in_place(postings, part, key, colocated) for part in passes])
-    else:
-        scored = _scores(postings.join(terms, "term"), key)
+    terms = query_terms(queries)
+    asked = postings if colocated else postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(key)
+    scored = _scores(asked.join(terms, "term"), key)
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(scored, key)))
     )
-    # The constant limit lets Spark cut each partition to it before shuffling.
-    best = ranked.filter((F.col("rank") <= MAX_TOP_K) & (F.col("rank") <= F.col("top_k")))
-    return best.select("query_id", "rank", key, "score")
-
-
-def _passes(terms: DataFrame) -> list[DataFrame]:
-    """Query terms in parts that are small enough to broadcast, whole queries
-    together; no part if there would be too many, or one too large."""
-    total = terms.count()
-    if total <= BROADCAST_ROWS:
-        return [terms]
-    parts = ceil(2 * total / BROADCAST_ROWS)
-    if parts > MAX_PASSES:
-        return []
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    largest = terms.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
-    return [terms.filter(part == i) for i in range(parts)] if largest <= BROADCAST_ROWS else []
-
-
-def _score_in_place(postings: DataFrame, terms: DataFrame, key: str, colocated: bool) -> DataFrame:
-    asked = postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    placed = asked if colocated else asked.repartition(key)
-    return _scores(placed.join(F.broadcast(terms), "term"), key)
+    return ranked.filter(F.col("rank") <= F.col("top_k")).select("query_id", "rank", key, "score")
 
 
 def _scores(matched: DataFrame, key: str) -> DataFrame:
@@ -194,21 +181,22 @@ def _scores(matched: DataFrame, key: str) -> DataFrame:
     return sums.select("query_id", key, "top_k", score.alias("score"))
 
 
-def with_documents(hits: DataFrame, docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+def with_documents(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits with their documents' columns: few rows against a large table.
 
-    There are at most twenty hits per query, so counting the queries proves
-    that the hits can be broadcast. Derive titles and descriptions from the
-    result rather than before, so that only winners are read for them.
+    The hits are stored first, so that Spark knows their size before it plans
+    to move documents. Derive titles and descriptions from the result rather
+    than before, so that only winners are read for them.
     """
-    few = fits(queries, BROADCAST_ROWS // MAX_TOP_K)
-    return docs.join(F.broadcast(hits) if few else hits, key)
+    return docs.join(stored(hits, "hits"), key)
 
 
 def search_response(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, response): a JSON list of links, or a text naming the query.
+    """(query_id, rejected, response): a JSON list of links, or a text naming the query.
 
-    At most twenty hits per query are gathered.
+    ``hits`` are those of the accepted requests. A rejected one gets an error
+    that says why, never "nothing found". A query's hits, at most twenty, are
+    gathered.
     """
     link = F.struct(
         F.lit("resource_link").alias("type"),
@@ -222,9 +210,11 @@ def search_response(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
     links = F.to_json(F.struct(F.col("found.link").alias("content")))
     nothing = _text_content(F.concat(F.lit(NO_HIT[0]), F.col("query"), F.lit(NO_HIT[1])))
-    return queries.join(gathered, "query_id", "left").select(
-        "query_id", F.when(F.col("found").isNull(), nothing).otherwise(links).alias("response")
-    )
+    entry = F.struct(F.lit("text").alias("type"), F.col("problem").alias("text"))
+    error = F.to_json(F.struct(F.array(entry).alias("content"), F.lit(True).alias("isError")))
+    answer = F.when(F.col("problem").isNotNull(), error).when(F.col("found").isNull(), nothing).otherwise(links)
+    asked = validated(queries).join(gathered, "query_id", "left")
+    return asked.select("query_id", F.col("problem").isNotNull().alias("rejected"), answer.alias("response"))
 
 
 def _text_content(message: Column) -> Column:

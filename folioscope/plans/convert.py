@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 from folioscope.functions import html
 from folioscope.functions.urls import Site
 from folioscope.operators import coverage, render, robots
+from folioscope.sinks import scratch
 from folioscope.sinks import tables as sinks
-from folioscope.sources.tables import BROADCAST_ROWS, fits
 
 
 def clean(pages: DataFrame, site: Site) -> DataFrame:
     """(url, html, title_guess, ...) to the same rows with ``cleaned_html`` and
     ``title`` instead. One narrow stage: each step only reads its own row."""
     rest = [c for c in pages.columns if c not in ("html", "title_guess")]
-    main = pages.withColumn("main", html.main_content(html.strip_raw_text(F.col("html"))))
+    main = pages.withColumn("main", html.main_content(F.col("html")))
     bare = main.withColumn("main", html.undecorate(html.denoise(F.col("main"))))
     linked = bare.withColumn("cleaned_html", html.rewrite_links(F.col("main"), F.col("url"), site))
     return linked.select(
@@ -33,16 +34,20 @@ def to_markdown(pages: DataFrame, site: Site) -> DataFrame:
 
 @dataclass(frozen=True)
 class Run:
-    """Outcome of one conversion run, as lazy tables.
+    """A conversion run: what was decided, and the pages as lazy tables.
 
+    ``decided`` has a row per target, with its status before rendering.
     ``pages`` holds every page that was converted, with ``render_error`` where
-    rendering failed; ``to_fetch`` is the work list for a crawler.
+    rendering failed; ``retry`` gives the fetched pages for stored ones that
+    did. ``to_fetch`` is the work list for a crawler.
     """
 
     expected: DataFrame
-    status: DataFrame
+    decided: DataFrame
     pages: DataFrame
     to_fetch: DataFrame
+    retry: Callable[[DataFrame], DataFrame]
+    taken: Callable[[DataFrame], DataFrame]
 
 
 def run(
@@ -56,41 +61,67 @@ def run(
     """Convert every target that has a usable page.
 
     ``stored`` pages are reused, ``fetched`` ones (delivered by a crawler from
-    an earlier run's ``to_fetch``) fill the gaps. The outcome is decided on
-    flags alone; then the pages meet the targets that read them. For few
-    targets, all other pages are left out before anything is moved; for many,
-    store pages bucketed by ``url`` to keep their bodies in place.
+    an earlier run's ``to_fetch``) fill the gaps; both are (url, html), and may
+    have ``fetched_at``. Each page table is read once for its flags, on which
+    the outcome is decided and stored, and once for the bodies that won.
     """
-    if fits(targets, BROADCAST_ROWS):
-        listed = F.broadcast(targets.select("url"))
-        stored, fetched = (pages.join(listed, "url", "left_semi") for pages in (stored, fetched))
     plan = coverage.fetch_plan(targets, stored, force)
-    status = coverage.page_status(plan, fetched, rules)
-    good = coverage.succeeded(status).join(targets.select("url", "title_guess"), "url")
-    taken = _bodies(stored, good, coverage.OK_CACHE).unionByName(_bodies(fetched, good, coverage.OK_FETCH))
-    wanted = coverage.to_fetch(plan).filter(robots.allowed(F.col("url"), rules))
-    return Run(targets, status, to_markdown(taken, site), wanted)
+    decided = coverage.decide(plan, fetched, rules).join(targets.select("url", "title_guess"), "url")
+    decided = scratch.stored(decided, "decided")
+    wanted = coverage.to_fetch(decided).filter(robots.allowed(F.col("url"), rules))
 
+    def taken(decisions: DataFrame) -> DataFrame:
+        return _bodies(stored, decisions, coverage.OK_CACHE, "stored").unionByName(
+            _bodies(fetched, decisions, coverage.OK_FETCH, "fetched")
+        )
 
-def _bodies(pages: DataFrame, good: DataFrame, outcome: str) -> DataFrame:
-    """One usable page for each target with this outcome. Copies of a page are
-    merged on the map side, before the join; of different ones the smallest is
-    taken."""
-    usable = pages.filter(coverage.readable(F.col("html")) & ~html.is_challenge(F.col("html")))
-    merged = usable.groupBy("url").agg(F.min("html").alias("html"))
-    return merged.join(good.filter(F.col("status") == outcome), "url")
+    def converted(decisions: DataFrame) -> DataFrame:
+        return to_markdown(taken(decisions), site)
+
+    def retry(pages: DataFrame) -> DataFrame:
+        return converted(scratch.stored(coverage.retried(decided, pages), "retried"))
+
+    return Run(targets, decided, converted(decided), wanted, retry, taken)
+
+
+def _bodies(pages: DataFrame, decided: DataFrame, outcome: str, kind: str) -> DataFrame:
+    """The page each target with this outcome reads. Bodies that are there
+    once, as they should be, are not merged; they move only if the decisions
+    are too many to be sent to them."""
+    good = decided.filter(F.col("status") == outcome).select(
+        "url", "category", "slug", "status", "attempt", "title_guess",
+        F.col(f"{kind}_digest").alias("digest"), F.col(f"{kind}_copies").alias("copies"),
+    )
+    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    found = pages.select("url", "html", at.alias("fetched_at"), F.xxhash64("html").alias("digest")).join(good, ["url", "digest"])
+    single = found.filter(F.col("copies") == 1)
+    merged = found.filter(F.col("copies") > 1).dropDuplicates(["url"])
+    return single.unionByName(merged).drop("digest", "copies")
 
 
 def publish(outcome: Run, path: str, output_root: str) -> None:
-    """Write the pages, then the reports from the written pages.
+    """Write the raw pages, the converted ones, then the reports from those.
 
-    Conversion runs once; status, manifest and summary read its table instead
-    of repeating it.
+    Conversion runs once, and once more for stored pages that failed to render
+    and have a fetched page; status, manifest and summary read the written
+    table instead of repeating it. Earlier runs' pages stay: ``sinks.read_pages``
+    and ``sinks.read_raw`` give the newest of each.
     """
     spark = outcome.pages.sparkSession
-    sinks.write_pages(outcome.pages, f"{path}/pages")
-    pages = spark.read.parquet(f"{path}/pages")
-    sinks.write_status(coverage.with_errors(outcome.status, pages), f"{path}/status")
+    run_id = sinks.new_run()
+    first = scratch.stored(outcome.pages, "converted")
+    again = scratch.stored(outcome.retry(first), "again")
+    pages = again.unionByName(first.join(again.select("url"), "url", "left_anti"))
+    raw = outcome.taken(outcome.decided.filter(F.col("status") == coverage.OK_FETCH))
+    raw = raw.unionByName(outcome.taken(coverage.retried(outcome.decided, first)))
+    sinks.write_raw(raw, f"{path}/raw", run_id)
+    sinks.write_pages(pages, f"{path}/pages", run_id)
+    pages = spark.read.parquet(f"{path}/pages/run={run_id}") if not pages.isEmpty() else pages
+    status = scratch.stored(coverage.with_errors(outcome.decided, pages), "status")
+    sinks.write_status(coverage.attempts(status), f"{path}/status")
     results = pages.filter(F.col("render_error").isNull())
     sinks.write_manifest(outcome.expected, results, f"{path}/manifest", output_root)
+    # A stored page that failed and has no fetched one needs the network too.
+    failed = status.filter(F.col("error").isNotNull()).select("url", "category", "slug")
+    outcome.to_fetch.unionByName(failed).distinct().write.mode("overwrite").parquet(f"{path}/to_fetch")
     coverage.category_summary(outcome.expected, results).coalesce(1).write.mode("overwrite").json(f"{path}/summary")

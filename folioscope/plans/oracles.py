@@ -145,10 +145,10 @@ _SELECTABLE = f"""
             WHEN 'fr' THEN replace(replace(html, '<article>', '<section itemprop="articleBody">'), '</article>', '</section>')
             WHEN 'es' THEN replace(replace(html, '<article>', '<div>'), '</article>', '</div>')
             ELSE html END AS html FROM s)"""
-_SELECTED = """CASE cat
+_SELECTED = f"""CASE cat
             WHEN 'de' THEN regexp_extract(html, '(?s)<div class="x markdown">.*</div>(?:</main>)', 0)[:-8]
             WHEN 'fr' THEN regexp_extract(html, '(?s)<section .*</section>')
-            WHEN 'es' THEN html
+            WHEN 'es' THEN regexp_replace(html, '{_RAW}', '', 'gs')
             ELSE regexp_extract(html, '(?s)<article>.*</article>') END"""
 
 
@@ -206,6 +206,10 @@ def _text_entry(message: str) -> str:
 def all_oracles() -> dict[str, str]:
     benchmark = "SELECT item_id AS query_id, text AS query, {k} AS top_k FROM benchmark"
     bare = "regexp_replace(lower(text), '[a-z0-9]', '', 'g')"
+    requests = f"""SELECT item_id * 8 + unnest(range(8)) AS query_id, unnest([text, {bare}, text, text, text, text, '', NULL]) AS query,
+            unnest([3, 3, NULL, 20, 21, 0, 3, 3]) AS top_k FROM benchmark"""
+    problem = """CASE WHEN coalesce(length(query), 0) < 1 THEN 'query must not be empty'
+            WHEN coalesce(top_k, 5) NOT BETWEEN 1 AND 20 THEN 'top_k must be between 1 and 20' END"""
     link = (
         "struct_pack(\"type\" := 'resource_link', uri := uri, name := name, description := description, "
         "mimeType := 'text/markdown')"
@@ -243,18 +247,27 @@ def all_oracles() -> dict[str, str]:
             WITH {_hits(f"SELECT 0 AS query_id, '{QUERY}' AS query, 10 AS top_k")}
             SELECT rank, doc_id, name, title, uri, description, score FROM hits""",
         "search_batch": f"WITH {_hits(benchmark.format(k=5))} SELECT * FROM hits",
+        "search_stored_topk": f"""
+            WITH {_hits(f"SELECT 0 AS query_id, '{QUERY}' AS query, 10 AS top_k")}
+            SELECT rank, doc_id, name, title, uri, description, score FROM hits""",
+        "search_stored_batch": f"WITH {_hits(benchmark.format(k=5))} SELECT * FROM hits",
+        "search_sql": f"""
+            WITH {_hits(f"SELECT 0 AS query_id, '{QUERY}' AS query, 10 AS top_k")}
+            SELECT doc_id, name, title, uri, description, score FROM hits""",
         "search_empty": f"""
             WITH {_hits(benchmark.format(k=3) + f" UNION ALL SELECT -1 - item_id, {bare}, 3 FROM benchmark")}
             SELECT query_id, count(doc_id) AS hits FROM asked LEFT JOIN hits USING (query_id) GROUP BY query_id""",
-        "search_validate": """
-            WITH q AS (SELECT item_id AS query_id, CASE WHEN length(text) > 300 THEN '' ELSE text END AS query,
-                CAST(floor(length(text) / 8) - 10 AS INTEGER) AS top_k FROM benchmark)
-            SELECT query_id, top_k, query <> '' AND top_k BETWEEN 1 AND 20 AS valid FROM q""",
+        "search_validate": f"""
+            WITH q AS ({requests})
+            SELECT query_id, CAST(coalesce(top_k, 5) AS INTEGER) AS top_k, {problem} AS problem FROM q""",
         "search_response": f"""
-            WITH {_hits(f"SELECT item_id AS query_id, CASE WHEN length(text) > 230 THEN text ELSE {bare} END AS query, 3 AS top_k FROM benchmark")},
-            g AS (SELECT query_id, CAST({_json_content(f'list({link} ORDER BY rank)')} AS VARCHAR) AS r FROM hits GROUP BY query_id)
-            SELECT query_id, coalesce(r, CAST({_text_entry("'未找到与 ''' || query || ''' 相关的文档, 请尝试其他关键词。'")} AS VARCHAR)) AS response
-            FROM asked LEFT JOIN g USING (query_id)""",
+            WITH {_hits(f"SELECT query_id, query, coalesce(top_k, 5) AS top_k FROM ({requests}) WHERE {problem} IS NULL")},
+            g AS (SELECT query_id, CAST({_json_content(f'list({link} ORDER BY rank)')} AS VARCHAR) AS r FROM hits GROUP BY query_id),
+            q AS (SELECT *, {problem} AS problem FROM ({requests}))
+            SELECT query_id, problem IS NOT NULL AS rejected, CASE WHEN problem IS NOT NULL
+                THEN '{{"content":[{{"type":"text","text":"' || problem || '"}}],"isError":true}}'
+                ELSE coalesce(r, CAST({_text_entry("'未找到与 ''' || query || ''' 相关的文档, 请尝试其他关键词。'")} AS VARCHAR)) END AS response
+            FROM q LEFT JOIN g USING (query_id)""",
         "open_doc": f"""
             WITH {_DOCS},
             r AS (SELECT doc_id AS request_id, lang || '/' || doc_id AS name FROM documents
@@ -296,25 +309,33 @@ def all_oracles() -> dict[str, str]:
         "html_decor": "SELECT page_id, html FROM pages",
         "html_title": f"""
             WITH {_SELECTABLE},
-            t AS (SELECT page_id, {_slug(_canon('url'))} AS slug, CASE WHEN length(html) > 4000 THEN '' ELSE
-                {_trim(_decode("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} END AS h FROM m)
-            SELECT page_id, CASE WHEN h = '' THEN {_title_case('slug')} ELSE h END AS title FROM t""",
+            f AS (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS pos FROM m),
+            t AS (SELECT page_id, pos, {_slug(_canon('url'))} AS slug, CASE WHEN pos = 1 THEN '' ELSE
+                {_trim(_decode("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} END AS h FROM f)
+            SELECT page_id, pos, CASE WHEN h = '' THEN {_title_case('slug')} ELSE h END AS title FROM t""",
         "html_text": f"SELECT page_id, {_lines_of(_ARTICLE)} AS text FROM pages",
         # Articles here hold a heading and paragraphs, some of them one bold line.
         "html_markdown": f"""
             WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art FROM pages),
             p AS (SELECT page_id, art, list_transform(string_split(regexp_replace(art, '<h1>[^<]*</h1>', ''), '<p>'),
-                lambda x: struct_pack(bold := contains(x, '<b>'), t := {_escaped("regexp_replace(x, '<[^>]*>', '', 'g')")})) AS ps FROM a)
-            SELECT page_id, array_to_string(list_concat(['# ' || {_escaped("regexp_extract(art, '<h1>([^<]*)</h1>', 1)")}],
+                lambda x: struct_pack(bold := contains(x, '<b>'), t := {_escaped("regexp_replace(x, '<[^>]*>', '', 'g')")})) AS ps FROM a),
+            h AS (SELECT *, regexp_extract(art, '<h1>([^<]*)</h1>', 1) AS raw FROM p),
+            e AS (SELECT *, {_trim(_decode('raw'))} AS title, {_decode('raw')} AS code, {_escaped('raw')} AS t FROM h),
+            g AS (SELECT *, {_guarded('t')} AS s FROM e)
+            SELECT page_id, title, array_to_string(list_concat(['# ' || t, '> ' || s,
+                '```' || chr(10) || rtrim(code) || chr(10) || '```', '3. ' || s || chr(10) || '4. x', '- ' || s,
+                '| ' || replace(s, '|', '\\|') || ' | h |' || chr(10) || '|---|---|' || chr(10) || '| ' || replace(s, '|', '\\|') || ' |  |',
+                '`c d` *e*'],
                 list_transform(list_filter(ps, lambda x: x.t <> ''), lambda x: CASE WHEN x.bold THEN '**' || x.t || '**'
                   ELSE {_guarded('x.t')} END)),
-                chr(10) || chr(10)) || chr(10) AS markdown FROM p""",
+                chr(10) || chr(10)) || chr(10) AS markdown FROM g""",
         "md_sanitize": f"""
             SELECT page_id, {_sanitized("replace(html, '</p>', '</p> ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10) || '<IMG src=x>')")} AS markdown
             FROM pages""",
+        # Text here has no <, so only the code put in can show a tag.
         "residual_html": f"""
-            WITH p AS (SELECT {_cat('url')} AS category, {_sanitized("regexp_extract(html, '(?s)<p>(.*?)</p>', 1)")} AS md FROM pages)
-            SELECT category, count(*) AS documents, count(*) FILTER (regexp_matches(md, '<[A-Za-z/!]')) AS with_tags FROM p GROUP BY category""",
+            SELECT {_cat('url')} AS category, count(*) AS documents, count(*) FILTER (page_id % 3 = 0) AS with_tags
+            FROM pages GROUP BY 1""",
         "page_links": f"""
             WITH {_links()}, t AS (SELECT *, site || regexp_replace(href, '/+$', '') AS target FROM b)
             SELECT page_id, pos, href, target, CASE WHEN text = '' THEN {_title_case(_slug('target'))} ELSE text END AS title FROM t""",
@@ -335,10 +356,25 @@ def all_oracles() -> dict[str, str]:
             SELECT page_id, starts_with(url, 'http:') AND contains(url, '.example.org') AS challenge FROM pages""",
         "fetch_plan": f"WITH {_STATUS} SELECT url, category, slug, plan FROM plan",
         "page_status": f"WITH {_STATUS} SELECT * FROM status",
+        "convert_run": f"""
+            WITH {_STATUS.replace("AND NOT contains(t.url, '.example.org/')", "")},
+            k AS (SELECT {_canon('url')} AS url, 'OK CACHE' AS status, arg_max(html, page_id) AS html FROM pages
+                  WHERE NOT contains(url, '?') AND NOT contains(url, '#') GROUP BY 1
+                  UNION ALL SELECT {_canon('url')}, 'OK FETCH', arg_max(html, page_id) FROM pages
+                  WHERE NOT contains(url, '/es/') AND NOT contains(url, '.example.net/') GROUP BY 1),
+            a AS (SELECT url, status, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art FROM k),
+            p AS (SELECT url, status, art, list_transform(string_split(regexp_replace(art, '<h1>[^<]*</h1>', ''), '<p>'),
+                lambda x: struct_pack(bold := contains(x, '<b>'), t := {_escaped("regexp_replace(x, '<[^>]*>', '', 'g')")})) AS ps FROM a),
+            h AS (SELECT *, regexp_extract(art, '<h1>([^<]*)</h1>', 1) AS raw FROM p)
+            SELECT url, category, slug, status, attempt, {_trim(_decode('raw'))} AS title,
+                array_to_string(list_concat(['# ' || {_escaped('raw')}],
+                  list_transform(list_filter(ps, lambda x: x.t <> ''), lambda x: CASE WHEN x.bold THEN '**' || x.t || '**'
+                    ELSE {_guarded('x.t')} END)), chr(10) || chr(10)) || chr(10) AS markdown
+            FROM results JOIN h USING (url, status)""",
         "missing_pages": f"WITH {_STATUS} SELECT url, category, slug FROM targets WHERE url NOT IN (SELECT url FROM results)",
         "category_summary": f"""
             WITH {_STATUS} SELECT t.category, count(*) AS expected, count(r.url) AS succeeded
-            FROM targets t LEFT JOIN results r USING (url) GROUP BY t.category""",
+            FROM targets t LEFT JOIN results r USING (url) GROUP BY ROLLUP (t.category)""",
         "url_manifest": f"""
             WITH {_STATUS}
             SELECT 'expected_items' AS section, CAST({plain} AS VARCHAR) AS item FROM targets

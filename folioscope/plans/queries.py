@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import html, text, urls
 from folioscope.functions.urls import Category, Site
-from folioscope.operators import coverage, documents, links, render, robots, search, targets
+from folioscope.operators import coverage, documents, links, robots, search, targets
+from folioscope.plans import convert
 from folioscope.sources import targets as target_sources
-from folioscope.sources.tables import spread, table
+from folioscope.sinks import index, scratch
+from folioscope.sources.tables import table
 
 SITE = Site(
     base_url="https://docs.example.com",
@@ -26,6 +28,7 @@ SITE = Site(
 URI_PREFIX = "doc://corpus/"
 QUERY = "the nation of the and in a"
 BROWSER = "Mozilla/5.0 (X11; Linux x86_64)"
+INDEX_BUCKETS = 8
 ROBOTS = """
 User-agent: *
 Disallow: /en/1
@@ -50,7 +53,7 @@ def _enrich(rows: DataFrame) -> DataFrame:
 
 
 def _enriched(spark: SparkSession, root: str) -> DataFrame:
-    return _enrich(spread(_raw_documents(spark, root), "doc_id"))
+    return _enrich(_raw_documents(spark, root))
 
 
 def _counted(spark: SparkSession, root: str) -> DataFrame:
@@ -62,7 +65,7 @@ def _postings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
-    return spread(table(spark, root, "pages"), "page_id")
+    return table(spark, root, "pages")
 
 
 def _urls(spark: SparkSession, root: str) -> DataFrame:
@@ -114,7 +117,7 @@ def doc_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 def doc_title(spark: SparkSession, root: str) -> DataFrame:
     """Documents under two headings, the second empty for some sources."""
-    rows = spread(table(spark, root, "documents"), "doc_id")
+    rows = table(spark, root, "documents")
     second = F.when(F.col("source").endswith("1"), F.lit("##")).otherwise(
         F.concat(F.lit("##\t"), F.col("source"), F.lit(" # of "), F.col("lang"), F.lit(" "))
     )
@@ -128,7 +131,7 @@ def doc_description(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, root: str) -> DataFrame:
-    rows = spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id")
+    rows = table(spark, root, "documents").select("doc_id", "text")
     found = rows.withColumn("found", text.tokens(F.col("text")))
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("n_tokens"), F.array_join("found", " ").alias("tokens")
@@ -153,7 +156,7 @@ def search_topk(spark: SparkSession, root: str) -> DataFrame:
 def _ranked(spark: SparkSession, root: str, queries: DataFrame) -> DataFrame:
     """Hits with document columns; only winners get a title and description."""
     hits = search.search_batch(_postings(spark, root), queries)
-    return _enrich(search.with_documents(hits, _raw_documents(spark, root), queries))
+    return _enrich(search.with_documents(hits, _raw_documents(spark, root)))
 
 
 def search_batch(spark: SparkSession, root: str) -> DataFrame:
@@ -172,22 +175,59 @@ def search_empty(spark: SparkSession, root: str) -> DataFrame:
     return queries.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+def _requests(spark: SparkSession, root: str) -> DataFrame:
+    """Each benchmark query as it is, without tokens, and as requests to reject."""
+    asked, none = F.col("query"), F.lit(None)
+    forms = (
+        (asked, 3), (_without_tokens(asked), 3), (asked, None), (asked, search.MAX_TOP_K),
+        (asked, search.MAX_TOP_K + 1), (asked, 0), (F.lit(""), 3), (none.cast("string"), 3),
+    )
+    form = F.array(*[F.struct(q.alias("query"), F.lit(k).cast("int").alias("top_k")) for q, k in forms])
+    rows = _benchmark(spark, root).select("query_id", F.posexplode(form).alias("pos", "form"))
+    return rows.select((F.col("query_id") * len(forms) + F.col("pos")).alias("query_id"), "form.*")
+
+
 def search_validate(spark: SparkSession, root: str) -> DataFrame:
-    """Result limits and empty queries derived from the query lengths."""
-    length = F.char_length("query")
-    queries = _benchmark(spark, root).select(
-        "query_id",
-        F.when(length > 300, "").otherwise(F.col("query")).alias("query"),
-        (F.floor(length / 8) - 10).cast("int").alias("top_k"),
-    )
-    return queries.select("query_id", "top_k", search.valid_query(F.col("query"), F.col("top_k")).alias("valid"))
+    return search.validated(_requests(spark, root)).select("query_id", "top_k", "problem")
 
 
 def search_response(spark: SparkSession, root: str) -> DataFrame:
-    asked = _benchmark(spark, root)
-    query = F.when(F.char_length("query") > 230, F.col("query")).otherwise(_without_tokens(F.col("query")))
-    queries = asked.select("query_id", query.alias("query"), F.lit(3).alias("top_k"))
-    return search.search_response(queries, _ranked(spark, root, queries))
+    requests = _requests(spark, root)
+    return search.search_response(requests, _ranked(spark, root, search.accepted(requests)))
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, root: str) -> str:
+    """Name of the stored index over the documents: built once in a session, then read."""
+    known = (spark.sparkContext.applicationId, root)
+    if known not in _indexes:
+        name = f"corpus_{len(_indexes)}"
+        index.write_index(_enriched(spark, root), name, INDEX_BUCKETS, path=scratch.new_path(spark, "index"))
+        _indexes[known] = name
+    return _indexes[known]
+
+
+def search_stored_topk(spark: SparkSession, root: str) -> DataFrame:
+    docs, postings = index.read_index(spark, _index(spark, root))
+    return search.search_stored(postings, docs, QUERY, 10)
+
+
+def search_stored_batch(spark: SparkSession, root: str) -> DataFrame:
+    docs, postings = index.read_index(spark, _index(spark, root))
+    queries = _benchmark(spark, root).withColumn("top_k", F.lit(search.DEFAULT_TOP_K))
+    hits = search.search_batch(postings, queries, colocated=True)
+    return search.with_documents(hits, docs).select(
+        "query_id", "rank", "doc_id", "name", "title", "uri", "description", "score"
+    )
+
+
+def search_sql(spark: SparkSession, root: str) -> DataFrame:
+    """The table function over the stored index."""
+    name = _index(spark, root)
+    index.search_function(spark, name)
+    return spark.sql(f"SELECT doc_id, name, title, uri, description, score FROM {name}_search('{QUERY}', 10)")
 
 
 def open_doc(spark: SparkSession, root: str) -> DataFrame:
@@ -225,7 +265,7 @@ def url_slug(spark: SparkSession, root: str) -> DataFrame:
 
 def slug_title(spark: SparkSession, root: str) -> DataFrame:
     """Slugs made of each document's first words."""
-    rows = spread(table(spark, root, "documents").select("doc_id", "text"), "doc_id")
+    rows = table(spark, root, "documents").select("doc_id", "text")
     words = rows.withColumn("w", text.tokens(F.col("text")))
     word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
     slug = F.concat(word(0), F.lit("-"), word(1), F.lit("__"), F.col("doc_id").cast("string"), word(2), F.lit("_"))
@@ -284,7 +324,7 @@ def index_targets(spark: SparkSession, root: str) -> DataFrame:
     """Every page as an index page of its category, its links moved below it."""
     pages = _pages(spark, root)
     own = urls.category(F.col("url"), SITE.categories)
-    moved = F.replace("html", F.lit('href="/'), F.concat(F.lit('href="/'), own, F.lit("/")))
+    moved = F.replace(_with_old_article(F.col("html")), F.lit('href="/'), F.concat(F.lit('href="/'), own, F.lit("/")))
     index = pages.select(own.alias("category"), F.col("page_id").alias("ord"), moved.alias("html"))
     return target_sources.from_index_pages(index, SITE).select("category", "title_guess", "url", "slug")
 
@@ -301,6 +341,12 @@ def robots_allowed(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------- HTML
 
 
+def _with_old_article(page: Column) -> Column:
+    """The page with an older article and a link that are commented out, and a link in a script."""
+    old = "<!-- <article><a href='/en/old'>OLD</a></article> --><script>var s = '<a href=\"/en/s\">S</a>';</script>"
+    return F.replace(page, F.lit("<nav>"), F.lit(old + "<nav>"))
+
+
 def _selectable(spark: SparkSession, root: str) -> DataFrame:
     """Pages whose main element differs by category."""
     own = urls.category(F.col("url"), SITE.categories)
@@ -317,6 +363,7 @@ def _selectable(spark: SparkSession, root: str) -> DataFrame:
         .otherwise(F.lit("</article>"))
     )
     page = F.replace(F.replace("html", F.lit("<article>"), opening), F.lit("</article>"), closing)
+    page = _with_old_article(page)
     return _pages(spark, root).select("page_id", page.alias("html"))
 
 
@@ -341,23 +388,35 @@ def html_decor(spark: SparkSession, root: str) -> DataFrame:
 
 
 def html_title(spark: SparkSession, root: str) -> DataFrame:
-    """Title of the main content; where it has no heading, the slug's title."""
+    """Title of the main content, and of the same without a heading: the slug's title."""
     rows = _selectable(spark, root).join(_urls(spark, root), "page_id")
-    headless = F.when(F.length("html") > 4000, F.replace("html", F.lit("h1>"), F.lit("h2>"))).otherwise(F.col("html"))
-    main = rows.withColumn("main", html.denoise(html.main_content(headless)))
+    forms = F.array(F.col("html"), F.replace("html", F.lit("h1>"), F.lit("h2>")))
+    rows = rows.select("page_id", "url", F.posexplode(forms).alias("pos", "html"))
+    main = rows.withColumn("main", html.denoise(html.main_content(F.col("html"))))
     guess = urls.title_guess(urls.slug(_canonical()))
-    return main.select("page_id", html.page_title(F.col("main"), guess).alias("title"))
+    return main.select("page_id", "pos", html.page_title(F.col("main"), guess).alias("title"))
 
 
 def html_text(spark: SparkSession, root: str) -> DataFrame:
-    main = html.denoise(html.main_content(F.col("html")))
+    main = html.denoise(html.main_content(_with_old_article(F.col("html"))))
     return _pages(spark, root).select("page_id", html.plain_text(main).alias("text"))
 
 
+def _with_every_block(page: Column) -> Column:
+    """The page with its heading's text again as a quote, code, lists and a table."""
+    head = F.regexp_extract(page, "<h1>([^<]*)</h1>", 1)
+    parts = (
+        "</h1><blockquote><p>", head, "</p></blockquote><pre>", head, "</pre><ol start=3><li>", head, "<li>x</ol><ul><li>",
+        head, "</ul><table><tr><th>", head, "<th>h<tr><td>", head, "<td></table><p><code>c ", "d</code> <em>e</em></p>",
+    )
+    return F.replace(page, F.lit("</h1>"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+
+
 def html_markdown(spark: SparkSession, root: str) -> DataFrame:
-    main = html.denoise(html.main_content(F.col("html")))
-    rows = _pages(spark, root).select("page_id", main.alias("cleaned_html"))
-    return render.render(rows).select("page_id", "markdown")
+    """The whole chain of a page: selection, cleaning, links, rendering."""
+    page = _with_every_block(_with_old_article(F.col("html")))
+    pages = _pages(spark, root).select("page_id", _canonical().alias("url"), page.alias("html"), F.lit("").alias("title_guess"))
+    return convert.to_markdown(pages, SITE).select("page_id", "title", "markdown")
 
 
 def md_sanitize(spark: SparkSession, root: str) -> DataFrame:
@@ -367,14 +426,17 @@ def md_sanitize(spark: SparkSession, root: str) -> DataFrame:
 
 
 def residual_html(spark: SparkSession, root: str) -> DataFrame:
-    """First paragraphs as Markdown: some still hold bold tags."""
-    rows = targets.classify(_pages(spark, root), SITE)
-    first = html.sanitize_markdown(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1))
-    return coverage.residual_html(rows.select("category", first.alias("markdown")))
+    """The rendered pages, of which some show a tag as code."""
+    shown = F.when(F.col("page_id") % 3 == 0, F.lit("<code>&lt;b&gt;</code></h1>")).otherwise(F.lit("</h1>"))
+    page = F.replace("html", F.lit("</h1>"), shown)
+    rows = _pages(spark, root).select(F.col("page_id").alias("ord"), "url", page.alias("html"), F.lit("").alias("title_guess"))
+    drawn = targets.classify(convert.to_markdown(rows, SITE), SITE)
+    return coverage.residual_html(drawn.select("category", "markdown"))
 
 
 def page_links(spark: SparkSession, root: str) -> DataFrame:
-    found = links.edges(_pages(spark, root), SITE, "page_id")
+    pages = _pages(spark, root).withColumn("html", _with_old_article(F.col("html")))
+    found = links.edges(pages, SITE, "page_id")
     return found.select("page_id", "pos", "href", "target", "title")
 
 
@@ -382,7 +444,7 @@ def link_rewrite(spark: SparkSession, root: str) -> DataFrame:
     """Page links with every kind of target: own and other categories, with
     fragment, with query, in-page and external."""
     here = urls.category(F.col("url"), SITE.categories)
-    page = F.col("html")
+    page = _with_old_article(F.col("html"))
     for word, target in (
         ("The", F.concat(F.lit("/"), here, F.lit("/the/#top"))),
         ("and", F.lit("../de/9/")),
@@ -406,18 +468,16 @@ def challenge_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, root: str) -> DataFrame:
-    """Pages kept from an earlier run: none with a query, emptied if with a fragment."""
-    kept = table(spark, root, "pages").filter(~F.col("url").contains("?"))
-    body = F.when(F.col("url").contains("#"), "").otherwise(F.col("html"))
-    return kept.select(_canonical().alias("url"), body.alias("html"))
+    """Pages kept from an earlier run: none (null) if with a query, emptied if with a fragment."""
+    body = F.when(F.col("url").contains("?"), None).when(F.col("url").contains("#"), "").otherwise(F.col("html"))
+    return table(spark, root, "pages").select("page_id", _canonical().alias("url"), body.alias("html"))
 
 
 def _fetched(spark: SparkSession, root: str) -> DataFrame:
-    """Pages delivered anew: none for one category, challenges from some hosts."""
-    found = table(spark, root, "pages").filter(~F.col("url").contains("/es/"))
+    """Pages delivered anew: none (null) for one category, challenges from some hosts."""
     blocked = F.concat(F.col("html"), F.lit("Just a moment challenge-platform"))
-    body = F.when(F.col("url").contains(".example.net/"), blocked).otherwise(F.col("html"))
-    return found.select(_canonical().alias("url"), body.alias("html"))
+    body = F.when(F.col("url").contains("/es/"), None).when(F.col("url").contains(".example.net/"), blocked)
+    return table(spark, root, "pages").select("page_id", _canonical().alias("url"), body.otherwise(F.col("html")).alias("html"))
 
 
 def fetch_plan(spark: SparkSession, root: str) -> DataFrame:
@@ -432,6 +492,15 @@ def page_status(spark: SparkSession, root: str) -> DataFrame:
     return coverage.page_status(plan, _fetched(spark, root), robots.rules_for(ROBOTS, BROWSER))
 
 
+def convert_run(spark: SparkSession, root: str) -> DataFrame:
+    """The pages that a run over the page table converts; of copies the newest."""
+    wanted = _page_targets(spark, root)
+    at = F.when(F.length("html") > 0, F.timestamp_seconds("page_id")).alias("fetched_at")
+    stored, fetched = (pages(spark, root).select("url", "html", at) for pages in (_stored, _fetched))
+    outcome = convert.run(wanted, stored, fetched, SITE, robots.rules_for(ROBOTS, BROWSER))
+    return outcome.pages.select("url", "category", "slug", "status", "attempt", "title", "markdown")
+
+
 def _results(spark: SparkSession, root: str) -> DataFrame:
     return coverage.succeeded(page_status(spark, root))
 
@@ -460,10 +529,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         corpus_load, path_identity, doc_catalog, doc_title, doc_description, tokens, term_frequency, doc_norms,
         search_topk, search_batch, search_empty, search_validate, search_response, open_doc,
+        search_stored_topk, search_stored_batch, search_sql,
         url_canonical, url_category, url_slug, slug_title, url_dedupe, url_dedupe_last, url_list_targets,
         url_list_rejects, sitemap_targets, index_targets, robots_allowed,
         html_main, html_denoise, html_decor, html_title, html_text, html_markdown, md_sanitize, residual_html,
         page_links, link_rewrite,
-        challenge_pages, fetch_plan, page_status, missing_pages, category_summary, url_manifest, category_merge,
+        challenge_pages, fetch_plan, page_status, missing_pages, category_summary, url_manifest, convert_run,
+        category_merge,
     )
     return {query.__name__: query for query in found}

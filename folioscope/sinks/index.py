@@ -6,24 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.functions.text import TOKEN
 from folioscope.operators import documents
-from folioscope.operators.search import MAX_TOP_K
+from folioscope.operators.search import BAD_TOP_K, DEFAULT_TOP_K, EMPTY_QUERY, MAX_TOP_K
 
 
-def write_index(enriched: DataFrame, name: str, buckets: int, key: str = "doc_id") -> None:
-    """Write ``<name>_documents`` and ``<name>_postings``.
+def write_index(enriched: DataFrame, name: str, buckets: int, key: str = "doc_id", path: str | None = None) -> None:
+    """Write ``<name>_documents`` and ``<name>_postings``, below ``path`` if there is one.
 
     One shuffle of the texts places the documents; their postings are derived
     from the stored table, where they lie. Both tables share the bucketing, so
     scoring needs no exchange, and postings are sorted by term, so a query of
     constant terms reads only the row groups that hold them.
     """
-    _save(enriched.repartition(buckets, key), f"{name}_documents", buckets, key, key)
+    _save(enriched.repartition(buckets, key), f"{name}_documents", buckets, key, key, path)
     stored = enriched.sparkSession.table(f"{name}_documents")
-    _save(documents.postings(documents.counted(stored), key), f"{name}_postings", buckets, key, "term")
+    _save(documents.postings(documents.counted(stored), key), f"{name}_postings", buckets, key, "term", path)
 
 
-def _save(df: DataFrame, table: str, buckets: int, key: str, sort: str) -> None:
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(sort).saveAsTable(table)
+def _save(df: DataFrame, table: str, buckets: int, key: str, sort: str, path: str | None) -> None:
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(sort)
+    (writer.option("path", f"{path}/{table}") if path else writer).saveAsTable(table)
 
 
 def read_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
@@ -33,17 +34,19 @@ def read_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
 def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None:
     """Make ``<name>_search(query, top_k)`` a table function of this session.
 
-    It reads the stored index and gives at most twenty rows.
+    It reads the stored index. An empty query and a ``top_k`` that is not
+    between 1 and 20 are errors; without one it is 5.
     """
     kind = spark.table(f"{name}_documents").schema[key].dataType.simpleString()
     order = f"split({key}, '/')" if kind == "string" else key
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}_search(asked STRING, top_k INT)
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}_search(asked STRING, top_k INT DEFAULT {DEFAULT_TOP_K})
         RETURNS TABLE ({key} {kind}, name STRING, title STRING, uri STRING, description STRING, score DOUBLE)
         RETURN
           WITH words AS (
             SELECT word, count(*) AS weight
-            FROM (SELECT explode(regexp_extract_all(lower(asked), '{TOKEN}', 0)) AS word)
+            FROM (SELECT explode(regexp_extract_all(lower(
+                CASE WHEN coalesce(length(asked), 0) < 1 THEN raise_error('{EMPTY_QUERY}') ELSE asked END), '{TOKEN}', 0)) AS word)
             GROUP BY word
           ),
           scored AS (
@@ -56,7 +59,9 @@ def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None
           best AS (
             SELECT *, row_number() OVER (ORDER BY score DESC, {order}) AS rk FROM scored
           )
+          -- a row, not a constant: a limit of 0 must fail, not prune the query
           SELECT b.{key}, d.name, d.title, d.uri, d.description, b.score
-          FROM best b JOIN {name}_documents d ON b.{key} = d.{key}
-          WHERE b.rk <= top_k AND b.rk <= {MAX_TOP_K}
+          FROM (SELECT CASE WHEN coalesce(top_k BETWEEN 1 AND {MAX_TOP_K}, FALSE) THEN top_k
+                       ELSE raise_error('{BAD_TOP_K}') END AS k) c
+          JOIN best b ON b.rk <= c.k JOIN {name}_documents d ON b.{key} = d.{key}
     """)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import coverage
@@ -18,10 +20,46 @@ def local_timestamp() -> Column:
     return F.concat(stamp, F.lit(ZONE))
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
+def new_run() -> str:
+    """A name for a run; later runs have larger ones."""
+    return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+
+
+def write_pages(pages: DataFrame, path: str, run: str) -> None:
     """Cleaned HTML and Markdown side by side: readers take the column they
-    need, and the conversion behind both runs once."""
-    pages.write.mode("overwrite").partitionBy("category").parquet(path)
+    need, and the conversion behind both runs once. Pages of other runs stay."""
+    pages.drop("fetched_at").write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
+
+
+def write_raw(pages: DataFrame, path: str, run: str) -> None:
+    """The fetched pages as they came, for the next run to reuse."""
+    at = F.coalesce(F.col("fetched_at"), F.current_timestamp())
+    kept = pages.select("url", "category", "slug", "html", at.alias("fetched_at"))
+    kept.write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The newest page of each URL over all runs; chosen on URLs and runs alone."""
+    pages = spark.read.parquet(path)
+    newest = pages.groupBy("url").agg(F.max(F.col("run").cast("string")).alias("run"))
+    return pages.withColumn("run", F.col("run").cast("string")).join(newest, ["url", "run"], "left_semi").drop("run")
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(url, html, fetched_at) of all runs; a run takes the newest."""
+    return spark.read.parquet(path).select("url", "html", "fetched_at")
+
+
+def write_merged(documents: DataFrame, path: str, key: str = "path", column: str = "markdown") -> None:
+    """One Markdown text per category, in the order of ``key``, as text files.
+
+    Rows are dealt by ranges of (category, key) and sorted within, so a
+    category of any size is spread over tasks; its files in the order of their
+    names are the whole, documents parted by a blank line.
+    """
+    body = F.concat(F.col(column), F.lit("\n"))
+    dealt = documents.repartitionByRange("category", key).sortWithinPartitions("category", key)
+    dealt.select("category", body.alias("value")).write.mode("overwrite").partitionBy("category").text(path)
 
 
 def write_status(status: DataFrame, path: str) -> None:

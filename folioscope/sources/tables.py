@@ -5,26 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side sent to every executor: rows of a term, a hit or a URL, about a
-# hundred bytes each.
-BROADCAST_ROWS = 1_000_000
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input at least one partition per core.
-
-    A table of a few files would leave most cores idle in the per-row text and
-    HTML work. A large table already has more partitions than cores and is
-    returned untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, *keys)
+# Session setting: partitions that input tables are dealt to. Unset, they stay as
+# files and row groups split them; set it for inputs of few row groups only, as
+# it moves whole rows.
+PARTITIONS = "folioscope.input.partitions"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    rows = spark.read.parquet(f"{root}/{name}.parquet")
+    wanted = spark.conf.get(PARTITIONS, None)
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -39,8 +29,3 @@ def read_tree(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     # The listing may qualify the root, so cut at its own last occurrence.
     stem = root.split("://", 1)[-1].rstrip("/") + "/"
     return files.select(F.substring_index(plain, stem, -1).alias("path"), "text")
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
-    return df.limit(rows + 1).count() <= rows

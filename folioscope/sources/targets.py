@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +69,12 @@ def from_index_pages(pages: DataFrame, site: Site) -> DataFrame:
     return targets.finish(targets.last_by(first, "url", ord="rank"))
 
 
+def _is_unreadable(error: Exception) -> bool:
+    """A source that is missing or malformed; losing an executor is neither."""
+    told = isinstance(error, Py4JJavaError) and re.search(r"\[(MALFORMED_RECORD|FAILED_READ_FILE)", str(error))
+    return bool(told) or isinstance(error, (AnalysisException, SparkRuntimeException, OSError))
+
+
 def single(spark: SparkSession, url: str, site: Site) -> DataFrame:
     found = targets.build(spark.createDataFrame([(0, url)], "ord bigint, url string"), site)
     if found.isEmpty():
@@ -89,10 +99,27 @@ def choose(
         # Reads every entry, so that a fault anywhere shows now.
         found.count()
         return found
-    except Exception:  # noqa: BLE001 - any read failure means fall back
+    except Exception as error:
+        if not _is_unreadable(error):
+            raise
         return index_pages()
 
 
+def readable_pages(pages: Iterable[Callable[[], DataFrame]]) -> DataFrame | None:
+    """The index pages that can be read; one that can't does not cost the others."""
+    found: list[DataFrame] = []
+    for load in pages:
+        try:
+            page = load()
+            page.count()
+        except Exception as error:
+            if not _is_unreadable(error):
+                raise
+        else:
+            found.append(page)
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     """Add file order. Splits of one file are numbered in file order; files
     themselves are ordered by path."""

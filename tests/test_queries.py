@@ -42,8 +42,13 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", ["term_frequency", "doc_norms", "page_links", "html_markdown", "md_sanitize"])
-def test_per_row_work_needs_no_shuffle(spark, name, monkeypatch):
-    """On a table with enough partitions these plans have no exchange."""
-    monkeypatch.setattr(queries, "spread", lambda df, *keys: df)
+def test_per_row_work_needs_no_shuffle(spark, name):
     plan = registered.queries()[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_stored_search_reads_terms_where_they_lie(spark):
+    plan = registered.queries()["search_stored_batch"](spark, ROOT)
+    hits = registered.queries()["search_stored_topk"](spark, ROOT)
+    assert "hashpartitioning(doc_id" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in hits._jdf.queryExecution().executedPlan().toString()

@@ -70,33 +70,39 @@ def test_search_equals_brute_force(counted, query):
     assert got == rule_search(corpus(300), query, 7)
 
 
-def test_search_checks_arguments(counted):
-    for query, k in (("", 5), ("a", 0), ("a", 21)):
-        with pytest.raises(ValueError):
-            search.search(counted, query, k)
+def test_search_answers_any_limit(counted):
+    for k in (0, 1, 21, 250, 1000):
+        got = [(r.doc_id, r.score) for r in search.search(counted, "the of", k).orderBy("rank").collect()]
+        assert got == rule_search(corpus(300), "the of", k)
+    assert search.search(counted, "", 5).collect() == []
+
+
+def test_a_query_of_many_words(counted):
+    words = " ".join(f"w{i}" for i in range(4000)) + " the of the"
+    got = [(r.doc_id, r.score) for r in search.search(counted, words, 5).orderBy("rank").collect()]
+    assert got == rule_search(corpus(300), words, 5)
 
 
 QUERIES = [(0, "the of", 5), (1, "alpha alpha b", 20), (2, "é文", 5), (3, "", 5), (4, "a", 21), (5, "a", 0), (6, "a", 1)]
 
 
-def batch_expectation():
+def batch_expectation(queries=QUERIES):
     want = {}
-    for qid, query, k in QUERIES:
-        if query and 1 <= k <= 20:
-            for rank, (key, score) in enumerate(rule_search(corpus(300), query, k), 1):
-                want[qid, rank] = (key, score)
+    for qid, query, k in queries:
+        for rank, (key, score) in enumerate(rule_search(corpus(300), query, k), 1):
+            want[qid, rank] = (key, score)
     return want
 
 
-@pytest.mark.parametrize("limit,passes", [(1_000_000, 1), (3, 4), (1, 0)])
-def test_batch_equals_brute_force(spark, counted, monkeypatch, limit, passes):
-    """One pass, several passes, and the join by term."""
-    monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
-    monkeypatch.setattr(search, "MAX_PASSES", 8)
-    valid = spark.createDataFrame([q for q in QUERIES if q[1] and 1 <= q[2] <= 20], "query_id int, query string, top_k int")
-    assert len(search._passes(search.query_terms(valid))) == passes
-    queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
-    hits = search.search_batch(documents.postings(counted), queries).collect()
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_batch_equals_brute_force(spark, counted, threshold):
+    """Query terms sent to the postings, and both joined by term."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
+        hits = search.search_batch(documents.postings(counted), queries).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits} == batch_expectation()
 
 
@@ -120,10 +126,18 @@ def test_stored_index(spark, enriched):
     for query in ("the of the", "alpha x1!", "nothing", "文"):
         found = search.search_stored(postings, docs, query, 7)
         assert [(r.doc_id, r.score) for r in found.orderBy("rank").collect()] == rule_search(corpus(300), query, 7)
-    plan = search.search_stored(postings, docs, "the of", 7)._jdf.queryExecution().executedPlan().toString()
+    plan = search.stored_hits(postings, "the of", 7)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [" in plan and "Exchange hashpartitioning" not in plan
 
+    long = " ".join(f"w{i}" for i in range(3000)) + " the"
+    found = search.search_stored(postings, docs, long, 30).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in found] == rule_search(corpus(300), long, 30)
+
     index.search_function(spark, "probe")
+    for asked, k in (("the", 0), ("the", 21), ("", 5)):
+        with pytest.raises(Exception, match="must"):
+            spark.sql(f"SELECT * FROM probe_search('{asked}', {k})").collect()
+    assert spark.sql("SELECT * FROM probe_search('the')").count() == 5
     rows = spark.sql("SELECT * FROM probe_search('the of the', 4)").collect()
     got = sorted(((r.doc_id, r.score) for r in rows), key=lambda hit: (-hit[1], hit[0]))
     assert got == rule_search(corpus(300), "the of the", 4)
@@ -158,15 +172,18 @@ def test_hot_term_and_equal_scores_keep_order(spark):
 
 
 def test_responses(spark, enriched, counted):
-    queries = spark.createDataFrame([(1, "alpha", 2), (2, "zzz", 2)], "query_id int, query string, top_k int")
-    hits = search.with_documents(search.search_batch(documents.postings(counted), queries), enriched, queries)
-    got = {r.query_id: json.loads(r.response) for r in search.search_response(queries, hits).collect()}
-    best = rule_search(corpus(300), "alpha", 2)
-    assert got[1]["content"] == [
-        {"type": "resource_link", "uri": f"doc://t/c/{k}", "name": f"c/{k}", "description": "d", "mimeType": "text/markdown"}
-        for k, _ in best
-    ]
+    rows = [(1, "alpha", 2), (2, "zzz", 2), (3, "alpha", 21), (4, "alpha", 0), (5, "", 2), (6, None, 2), (7, "alpha", None)]
+    queries = spark.createDataFrame(rows, "query_id int, query string, top_k int")
+    hits = search.with_documents(search.search_batch(documents.postings(counted), search.accepted(queries)), enriched)
+    answers = search.search_response(queries, hits).collect()
+    got = {r.query_id: json.loads(r.response) for r in answers}
+    link = lambda k: {"type": "resource_link", "uri": f"doc://t/c/{k}", "name": f"c/{k}", "description": "d", "mimeType": "text/markdown"}
+    assert got[1]["content"] == [link(k) for k, _ in rule_search(corpus(300), "alpha", 2)]
+    assert got[7]["content"] == [link(k) for k, _ in rule_search(corpus(300), "alpha", 5)]
     assert got[2]["content"][0]["type"] == "text" and "'zzz'" in got[2]["content"][0]["text"]
+    assert {r.query_id for r in answers if r.rejected} == {3, 4, 5, 6}
+    for rejected, why in ((3, search.BAD_TOP_K), (4, search.BAD_TOP_K), (5, search.EMPTY_QUERY), (6, search.EMPTY_QUERY)):
+        assert got[rejected] == {"content": [{"type": "text", "text": why}], "isError": True}
 
 
 def test_open_documents(spark):
@@ -187,9 +204,3 @@ def test_open_documents(spark):
     assert search.open_document(docs, "a/none").collect() == []
     with pytest.raises(ValueError):
         search.open_document(docs, "")
-
-
-def test_valid_query(column, spark):
-    rows = [("a", 1, True), ("a", 20, True), ("a", 0, False), ("a", 21, False), ("", 5, False)]
-    df = spark.createDataFrame(rows, "q string, k int, want boolean")
-    assert df.filter(search.valid_query(F.col("q"), F.col("k")) != F.col("want")).isEmpty()

@@ -134,9 +134,25 @@ def test_single_and_choice(spark):
     assert sources.choose(None, None, lambda: empty, lambda: two) is empty
 
 
-def test_spread_and_fits(spark):
-    small = spark.range(10, numPartitions=1)
-    assert tables.spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(100, numPartitions=50)
-    assert tables.spread(large, "id") is large
-    assert tables.fits(small, 10) and not tables.fits(small, 9)
+def test_inputs_stay_as_they_are_split_unless_told(spark, tmp_path):
+    spark.range(100).write.parquet(f"{tmp_path}/t.parquet")
+    plan = lambda: tables.table(spark, str(tmp_path), "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan()
+    spark.conf.set(tables.PARTITIONS, "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan()
+    finally:
+        spark.conf.unset(tables.PARTITIONS)
+
+
+def test_one_unreadable_index_page_does_not_cost_the_others(spark):
+    good = spark.createDataFrame([("en", 0, "<a href=/en/1>x</a>")], "category string, ord int, html string")
+    found = sources.readable_pages([lambda: good, lambda: spark.read.text("/none/such"), lambda: good])
+    assert found.count() == 2
+    assert sources.readable_pages([lambda: spark.read.text("/none/such")]) is None
+
+    def broken():
+        raise ZeroDivisionError
+
+    with pytest.raises(ZeroDivisionError):
+        sources.readable_pages([broken])
