@@ -2,55 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts alike.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session that runs in one process and has no such setting, as in
-    tests, gets a folder of its own; on a cluster its absence is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if context.master != "local" and not context.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="folioscope-")
-    return _own_folders[context.applicationId]
-
+from folioscope.sinks.scratch import clear, stored
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/folioscope-{spark.sparkContext.applicationId}"
+__all__ = ["WORD", "clear", "digits", "matched", "n_words", "row_key", "stored"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The result no longer depends on what executors hold, is computed once, and
-    Spark knows its size, on which it bases its choice of joins.
-    """
-    path = f"{_scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables ``stored`` wrote; call it when results are safe."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts alike.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def row_key(id_column: str, text_column: str) -> Column:
