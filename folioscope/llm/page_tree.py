@@ -22,7 +22,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets ad ads"
     " adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr"
-    " notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social"
+    " notice notices notification notifications alert alerts announcement announcements popup modal overlay newsletter subscribe subscription signup login share sharing social"
     " related recommended recommendations comment comments commentlist comentarios disqus respond reply replies pagination"
     " pager toolbar search form hidden".split()
 )

@@ -211,7 +211,7 @@ def _passes(estimates: DataFrame, entries: int) -> Iterator[dict[str | None, Has
     blocks = max(1, ceil(estimates.count() / entries))
     for k in range(blocks):
         block = estimates.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k) if blocks > 1 else estimates
-        table = block.orderBy("lang").toArrow()
+        table = block.toArrow()
         langs = table.column("lang").combine_chunks()
         out = {}
         for lang in langs.unique().to_pylist():
