@@ -283,7 +283,7 @@ def all_oracles() -> dict[str, str]:
         "url_slug": f"SELECT page_id, {_slug(_canon('url'))} AS slug FROM pages",
         "slug_title": f"""
             WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
-            s AS (SELECT doc_id, coalesce(t[1], '') || '-' || coalesce(t[2], '') || '__' || doc_id || coalesce(t[3], '') || '_' AS slug FROM w)
+            s AS (SELECT doc_id, array_to_string(t, '-') || '__' || doc_id || '_' AS slug FROM w)
             SELECT doc_id, slug, {_title_case('slug')} AS title_guess FROM s""",
         "url_dedupe": f"WITH {_VARIANTS} SELECT min(ord) AS ord, url, arg_min(title, ord) AS title FROM v GROUP BY url",
         "url_dedupe_last": f"WITH {_VARIANTS} SELECT max(ord) AS ord, url, arg_max(title, ord) AS title FROM v GROUP BY url",

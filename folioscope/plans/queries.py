@@ -264,14 +264,10 @@ def url_slug(spark: SparkSession, root: str) -> DataFrame:
 
 
 def slug_title(spark: SparkSession, root: str) -> DataFrame:
-    """Slugs made of each document's first words."""
-    rows = table(spark, root, "documents").select("doc_id", "text")
-    words = rows.withColumn("w", text.tokens(F.col("text")))
-    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
-    slug = F.concat(word(0), F.lit("-"), word(1), F.lit("__"), F.col("doc_id").cast("string"), word(2), F.lit("_"))
-    return words.select("doc_id", slug.alias("slug")).select(
-        "doc_id", "slug", urls.title_guess(F.col("slug")).alias("title_guess")
-    )
+    """Slugs made of all words of each document."""
+    rows = table(spark, root, "documents").select("doc_id", text.tokens(F.col("text")).alias("words"))
+    slug = F.concat(F.array_join("words", "-"), F.lit("__"), F.col("doc_id").cast("string"), F.lit("_"))
+    return rows.select("doc_id", slug.alias("slug")).select("doc_id", "slug", urls.title_guess(F.col("slug")).alias("title_guess"))
 
 
 def _variants(spark: SparkSession, root: str) -> DataFrame:
