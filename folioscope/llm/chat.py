@@ -57,7 +57,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     blocks = blocks.select("conv", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "t", "r")])
     return (
         matched(within, blocks, ["conv", "block"])
-        .select("conv", "turn", "role", "text", "tokens", "long", "q", "system_turn",
+        .select("conv", "role", "text", "tokens", "long", "q", "is_system",
                 (F.col("ordinal") + F.col("n")).alias("ordinal"),
                 (F.col("tokens_before") + F.col("t")).alias("tokens_before"),
                 (F.col("room_before") + F.col("r")).alias("room_before"))
@@ -86,7 +86,7 @@ def windows(
     holds. Only a turn (with its system turn) that is too long in itself goes
     beyond it: its window is marked, and nothing is cut. A window opens with the
     conversation's first system turn, if an earlier window had it, then up to
-    ``history_turns`` turns before it, of up to ``history_tokens`` tokens in
+    ``history_turns`` turns before it (copies of the system turn left out), of up to ``history_tokens`` tokens in
     all; those are outside the loss. The loss covers each new assistant turn's
     text, escaped as it stands.
 
@@ -101,28 +101,30 @@ def windows(
         F.coalesce("text", F.lit("")).alias("text"),
     )
     rows = rows.withColumn("tokens", (n_words(F.col("text")) if tokens is None else tokens) + MARKS)
-    system = rows.where("role = 'system'").groupBy("conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("system_turn"))
+    # each turn learns what the system turn costs and whether it is that turn, not what it says
+    first = F.min(F.struct("turn", "text", "tokens")).alias("first")
+    system = rows.where("role = 'system'").groupBy("conv").agg(first).select(
+        "conv", F.struct("first.turn", F.xxhash64("first.text").alias("digest"), "first.tokens").alias("system"))
     rows = matched(rows, system, ["conv"], "left")
+    is_system = (F.col("role") == "system") & F.struct("turn", F.xxhash64("text")).eqNullSafe(F.struct("system.turn", "system.digest"))
+    rows = rows.withColumn("is_system", is_system)
     # the room for new turns, and the step
-    room = F.greatest(F.lit(4), F.lit(budget - history_tokens) - F.coalesce("system_turn.tokens", F.lit(0)))
+    room = F.greatest(F.lit(4), F.lit(budget - history_tokens) - F.coalesce("system.tokens", F.lit(0)))
     rows = rows.withColumn("q", F.floor(room * 3 / 4)).withColumn("long", F.col("tokens") * 4 > room)
     rows = rows.withColumn("room", F.when(F.col("long"), F.col("q") * 2).otherwise(F.col("tokens")))
     window = F.floor(F.col("room_before") / F.col("q")) * 2 + F.col("long").cast("int")
     placed = stored(_numbered(rows).withColumn("window", window).drop("q", "long", "room_before"), "turns")
 
-    is_system = F.struct("turn", "role", "text", "tokens").eqNullSafe(F.col("system_turn"))
-    firsts = placed.groupBy("conv", "window").agg(
-        F.min(F.struct("ordinal", "turn", "role", "text", "tokens_before", "system_turn")).alias("first"))
+    firsts = placed.groupBy("conv", "window").agg(F.min(F.struct("ordinal", "tokens_before")).alias("first"))
     starts = stored(firsts.select("conv", "window", "first.*"), "windows")
-    after = F.struct(F.col("turn"), F.col("role"), F.col("text"))
-    held = F.struct("system_turn.turn", "system_turn.role", "system_turn.text")
-    heads = starts.where(F.col("system_turn").isNotNull() & (after > held)).select(
-        "conv", "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ordinal"), "system_turn.role", "system_turn.text", "system_turn.tokens")
+    said = placed.where("is_system").groupBy("conv").agg(F.min(F.struct("ordinal", "role", "text", "tokens")).alias("head"))
+    heads = matched(starts, said, ["conv"]).where(F.col("ordinal") > F.col("head.ordinal")).select(
+        "conv", "window", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ordinal"), "head.role", "head.text", "head.tokens")
     wanted = starts.select(F.col("conv"), F.col("window").alias("into"), F.col("tokens_before").alias("until"),
                            F.explode(F.sequence(F.lit(1), F.lit(max(1, history_turns)))).alias("back"), F.col("ordinal").alias("at"))
     wanted = wanted.where(F.col("back") <= history_turns).select("conv", "into", "until", (F.col("at") - F.col("back")).alias("ordinal"))
     past = matched(placed.drop("window"), wanted, ["conv", "ordinal"]).where(
-        (F.col("until") - F.col("tokens_before") <= history_tokens) & ~is_system)
+        (F.col("until") - F.col("tokens_before") <= history_tokens) & ~F.col("is_system"))
     past = past.select("conv", F.col("into").alias("window"), F.lit(1).alias("kind"), "ordinal", "role", "text", "tokens")
     new = placed.select("conv", "window", F.lit(2).alias("kind"), "ordinal", "role", "text", "tokens")
 
