@@ -153,6 +153,9 @@ def parse(page: str) -> Node:
             continue  # inline: part of the text
         if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
+        if node.main and not node.furniture:  # a form around the article is no form
+            for n in stack:
+                n.furniture = 0 if n.tag == "form" else n.furniture
         if len(stack) < _DEEPEST:
             stack[-1].children.append(node)
             stack.append(node)

@@ -70,7 +70,7 @@ def _fold(children: list[dict]) -> list[dict]:
 
 def _merge(a: dict, b: dict, same_page: bool = False) -> dict:
     return {
-        "k": a["k"], "f": a["f"], "m": a["m"], "n": a["n"] if same_page else a["n"] + b["n"],
+        "k": a["k"], "f": min(a["f"], b["f"]), "m": a["m"], "n": a["n"] if same_page else a["n"] + b["n"],
         "o": a["o"] | b["o"], "r": a["r"] | b["r"], "t": a["t"] + b["t"], "l": a["l"] + b["l"],
         "x": a["x"] if a["x"] == b["x"] else None, "c": _align(a["c"], b["c"], same_page),
     }
@@ -152,7 +152,9 @@ def region(w: dict) -> str:
 
     look(w, w["k"], False)
     found = [x for x in found if x[1] > 0]
-    if found:
+    clear = [x for x in found if x[0]]
+    if clear or _own(w)[0] == 0 and found:  # comments are articles too
+        found = clear or found
         best = max(found, key=lambda x: (x[0], x[1], -len(x[2])))
         # an article that is most of the largest is meant, not what encloses both
         inner = [x for x in found if x[0] == best[0] and x[2].startswith(best[2] + "/") and x[1] * 2 > best[1]]

@@ -30,6 +30,11 @@ CASES = {
         "Head\nSome body text that is long.\nMore of it, too, here.",
     ),
     "a form around all": (page("<form id=f><div class=menu>M</div><article><p>Text</p></article></form>"), "Text"),
+    "only comments are articles": (
+        page("<div class=content><p>Text of it.</p></div><div id=comments><article class=comment><p>" + "A long comment. " * 30 + "</p></article></div>"),
+        "Text of it.",
+    ),
+    "a form around all but a greeting": (page("<div>Welcome</div><form id=f><article><p>Text of it</p></article></form>"), "Text of it"),
     "menu never closed": ("<nav><p>a<article><p>art text here</p></article>", "art text here"),
     "truncated": ("<html><body><article><h1>Head</h1><p>some &amp; more &am", "Head\nsome & more &am"),
     "raw text": ('<article><p>x<script>var a="</p>";</script>y<style>p{}</style>z<!-- c <p> -->w</p><p>1 < 2 &lt; 3 &#x41;</p></article>', "xyzw\n1 < 2 < 3 A"),
