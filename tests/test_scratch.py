@@ -1,0 +1,32 @@
+import os
+from types import SimpleNamespace
+
+import pytest
+
+from folioscope.sinks import scratch
+
+
+def test_stored_tables_outlive_their_source(spark):
+    source = spark.range(5).selectExpr("id", "cast(null as string) AS nothing")
+    kept = scratch.stored(source, "five")
+    assert kept.schema == source.schema and kept.count() == 5
+    assert scratch.stored(source.where("id > 9"), "none").collect() == []
+    folder = scratch._folder(spark)
+    assert os.path.isdir(folder)
+    scratch.clear(spark)
+    assert not os.path.exists(folder)
+
+
+def session(master, setting=None):
+    conf = {"spark.checkpoint.dir": setting} if setting else {}
+    getter = lambda key, default=None: conf.get(key, default)
+    context = SimpleNamespace(master=master, applicationId="app-1", getConf=lambda: SimpleNamespace(get=getter))
+    return SimpleNamespace(conf=SimpleNamespace(get=getter), sparkContext=context)
+
+
+def test_a_cluster_names_its_shared_folder():
+    assert scratch.shared_folder(session("spark://h:7077", "hdfs://h/x")) == "hdfs://h/x"
+    assert scratch.shared_folder(session("local[2]", "/shared")) == "/shared"
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(session(master))
