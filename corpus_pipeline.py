@@ -17,7 +17,7 @@ ORACLE_SQL: str | None = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the quality rules reject."""
-    return perplexity.good(docs)
+    return perplexity.good(docs, repeats=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

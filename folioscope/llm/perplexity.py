@@ -253,6 +253,7 @@ def judged(
     least_width: float = 0.02,
     min_docs: int = 20,
     pass_entries: int = PASS_ENTRIES,
+    repeats: bool = True,
     id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
@@ -264,9 +265,10 @@ def judged(
     language) lies within the language's band: on the logarithm, its median
     less ``lower`` and plus ``upper`` standard deviations, these taken from the
     median absolute deviation and at least ``least_width``. Median and
-    deviation are over all documents that pass the base rules, repeated rows
-    included, exact to 0.001; so a band moves with a language and not with its
-    outliers. A language with fewer than ``min_docs`` such documents has no
+    deviation are over all documents that pass the base rules, exact to 0.001;
+    so a band moves with a language and not with its outliers. With
+    ``repeats=False`` a text that many rows of a language share weighs once, so
+    that a band does not narrow to the copies of one text. A language with fewer than ``min_docs`` such documents has no
     band. A null language is a language; a null or empty text has no
     perplexity and fails. The model is of the same texts it scores, so every
     n-gram has an estimate; it is sent to the tasks in blocks of bounded size, each
@@ -291,7 +293,10 @@ def judged(
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     nats = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))
     scored = stored(scored.withColumn("base_failed", failed).withColumn("nats", nats).drop("logp", "n_bytes"), "scores")
-    bands = stored(_bands(scored.where("not base_failed"), lower, upper, least_width, min_docs), "bands")
+    weighed = scored.where("not base_failed").select("lang", "key", "nats")
+    if not repeats:  # verdicts still go to all rows
+        weighed = weighed.groupBy("lang", F.col("key.text").alias("hash")).agg(F.max("nats").alias("nats"))
+    bands = stored(_bands(weighed, lower, upper, least_width, min_docs), "bands")
     within = F.col("low").isNull() | F.col("nats").between(F.col("low"), F.col("high"))
     joined = matched(scored, bands, ["lang"], "left")
     return joined.select("key", *MEASURES, "base_failed", F.exp("nats").alias("perplexity"), (~F.col("base_failed") & within).alias("kept"))
@@ -328,4 +333,4 @@ def good(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **settings)
 
 def op5_quality_rules(spark, root) -> DataFrame:
     docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang")
-    return judged(docs).select(F.col("key.id").alias("doc_id"), *MEASURES, "base_failed", "perplexity", "kept")
+    return judged(docs, repeats=False).select(F.col("key.id").alias("doc_id"), *MEASURES, "base_failed", "perplexity", "kept")

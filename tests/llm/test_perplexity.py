@@ -159,3 +159,13 @@ def test_awkward(spark, table, awkward):
     kept = P.good(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5}
     assert P.judged(table([])).collect() == [] and P.good(table([])).collect() == []
+
+
+def test_copies_of_a_text_do_not_narrow_the_band(spark, table):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, say(rng.randint(60, 300)), "en") for i in range(60)]
+    docs = table(rows + [(1000 + i, rows[0][1], "en") for i in range(200)])
+    kept = {r.key.id: r.kept for r in P.judged(docs, repeats=False).collect()}
+    assert len(kept) == 260 and all(kept.values())
