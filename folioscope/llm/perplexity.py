@@ -4,7 +4,8 @@ The model has a modified Kneser-Ney estimate for every run of ``ORDER`` bytes,
 for each language, counted by Spark over all texts. Bytes need no vocabulary,
 cap nothing and give contexts that even short texts have seen. A run counts as
 often as there are other documents that have it: else every odd document would
-vouch for itself, as its rare runs would make each other certain.
+vouch for itself, as its rare runs would make each other certain. Where repeated
+rows don't count, copies of a text don't vouch for each other either.
 """
 
 from __future__ import annotations
@@ -244,6 +245,11 @@ def _score(known, order: int, kept: list[str], whole: bool):
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """A row for each text of a language; copies meet within tasks first."""
+    return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropDuplicates()
+
+
 def judged(
     docs: DataFrame,
     *,
@@ -267,8 +273,9 @@ def judged(
     median absolute deviation and at least ``least_width``. Median and
     deviation are over all documents that pass the base rules, exact to 0.001;
     so a band moves with a language and not with its outliers. With
-    ``repeats=False`` a text that many rows of a language share weighs once, so
-    that a band does not narrow to the copies of one text. A language with fewer than ``min_docs`` such documents has no
+    ``repeats=False`` a text that many rows of a language share weighs once, in
+    the model and in the band: its copies neither vouch for each other nor narrow
+    the band to themselves. A language with fewer than ``min_docs`` such documents has no
     band. A null language is a language; a null or empty text has no
     perplexity and fails. The model is of the same texts it scores, so every
     n-gram has an estimate; it is sent to the tasks in blocks of bounded size, each
@@ -279,7 +286,10 @@ def judged(
     rows = docs.select(
         row_key(id, text).alias("key"), F.col(lang).alias("lang"), F.col(lang).alias("of"), F.col(text).cast("binary").alias("text"))
     kept = ["key", "lang"]
-    estimates = model(docs, order=order, lang=lang, text=text)
+    if repeats:
+        estimates = model(docs, order=order, lang=lang, text=text)
+    else:
+        estimates = model(_texts(docs, lang, text), order=order)
     context = docs.sparkSession.sparkContext
     part = rows.select(*kept).schema.add("logp", "double")
     whole = reduce(lambda schema, name: schema.add(name, "long"), ["n_bytes", *MEASURES], rows.select(*kept).schema.add("logp", "double"))

@@ -169,3 +169,18 @@ def test_copies_of_a_text_do_not_narrow_the_band(spark, table):
     docs = table(rows + [(1000 + i, rows[0][1], "en") for i in range(200)])
     kept = {r.key.id: r.kept for r in P.judged(docs, repeats=False).collect()}
     assert len(kept) == 260 and all(kept.values())
+
+
+def test_copies_do_not_vouch_for_each_other(spark, table):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(60, 300))), "en") for i in range(100)]
+    junk = " ".join("".join(rng.choice("$%&#*|<>xqz") for _ in range(rng.randint(2, 9))) for _ in range(120))
+    levels = set()
+    for times in (1, 2, 7):
+        got = P.judged(table(rows + [(1000 + k, junk, "en") for k in range(times)]), repeats=False).collect()
+        odd = [r for r in got if r.key.id >= 1000]
+        assert len(odd) == times and not any(r.base_failed or r.kept for r in odd)
+        assert all(r.kept for r in got if r.key.id < 1000)
+        levels |= {round(r.perplexity, 6) for r in odd}
+    assert len(levels) == 1
