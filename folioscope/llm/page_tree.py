@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 # Names as HTML has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas textarea select title".split())
+RAW = frozenset("script style textarea title".split())
+#: Elements whose content a page doesn't show as its text.
+INSETS = frozenset("noscript template iframe object svg canvas select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section summary"
@@ -16,7 +18,7 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that never hold an article's text.
-FURNITURE = frozenset("nav footer aside form dialog menu search button fieldset".split()) | RAW
+FURNITURE = frozenset("nav footer aside form dialog menu search button fieldset".split()) | RAW | INSETS
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of a class or id that say the same; ``header`` is judged by where it stands.
 FURNITURE_WORDS = frozenset(
@@ -34,6 +36,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S,
 )
+_TAG = re.compile(r"<[a-zA-Z/!]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+(?![a-z])")
 _CLOSED_BY = {  # start tag -> open elements that it ends, and where to stop looking
@@ -96,10 +99,13 @@ def parse(page: str) -> Node:
     """The page's blocks as a tree; tag soup gives one too, and no text is lost.
 
     Inline elements are part of their block's text, unless they are furniture.
-    Elements that never close end with what they are in.
+    Elements that never close end with what they are in; a script or style that
+    never closes is the rest of the page, as in browsers, and a title or
+    textarea is the text up to the next tag.
     """
     root = Node("#page")
     stack, at, linked, end_of = [root], 0, False, len(page)
+    unclosed: set[str] = set()  # raw elements that have no end tag from here on
 
     def text(start: int, end: int) -> None:
         if end > start:
@@ -128,8 +134,14 @@ def parse(page: str) -> Node:
                         break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end_of
+            if not m["rest"].rstrip().endswith("/"):
+                close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if not close:
+                    unclosed.add(tag)
+                    close = _TAG.search(page, at) if tag in ("textarea", "title") else None
+                    at = close.start() if close else end_of
+                else:
+                    at = close.end()
             continue
         if tag == "a":
             linked = True
@@ -145,7 +157,7 @@ def parse(page: str) -> Node:
             linked = False
             ends, stops = _CLOSED_BY.get(tag, ((), ()))
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops or stack[k].tag in _BARRIERS and stack[k].tag not in ends:
+                if stack[k].tag in stops or stack[k].tag in INSETS or stack[k].tag in _BARRIERS and stack[k].tag not in ends:
                     break
                 if stack[k].tag in ends:
                     del stack[k:]

@@ -55,6 +55,13 @@ def test_main_text(name):
     assert W.main_text(html) == text
 
 
+@pytest.mark.parametrize("icon", ["<svg class=i/>", "<iframe src='x'/>", "<title/>", "<script src='x'/>", "<p>x<noscript><p>enable</p></noscript></p>",
+                                  "<div><noscript><img src=x></div>", "<div><select><option>o</div>", "<div><object><p>o</div>", "<textarea>typed", "<svg><g><path d=''/><title>t</title></g></svg>"])
+def test_text_behind_insets_stays(icon):
+    x = "x\n" if icon.startswith("<p>x") else ""
+    assert W.main_text(f"<article><p>before</p>{icon}<p>after</p></article><footer><svg></svg><p>foot</p></footer>") == f"before\n{x}after"
+
+
 def test_long_pages_take_linear_time():
     body = "<article>" + "<p>word <b>and <i>more" * 40_000
     assert W.main_text(body).count("\n") == 39_999
