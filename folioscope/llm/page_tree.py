@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 # Names as HTML has them.
@@ -29,8 +30,8 @@ FURNITURE_WORDS = frozenset(
     " pager toolbar search form hidden".split()
 )
 
-#: Below this, elements are taken as parts of the one at this depth.
-_DEEPEST = 100
+#: Paths go down to here; elements below have the path of the one at this depth.
+DEEPEST = 100
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
@@ -106,11 +107,24 @@ def parse(page: str) -> Node:
     root = Node("#page")
     stack, at, linked, end_of = [root], 0, False, len(page)
     unclosed: set[str] = set()  # raw elements that have no end tag from here on
+    places: dict[str, list[int]] = {}  # where each tag is open, outermost first, so that no tag walks the stack
+    walls: list[int] = []  # where barriers are open
+    hidden = plain = 0  # inline furniture that is open; where the stack has no more forms to clear above
 
     def text(start: int, end: int) -> None:
         if end > start:
             stack[-1].children.append((html.unescape(page[start:end]), linked))
 
+    def close(k: int) -> None:
+        nonlocal hidden, plain
+        for n in stack[k:]:
+            places[n.tag].pop()
+            hidden -= bool(n.furniture and not n.block)
+        while walls and walls[-1] >= k:
+            walls.pop()
+        del stack[k:]
+        plain = min(plain, k)
+
     while at < end_of:
         m = _TOKEN.search(page, at)
         if not m:
@@ -124,24 +138,21 @@ def parse(page: str) -> Node:
         if m["end"]:
             if tag == "a":
                 linked = False
-            elif tag in BLOCKS or any(n.tag == tag for n in stack[1:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        linked = linked and not tag in BLOCKS
-                        break
-                    if stack[k].tag in _BARRIERS and tag in ("p", "li", "dd", "dt"):
-                        break
+            elif places.get(tag):
+                k = places[tag][-1]
+                if tag not in ("p", "li", "dd", "dt") or k > (walls[-1] if walls else 0):
+                    close(k)
+                    linked = linked and not tag in BLOCKS
             continue
         if tag in RAW:
             if not m["rest"].rstrip().endswith("/"):
-                close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if not close:
+                found = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if not found:
                     unclosed.add(tag)
-                    close = _TAG.search(page, at) if tag in ("textarea", "title") else None
-                    at = close.start() if close else end_of
+                    found = _TAG.search(page, at) if tag in ("textarea", "title") else None
+                    at = found.start() if found else end_of
                 else:
-                    at = close.end()
+                    at = found.end()
             continue
         if tag == "a":
             linked = True
@@ -156,23 +167,24 @@ def parse(page: str) -> Node:
         if tag in BLOCKS:
             linked = False
             ends, stops = _CLOSED_BY.get(tag, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops or stack[k].tag in INSETS or stack[k].tag in _BARRIERS and stack[k].tag not in ends:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-        elif not node.furniture and not any(n.furniture and not n.block for n in stack):
+            floor = max([walls[-1] if walls else 0, *[places[t][-1] for t in (*stops, *INSETS) if places.get(t)]])
+            outer = [places[t][bisect(places[t], floor)] for t in ends if places.get(t) and places[t][-1] > floor]
+            if outer:
+                close(min(outer))
+        elif not node.furniture and not hidden:
             continue  # inline: part of the text
         if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         if node.main and not node.furniture:  # a form around the article is no form
-            for n in stack:
+            for n in stack[plain:]:
                 n.furniture = 0 if n.tag == "form" else n.furniture
-        if len(stack) < _DEEPEST:
-            stack[-1].children.append(node)
-            stack.append(node)
-        elif tag in BLOCKS:
-            stack[-1].children.append((" ", linked))
+            plain = len(stack)
+        if tag in _BARRIERS:
+            walls.append(len(stack))
+        hidden += bool(node.furniture and not node.block)
+        places.setdefault(tag, []).append(len(stack))
+        stack[-1].children.append(node)
+        stack.append(node)
     return root
 
 
@@ -189,24 +201,27 @@ def blocks(node: Node, skip=lambda path, text: False, path: str = "") -> Iterato
             yield path, joined, min(links, len(joined))
         links = 0
 
-    def walk(node: Node, path: str, in_header: bool) -> Iterator[tuple[str, str, int]]:
-        nonlocal links
-        for child in node.children:
-            if isinstance(child, tuple):
-                if not in_header:
-                    parts.append(child[0])
-                    links += len(child[0]) if child[1] else 0
-            elif child.furniture == 1:
-                if child.block:
-                    yield from flush(path)
-            elif child.block:
+    path = path or node.key
+    waiting = [(iter(node.children), path, False, True)]  # no recursion: pages are as deep as they like
+    top = path.count("/")
+    while waiting:
+        children, path, in_header, block = waiting[-1]
+        child = next(children, None)
+        if child is None:
+            waiting.pop()
+            if block:
+                yield from flush(path)
+        elif isinstance(child, tuple):
+            if not in_header:
+                parts.append(child[0])
+                links += len(child[0]) if child[1] else 0
+        elif child.furniture == 1:
+            if child.block:
                 yield from flush(path)
-                inner = f"{path}/{child.key}"
-                header = (in_header or child.furniture == 2) and child.tag not in HEADINGS
-                yield from walk(child, inner, header)
-                yield from flush(inner)
-            else:
-                yield from walk(child, path, in_header)
-
-    yield from walk(node, path or node.key, False)
-    yield from flush(path or node.key)
+        elif child.block:
+            yield from flush(path)
+            inner = f"{path}/{child.key}" if top + len(waiting) < DEEPEST else path
+            header = (in_header or child.furniture == 2) and child.tag not in HEADINGS
+            waiting.append((iter(child.children), inner, header, True))
+        else:
+            waiting.append((iter(child.children), path, in_header, False))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import matched, stored
-from folioscope.llm.page_tree import Node, blocks, parse
+from folioscope.llm.page_tree import DEEPEST, Node, blocks, parse
 from folioscope.llm.site_lines import host
 
 # A wrapper node is a dict: k key, f furniture, m main, n pages that have it,
@@ -32,12 +32,33 @@ _SITES = 2_000
 _SALTS = 16
 
 
-def of_page(node: Node) -> dict:
-    """The wrapper of a single page: its tree with runs of like elements folded."""
-    words = "".join(c[0] for c in node.children if isinstance(c, tuple))
+def _text_below(node: Node) -> list[tuple[str, bool]]:
+    """All text below an element that isn't furniture, without recursion."""
+    out: list[tuple[str, bool]] = []
+    waiting = [iter(node.children)]
+    while waiting:
+        child = next(waiting[-1], None)
+        if child is None:
+            waiting.pop()
+            out.append((" ", False))
+        elif isinstance(child, tuple):
+            out.append(child)
+        elif child.furniture != 1:
+            waiting.append(iter(child.children))
+            out.append((" ", False))
+    return out
+
+
+def of_page(node: Node, depth: int = 0) -> dict:
+    """The wrapper of a single page: its tree with runs of like elements folded.
+
+    What lies below the deepest element of a path is text of that element.
+    """
+    within = node.children if depth < DEEPEST else _text_below(node)
+    words = "".join(c[0] for c in within if isinstance(c, tuple))
     shown = " ".join(words.split())
-    linked = sum(len(c[0]) for c in node.children if isinstance(c, tuple) and c[1])
-    inner = [of_page(c) for c in node.children if isinstance(c, Node)]
+    linked = sum(len(c[0]) for c in within if isinstance(c, tuple) and c[1])
+    inner = [of_page(c, depth + 1) for c in within if isinstance(c, Node)]
     return {
         "k": node.key, "f": node.furniture, "m": int(node.main), "n": 1, "o": 0, "r": 0,
         "t": len(shown), "l": min(linked, len(shown)), "x": shown if len(shown) <= 200 else None, "c": _fold(inner),

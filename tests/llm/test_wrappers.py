@@ -62,6 +62,18 @@ def test_text_behind_insets_stays(icon):
     assert W.main_text(f"<article><p>before</p>{icon}<p>after</p></article><footer><svg></svg><p>foot</p></footer>") == f"before\n{x}after"
 
 
+@pytest.mark.parametrize("depth", [90, 150, 3000])
+def test_depth_moves_no_text(depth):
+    deep = "<div>" * depth + "<p>in</p><nav><p>menu</p></nav><p>it<span class=ad>BUY</span></p>" + "</div>" * depth
+    assert W.main_text(f"<div class=wrap><article>{deep}<p>rest</p></article><p>foot</p></div>") == "in\nit\nrest"
+    assert W.main_text(f"<div class=wrap>{deep}<p>rest of it</p></div>").startswith("in\nit")
+
+
+def test_deep_pages_take_linear_time():
+    for tag in ("div", "center", "article", "form"):
+        assert W.main_text(f"<article>{f'<{tag}>' * 100_000}<p>x</p></article>") == ("" if tag == "form" else "x")
+
+
 def test_long_pages_take_linear_time():
     body = "<article>" + "<p>word <b>and <i>more" * 40_000
     assert W.main_text(body).count("\n") == 39_999
