@@ -58,6 +58,8 @@ def of_page(node: Node, depth: int = 0) -> dict:
     words = "".join(c[0] for c in within if isinstance(c, tuple))
     shown = " ".join(words.split())
     linked = sum(len(c[0]) for c in within if isinstance(c, tuple) and c[1])
+    if linked and not any(x.isalnum() for c in within if isinstance(c, tuple) and not c[1] for x in c[0]):
+        linked = len(shown)  # links and what stands between them
     inner = [of_page(c, depth + 1) for c in within if isinstance(c, Node)]
     return {
         "k": node.key, "f": node.furniture, "m": int(node.main), "n": 1, "o": 0, "r": 0,
@@ -155,12 +157,21 @@ def _own(w: dict) -> tuple[int, int]:
     return t, l
 
 
-def region(w: dict) -> str:
+def _loose(w: dict, least_pages: int) -> int:
+    """Characters below that are no furniture, no links and not the same on the pages that have them."""
+    if w["f"] == 1:
+        return 0
+    fixed = w["f"] == 2 or w["x"] is not None and w["n"] >= least_pages
+    return (0 if fixed else w["t"] - w["l"]) + sum(_loose(c, least_pages) for c in w["c"])
+
+
+def region(w: dict, least_pages: int = 3) -> str:
     """The path of the element in which a site keeps its article.
 
     The article or main element with most text of its own; else the innermost
-    element that holds nearly all of the text that isn't links. An element that
-    is furniture doesn't count, unless there is nothing else.
+    element that holds all of the text that isn't links or the same on the pages
+    that have it, ``least_pages`` or more. An element that is furniture doesn't
+    count, unless there is nothing else.
     """
     found: list[tuple[bool, int, str]] = []
 
@@ -180,13 +191,14 @@ def region(w: dict) -> str:
         # an article that is most of the largest is meant, not what encloses both
         inner = [x for x in found if x[0] == best[0] and x[2].startswith(best[2] + "/") and x[1] * 2 > best[1]]
         return max(inner, key=lambda x: (x[1], len(x[2])))[2] if inner else best[2]
-    path, t = w["k"], _own(w)
+    path = w["k"]
+    least = least_pages if _loose(w, least_pages) else w["n"] + 1  # copies of one page: nothing is the site's own
+    total = _loose(w, least)
     while True:
-        sizes = [(_own(c), c) for c in w["c"]]
-        best = max(sizes, key=lambda x: x[0][0] - x[0][1], default=None)
-        if best is None or best[0][0] - best[0][1] < 0.9 * (t[0] - t[1]) or best[1]["r"] or not best[1]["c"]:
+        best = max(((_loose(c, least), c) for c in w["c"]), key=lambda x: x[0], default=(0, None))
+        if best[1] is None or best[0] < total or best[1]["r"] or not best[1]["c"]:
             return path
-        t, w = best
+        w = best[1]
         path = f"{path}/{w['k']}"
 
 

@@ -74,6 +74,13 @@ def test_deep_pages_take_linear_time():
         assert W.main_text(f"<article>{f'<{tag}>' * 100_000}<p>x</p></article>") == ("" if tag == "form" else "x")
 
 
+def test_head_of_a_long_text_stays():
+    for n in (1, 9, 200):
+        body = "<p>Some words of the text.</p>" * n
+        got = W.main_text(page(f"<div id=wrap><h1>Title</h1><p class=lead>The lead.</p><div class=body>{body}</div></div><div><a>x</a> | <a>y</a></div>"))
+        assert got.startswith("Title\nThe lead.\nSome words") and "|" not in got and got.count("\n") == n + 1
+
+
 def test_long_pages_take_linear_time():
     body = "<article>" + "<p>word <b>and <i>more" * 40_000
     assert W.main_text(body).count("\n") == 39_999
