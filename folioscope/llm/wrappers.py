@@ -9,6 +9,7 @@ site keeps its articles, and which text there is its own.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from folioscope.llm.site_lines import host
 
 # A wrapper node is a dict: k key, f furniture, m main, n pages that have it,
 # o optional, r repeated, t characters of text, l of them linked,
-# x the text if it is the same on all pages, c children.
+# x the text, or its digest, if it is the same on all pages, c children.
 
 #: Sites that one task aligns at once; more are passed on in parts.
 _SITES = 2_000
@@ -32,6 +33,11 @@ _SITES = 2_000
 _SALTS = 16
 
 
+def _same(text: str) -> str:
+    """What a text is compared by: a long one's digest, so that wrappers stay small."""
+    return text if len(text) <= 200 else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _text_below(node: Node) -> list[tuple[str, bool]]:
     """All text below an element that isn't furniture, without recursion."""
     out: list[tuple[str, bool]] = []
@@ -63,7 +69,7 @@ def of_page(node: Node, depth: int = 0) -> dict:
     inner = [of_page(c, depth + 1) for c in within if isinstance(c, Node)]
     return {
         "k": node.key, "f": node.furniture, "m": int(node.main), "n": 1, "o": 0, "r": 0,
-        "t": len(shown), "l": min(linked, len(shown)), "x": shown if len(shown) <= 200 else None, "c": _fold(inner),
+        "t": len(shown), "l": min(linked, len(shown)), "x": _same(shown), "c": _fold(inner),
     }
 
 
@@ -139,8 +145,8 @@ def _align(a: list[dict], b: list[dict], same_page: bool) -> list[dict]:
 
 
 def expression(w: dict) -> str:
-    """The wrapper as text: ``( )?`` may be missing, ``( )+`` may repeat, ``#text`` is a slot."""
-    text = "" if not w["t"] else w["x"] if w["x"] is not None else "#text"
+    """The wrapper as text: ``( )?`` may be missing, ``( )+`` may repeat, ``#text`` is a slot, ``#same`` long fixed text."""
+    text = "" if not w["t"] else "#text" if w["x"] is None else "#same" if w["x"].startswith("\0") else w["x"]
     inner = f"<{w['k']}>{text}{''.join(map(expression, w['c']))}</>"
     mark = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[w["o"], w["r"]]
     return f"({inner}){mark}" if mark else inner
@@ -203,7 +209,7 @@ def region(w: dict, least_pages: int = 3) -> str:
 
 
 def template(w: dict, least_pages: int = 3) -> list[list[str]]:
-    """(path, text) of the text that all of a site's pages have, outside articles."""
+    """(path, text or its digest) of the text that all of a site's pages have, outside articles."""
     out: list[list[str]] = []
 
     def look(c: dict, path: str, pages: int) -> None:
@@ -247,7 +253,7 @@ def main_text(page: str | None, where: str | None = None, fixed: list[list[str]]
         where, fixed = region(of_page(tree)), None
         found = _find(tree, where)
     known = {tuple(x) for x in fixed or ()}
-    for skip in ((lambda path, text: (path, text) in known), lambda path, text: False):
+    for skip in ((lambda path, text: (path, _same(text)) in known), lambda path, text: False):
         lines = [text for node, path in found for _, text, _ in blocks(node, skip, path)]
         if lines or not known:
             break

@@ -121,6 +121,16 @@ def test_template_is_left_out_where_there_is_no_article(spark):
     assert {r.text for r in got} == {"The whole text of a page that was copied."}
 
 
+def test_long_notices_are_left_out_too():
+    notice = "The same words on every page of this host. " * 40
+    pages = [f"<body><div class=note>{notice}</div><p>Only on page {i}, with words.</p></body>" for i in range(5)]
+    site = W.of_page(page_tree.parse(pages[0]))
+    for other in pages[1:]:
+        site = W._merge(site, W.of_page(page_tree.parse(other)))
+    assert [W.main_text(p, W.region(site), W.template(site)) for p in pages] == [f"Only on page {i}, with words." for i in range(5)]
+    assert "#same" in W.expression(site) and "#text" in W.expression(site) and len(W.expression(site)) < 200
+
+
 def test_unusual_sites(spark):
     usual = [(i, f"http://s{i}.example/", page(f"<article><p>text {i}</p></article>")) for i in range(30)]
     odd = [(100 + i, "http://odd.example/", page(f"<div class=w><div class=inner><p>odd text {i} and more</p><p>second {i}</p></div></div><div class=menu>m</div>")) for i in range(4)]
