@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from folioscope.llm import (
+    centroids,
     chat,
     decontaminate,
     mixing,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
     "op10_token_counts": wordpiece.op10_token_counts,
+    "op11_centroid_clusters": centroids.op11_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -42,6 +44,7 @@ ORACLES: dict[str, str] = {
     "op6_chat_windows": chat.SQL,
     "op7_mix_sources": mixing.SQL,
     "op9_benchmark_leaks": decontaminate.SQL,
+    "op11_centroid_clusters": centroids.sql(),
 }
 
 
