@@ -11,6 +11,7 @@ from folioscope.llm import (
     centroids,
     chat,
     decontaminate,
+    exact_topk,
     mixing,
     perplexity,
     sharding,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
     "op10_token_counts": wordpiece.op10_token_counts,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op13_exact_topk": exact_topk.op13_exact_topk,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -45,6 +47,7 @@ ORACLES: dict[str, str] = {
     "op7_mix_sources": mixing.SQL,
     "op9_benchmark_leaks": decontaminate.SQL,
     "op11_centroid_clusters": centroids.sql(),
+    "op13_exact_topk": exact_topk.SQL,
 }
 
 
