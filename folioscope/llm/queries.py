@@ -18,6 +18,7 @@ from folioscope.llm import (
     simhash,
     site_lines,
     substring_dedup,
+    token_links,
     wordpiece,
     wrappers,
 )
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_leaks": decontaminate.op9_benchmark_leaks,
     "op10_token_counts": wordpiece.op10_token_counts,
     "op11_centroid_clusters": centroids.op11_centroid_clusters,
+    "op12_token_links": token_links.op12_token_links,
     "op13_exact_topk": exact_topk.op13_exact_topk,
     "pipeline": corpus_pipeline.run,
 }

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_all_are_registered():
     names = [n for n in registered.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in registered.queries()
 
 
