@@ -4,8 +4,8 @@ The model has a modified Kneser-Ney estimate for every run of ``ORDER`` bytes,
 for each language, counted by Spark over all texts. Bytes need no vocabulary,
 cap nothing and give contexts that even short texts have seen. A run counts as
 often as there are other documents that have it: else every odd document would
-vouch for itself, as its rare runs would make each other certain. Where repeated
-rows don't count, copies of a text don't vouch for each other either.
+vouch for itself, as its rare runs would make each other certain. Rows of one
+text count once, so that copies of a text don't vouch for each other either.
 """
 
 from __future__ import annotations
@@ -246,8 +246,11 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """A row for each text of a language; copies meet within tasks first."""
-    return docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropDuplicates()
+    """A row for each text of a language. Only texts with copies are moved; hashes tell which may have some."""
+    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
+    copied = stored(rows.groupBy("lang", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    alone = matched(rows, copied, ["lang", "hash"], "left_anti")
+    return alone.unionByName(matched(rows, copied, ["lang", "hash"], "left_semi").dropDuplicates()).drop("hash")
 
 
 def judged(
@@ -259,7 +262,6 @@ def judged(
     least_width: float = 0.02,
     min_docs: int = 20,
     pass_entries: int = PASS_ENTRIES,
-    repeats: bool = True,
     id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
@@ -271,13 +273,15 @@ def judged(
     language) lies within the language's band: on the logarithm, its median
     less ``lower`` and plus ``upper`` standard deviations, these taken from the
     median absolute deviation and at least ``least_width``. Median and
-    deviation are over all documents that pass the base rules, exact to 0.001;
-    so a band moves with a language and not with its outliers. With
-    ``repeats=False`` a text that many rows of a language share weighs once, in
-    the model and in the band: its copies neither vouch for each other nor narrow
-    the band to themselves. A language with fewer than ``min_docs`` such documents has no
-    band. A null language is a language; a null or empty text has no
-    perplexity and fails. The model is of the same texts it scores, so every
+    deviation are over all texts that pass the base rules, exact to 0.001;
+    so a band moves with a language and not with its outliers. A text that many
+    rows of a language share weighs once, in the model and in the band: its
+    copies neither vouch for each other nor narrow the band to themselves. A
+    language with fewer than ``min_docs`` such texts has the band that all
+    languages have together. A null language is a language; a null or empty text
+    has no perplexity and fails; texts are taken whole; rows are judged one by
+    one, repeated or not; an empty table gives no rows. The model is of the same
+    texts it scores, so every
     n-gram has an estimate; it is sent to the tasks in blocks of bounded size, each
     a pass over the documents.
 
@@ -286,10 +290,7 @@ def judged(
     rows = docs.select(
         row_key(id, text).alias("key"), F.col(lang).alias("lang"), F.col(lang).alias("of"), F.col(text).cast("binary").alias("text"))
     kept = ["key", "lang"]
-    if repeats:
-        estimates = model(docs, order=order, lang=lang, text=text)
-    else:
-        estimates = model(_texts(docs, lang, text), order=order)
+    estimates = model(_texts(docs, lang, text), order=order)
     context = docs.sparkSession.sparkContext
     part = rows.select(*kept).schema.add("logp", "double")
     whole = reduce(lambda schema, name: schema.add(name, "long"), ["n_bytes", *MEASURES], rows.select(*kept).schema.add("logp", "double"))
@@ -303,11 +304,13 @@ def judged(
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     nats = F.when(F.col("n_bytes") > 0, -F.col("logp") / F.col("n_bytes"))
     scored = stored(scored.withColumn("base_failed", failed).withColumn("nats", nats).drop("logp", "n_bytes"), "scores")
-    weighed = scored.where("not base_failed").select("lang", "key", "nats")
-    if not repeats:  # verdicts still go to all rows
-        weighed = weighed.groupBy("lang", F.col("key.text").alias("hash")).agg(F.max("nats").alias("nats"))
-    bands = stored(_bands(weighed, lower, upper, least_width, min_docs), "bands")
-    within = F.col("low").isNull() | F.col("nats").between(F.col("low"), F.col("high"))
+    weighed = scored.where("not base_failed").groupBy("lang", F.col("key.text").alias("hash")).agg(F.max("nats").alias("nats"))
+    step = F.round(F.col("nats") / _STEP).cast("long").alias("step")
+    steps = stored(weighed.select("lang", step).groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
+    bands = stored(_bands(steps, lower, upper, least_width).where(F.col("total") >= min_docs), "bands")
+    of_all = _bands(steps.withColumn("lang", F.lit("*")), lower, upper, least_width).first()  # one row, or none
+    least, most = (of_all.low, of_all.high) if of_all else (0.0, 0.0)
+    within = F.col("nats").between(F.coalesce("low", F.lit(least)), F.coalesce("high", F.lit(most)))
     joined = matched(scored, bands, ["lang"], "left")
     return joined.select("key", *MEASURES, "base_failed", F.exp("nats").alias("perplexity"), (~F.col("base_failed") & within).alias("kept"))
 
@@ -316,25 +319,28 @@ def _median(steps: DataFrame) -> DataFrame:
     """``lang``, ``n``, ``middle``: the lower median of ``step``, which stands for ``n`` rows each."""
     so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
     total = F.sum("n").over(Window.partitionBy("lang"))
-    reached = steps.select("lang", "step", so_far.alias("so_far"), total.alias("total")).where("so_far * 2 >= total")
+    reached = steps.groupBy("lang", "step").agg(F.sum("n").alias("n")).select("lang", "step", so_far.alias("so_far"), total.alias("total")).where("so_far * 2 >= total")
     return reached.groupBy("lang").agg(F.min("step").alias("middle"), F.first("total").alias("total"))
 
 
-def _bands(scored: DataFrame, lower: float, upper: float, least_width: float, min_docs: int) -> DataFrame:
-    """``lang``, ``low``, ``high``; from counts by step of perplexity, not from rows."""
-    step = F.round(F.col("nats") / _STEP).cast("long").alias("step")
-    steps = stored(scored.select("lang", step).groupBy("lang", "step").agg(F.count("*").alias("n")), "steps")
+def _bands(steps: DataFrame, lower: float, upper: float, least_width: float) -> DataFrame:
+    """``lang``, ``total``, ``low``, ``high``; from counts by step of perplexity, not from rows."""
     middle = _median(steps)
     away = matched(steps, middle, ["lang"]).select(
         "lang", F.abs(F.col("step") - F.col("middle")).alias("step"), "n").groupBy("lang", "step").agg(F.sum("n").alias("n"))
     spread = _median(away).select("lang", F.col("middle").alias("spread"))
     width = F.greatest(F.lit(least_width), F.col("spread") * _STEP * 1.4826)
-    both = matched(middle, spread, ["lang"]).where(F.col("total") >= min_docs)
-    return both.select("lang", (F.col("middle") * _STEP - width * lower).alias("low"), (F.col("middle") * _STEP + width * upper).alias("high"))
+    both = matched(middle, spread, ["lang"])
+    return both.select("lang", "total", (F.col("middle") * _STEP - width * lower).alias("low"), (F.col("middle") * _STEP + width * upper).alias("high"))
 
 
 def good(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps; columns as given."""
+    """The rows of ``docs`` that ``judged`` keeps; columns as given.
+
+    Rows with a null, empty or short text go, as ``judged`` fails them; of
+    repeated rows and ids each is kept or goes by its own text. Columns may have
+    any names; an empty table stays empty.
+    """
     rejected = judged(docs, id=id, text=text, **settings).where("not kept").select("key.*").distinct()
     rejected = stored(rejected, "rejected")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id, text).alias("key")).select("row", "key.*")
@@ -343,4 +349,4 @@ def good(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **settings)
 
 def op5_quality_rules(spark, root) -> DataFrame:
     docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang")
-    return judged(docs, repeats=False).select(F.col("key.id").alias("doc_id"), *MEASURES, "base_failed", "perplexity", "kept")
+    return judged(docs).select(F.col("key.id").alias("doc_id"), *MEASURES, "base_failed", "perplexity", "kept")

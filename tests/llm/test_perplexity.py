@@ -92,10 +92,10 @@ def test_model(spark, table, monkeypatch, order):
 
 
 def verdicts(rows, **settings):
-    """What ``judged`` should say, by brute force."""
+    """What ``judged`` should say, by brute force: each text of a language counts once, all rows are judged."""
     s = {"order": 5, "lower": 8.0, "upper": 6.0, "least_width": 0.02, "min_docs": 20} | settings
-    models = {lang: kneser_ney([t for _, t, of in rows if of == lang], s["order"]) for lang in {r[2] for r in rows}}
-    out, levels = [], defaultdict(list)
+    models = {lang: kneser_ney({t for _, t, of in rows if of == lang}, s["order"]) for lang in {r[2] for r in rows}}
+    out, levels = [], defaultdict(dict)
     for doc, text, lang in rows:
         measured = base(text)
         failed = measured[0] < 50 or 100 * measured[4] > 50 * measured[0]
@@ -104,13 +104,16 @@ def verdicts(rows, **settings):
         nats = -sum(math.log(models[lang][data[i : i + s["order"]]]) for i in range(n)) / n if n else None
         out.append((doc, text, lang, measured, failed, nats))
         if not failed:
-            levels[lang].append(math.floor(nats / 0.001 + 0.5))
+            levels[lang][text] = math.floor(nats / 0.001 + 0.5)
+    everything = [x for own in levels.values() for x in own.values()]
     final = []
     for doc, text, lang, measured, failed, nats in out:
         kept = not failed
-        if kept and len(levels[lang]) >= s["min_docs"]:
-            m = median(levels[lang])
-            width = max(s["least_width"], median([abs(x - m) for x in levels[lang]]) * 0.001 * 1.4826)
+        if kept:
+            own = list(levels[lang].values())
+            of = own if len(own) >= s["min_docs"] else everything
+            m = median(of)
+            width = max(s["least_width"], median([abs(x - m) for x in of]) * 0.001 * 1.4826)
             kept = m * 0.001 - s["lower"] * width <= nats <= m * 0.001 + s["upper"] * width
         final.append((doc, text, *measured, failed, nats, kept))
     return final
@@ -122,6 +125,7 @@ def test_verdicts(spark, passes):
     rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
     settings = {"lower": 2.0, "upper": 2.0}
     entries = P.PASS_ENTRIES if passes == 1 else P.model(docs).count() // 2
+    assert len({(t, of) for _, t, of in rows}) < len(rows)
     got = {r.key.id: r for r in P.judged(docs, pass_entries=entries, **settings).collect()}
     want = verdicts(rows, **settings)
     assert len(got) == len(want)
@@ -136,6 +140,29 @@ def test_verdicts(spark, passes):
         assert kept == {w[0] for w in want if w[-1]}
 
 
+def test_query(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text", "lang")
+    want = {w[0]: w for w in verdicts([tuple(r) for r in docs.collect()])}
+    out = P.op5_quality_rules(spark, ROOT)
+    assert out.columns == ["doc_id", *P.MEASURES, "base_failed", "perplexity", "kept"]
+    got = out.collect()
+    assert len(got) == len(want)
+    for r in got:
+        _, _, *measured, failed, nats, kept = want[r.doc_id]
+        assert ([r[m] for m in P.MEASURES], r.base_failed, r.kept) == (measured, failed, kept)
+        assert math.log(r.perplexity) == pytest.approx(nats, abs=1e-9)
+
+
+def test_junk_of_a_small_language(spark, table):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(60, 300))), "en") for i in range(100)]
+    rows += [(200 + i, " ".join(rng.choice(words) for _ in range(200)), "xx") for i in range(6)]
+    rows += [(300, " ".join("".join(rng.choice("$%&#*|<>xqz") for _ in range(rng.randint(2, 9))) for _ in range(120)), "xx")]
+    got = {r.key.id: r.kept for r in P.judged(table(rows)).collect()}
+    assert got == {w[0]: w[-1] for w in verdicts(rows)} and not got[300] and all(got[i] for i in range(100))
+
+
 def test_outliers_go_and_clean_texts_stay(spark, table):
     rng = random.Random(3)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
@@ -167,7 +194,7 @@ def test_copies_of_a_text_do_not_narrow_the_band(spark, table):
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = [(i, say(rng.randint(60, 300)), "en") for i in range(60)]
     docs = table(rows + [(1000 + i, rows[0][1], "en") for i in range(200)])
-    kept = {r.key.id: r.kept for r in P.judged(docs, repeats=False).collect()}
+    kept = {r.key.id: r.kept for r in P.judged(docs).collect()}
     assert len(kept) == 260 and all(kept.values())
 
 
@@ -178,7 +205,7 @@ def test_copies_do_not_vouch_for_each_other(spark, table):
     junk = " ".join("".join(rng.choice("$%&#*|<>xqz") for _ in range(rng.randint(2, 9))) for _ in range(120))
     levels = set()
     for times in (1, 2, 7):
-        got = P.judged(table(rows + [(1000 + k, junk, "en") for k in range(times)]), repeats=False).collect()
+        got = P.judged(table(rows + [(1000 + k, junk, "en") for k in range(times)])).collect()
         odd = [r for r in got if r.key.id >= 1000]
         assert len(odd) == times and not any(r.base_failed or r.kept for r in odd)
         assert all(r.kept for r in got if r.key.id < 1000)
