@@ -7,7 +7,7 @@ unclosed tags around or inside them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from html.entities import html5, name2codepoint
 
@@ -485,15 +485,32 @@ def anchors(markup: Column) -> Column:
 
 def rewrite_links(markup: Column, page_url: Column, site: Site) -> Column:
     """The markup with every link target replaced by ``rewritten_link``."""
+    return _relinked(markup, lambda href, i: rewritten_link(href, page_url, site))
 
-    def relink(part: Column) -> Column:
+
+def link_targets(markup: Column) -> Column:
+    """The target of each anchor start tag in order, empty where it has none."""
+    return F.transform(_anchor_parts(markup), _href)
+
+
+def replace_links(markup: Column, targets: Column) -> Column:
+    """The markup with the targets of its links, as ``link_targets`` counts
+    them, replaced by those of an array; a null one leaves the link."""
+    return let(
+        F.struct(markup.alias("page"), targets.alias("targets")),
+        lambda both: _relinked(both["page"], lambda href, i: F.coalesce(F.get(both["targets"], i), href)),
+    )
+
+
+def _relinked(markup: Column, target: Callable[[Column, Column], Column]) -> Column:
+    def relink(part: Column, i: Column) -> Column:
         return let(
             _href(part),
             lambda href: F.when(href == "", part).otherwise(
                 F.concat(
                     F.regexp_extract(part, _HREF, 1),
                     F.lit('"'),
-                    _escape_attribute(rewritten_link(href, page_url, site)),
+                    _escape_attribute(target(href, i)),
                     F.lit('"'),
                     F.regexp_extract(part, _HREF, 3),
                 )

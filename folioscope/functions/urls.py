@@ -196,6 +196,21 @@ def relative_markdown(from_category: Column, to_category: Column, to_slug: Colum
     )
 
 
+def relative_file(here: Column, to: Column) -> Column:
+    """Path of one file seen from the folder of another; folders of any depth."""
+
+    def joined(paths: Column) -> Column:
+        own, other = F.slice(paths["own"], 1, F.size(paths["own"]) - 1), paths["to"]
+        most = F.least(F.size(own), F.size(other) - 1)
+        places = F.sequence(F.lit(1), F.greatest(most, F.lit(1)))
+        differ = F.filter(places, lambda i: (i > most) | (F.get(own, i - 1) != F.get(other, i - 1)))
+        shared = F.coalesce(F.get(differ, 0) - 1, most)
+        up = F.array_repeat(F.lit(".."), F.size(own) - shared)
+        return F.array_join(F.concat(up, F.slice(other, shared + 1, F.size(other) - shared)), "/")
+
+    return let(F.struct(F.split(here, "/").alias("own"), F.split(to, "/").alias("to")), joined)
+
+
 def rewritten_link(href: Column, page_url: Column, site: Site) -> Column:
     """Where a link on a converted page points.
 

@@ -72,16 +72,16 @@ def to_fetch(plan: DataFrame) -> DataFrame:
     return plan.filter((F.col("plan") == "FETCH") | ~F.col("stored_ok")).select("url", "category", "slug")
 
 
-def decide(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
+def decide(plan: DataFrame, fetched: DataFrame, rules: robots.Rules) -> DataFrame:
     """``plan`` with ``status``, ``attempt``, and the flags of the fetched pages.
 
     A stored page that fails is retried from the fetched pages; a URL the robots
     file forbids is never tried. ``attempt`` is the one that decided: a failure
-    takes all of them.
+    takes all of them. ``rules`` are those of one site, or a table of many.
     """
-    tried = plan.join(page_flags(fetched, "fetched", answered=True), "url", "left")
+    tried = robots.with_allowed(plan, rules).join(page_flags(fetched, "fetched", answered=True), "url", "left")
     status = (
-        F.when(~robots.allowed(F.col("url"), rules), SKIP_ROBOTS)
+        F.when(~F.col("allowed"), SKIP_ROBOTS)
         .when((F.col("plan") == "CACHE") & F.col("stored_ok"), OK_CACHE)
         .when(F.coalesce(F.col("fetched_ok"), F.lit(False)), OK_FETCH)
         .otherwise(FAIL)
@@ -98,7 +98,7 @@ def _attempt() -> Column:
     )
 
 
-def page_status(plan: DataFrame, fetched: DataFrame, rules: list[robots.Rule]) -> DataFrame:
+def page_status(plan: DataFrame, fetched: DataFrame, rules: robots.Rules) -> DataFrame:
     """(url, category, slug, status, attempt) of each target."""
     return decide(plan, fetched, rules).select("url", "category", "slug", "status", "attempt")
 

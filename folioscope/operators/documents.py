@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators.order import with_ordinal
 
 MIME_TYPE = "text/markdown"
 
@@ -23,6 +24,12 @@ def with_identity(files: DataFrame, uri_prefix: str) -> DataFrame:
     return identify(rows, uri_prefix)
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """(path, ordinal): the corpus order, which compares paths part by part."""
+    parts = files.select("path", F.split("path", "/").alias("parts"))
+    return with_ordinal(parts, "parts").drop("parts")
+
+
 def identify(rows: DataFrame, uri_prefix: str) -> DataFrame:
     """Add name and uri from ``category`` and ``stem``."""
     name = F.concat_ws("/", "category", "stem")

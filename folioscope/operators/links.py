@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import html, urls
 from folioscope.functions.urls import Site
+from folioscope.sinks.scratch import stored
 
 
 def links(pages: DataFrame, *keep: str) -> DataFrame:
@@ -66,3 +67,47 @@ def rewritten_with_map(pages: DataFrame, site: Site, url_map: DataFrame, *keep:
         urls.rewritten_link(F.col("href"), F.col("url"), site)
     )
     return mapped.select(*keep, "url", "pos", "href", new_href.alias("new_href"))
+
+
+def relinked(pages: DataFrame, site: Site, url_map: DataFrame, key: str = "url") -> DataFrame:
+    """``pages`` (key, url, html, ...) with links rewritten where (url, md_path) moves pages to other files.
+
+    A link leads to the file its target has in the map, else to the one that
+    follows from the target's URL; it is seen from the file that the page itself
+    has. Bodies stay where they are if ``pages`` is bucketed by ``key``: targets
+    leave them with page and position, distinct ones meet the map, and only new
+    targets come back, as one array for each page that links to a moved one.
+    """
+    at = pages.select(key, "url", F.posexplode(html.link_targets(F.col("html"))).alias("pos", "href"))
+    absolute = at.withColumn("absolute", F.when(_leads_on(F.col("href")), urls.resolve(F.col("url"), F.col("href"))))
+    rows = absolute.withColumn("target", urls.canonical(F.col("absolute"), site.base_url))
+    files = url_map.select(F.col("url").alias("target"), "md_path")
+    # A target that very many pages link to is one row here; what was found is sent back by its size.
+    asked = rows.select("target").unionByName(pages.select(F.col("url").alias("target"))).distinct()
+    moved = stored(asked.join(files, "target"), "moved")
+    own = moved.select(F.col("target").alias("url"), F.col("md_path").alias("own_path"))
+    both = rows.join(moved, "target", "left").join(own, "url", "left")
+    to = F.coalesce("md_path", _file(F.col("target"), site))
+    here = F.coalesce("own_path", _file(F.col("url"), site))
+    fragment = urls.fragment(F.col("absolute"))
+    suffix = F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), fragment))
+    inside = here.isNotNull() & to.isNotNull() & (urls.query(F.col("absolute")) == "")
+    new = F.when(inside, F.concat(urls.relative_file(here, to), suffix)).otherwise(F.col("absolute"))
+    changed = F.col("absolute").isNotNull() & (F.col("md_path").isNotNull() | F.col("own_path").isNotNull())
+    listed = both.select(key, F.struct("pos", F.when(changed, new).alias("new")).alias("link"))
+    arrays = listed.groupBy(key).agg(F.array_sort(F.collect_list("link")).alias("_links"))  # a page's own links
+    arrays = arrays.filter(F.exists("_links", lambda link: link["new"].isNotNull()))
+    joined = pages.join(arrays, key, "left")
+    plain = F.transform(html.link_targets(F.col("html")), lambda href: urls.rewritten_link(href, F.col("url"), site))
+    chosen = F.transform(plain, lambda href, i: F.coalesce(F.get("_links", i)["new"], href))
+    return joined.withColumn("html", html.replace_links(F.col("html"), chosen)).drop("_links")
+
+
+def _leads_on(href: Column) -> Column:
+    """The link leads somewhere, not to a place on its own page."""
+    return (href != "") & ~href.startswith("#")
+
+
+def _file(url: Column, site: Site) -> Column:
+    """The Markdown file that follows from a URL, if it has a category."""
+    return urls.markdown_path(urls.category(url, site.categories), urls.slug(url))

@@ -160,14 +160,23 @@ def search_batch(
     ``colocated`` postings (bucketed by ``key``) are not moved at all. Whether
     query terms are sent to the postings or both meet by term, Spark decides by
     their size. A query without tokens has no hits; any ``top_k`` is answered.
+
+    The best are chosen twice: each task keeps as many of a query's documents as
+    the largest request asks for, and only those leave it; then the query's own
+    ``top_k`` of all tasks' best. So a common word costs scoring, but no task
+    sorts all documents that have it. The largest request is read beforehand:
+    Spark limits ranks below a shuffle by a constant only, of up to 1,000
+    (``spark.sql.optimizer.windowGroupLimitThreshold``).
     """
+    largest = queries.agg(F.max("top_k")).first()[0] or 0
     terms = query_terms(queries)
     asked = postings if colocated else postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(key)
     scored = _scores(asked.join(terms, "term"), key)
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(scored, key)))
     )
-    return ranked.filter(F.col("rank") <= F.col("top_k")).select("query_id", "rank", key, "score")
+    best = ranked.filter((F.col("rank") <= F.lit(int(largest))) & (F.col("rank") <= F.col("top_k")))
+    return best.select("query_id", "rank", key, "score")
 
 
 def _scores(matched: DataFrame, key: str) -> DataFrame:

@@ -55,20 +55,21 @@ def run(
     stored: DataFrame,
     fetched: DataFrame,
     site: Site,
-    rules: list[robots.Rule],
+    rules: robots.Rules,
     force: bool = False,
 ) -> Run:
     """Convert every target that has a usable page.
 
     ``stored`` pages are reused, ``fetched`` ones (delivered by a crawler from
     an earlier run's ``to_fetch``) fill the gaps; both are (url, html), and may
-    have ``fetched_at``. Each page table is read once for its flags, on which
+    have ``fetched_at``. ``rules`` are the robots rules of one site, or a table
+    of many sites' (``robots.rules_table``). Each page table is read once for its flags, on which
     the outcome is decided and stored, and once for the bodies that won.
     """
     plan = coverage.fetch_plan(targets, stored, force)
     decided = coverage.decide(plan, fetched, rules).join(targets.select("url", "title_guess"), "url")
     decided = scratch.stored(decided, "decided")
-    wanted = coverage.to_fetch(decided).filter(robots.allowed(F.col("url"), rules))
+    wanted = coverage.to_fetch(decided.filter("allowed"))
 
     def taken(decisions: DataFrame) -> DataFrame:
         return _bodies(stored, decisions, coverage.OK_CACHE, "stored").unionByName(

@@ -301,6 +301,25 @@ def all_oracles() -> dict[str, str]:
             WITH {_ROBOTS}, u AS (SELECT page_id, {_canon('url')} AS url FROM pages)
             SELECT page_id, coalesce(b.allow, true) AS browser, coalesce(o.allow, true) AS other FROM u
             LEFT JOIN verdicts b ON b.url = u.url AND b.agent = 'browser' LEFT JOIN verdicts o ON o.url = u.url AND o.agent = 'other'""",
+        # Which rule of a host's file a path meets first; /en/<n> and so on are plain prefixes.
+        "robots_by_host": f"""
+            WITH u AS (SELECT page_id, {_canon('url')} AS url FROM pages),
+            p AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/]*)', 1)) AS host,
+                    regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM u),
+            k AS (SELECT *, length(host) % 4 AS kind, CAST(length(host) % 10 AS VARCHAR) AS n FROM p),
+            z AS (SELECT *, starts_with(path, '/en/' || n || '5') OR NOT (starts_with(path, '/en/' || n) OR starts_with(path, '/de')) AS zero FROM k)
+            SELECT page_id,
+              CASE kind WHEN 0 THEN zero WHEN 1 THEN NOT (starts_with(path, '/fr/' || n) OR starts_with(path, '/es/')) ELSE true END AS browser,
+              CASE kind WHEN 0 THEN zero WHEN 1 THEN false ELSE true END AS other FROM z""",
+        "site_categories": f"""
+            WITH u AS (SELECT page_id, {_canon('url')} AS url FROM pages),
+            p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/]*)', 1)) AS host,
+                    string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/') AS parts FROM u),
+            k AS (SELECT page_id, url, CASE WHEN parts[1] = 'en' AND parts[2] = CAST(length(host) % 10 AS VARCHAR) THEN 'few'
+                    WHEN starts_with(host, 'www.') OR parts[1] = 'en' THEN 'main-' || length(host) % 10
+                    WHEN parts[1] = 'de' THEN 'de' END AS category FROM p),
+            g AS (SELECT min(page_id) AS ord, category, url, {_slug('url')} AS slug FROM k WHERE category IS NOT NULL GROUP BY category, url)
+            SELECT ord, category, {_title_case('slug')} AS title_guess, url, slug FROM g""",
         "html_main": f"WITH {_SELECTABLE} SELECT page_id, {_SELECTED} AS main FROM m",
         "html_denoise": f"""
             SELECT page_id, regexp_replace(html, '{_RAW}|<nav>.*?</nav>|<footer>.*?</footer>|<div class="ad">[^<]*</div>', '', 'gs') AS html
@@ -352,6 +371,37 @@ def all_oracles() -> dict[str, str]:
                 ELSE CASE WHEN NOT regexp_matches(old, '^/(en|fr|es)$') THEN regexp_extract(url, '^[a-z]+://[^/]*') || old
                   WHEN old = '/' || cat THEN cat || '.md' ELSE '..' || old || old || '.md' END END AS new_href
             FROM l2""",
+        # Each page cut at its links; their new targets seen from the page's own file.
+        "links_moved": f"""
+            WITH {_TARGETS},
+            m AS (SELECT url, 'moved/' || category || '/' || slug || '.md' AS file FROM targets WHERE ord % 3 = 0),
+            p AS (SELECT a.page_id, {_canon('a.url')} AS url, string_split(a.html, '<a href="') AS parts,
+                    coalesce(n.url, '/The') AS after, coalesce(f.url, '/and') AS first
+                  FROM pages a LEFT JOIN pages n ON n.page_id = a.page_id + 1 LEFT JOIN pages f ON f.page_id = a.page_id - a.page_id % 100),
+            x AS (SELECT * EXCLUDE (parts), unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM p),
+            h AS (SELECT *, {_decode('''regexp_extract(part, '^[^"]*')''')} AS old FROM x WHERE pos > 0),
+            k AS (SELECT *, CASE old WHEN '/The' THEN after WHEN '/and' THEN first ELSE old END AS href FROM h),
+            b AS (SELECT *, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]*') || href ELSE href END AS absolute FROM k),
+            t AS (SELECT *, {_canon('absolute')} AS target FROM b),
+            w AS (SELECT t.*, coalesce(mt.file, {_cat('t.target')} || '/' || {_slug('t.target')} || '.md') AS goal,
+                    coalesce(mu.file, {_cat('t.url')} || '/' || {_slug('t.url')} || '.md') AS here
+                  FROM t LEFT JOIN m mt ON mt.url = t.target LEFT JOIN m mu ON mu.url = t.url),
+            r AS (SELECT *, regexp_extract(here, '^(.*)/', 1) AS own, regexp_extract(goal, '^(.*)/', 1) AS other, regexp_extract(goal, '[^/]*$') AS name FROM w),
+            n AS (SELECT *, CASE WHEN goal IS NULL OR here IS NULL OR contains(absolute, '?') THEN absolute ELSE
+                    CASE WHEN own = other THEN name
+                      WHEN starts_with(own, 'moved/') AND starts_with(other, 'moved/') THEN '../' || other[7:] || '/' || name
+                      WHEN starts_with(own, 'moved/') THEN '../../' || goal ELSE '../' || goal END
+                    || regexp_extract(absolute, '#.*') END AS new FROM r)
+            SELECT page_id, string_agg(CASE WHEN pos = 0 THEN part ELSE '<a href="' || replace(new, '&', '&amp;') || regexp_replace(part, '^[^"]*', '') END, '' ORDER BY pos) AS html
+            FROM (SELECT page_id, pos, part, NULL AS new FROM x WHERE pos = 0 UNION ALL SELECT page_id, pos, part, new FROM n) GROUP BY page_id""",
+        "target_order": f"""
+            WITH {_TARGETS} SELECT category, slug, url, row_number() OVER (ORDER BY category, slug, url) AS ordinal FROM targets""",
+        "corpus_order": """
+            WITH f AS (SELECT lang || '/' || source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path FROM documents)
+            SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS ordinal FROM f""",
+        "page_store": """
+            SELECT page_id, url, html || CASE WHEN page_id % 7 = 0 THEN '<!-- 3 -->' WHEN page_id % 3 = 0 THEN '<!-- 2 -->' ELSE '<!-- 1 -->' END AS html
+            FROM pages WHERE page_id % 5 > 0 OR page_id % 3 = 0 OR page_id % 7 = 0""",
         "challenge_pages": """
             SELECT page_id, starts_with(url, 'http:') AND contains(url, '.example.org') AS challenge FROM pages""",
         "fetch_plan": f"WITH {_STATUS} SELECT url, category, slug, plan FROM plan",

@@ -8,6 +8,7 @@ without a directory), the query derives it from every row of a table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from folioscope.functions.urls import Category, Site
 from folioscope.operators import coverage, documents, links, robots, search, targets
 from folioscope.plans import convert
 from folioscope.sources import targets as target_sources
-from folioscope.sinks import index, scratch
+from folioscope.sinks import index, scratch, store
 from folioscope.sources.tables import table
 
 SITE = Site(
@@ -191,11 +192,6 @@ def search_validate(spark: SparkSession, root: str) -> DataFrame:
     return search.validated(_requests(spark, root)).select("query_id", "top_k", "problem")
 
 
-def search_response(spark: SparkSession, root: str) -> DataFrame:
-    requests = _requests(spark, root)
-    return search.search_response(requests, _ranked(spark, root, search.accepted(requests)))
-
-
 _indexes: dict[tuple[str, str], str] = {}
 
 
@@ -223,6 +219,14 @@ def search_stored_batch(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def search_response(spark: SparkSession, root: str) -> DataFrame:
+    """Requests answered from the stored index; the bad ones get their error."""
+    docs, postings = index.read_index(spark, _index(spark, root))
+    requests = _requests(spark, root)
+    hits = search.search_batch(postings, search.accepted(requests), colocated=True)
+    return search.search_response(requests, search.with_documents(hits, docs))
+
+
 def search_sql(spark: SparkSession, root: str) -> DataFrame:
     """The table function over the stored index."""
     name = _index(spark, root)
@@ -334,6 +338,40 @@ def robots_allowed(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def robots_by_host(spark: SparkSession, root: str) -> DataFrame:
+    """Every page under the rules of its own host, made from the host's name."""
+    rows = _urls(spark, root).select("page_id", _canonical().alias("url"))
+    hosts = rows.select(F.lower(urls.host(F.col("url"))).alias("host")).distinct()
+    n, kind = (F.length("host") % 10).cast("string"), F.length("host") % 4
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    files = hosts.select(
+        "host",
+        F.when(kind == 0, say("User-agent: *\nAllow: /en/", n, "5\nDisallow: /en/", n, "\nDisallow: /de\n"))
+        .when(kind == 1, say("User-agent: mozilla\nDisallow: /fr/", n, "\nDisallow: /es/\n\nUser-agent: *\nDisallow: /\n"))
+        .when(kind == 2, say("User-agent: *\nDisallow:\nDisallow: /\n"))
+        .alias("robots"),
+    )
+    for name, agent in (("browser", BROWSER), ("other", "other/1.0")):
+        rows = robots.with_allowed(rows, robots.rules_table(files, agent)).withColumnRenamed("allowed", name)
+    return rows.select("page_id", "browser", "other")
+
+
+def site_categories(spark: SparkSession, root: str) -> DataFrame:
+    """Targets of several sites in one job: each host has categories of its own, made from its name."""
+    rows = _urls(spark, root).select(F.col("page_id").alias("ord"), "url")
+    hosts = rows.select(F.lower(urls.host(F.col("url"))).alias("host")).distinct()
+    entry = lambda ord, key, prefix: F.struct(F.lit(ord).alias("ord"), key.alias("key"), prefix.alias("prefix"))
+    n = (F.length("host") % 10).cast("string")
+    entries = F.array(
+        entry(0, F.lit("few"), F.concat(F.lit("/en/"), n, F.lit("/"))),
+        entry(1, F.concat(F.lit("main-"), n), F.when(F.col("host").startswith("www."), "/").otherwise("/en/")),
+        entry(2, F.lit("late"), F.lit("/en")),
+        entry(3, F.lit("de"), F.lit("/de")),
+    )
+    categories = hosts.select("host", F.inline(entries))
+    return targets.build_sites(rows, categories, SITE.base_url)
+
+
 # ------------------------------------------------------------------- HTML
 
 
@@ -453,6 +491,26 @@ def link_rewrite(spark: SparkSession, root: str) -> DataFrame:
     return links.rewritten(pages, SITE, "page_id")
 
 
+def links_moved(spark: SparkSession, root: str) -> DataFrame:
+    """Pages that link to the next page and to the first of their hundred; every third page has moved."""
+    pages = table(spark, root, "pages")
+    to = lambda number, name: _urls(spark, root).select(F.col("page_id").alias(number), F.col("url").alias(name))
+    linked = pages.withColumn("after", F.col("page_id") + 1).withColumn("first", F.col("page_id") - F.col("page_id") % 100)
+    linked = linked.join(to("after", "after_url"), "after", "left").join(to("first", "first_url"), "first", "left")
+    page = F.col("html")
+    for word, url in (("The", "after_url"), ("and", "first_url")):
+        href = F.replace(F.coalesce(F.col(url), F.lit(f"/{word}")), F.lit("&"), F.lit("&amp;"))
+        page = F.replace(page, F.lit(f'href="/{word}"'), F.concat(F.lit('href="'), href, F.lit('"')))
+    name = f"pages_{uuid.uuid4().hex}"
+    store.save_bucketed(
+        linked.select("page_id", _canonical().alias("url"), page.alias("html")), name, INDEX_BUCKETS, "page_id",
+        scratch.new_path(spark, "pages"),
+    )
+    moved = _page_targets(spark, root).where("ord % 3 = 0")
+    url_map = moved.select("url", F.concat(F.lit("moved/"), urls.markdown_path(F.col("category"), F.col("slug"))).alias("md_path"))
+    return links.relinked(spark.table(name), SITE, url_map, "page_id").select("page_id", "html")
+
+
 # --------------------------------------------------------------- coverage
 
 
@@ -521,16 +579,39 @@ def category_merge(spark: SparkSession, root: str) -> DataFrame:
     return coverage.merged_volumes(rows, 100)
 
 
+def target_order(spark: SparkSession, root: str) -> DataFrame:
+    return targets.numbered(_page_targets(spark, root).select("category", "slug", "url"))
+
+
+def corpus_order(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as files in folders whose names differ in a hyphen or a slash."""
+    rows = table(spark, root, "documents").select("doc_id", "lang", "source")
+    mark = F.when(F.col("doc_id") % 2 == 0, "/").otherwise("-")
+    return documents.numbered(rows.select(F.concat(F.col("lang"), F.lit("/"), F.col("source"), mark, "doc_id", F.lit(".md")).alias("path")))
+
+
+def page_store(spark: SparkSession, root: str) -> DataFrame:
+    """The newest pages after three runs, the first two of which were compacted."""
+    pages = table(spark, root, "pages")
+    kept = store.PageStore(spark, f"store_{uuid.uuid4().hex}", INDEX_BUCKETS, scratch.new_path(spark, "store"), "page_id")
+    at = lambda run: pages.withColumn("html", F.concat("html", F.lit(f"<!-- {run} -->")))
+    kept.append(at(1).where("page_id % 5 > 0"))
+    kept.append(at(2).where("page_id % 3 = 0"))
+    kept.compact()
+    kept.append(at(3).where("page_id % 7 = 0"))
+    return kept.newest()
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         corpus_load, path_identity, doc_catalog, doc_title, doc_description, tokens, term_frequency, doc_norms,
         search_topk, search_batch, search_empty, search_validate, search_response, open_doc,
         search_stored_topk, search_stored_batch, search_sql,
         url_canonical, url_category, url_slug, slug_title, url_dedupe, url_dedupe_last, url_list_targets,
-        url_list_rejects, sitemap_targets, index_targets, robots_allowed,
+        url_list_rejects, sitemap_targets, index_targets, robots_allowed, robots_by_host, site_categories,
         html_main, html_denoise, html_decor, html_title, html_text, html_markdown, md_sanitize, residual_html,
-        page_links, link_rewrite,
+        page_links, link_rewrite, links_moved,
         challenge_pages, fetch_plan, page_status, missing_pages, category_summary, url_manifest, convert_run,
-        category_merge,
+        category_merge, target_order, corpus_order, page_store,
     )
     return {query.__name__: query for query in found}

@@ -31,14 +31,22 @@ def read_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
     return spark.table(f"{name}_documents"), spark.table(f"{name}_postings")
 
 
+#: Words of a query that the scan looks for one by one; of more, it reads the range they span.
+_SLOTS = 16
+
+
 def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None:
     """Make ``<name>_search(query, top_k)`` a table function of this session.
 
     It reads the stored index. An empty query and a ``top_k`` that is not
-    between 1 and 20 are errors; without one it is 5.
+    between 1 and 20 are errors; without one it is 5. The words of a query that
+    is a constant fold into the scan's filter, so row groups without them are
+    skipped. Each task keeps its best documents, as many as any request may have.
     """
     kind = spark.table(f"{name}_documents").schema[key].dataType.simpleString()
     order = f"split({key}, '/')" if kind == "string" else key
+    words = f"array_distinct(regexp_extract_all(lower(asked), '{TOKEN}', 0))"
+    slots = ", ".join(f"coalesce(get({words}, {i}), get({words}, 0), '')" for i in range(_SLOTS))
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}_search(asked STRING, top_k INT DEFAULT {DEFAULT_TOP_K})
         RETURNS TABLE ({key} {kind}, name STRING, title STRING, uri STRING, description STRING, score DOUBLE)
@@ -49,15 +57,21 @@ def search_function(spark: SparkSession, name: str, key: str = "doc_id") -> None
                 CASE WHEN coalesce(length(asked), 0) < 1 THEN raise_error('{EMPTY_QUERY}') ELSE asked END), '{TOKEN}', 0)) AS word)
             GROUP BY word
           ),
+          found AS (
+            SELECT {key}, term, tf, norm FROM {name}_postings
+            WHERE CASE WHEN size({words}) <= {_SLOTS} THEN term IN ({slots})
+                       ELSE term BETWEEN array_min({words}) AND array_max({words}) END
+          ),
           scored AS (
             SELECT p.{key},
                    CAST(sum(p.tf * w.weight) AS DOUBLE)
                      / (max(p.norm) * (SELECT sqrt(CAST(sum(weight * weight) AS DOUBLE)) FROM words)) AS score
-            FROM {name}_postings p JOIN words w ON p.term = w.word
+            FROM found p JOIN words w ON p.term = w.word
             GROUP BY p.{key}
           ),
           best AS (
-            SELECT *, row_number() OVER (ORDER BY score DESC, {order}) AS rk FROM scored
+            SELECT *, row_number() OVER (ORDER BY score DESC, {order}) AS rk
+            FROM (SELECT * FROM scored ORDER BY score DESC, {order} LIMIT {MAX_TOP_K})
           )
           -- a row, not a constant: a limit of 0 must fail, not prune the query
           SELECT b.{key}, d.name, d.title, d.uri, d.description, b.score

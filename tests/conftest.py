@@ -38,3 +38,29 @@ def column(spark):
         return [r.out for r in sorted(out, key=lambda r: r.i)]
 
     return run
+
+
+@pytest.fixture(scope="session")
+def exchanges():
+    """The columns that each shuffle of a plan moves, and the names of what stands below it."""
+
+    def below(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from below(node.initialPlan())
+            return
+        if name == "Exchange":
+            columns = [a.name() for a in _listed(node.output())]
+            yield columns, [n.nodeName().split(" ")[0] for n in _all(node) if n is not node]
+        for child in _listed(node.children()):
+            yield from below(child)
+
+    def _listed(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def _all(node):
+        yield node
+        for child in _listed(node.children()):
+            yield from _all(child)
+
+    return lambda df: list(below(df._jdf.queryExecution().executedPlan()))

@@ -143,6 +143,35 @@ def test_stored_index(spark, enriched):
     assert got == rule_search(corpus(300), "the of the", 4)
 
 
+def test_the_best_are_chosen_before_they_move(spark, counted, exchanges):
+    queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
+    hits = search.search_batch(documents.postings(counted), queries)
+    last = [names for columns, names in exchanges(hits) if columns[0] == "query_id" and "score" in columns]
+    assert last and last[0][0] == "WindowGroupLimit"
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits.collect()} == batch_expectation()
+    many = [(0, "the of a", 250), (1, "alpha", 5000), (2, "b", None)]
+    asked = spark.createDataFrame(many, "query_id int, query string, top_k int")
+    hits = search.search_batch(documents.postings(counted), asked).collect()
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits} == batch_expectation(many[:2])
+    none = search.search_batch(documents.postings(counted), asked.where("false"))
+    assert none.collect() == []
+
+
+def test_sql_function_reads_the_terms_and_limits_in_tasks(spark, enriched):
+    index.write_index(enriched.withColumn("title", F.lit("")).withColumn("description", F.lit("")), "lean", 4)
+    index.search_function(spark, "lean")
+    plan = spark.sql("SELECT * FROM lean_search('The of, the!', 3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [of,the])" in plan or "PushedFilters: [In(term, [the,of])" in plan
+    window = plan.index("Window [row_number()")
+    assert "TakeOrderedAndProject" in plan[window:] and "SinglePartition" not in plan[window : plan.index("TakeOrderedAndProject", window)]
+    long = " ".join(f"w{i}" for i in range(40)) + " the alpha"
+    plan = spark.sql(f"SELECT * FROM lean_search('{long}', 3)")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(term,alpha)" in plan and "LessThanOrEqual(term,w9)" in plan
+    for query in ("the of the", long, "nothing here", "alpha x1 beta b a of the the"):
+        got = [(r.doc_id, r.score) for r in spark.sql(f"SELECT * FROM lean_search('{query}', 20)").collect()]
+        assert sorted(got, key=lambda hit: (-hit[1], hit[0])) == rule_search(corpus(300), query, 20)
+
+
 def test_markdown_tree_to_search(spark, tmp_path):
     """Path keys: corpus order breaks ties part by part."""
     for name in ("apis/a-b.md", "apis/a/b.md", "apis/c.md", "ref/a.md"):
