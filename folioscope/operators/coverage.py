@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import html, text
 from folioscope.functions.urls import markdown_path
 from folioscope.operators import robots
+from folioscope.operators.order import with_sum_before
 
 # Page outcomes, and attempts per page.
 OK_CACHE, OK_FETCH, SKIP_ROBOTS, RETRY, FAIL = "OK CACHE", "OK FETCH", "SKIP ROBOTS", "RETRY", "FAIL"
@@ -224,3 +225,27 @@ def merged_volumes(documents: DataFrame, per_volume: int, ord: str = "ord") -> D
         F.size("part").cast("bigint").alias("documents"),
         F.array_join(F.transform("part", lambda p: p.markdown), "\n\n").alias("markdown"),
     )
+
+
+def sized_volumes(documents: DataFrame, target_bytes: int, key: str = "path") -> DataFrame:
+    """(category, volume, documents, markdown): documents of a category joined
+    in the order of ``key``, which may be anything, in volumes of about
+    ``target_bytes``.
+
+    A document goes to the volume in which its first byte falls, so a volume
+    holds that much and what its last document has beyond. Volumes follow from
+    sums over keys and sizes; bodies move once, to their volume.
+    """
+    sizes = documents.select("category", key, F.coalesce(F.octet_length("markdown"), F.lit(0)).cast("long").alias("size"))
+    placed = with_sum_before(sizes, "category", key, size="size")
+    volumes = placed.select("category", key, F.floor(F.col("before") / target_bytes).cast("bigint").alias("volume"))
+    dealt = documents.select("category", key, "markdown").join(volumes, ["category", key])
+    gathered = dealt.groupBy("category", "volume").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.coalesce("markdown", F.lit("")).alias("markdown")))).alias("part")
+    )
+    return gathered.select(
+        "category",
+        "volume",
+        F.size("part").cast("bigint").alias("documents"),
+        F.array_join(F.transform("part", lambda p: p.markdown), "\n\n").alias("markdown"),
+    )

@@ -223,6 +223,8 @@ def all_oracles() -> dict[str, str]:
         "corpus_load": """
             SELECT lang AS category, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters
             FROM documents GROUP BY lang""",
+        "corpus_scan": f"""
+            WITH {_DOCS} SELECT category || '/' || stem || '.md' AS path, name, uri, title, description, md5(text) AS text_md5 FROM e""",
         "path_identity": """
             WITH f AS (SELECT CASE lang WHEN 'en' THEN lang || '/' || source || '/' || doc_id || '.md'
                 WHEN 'de' THEN doc_id || '.md' WHEN 'fr' THEN 'fr/' || doc_id || '.v1.md'
@@ -292,6 +294,16 @@ def all_oracles() -> dict[str, str]:
             SELECT ord, category, {_title_case('slug')} AS title_guess, url, slug FROM f WHERE category IS NOT NULL""",
         "url_list_rejects": f"WITH {_LIST} SELECT url, min(ord) AS ord FROM v WHERE {_cat('url')} IS NULL GROUP BY url",
         "sitemap_targets": f"WITH {_TARGETS} {_SITEMAP}",
+        "source_precedence": f"""
+            WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site FROM pages),
+            k AS (SELECT *, length(site) % 5 AS kind FROM p),
+            broken AS (SELECT DISTINCT site FROM k WHERE kind = 1 AND page_id % 2 = 0),
+            {_links().strip()},
+            t AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site, page_id * 1000 + pos AS ord,
+                    site || href AS target FROM b)
+            SELECT site, 1 AS source, {_canon('url')} AS url, min(page_id) AS ord FROM k WHERE kind = 0 GROUP BY ALL
+            UNION ALL SELECT site, 2, {_canon('url')}, min(page_id) FROM k WHERE kind IN (1, 3, 4) AND site NOT IN (SELECT site FROM broken) GROUP BY ALL
+            UNION ALL SELECT site, 3, {_canon('target')}, min(ord) FROM t WHERE site IN (SELECT site FROM broken) GROUP BY ALL""",
         "index_targets": f"""
             WITH {_links(f'''replace(html, 'href="/', 'href="/' || {_cat("url")} || '/')''')},
             t AS (SELECT {_cat('url')} AS category, page_id, pos, text, 'https://docs.example.com' || regexp_replace(href, '/+$', '') AS target FROM b),
@@ -394,6 +406,11 @@ def all_oracles() -> dict[str, str]:
                     || regexp_extract(absolute, '#.*') END AS new FROM r)
             SELECT page_id, string_agg(CASE WHEN pos = 0 THEN part ELSE '<a href="' || replace(new, '&', '&amp;') || regexp_replace(part, '^[^"]*', '') END, '' ORDER BY pos) AS html
             FROM (SELECT page_id, pos, part, NULL AS new FROM x WHERE pos = 0 UNION ALL SELECT page_id, pos, part, new FROM n) GROUP BY page_id""",
+        "category_volumes": """
+            WITH d AS (SELECT lang AS category, reverse(CAST(doc_id AS VARCHAR)) || '/' || source AS path, text, strlen(text) AS size FROM documents),
+            r AS (SELECT *, sum(size) OVER (PARTITION BY category ORDER BY path) - size AS before FROM d)
+            SELECT category, CAST(floor(before / 100000) AS BIGINT) AS volume, count(*) AS documents,
+              string_agg(text, chr(10) || chr(10) ORDER BY path) AS markdown FROM r GROUP BY 1, 2""",
         "target_order": f"""
             WITH {_TARGETS} SELECT category, slug, url, row_number() OVER (ORDER BY category, slug, url) AS ordinal FROM targets""",
         "corpus_order": """

@@ -18,6 +18,7 @@ from folioscope.functions import html, text, urls
 from folioscope.functions.urls import Category, Site
 from folioscope.operators import coverage, documents, links, robots, search, targets
 from folioscope.plans import convert
+from folioscope.sources import markdown, tables
 from folioscope.sources import targets as target_sources
 from folioscope.sinks import index, scratch, store
 from folioscope.sources.tables import table
@@ -100,6 +101,18 @@ def corpus_load(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
+    """The documents as a tree of files, a folder each, found again by listing and read whole."""
+    tree = scratch.new_path(spark, "tree")
+    rows = _raw_documents(spark, root).select("category", "stem", F.col("text").alias("value"))
+    rows.write.partitionBy("category", "stem").text(tree)
+    files = tables.read_tree(spark, tree, "part-*")
+    path = F.regexp_replace("path", r"\Acategory=([^/]*)/stem=([^/]*)/.*", "$1/$2.md")
+    found = files.select(path.alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    named = documents.with_identity(markdown.require_documents(found), URI_PREFIX)
+    return documents.enrich(named).select("path", "name", "uri", "title", "description", F.md5("text").alias("text_md5"))
+
+
 def path_identity(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "documents").select("doc_id", "lang", "source")
     number = F.col("doc_id").cast("string")
@@ -320,6 +333,28 @@ def sitemap_targets(spark: SparkSession, root: str) -> DataFrame:
     return target_sources.from_sitemap_entries(rows, SITE)
 
 
+def source_precedence(spark: SparkSession, root: str) -> DataFrame:
+    """Hosts with a URL list, else a sitemap, else what their pages link to. Some sitemaps
+    have an entry that doesn't close, and some are empty."""
+    host = F.lower(urls.host(F.col("url")))
+    kind = F.length("site") % 5
+    rows = _urls(spark, root).select("page_id", "url", host.alias("site"))
+    listed = rows.where(kind == 0).select("site", F.lit(1).alias("source"), F.col("page_id").alias("ord"), "url", F.lit(None).cast("string").alias("fault"))
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    broken = (kind == 1) & (F.col("page_id") % 2 == 0)
+    entry = F.concat(F.lit("<url><loc>"), escaped, F.when(broken, "").otherwise("</loc></url>"))
+    entries = target_sources.parsed_entries(rows.withColumn("xml", F.when(kind == 2, "<urlset/>").otherwise(entry)).withColumn("ord", F.col("page_id")))
+    sitemap = entries.select("site", F.lit(2).alias("source"), "ord", F.when(kind != 2, F.col("url")).alias("url"), F.when(kind != 2, F.col("fault")).alias("fault"))
+    edges = links.edges(_pages(spark, root), SITE, "page_id")
+    index = edges.select(
+        host.alias("site"), F.lit(3).alias("source"), (F.col("page_id") * 1000 + F.col("pos")).alias("ord"), F.col("target").alias("url"),
+        F.lit(None).cast("string").alias("fault"),
+    )
+    chosen = target_sources.by_precedence(listed.unionByName(sitemap).unionByName(index))
+    found = chosen.select("site", "source", "ord", _canonical().alias("url"))
+    return found.groupBy("site", "source", "url").agg(F.min("ord").alias("ord"))
+
+
 def index_targets(spark: SparkSession, root: str) -> DataFrame:
     """Every page as an index page of its category, its links moved below it."""
     pages = _pages(spark, root)
@@ -579,6 +614,13 @@ def category_merge(spark: SparkSession, root: str) -> DataFrame:
     return coverage.merged_volumes(rows, 100)
 
 
+def category_volumes(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of a category in the order of their paths, in volumes of about 100 kB."""
+    rows = table(spark, root, "documents")
+    path = F.concat(F.reverse(F.col("doc_id").cast("string")), F.lit("/"), "source")
+    return coverage.sized_volumes(rows.select(F.col("lang").alias("category"), path.alias("path"), F.col("text").alias("markdown")), 100_000)
+
+
 def target_order(spark: SparkSession, root: str) -> DataFrame:
     return targets.numbered(_page_targets(spark, root).select("category", "slug", "url"))
 
@@ -604,14 +646,14 @@ def page_store(spark: SparkSession, root: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        corpus_load, path_identity, doc_catalog, doc_title, doc_description, tokens, term_frequency, doc_norms,
+        corpus_load, corpus_scan, path_identity, doc_catalog, doc_title, doc_description, tokens, term_frequency, doc_norms,
         search_topk, search_batch, search_empty, search_validate, search_response, open_doc,
         search_stored_topk, search_stored_batch, search_sql,
         url_canonical, url_category, url_slug, slug_title, url_dedupe, url_dedupe_last, url_list_targets,
-        url_list_rejects, sitemap_targets, index_targets, robots_allowed, robots_by_host, site_categories,
+        url_list_rejects, sitemap_targets, index_targets, source_precedence, robots_allowed, robots_by_host, site_categories,
         html_main, html_denoise, html_decor, html_title, html_text, html_markdown, md_sanitize, residual_html,
         page_links, link_rewrite, links_moved,
         challenge_pages, fetch_plan, page_status, missing_pages, category_summary, url_manifest, convert_run,
-        category_merge, target_order, corpus_order, page_store,
+        category_merge, category_volumes, target_order, corpus_order, page_store,
     )
     return {query.__name__: query for query in found}

@@ -62,6 +62,22 @@ def write_merged(documents: DataFrame, path: str, key: str = "path", column: str
     dealt.select("category", body.alias("value")).write.mode("overwrite").partitionBy("category").text(path)
 
 
+def write_volumes(
+    documents: DataFrame, path: str, key: str = "path", column: str = "markdown", target_bytes: int = 128 << 20
+) -> None:
+    """As ``write_merged``, in text files of about ``target_bytes`` whatever the keys.
+
+    A category's ``volume`` folders, in the order of their numbers, are the
+    whole. Volumes follow from the exact sizes, not from a sample of the keys,
+    which are unique within a category.
+    """
+    named = documents.select("category", key, F.col(column).alias("markdown"))
+    volumes = coverage.sized_volumes(named, target_bytes, key)
+    number = F.lpad(F.col("volume").cast("string"), 12, "0").alias("volume")
+    rows = volumes.select("category", number, F.concat("markdown", F.lit("\n")).alias("value"))
+    rows.write.mode("overwrite").partitionBy("category", "volume").text(path)
+
+
 def write_status(status: DataFrame, path: str) -> None:
     """Append one run's page outcomes; failures are ``status = 'FAIL'``, a
     partition of its own."""

@@ -15,23 +15,46 @@ from pyspark.sql import types as T
 from folioscope.functions import text
 from folioscope.functions.urls import Site
 from folioscope.operators import links, targets
+from folioscope.sinks.scratch import stored
 
-_SITEMAP_ENTRY = T.StructType([T.StructField("loc", T.StringType())])
+_SITEMAP_ENTRY = T.StructType([T.StructField("loc", T.StringType()), T.StructField("fault", T.StringType())])
+
+
+def sitemap_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, url, fault) of the ``<url>`` elements of sitemap files, a malformed
+    one beside the good: it has its text as ``fault``. Spark's reader may leave
+    out what follows it in its file."""
+    reader = spark.read.format("xml").option("rowTag", "url").option("mode", "PERMISSIVE")
+    entries = reader.option("columnNameOfCorruptRecord", "fault").schema(_SITEMAP_ENTRY).load(path)
+    return _ordered(entries.select(F.col("loc").alias("url"), "fault"))
 
 
 def from_sitemap(spark: SparkSession, path: str, site: Site) -> DataFrame:
-    """Targets of the ``<url><loc>`` entries of sitemap files. A malformed file
-    is an error when the result is read."""
-    reader = spark.read.format("xml").option("rowTag", "url").option("mode", "FAILFAST")
-    entries = reader.schema(_SITEMAP_ENTRY).load(path)
-    return targets.build(_ordered(entries.select(F.col("loc").alias("url"))), site)
+    """Targets of the ``<url><loc>`` entries of sitemap files, which are read
+    once. A malformed entry makes the sitemap unreadable."""
+    entries = stored(sitemap_entries(spark, path), "sitemap")
+    fault = entries.filter(F.col("fault").isNotNull()).select("fault").first()
+    if fault:
+        raise UnreadableSource(f"malformed sitemap entry: {fault.fault[:200]}")
+    return targets.build(entries.select("ord", "url"), site)
 
 
-def from_sitemap_entries(entries: DataFrame, site: Site, xml: str = "xml", ord: str = "ord") -> DataFrame:
-    """Targets of a table with one ``<url>`` element per row."""
+class UnreadableSource(ValueError):
+    """A source of targets is there, but malformed."""
+
+
+def parsed_entries(entries: DataFrame, xml: str = "xml") -> DataFrame:
+    """A table with one ``<url>`` element per row, as ``sitemap_entries``: ``url``, ``fault`` instead of the element."""
     # The options make the parser take the element itself as the row.
-    parsed = F.from_xml(F.col(xml), "loc string", {"rowTag": "url"})
-    return targets.build(entries.select(F.col(ord).alias("ord"), parsed["loc"].alias("url")), site)
+    options = {"rowTag": "url", "columnNameOfCorruptRecord": "fault"}
+    read = entries.drop("url", "fault").withColumn("_entry", F.from_xml(F.col(xml), "loc string, fault string", options))
+    return read.withColumn("url", F.col("_entry.loc")).withColumn("fault", F.col("_entry.fault")).drop("_entry", xml)
+
+
+def from_sitemap_entries(entries: DataFrame, site: Site, xml: str = "xml", ord: str = "ord") -> DataFrame:
+    """Targets of a table with one ``<url>`` element per row; malformed ones have none."""
+    read = parsed_entries(entries, xml)
+    return targets.build(read.filter(F.col("fault").isNull()).select(F.col(ord).alias("ord"), "url"), site)
 
 
 def from_url_list(spark: SparkSession, path: str, site: Site) -> tuple[DataFrame, DataFrame]:
@@ -69,10 +92,23 @@ def from_index_pages(pages: DataFrame, site: Site) -> DataFrame:
     return targets.finish(targets.last_by(first, "url", ord="rank"))
 
 
+def by_precedence(candidates: DataFrame) -> DataFrame:
+    """Of (site, source, ord, url, fault, ...) rows those of the first readable source of each site.
+
+    ``source`` is a number, the smaller the earlier; a source with a ``fault`` in
+    any row is not readable. One without URLs is an answer, if a row with a null
+    URL says that it is there. All sites are decided in one pass; a hot site is
+    merged within tasks, and only decisions come back to the rows.
+    """
+    sources = candidates.groupBy("site", "source").agg(F.max(F.col("fault").isNotNull()).alias("broken"))
+    chosen = stored(sources.filter(~F.col("broken")).groupBy("site").agg(F.min("source").alias("source")), "chosen")
+    return candidates.join(chosen, ["site", "source"]).filter(F.col("url").isNotNull())
+
+
 def _is_unreadable(error: Exception) -> bool:
     """A source that is missing or malformed; losing an executor is neither."""
     told = isinstance(error, Py4JJavaError) and re.search(r"\[(MALFORMED_RECORD|FAILED_READ_FILE)", str(error))
-    return bool(told) or isinstance(error, (AnalysisException, SparkRuntimeException, OSError))
+    return bool(told) or isinstance(error, (AnalysisException, SparkRuntimeException, OSError, UnreadableSource))
 
 
 def single(spark: SparkSession, url: str, site: Site) -> DataFrame:
@@ -95,10 +131,7 @@ def choose(
     if url_list:
         return url_list()
     try:
-        found = sitemap()
-        # Reads every entry, so that a fault anywhere shows now.
-        found.count()
-        return found
+        return sitemap()  # ``from_sitemap`` has read every entry by then
     except Exception as error:
         if not _is_unreadable(error):
             raise

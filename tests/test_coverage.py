@@ -283,6 +283,26 @@ def test_merged_files_in_order(spark, tmp_path):
         assert whole == "".join(m + "\n\n" for c, _, m in rows if c == category)
 
 
+def test_volumes_near_a_byte_target(spark, tmp_path):
+    """Sparse keys of any kind, one document longer than a volume, empty ones."""
+    rows = [("c", f"{i * i:09d}", "ü" * (i % 40)) for i in range(400)] + [("c", "000000002", "x" * 900), ("e", "k", None), ("e", "l", "y")]
+    df = spark.createDataFrame(rows, "category string, path string, markdown string").repartition(5)
+    got = coverage.sized_volumes(df, 500).collect()
+    texts = {c: [m or "" for k, p, m in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])] for c in "ce"}
+    for category in "ce":
+        own = sorted((r for r in got if r.category == category), key=lambda r: r.volume)
+        assert "\n\n".join(r.markdown for r in own) == "\n\n".join(texts[category])
+        assert sum(r.documents for r in own) == len(texts[category])
+        assert all(len(r.markdown.replace("\n", "").encode()) < 500 + 900 for r in own)
+    sizes = [len(r.markdown.replace("\n", "").encode()) for r in got if r.category == "c"]
+    assert sum(sizes) / len(sizes) > 400
+    sinks.write_volumes(df, str(tmp_path), target_bytes=500)
+    for category in "ce":
+        files = sorted((tmp_path / f"category={category}").glob("volume=*/part-*"))
+        assert "".join(f.read_text() for f in files) == "".join(m + "\n\n" for m in texts[category])
+    assert coverage.sized_volumes(df.where("false"), 500).collect() == []
+
+
 def test_residual_html(spark):
     df = spark.createDataFrame([("a", "x <b>"), ("a", "1 < 2"), ("b", "y")], "category string, markdown string")
     got = {r.category: (r.documents, r.with_tags) for r in coverage.residual_html(df).collect()}

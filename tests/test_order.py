@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.operators import documents, targets
-from folioscope.operators.order import with_ordinal
+from folioscope.operators.order import with_ordinal, with_sum_before
 
 
 def test_equals_sorting(spark):
@@ -38,3 +38,16 @@ def test_paths_by_parts_and_targets(spark):
     rows = [("b", "x", "u1"), ("a", "z", "u2"), ("a", "y", "u3"), ("a", "y", "u0")]
     got = targets.numbered(spark.createDataFrame(rows, "category string, slug string, url string")).collect()
     assert [(r.category, r.slug, r.url) for r in sorted(got, key=lambda r: r.ordinal)] == sorted(rows)
+
+
+def test_sums_before_of_any_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([0, 1, 7, None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, k int, n int").repartition(6)
+    for by, sign in (("k", 1), (F.desc("k"), -1)):
+        got = {r.k: (r.g, r.before) for r in with_sum_before(df, "g", by, size="n").collect()}
+        total = {}
+        for g, k, n in sorted(rows, key=lambda r: sign * r[1]):
+            assert got[k] == (g, total.get(g, 0))
+            total[g] = total.get(g, 0) + (n or 0)
+    assert with_sum_before(df.where("false"), "g", "k", size="n").collect() == []

@@ -156,3 +156,32 @@ def test_one_unreadable_index_page_does_not_cost_the_others(spark):
 
     with pytest.raises(ZeroDivisionError):
         sources.readable_pages([broken])
+
+
+def test_malformed_entries_stand_beside_the_good(spark, tmp_path):
+    path = tmp_path / "sitemap.xml"
+    good = "".join(f"<url><loc> https://h/x/ref/{i} </loc></url>" for i in range(5))
+    path.write_text(f'<?xml version="1.0"?><urlset>{good}<url><loc>https://h/x/ref/9</lo></url></urlset>')
+    rows = sources.sitemap_entries(spark, str(path)).collect()
+    assert [r.url.strip() for r in rows if r.url and not r.fault] == [f"https://h/x/ref/{i}" for i in range(5)]
+    assert sum(r.fault is not None for r in rows) == 1
+    with pytest.raises(sources.UnreadableSource, match="malformed"):
+        sources.from_sitemap(spark, str(path), SITE)
+    index = lambda: spark.createDataFrame([("from index",)], "url string")
+    found = sources.choose(None, None, lambda: sources.from_sitemap(spark, str(path), SITE), index)
+    assert found.first().url == "from index"
+    path.write_text("<urlset></urlset>")
+    empty = sources.choose(None, None, lambda: sources.from_sitemap(spark, str(path), SITE), index)
+    assert empty.collect() == []  # an answer, not an error
+
+
+def test_precedence_by_site(spark):
+    rows = [
+        ("a", 1, 0, "a1", None), ("a", 2, 0, "a2", None), ("b", 1, 0, None, "broken"), ("b", 1, 1, "b1", None), ("b", 2, 0, "b2", None),
+        ("c", 2, 0, None, None), ("c", 3, 0, "c3", None), ("d", 2, 0, None, "broken"), ("d", 3, 0, None, "broken too"),
+    ] + [("hot", 2, i, f"h{i}", None) for i in range(500)] + [("hot", 3, 0, "no", None)]
+    df = spark.createDataFrame(rows, "site string, source int, ord int, url string, fault string")
+    got = {}
+    for r in sources.by_precedence(df).collect():
+        got.setdefault(r.site, set()).add(r.url)
+    assert got == {"a": {"a1"}, "b": {"b2"}, "hot": {f"h{i}" for i in range(500)}}
