@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from folioscope.functions.urls import Site
 from folioscope.operators import coverage, render, robots
 from folioscope.sinks import scratch
 from folioscope.sinks import tables as sinks
+from folioscope.sinks.store import PageStore
+
+#: Pages as one table, or as tables that have each page once together, such as ``PageStore.parts``.
+Pages = DataFrame | Sequence[DataFrame]
 
 
 def clean(pages: DataFrame, site: Site) -> DataFrame:
@@ -52,8 +57,8 @@ class Run:
 
 def run(
     targets: DataFrame,
-    stored: DataFrame,
-    fetched: DataFrame,
+    stored: Pages,
+    fetched: Pages,
     site: Site,
     rules: robots.Rules,
     force: bool = False,
@@ -64,10 +69,11 @@ def run(
     an earlier run's ``to_fetch``) fill the gaps; both are (url, html), and may
     have ``fetched_at``. ``rules`` are the robots rules of one site, or a table
     of many sites' (``robots.rules_table``). Each page table is read once for its flags, on which
-    the outcome is decided and stored, and once for the bodies that won.
+    the outcome is decided and stored, and once for the bodies that won. Tables
+    bucketed by URL are asked for those where they lie.
     """
-    plan = coverage.fetch_plan(targets, stored, force)
-    decided = coverage.decide(plan, fetched, rules).join(targets.select("url", "title_guess"), "url")
+    plan = coverage.fetch_plan(targets, _together(stored), force)
+    decided = coverage.decide(plan, _together(fetched), rules).join(targets.select("url", "title_guess"), "url")
     decided = scratch.stored(decided, "decided")
     wanted = coverage.to_fetch(decided.filter("allowed"))
 
@@ -85,24 +91,42 @@ def run(
     return Run(targets, decided, converted(decided), wanted, retry, taken)
 
 
-def _bodies(pages: DataFrame, decided: DataFrame, outcome: str, kind: str) -> DataFrame:
+def _parts(pages: Pages) -> list[DataFrame]:
+    return [pages] if isinstance(pages, DataFrame) else list(pages)
+
+
+def _together(pages: Pages) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _parts(pages))
+
+
+def _bodies(pages: Pages, decided: DataFrame, outcome: str, kind: str) -> DataFrame:
     """The page each target with this outcome reads. Bodies that are there
     once, as they should be, are not merged; they move only if the decisions
-    are too many to be sent to them."""
+    are too many to be sent to them and the pages are not bucketed by URL."""
     good = decided.filter(F.col("status") == outcome).select(
         "url", "category", "slug", "status", "attempt", "title_guess",
         F.col(f"{kind}_digest").alias("digest"), F.col(f"{kind}_copies").alias("copies"),
     )
-    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
-    found = pages.select("url", "html", at.alias("fetched_at"), F.xxhash64("html").alias("digest")).join(good, ["url", "digest"])
-    single = found.filter(F.col("copies") == 1)
-    merged = found.filter(F.col("copies") > 1).dropDuplicates(["url"])
+
+    def found(part: DataFrame) -> DataFrame:
+        at = F.col("fetched_at") if "fetched_at" in part.columns else F.lit(None).cast("timestamp")
+        # By URL alone, which the buckets know; the digest tells copies apart. As an equality it would join the keys.
+        same = F.xxhash64("html").bitwiseXOR(F.col("digest")) == 0
+        return part.select("url", "html", at.alias("fetched_at")).join(good, "url").filter(same)
+
+    # Each part by itself: a union would lose the buckets.
+    both = reduce(DataFrame.unionByName, map(found, _parts(pages)))
+    single = both.filter(F.col("copies") == 1)
+    merged = both.filter(F.col("copies") > 1).dropDuplicates(["url"])
     return single.unionByName(merged).drop("digest", "copies")
 
 
-def publish(outcome: Run, path: str, output_root: str) -> None:
+def publish(outcome: Run, path: str, output_root: str, raw_store: PageStore | None = None) -> None:
     """Write the raw pages, the converted ones, then the reports from those.
 
+    Raw pages go to ``raw_store``, if there is one, whose ``parts`` the next run
+    takes as its stored pages; else to files by run.
+
     Conversion runs once, and once more for stored pages that failed to render
     and have a fetched page; status, manifest and summary read the written
     table instead of repeating it. Earlier runs' pages stay: ``sinks.read_pages``
@@ -115,7 +139,10 @@ def publish(outcome: Run, path: str, output_root: str) -> None:
     pages = again.unionByName(first.join(again.select("url"), "url", "left_anti"))
     raw = outcome.taken(outcome.decided.filter(F.col("status") == coverage.OK_FETCH))
     raw = raw.unionByName(outcome.taken(coverage.retried(outcome.decided, first)))
-    sinks.write_raw(raw, f"{path}/raw", run_id)
+    if raw_store:
+        raw_store.append(sinks.raw_rows(raw))
+    else:
+        sinks.write_raw(raw, f"{path}/raw", run_id)
     sinks.write_pages(pages, f"{path}/pages", run_id)
     pages = spark.read.parquet(f"{path}/pages/run={run_id}") if not pages.isEmpty() else pages
     status = scratch.stored(coverage.with_errors(outcome.decided, pages), "status")

@@ -62,7 +62,7 @@ class PageStore:
         number = int(self._runs()[0].rpartition("run")[2]) + 1 if self._runs() else 0
         save_bucketed(pages, f"{self.name}_run{number:06d}", self.buckets, self.key, self.path)
 
-    def _newest(self, base: DataFrame) -> DataFrame:
+    def _newest(self, base: DataFrame) -> list[DataFrame]:
         """Each table's pages that no later run has."""
         tables = [*(self.spark.table(t) for t in self._runs()), base.drop("part")]
         columns = tables[0].columns
@@ -70,11 +70,15 @@ class PageStore:
         for i, table in enumerate(tables):
             # One after the other, not against their union: a union would lose the buckets.
             found.append(reduce(lambda rows, later: rows.join(later.select(self.key), self.key, "left_anti"), tables[:i], table))
-        return reduce(DataFrame.unionByName, [rows.select(*columns) for rows in found])
+        return [rows.select(*columns) for rows in found]
+
+    def parts(self) -> list[DataFrame]:
+        """The newest page of each key, in tables that keep their buckets: join each by key, then unite."""
+        return self._newest(self.spark.table(self._base))
 
     def newest(self) -> DataFrame:
         """The newest page of each key."""
-        return self._newest(self.spark.table(self._base))
+        return reduce(DataFrame.unionByName, self.parts())
 
     def compact(self) -> list[int]:
         """Fold the runs into the base; the parts that were rewritten.
@@ -89,7 +93,7 @@ class PageStore:
         fresh = reduce(DataFrame.union, [self.spark.table(t).select(_part(self.key)) for t in runs])
         touched = sorted(r.part for r in fresh.distinct().collect())  # PARTS numbers at most
         base = self.spark.table(self._base)
-        merged = self._newest(base.filter(F.col("part").isin(touched))).withColumn("part", _part(self.key))
+        merged = reduce(DataFrame.unionByName, self._newest(base.filter(F.col("part").isin(touched)))).withColumn("part", _part(self.key))
         merged = stored(merged.select(*base.columns), "compacted").repartition(self.buckets, self.key)
         mode = "spark.sql.sources.partitionOverwriteMode"
         before = self.spark.conf.get(mode)

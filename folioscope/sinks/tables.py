@@ -31,11 +31,14 @@ def write_pages(pages: DataFrame, path: str, run: str) -> None:
     pages.drop("fetched_at").write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
 
 
+def raw_rows(pages: DataFrame) -> DataFrame:
+    at = F.coalesce(F.col("fetched_at"), F.current_timestamp())
+    return pages.select("url", "category", "slug", "html", at.alias("fetched_at"))
+
+
 def write_raw(pages: DataFrame, path: str, run: str) -> None:
     """The fetched pages as they came, for the next run to reuse."""
-    at = F.coalesce(F.col("fetched_at"), F.current_timestamp())
-    kept = pages.select("url", "category", "slug", "html", at.alias("fetched_at"))
-    kept.write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
+    raw_rows(pages).write.mode("overwrite").partitionBy("category").parquet(f"{path}/run={run}")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

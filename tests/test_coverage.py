@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from folioscope.functions.urls import Category, Site
 from folioscope.operators import coverage, links, robots, targets
 from folioscope.plans import convert
 from folioscope.sinks import tables as sinks
+from folioscope.sinks.store import PageStore
 
 SITE = Site("https://h", tuple(Category(k, f"/{k}/", f"https://h/{k}/") for k in ("en", "de")))
 
@@ -166,6 +168,30 @@ def test_a_later_run_adds_to_earlier_ones(spark, tmp_path):
     assert {r.slug: r.title for r in newest.pages.collect()} == titles()
 
 
+def test_runs_over_a_page_store(spark, tmp_path, exchanges):
+    names = lambda *urls: targets.build(
+        spark.createDataFrame([(i, f"https://h/en/{n}") for i, n in enumerate(urls)], "ord int, url string"), SITE)
+    none = spark.createDataFrame([], "url string, html string")
+    page = lambda name, text: (f"https://h/en/{name}", f"<h1>{text}</h1>")
+    kept = PageStore(spark, "t_raw", 4, str(tmp_path / "store"))
+    first = spark.createDataFrame([page("a", "A1"), page("b", "B1")], none.schema)
+    convert.publish(convert.run(names("a", "b"), none, first, SITE, []), str(tmp_path / "out"), "out", kept)
+    second = spark.createDataFrame([page("b", "B2"), page("c", "C2")], none.schema)
+    again = convert.run(names("b", "c"), kept.parts(), second, SITE, [], force=True)
+    convert.publish(again, str(tmp_path / "out"), "out", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = convert.run(names("a", "b", "c"), kept.parts(), none, SITE, [])
+        assert {r.slug: (r.status, r.title) for r in last.pages.collect()} == {
+            "a": ("OK CACHE", "A1"), "b": ("OK CACHE", "B2"), "c": ("OK CACHE", "C2"),
+        }
+        # only bodies that are there more than once are merged
+        moved = [below for columns, below in exchanges(convert._bodies(kept.parts(), last.decided, "OK CACHE", "stored")) if "html" in columns]
+        assert all(re.search("Aggregate", " ".join(below)) for below in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_newest_stored_copy_and_challenges(spark):
     rows = [("https://h/en/1", "<h1>a old</h1>", 2), ("https://h/en/1", "<h1>z new</h1>", 3), ("https://h/en/1", "<h1>m</h1>", 1),
             ("https://h/en/2", "<p>Just a moment quoted challenge-platform", 1)]
