@@ -21,7 +21,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that never hold an article's text.
 FURNITURE = frozenset("nav footer aside form dialog menu search button fieldset".split()) | RAW | INSETS
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that say the same; ``header`` is judged by where it stands.
+#: Words of a class or id that say the same, if all its words do or say where it stands
+#: (``main-menu``, but not ``menu-of-the-day``); ``header`` is judged by where it stands.
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets ad ads"
     " adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr"
@@ -29,6 +30,11 @@ FURNITURE_WORDS = frozenset(
     " related recommended recommendations comment comments commentlist comentarios disqus respond reply replies pagination"
     " pager toolbar search form hidden".split()
 )
+PLACE_WORDS = frozenset(
+    "site page global main top bottom left right first second third primary secondary inner outer sticky fixed floating mobile desktop"
+    " container wrapper wrap holder box block bar area zone section panel row column col list item items link links button buttons"
+    " icon icons label title heading unit slot group set js wp id post posts article articles entry entries stories".split()
+)
 
 #: Paths go down to here; elements below have the path of the one at this depth.
 DEEPEST = 100
@@ -77,7 +83,8 @@ def _element(tag: str, rest: str) -> Node:
         furniture = 1 if tag in FURNITURE else 2 if tag == "header" else 0
         return Node(tag, tag, furniture, tag in ("article", "main"), tag in BLOCKS)
     given = _attributes(rest)
-    marks = [re.sub(r"\d+", "", w) for w in (given.get("class", "") + " " + given.get("id", "")).split()]
+    classes, ids = ([re.sub(r"\d+", "", w) for w in given.get(a, "").split()] for a in ("class", "id"))
+    marks = classes + ids
     role = given.get("role", "").lower()
     body = "articlebody" in given.get("itemprop", "").lower().split()
     main = tag in ("article", "main") or role in ("main", "article") or body
@@ -85,10 +92,11 @@ def _element(tag: str, rest: str) -> Node:
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
         furniture = 1
     if tag not in ("html", "body", "main") and furniture != 1:
-        for mark in marks:
+        for mark in classes if tag in HEADINGS else marks:  # a heading's id is its text
             words = [w.lower() for w in _WORD.findall(mark)]
             if words and words[0] not in ("no", "has", "with", "without"):
-                if FURNITURE_WORDS.intersection(words) and not (tag == "article" and words[0] in ("article", "post", "entry")):
+                own = FURNITURE_WORDS.intersection(words) and all(w in FURNITURE_WORDS or w in PLACE_WORDS for w in words)
+                if own and not (tag == "article" and words[0] in ("article", "post", "entry")):
                     furniture = 1
                 elif "header" in words:
                     furniture = furniture or 2
@@ -185,9 +193,29 @@ def parse(page: str) -> Node:
         places.setdefault(tag, []).append(len(stack))
         stack[-1].children.append(node)
         stack.append(node)
+    _free_forms(root)
     return root
 
 
+def _free_forms(root: Node) -> None:
+    """A form that holds most of a page's unlinked text is the page's frame, not furniture."""
+    order, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        order.append(node)
+        waiting += [c for c in node.children if isinstance(c, Node)]
+    if not any(n.tag == "form" and n.furniture == 1 for n in order):
+        return
+    size: dict[int, int] = {}
+    for node in reversed(order):  # children before parents
+        own = sum(len(" ".join(c[0].split())) for c in node.children if isinstance(c, tuple) and not c[1])
+        inner = [c for c in node.children if isinstance(c, Node)]
+        size[id(node)] = own + sum(size[id(c)] for c in inner if c.furniture != 1 or c.tag == "form")
+    for node in order:
+        if node.tag == "form" and node.furniture == 1 and size[id(node)] * 2 > size[id(root)]:
+            node.furniture = 0
+
+
 def blocks(node: Node, skip=lambda path, text: False, path: str = "") -> Iterator[tuple[str, str, int]]:
     """(path, text, linked characters) of each block below ``node`` that isn't furniture, in page order."""
     parts: list[str] = []

@@ -63,7 +63,7 @@ def fingerprint(text: bytes | None, words_each: int) -> int:
 
 def fingerprints(docs: DataFrame, words_each: int, *, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``fingerprint`` (the 64 bits as a long) instead."""
-    kept = [c for c in docs.columns if c not in (text, "fingerprint")]
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), "fingerprint")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("binary").alias("fingerprint"))
     schema = docs.sparkSession.createDataFrame([], "fingerprint long").schema
     out = rows.select(*[F.col(f"`{c}`") for c in kept]).schema.add(schema[0])

@@ -58,16 +58,16 @@ def without_boilerplate(
     site: Column,
     text: Column,
     ratio: float = 0.3,
-    min_pages: int = 5,
+    min_pages: int = 2,
 ) -> DataFrame:
     """``pages`` with ``site``, ``text``, ``n_lines``, ``n_dropped``; these replace columns of the same name.
 
     ``text`` is cut into lines; white space within is one space, empty lines
     don't count. For each site, a line's share is the number of its pages that
     have it over all its pages; lines above ``ratio`` are dropped from every
-    page of the site, wherever they stand. A site of fewer than ``min_pages``
-    pages shows no share to go by and keeps its lines, as do pages of no site
-    (null). Each row is a page, also if it repeats another. A null text has no
+    page of the site, wherever they stand, if two pages or more have them. A site
+    of fewer than ``min_pages`` pages keeps its lines, as do pages of no site
+    (null): a single page shows no share to go by. Each row is a page, also if it repeats another. A null text has no
     lines. Lines are told apart by 64 bits within their site.
     """
     own = ("site", "text", "n_lines", "n_dropped")
@@ -82,7 +82,7 @@ def without_boilerplate(
         (F.col("n_lines") - F.size("rest")).alias("n_dropped"))
 
 
-RATIO, MIN_PAGES = 0.3, 5
+RATIO, MIN_PAGES = 0.3, 2
 
 
 def op2_site_lines(spark, root) -> DataFrame:

@@ -174,17 +174,18 @@ def _loose(w: dict, least_pages: int) -> int:
 def region(w: dict, least_pages: int = 3) -> str:
     """The path of the element in which a site keeps its article.
 
-    The article or main element with most text of its own; else the innermost
+    The article or main element with most text of its own, or one within it that
+    leaves out only links, furniture and what the site repeats; else the innermost
     element that holds all of the text that isn't links or the same on the pages
     that have it, ``least_pages`` or more. An element that is furniture doesn't
     count, unless there is nothing else.
     """
-    found: list[tuple[bool, int, str]] = []
+    found: list[tuple[bool, int, str, int]] = []
 
     def look(c: dict, path: str, within: bool) -> None:
         if c["m"]:
             t, l = _own(c | {"f": 0})
-            found.append((not within and c["f"] != 1, t - l, path))
+            found.append((not within and c["f"] != 1, t - l, path, _loose(c | {"f": 0}, least_pages)))
         for x in c["c"]:
             look(x, f"{path}/{x['k']}", within or c["f"] == 1)
 
@@ -194,8 +195,8 @@ def region(w: dict, least_pages: int = 3) -> str:
     if clear or _own(w)[0] == 0 and found:  # comments are articles too
         found = clear or found
         best = max(found, key=lambda x: (x[0], x[1], -len(x[2])))
-        # an article that is most of the largest is meant, not what encloses both
-        inner = [x for x in found if x[0] == best[0] and x[2].startswith(best[2] + "/") and x[1] * 2 > best[1]]
+        # an article with all of the largest one's text is meant, not what encloses both
+        inner = [x for x in found if x[0] == best[0] and x[2].startswith(best[2] + "/") and x[3] == best[3]]
         return max(inner, key=lambda x: (x[1], len(x[2])))[2] if inner else best[2]
     path = w["k"]
     least = least_pages if _loose(w, least_pages) else w["n"] + 1  # copies of one page: nothing is the site's own
@@ -365,7 +366,7 @@ def extract(pages: DataFrame, *, site: Column | None = None, html: str = "html",
     usual = (usual.region, usual.template) if usual else (None, None)
     unusual = known.where(~((F.col("region") == usual[0]) & (F.col("template") == usual[1]))) if usual[0] else known
     unusual = stored(unusual.select("site", F.col("region").alias("at"), F.col("template").alias("fixed")), "unusual")
-    kept = [c for c in keep or pages.columns if c not in (html, "text")]
+    kept = [c for c in keep or pages.columns if c.lower() not in (html.lower(), "text")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(html).alias("text"), site.alias("site"))
     rows = matched(rows, unusual, ["site"], "left").select("row", "text", "at", "fixed")
     return rows.mapInArrow(_apply(usual), rows.select("row", "text").schema).select("row.*", "text")

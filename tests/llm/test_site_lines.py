@@ -36,6 +36,13 @@ def test_equals_counting(spark, ratio):
     assert sum(r.n_dropped > 0 for r in got.collect()) > (50 if ratio < 0.9 else -1)
 
 
+def test_hosts_of_few_pages(spark):
+    rows = [(1, "two", "menu\none"), (2, "two", "menu\ntwo"), (3, "one", "menu\nthree"), (4, "four", "a\nx"), (5, "four", "a\ny"), (6, "four", "b"), (7, "four", "c")]
+    df = spark.createDataFrame(rows, "page_id long, s string, t string")
+    got = {r.page_id: r.text for r in S.without_boilerplate(df, site=F.col("s"), text=F.col("t"), ratio=0.5).collect()}
+    assert got == {1: "one", 2: "two", 3: "menu\nthree", 4: "a\nx", 5: "a\ny", 6: "b", 7: "c"}
+
+
 def test_lines_of_a_page(spark):
     html = "<html><HEAD><title>T</title><script>var a='<p>';\n</script></head><body><!-- <p>no</p> --><p>one <b>two</b><br>three<p>\n four</body>"
     df = spark.createDataFrame([(html,)], "html string")

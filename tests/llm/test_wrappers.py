@@ -43,6 +43,22 @@ CASES = {
     "inline advert": ("<article><p>before <span class=ad>BUY <span>NOW</span></span> after</p></article>", "before after"),
     "hidden": ('<article><p>shown</p><p hidden>not</p><div style="display:none">nor</div></article>', "shown"),
     "roles": ('<div role=navigation>n</div><div role=main><p>text</p><div role=search>s</div></div>', "text"),
+    "words of a class": (
+        page('<div class="content-with-sidebar"><h1>T</h1><p>One paragraph of the text.</p><div class="share-price"><p>Price is 5.</p></div>',
+             '<section class="related-work"><h2 id="search">Search</h2><p>Earlier work.</p></section><ul class="menu-of-the-day"><li>Soup</ul>',
+             '<h2 id="hidden-markov-models">Hidden Markov models</h2><p>End of it.</p></div><div class="main-menu"><p>M</p></div><p class="top-ad-box">BUY</p>'),
+        "T\nOne paragraph of the text.\nPrice is 5.\nSearch\nEarlier work.\nSoup\nHidden Markov models\nEnd of it.",
+    ),
+    "a state of the page": (page('<div class="post comments-open"><p>The text of a post.</p></div><p>one more</p>'), "The text of a post.\none more"),
+    "a form as frame": (
+        page('<form id="aspnetForm"><div class=menu>M</div><h1>T</h1><p>The long text of an article in a form.</p><form><p>Name</p></form></form><p>tail</p>'),
+        "T\nThe long text of an article in a form.\ntail",
+    ),
+    "text beside the article": (
+        page("<main><h1>Title</h1><p>Intro</p><article><p>" + "Long text of it. " * 20 + "</p></article><p>tail</p></main>"),
+        "Title\nIntro\n" + ("Long text of it. " * 20).strip() + "\ntail",
+    ),
+    "links beside the article": (page("<main><p><a href=1>up</a> | <a href=2>down</a></p><article><p>Text of it</p></article></main>"), "Text of it"),
     "empty": ("", ""),
     "white": (" \n ", ""),
     "only furniture": (page("<nav>n</nav><footer>f</footer>"), ""),
@@ -141,6 +157,12 @@ def test_unusual_sites(spark):
     assert got[200] == "no article here"
 
 
+def test_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "http://h/", "<p>a", "x")], "page_id long, url string, HTML string, Text string")
+    out = W.extract(df, html="HTML")
+    assert out.columns == ["page_id", "url", "text"] and out.select("text").first().text == "a"
+
+
 def test_awkward(spark):
     rows = [(1, None, page("<article><p>a</article>")), (1, None, page("<article><p>a</article>")), (None, "x", None), (2, "http://h/", None), (3, "http://h/", ""),
             (4, "http://h/", "<article>" + "<p>long words here</p>" * 20_000), (5, "", "<p>b")]
