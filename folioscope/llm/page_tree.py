@@ -198,22 +198,23 @@ def parse(page: str) -> Node:
 
 
 def _free_forms(root: Node) -> None:
-    """A form that holds most of a page's unlinked text is the page's frame, not furniture."""
-    order, waiting = [], [root]
+    """A form that holds most of a page's unlinked text, and is in no article, is the page's frame."""
+    order, forms, waiting = [], [], [(root, False)]
     while waiting:
-        node = waiting.pop()
+        node, within = waiting.pop()
         order.append(node)
-        waiting += [c for c in node.children if isinstance(c, Node)]
-    if not any(n.tag == "form" and n.furniture == 1 for n in order):
+        if node.tag == "form" and node.furniture == 1 and not within:
+            forms.append(node)
+        waiting += [(c, within or node.main) for c in node.children if isinstance(c, Node)]
+    if not forms:
         return
     size: dict[int, int] = {}
     for node in reversed(order):  # children before parents
         own = sum(len(" ".join(c[0].split())) for c in node.children if isinstance(c, tuple) and not c[1])
         inner = [c for c in node.children if isinstance(c, Node)]
         size[id(node)] = own + sum(size[id(c)] for c in inner if c.furniture != 1 or c.tag == "form")
-    for node in order:
-        if node.tag == "form" and node.furniture == 1 and size[id(node)] * 2 > size[id(root)]:
-            node.furniture = 0
+    for form in forms:
+        form.furniture = 0 if size[id(form)] * 2 > size[id(root)] else 1
 
 
 def blocks(node: Node, skip=lambda path, text: False, path: str = "") -> Iterator[tuple[str, str, int]]:

@@ -66,6 +66,31 @@ def directory(sizes: DataFrame, max_bytes: int) -> list[DataFrame]:
         low = high
 
 
+#: Rows of a chain that are summed in one task, about.
+_GROUP = 1_000_000
+
+
+def _chains(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """Rows of buckets of one hash that don't fit, in shards of their own.
+
+    A row above half the limit is a shard. The others are lined up, the largest
+    first, and cut at every half of the limit: a shard has the rows that begin
+    in one half, so none exceeds the limit. A chain is dealt to groups of about
+    eight limits of bytes, so no task has all of it.
+    """
+    half = max(1, max_bytes // 2)
+    # Stored, so that a task that runs again sees its rows in the same order.
+    chained = stored(rows, "chains").withColumn("at", F.monotonically_increasing_id())
+    groups = F.ceil(F.greatest(F.col("bytes") / (8.0 * max_bytes), F.col("rows") / _GROUP))
+    salted = chained.withColumn("salt", F.pmod(F.xxhash64("at"), groups)).withColumn("alone", F.col("n_bytes") > half)
+    by_size = Window.partitionBy("hash", "salt", "alone").orderBy(F.desc("n_bytes"), "at")
+    before = F.coalesce(F.sum("n_bytes").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.when(F.col("alone"), F.concat(F.lit("x"), F.row_number().over(by_size))).otherwise(F.floor(before / half).cast("string"))
+    named = salted.withColumn("number", number).withColumn("shard", F.concat_ws("-", "shard", F.col("salt").cast("string"), "number"))
+    own = Window.partitionBy("hash", "shard")
+    return named.withColumn("bytes", F.sum("n_bytes").over(own)).withColumn("rows", F.count("*").over(own))
+
+
 def shard(
     docs: DataFrame,
     max_bytes: int,
@@ -80,8 +105,9 @@ def shard(
     parts of a chain), ``depth``, ``shard_bytes`` and ``shard_rows`` of its
     bucket. A shard holds at most ``max_bytes``, but for a single row that is
     larger: it is alone. Rows of one key have one hash, so bits can't part
-    them; if they don't fit together they form a chain of shards, dealt by
-    counting within bounded parts of the chain. Null keys hash
+    them; if they don't fit together they form a chain of shards, filled by
+    prefix sums of their sizes within bounded groups of the chain; each shard of
+    a chain has its own ``shard_bytes`` and ``shard_rows``. Null keys hash
     like empty ones. Added columns replace columns of the same name.
 
     Only hashes and sizes are gathered to build the directory. Rows meet it by
@@ -110,15 +136,7 @@ def shard(
     fits = (F.col("bytes") <= max_bytes) | (F.col("rows") == 1)
     parts = placed.where(fits)
     if not reduce(DataFrame.union, tables).where(~fits).isEmpty():
-        # Stored, so that a task that runs again sees its rows in the same order.
-        chained = stored(placed.where(~fits), "chains").withColumn(
-            "per_part", F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.col("largest"))))
-        salts = F.ceil(F.col("rows") / (F.col("per_part") * 4))
-        chained = chained.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts))
-        at = F.row_number().over(Window.partitionBy("hash", "salt").orderBy("n_bytes")) - 1
-        part = F.floor(at / F.col("per_part")).cast("string")
-        chained = chained.withColumn("shard", F.concat_ws("-", "shard", F.col("salt").cast("string"), part))
-        parts = parts.unionByName(chained.select(placed.columns))
+        parts = parts.unionByName(_chains(placed.where(~fits), max_bytes).select(placed.columns))
     outputs = {"n_bytes": "n_bytes", "shard": "shard", "depth": "depth", "shard_bytes": "bytes", "shard_rows": "rows"}
     kept = [f"row.`{c}`" for c in docs.columns if c.lower() not in outputs]
     return parts.select(*kept, *[F.col(c).alias(name) for name, c in outputs.items()])

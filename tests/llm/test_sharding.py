@@ -64,6 +64,16 @@ def test_hot_key(spark, table):
     fits(out, 100)
 
 
+@pytest.mark.parametrize("sizes", [[900] + [12] * 200 + [90], [1100] + [12] * 200, [300] * 50, [1] * 5000, [0] * 400 + [999, 1000, 1001, 2500] + [400] * 30])
+def test_chains_are_full_and_tell_their_own_figures(spark, table, sizes):
+    out = sharding.shard(table([(7, "x" * n) for n in sizes]), 1000).collect()
+    shards = fits(out, 1000)
+    assert sorted(r.n_bytes for r in out) == sorted(sizes)
+    for rows in shards.values():
+        assert {(r.shard_bytes, r.shard_rows) for r in rows} == {(sum(r.n_bytes for r in rows), len(rows))}
+    assert len(shards) <= 2 * sum(sizes) / 1000 + 2 + 2 * sum(n > 500 for n in sizes)
+
+
 def test_awkward(spark, table, awkward):
     extra = ("row", "hash", "leaf", "depth", "cell", "shard", "salt", "bytes")
     out = sharding.shard(table(awkward, extra), 2000)
