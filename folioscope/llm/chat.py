@@ -184,7 +184,7 @@ def op6_chat_windows(spark, root) -> DataFrame:
     its length; ``windows`` itself does not.
     """
     turns = spark.read.parquet(f"{root}/conversations.parquet").select("conv_id", F.col("turn").cast("long"), "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", _MARKED), (-1, 1, "assistant", _MARKED)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"VALUES (-1L, 0L, 'user', '{_MARKED}'), (-1L, 1L, 'assistant', '{_MARKED}') AS t(conv_id, turn, role, text)")
     shown = windows(turns.unionByName(extra), budget=BUDGET, history_turns=HISTORY_TURNS, history_tokens=HISTORY_TOKENS)
     turns_of = F.expr("slice(turns, n_repeated + 1, size(turns))")
     back = shown.withColumn("turns", read_turns(F.col("text"))).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.sinks.scratch import clear, stored
 
-__all__ = ["WORD", "clear", "digits", "matched", "n_words", "row_key", "stored"]
+__all__ = ["WORD", "clear", "digits", "matched", "n_words", "row_key", "sent_if_small", "stored"]
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +35,14 @@ def n_words(text: Column) -> Column:
 def digits(text: Column, n: int) -> Column:
     """The first ``n`` hexadecimal digits of the text's MD5, as a number."""
     return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("long")
+
+
+#: Bytes of a stored table's files up to which it is sent to all tasks.
+SENT_BYTES = 16 << 20
+
+
+def sent_if_small(table: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """A stored table, marked to be sent to all tasks if its files are small: then
+    the rows it meets stay where they are. A larger one is left to Spark."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= most else table

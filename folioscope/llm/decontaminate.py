@@ -280,7 +280,12 @@ def _matcher(known, least: float, out: StructType):
 
 
 def clean(docs: DataFrame, items: DataFrame, *, width: int = 5, least: float = 0.8, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item; columns and other rows as given."""
+    """The rows of ``docs`` that contain no item; columns and other rows as given.
+
+    What contains an item is as in ``leaks``. A null or empty text contains none
+    and stays; repeated rows stay or go alike; texts are read whole. Columns may
+    have any names; an empty table stays empty, and without items all rows stay.
+    """
     spark = docs.sparkSession
     for known in _passes(items, width, item_id, item_text):
         sent = spark.sparkContext.broadcast(known)

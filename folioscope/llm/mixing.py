@@ -111,7 +111,9 @@ def mix(
 
     ``weights`` adds ``weight`` to the table of sources. An empty corpus stays
     empty; documents of a source whose target is 0 are left out only if the
-    source has no words, and then keep no copy.
+    source has no words, and then keep no copy. A null source is a source of its
+    own; a null or empty text has size 0 and is repeated at its source's rate;
+    rows alike in id and text are drawn alike. Columns may have any names.
     """
     sizes = weights(source_sizes(docs, source=source, size=size if size is not None else n_words(F.col(text))))
     targets = stored(target_sizes(sizes, max_repeats), "targets")

@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import matched, row_key, stored
+from folioscope.llm.common import matched, row_key, sent_if_small, stored
 
 ORDER = 5
 #: Entries of the model that one pass over the documents holds, of 12 bytes each.
@@ -249,6 +249,7 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     """A row for each text of a language. Only texts with copies are moved; hashes tell which may have some."""
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
     copied = stored(rows.groupBy("lang", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    copied = sent_if_small(copied)
     alone = matched(rows, copied, ["lang", "hash"], "left_anti")
     return alone.unionByName(matched(rows, copied, ["lang", "hash"], "left_semi").dropDuplicates()).drop("hash")
 
@@ -344,7 +345,7 @@ def good(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **settings)
     rejected = judged(docs, id=id, text=text, **settings).where("not kept").select("key.*").distinct()
     rejected = stored(rejected, "rejected")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id, text).alias("key")).select("row", "key.*")
-    return matched(rows, rejected, ["id", "text"], "left_anti").select("row.*")
+    return matched(rows, sent_if_small(rejected), ["id", "text"], "left_anti").select("row.*")
 
 
 def op5_quality_rules(spark, root) -> DataFrame:

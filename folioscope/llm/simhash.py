@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import matched, stored
+from folioscope.llm.common import matched, sent_if_small, stored
 
 SEED = 42
 #: Words hashed at once, so that a long text takes no more memory than its words.
@@ -351,16 +351,25 @@ def one_of_each(docs: DataFrame, *, words_each: int, max_bits: int, id: str = "d
 
     The row of smallest id stays; of several rows with that id, the one whose
     text has the smallest hash; of rows alike in both, one. Columns as given.
+    Null and empty texts are one group, as they share a fingerprint; an empty
+    table stays empty. Documents stay where they are but for rows alike in id
+    and text, unless the rows that go are too many to be sent to them.
     """
     narrow = docs.select(id, text, _rank(id, text).alias("rank"))
     prints = stored(fingerprints(narrow, words_each, text=text), "fingerprints")
     found = stored(groups(prints, max_bits, id=id), "groups")
-    chosen = stored(prints.join(found, "fingerprint").groupBy("root").agg(F.min("rank").alias("rank")), "kept")
+    rooted = prints.join(found, "fingerprint").groupBy("root", "rank").agg(F.count("*").alias("n"))
+    rooted = stored(rooted.select("root", "rank", "n"), "ranks")
+    first = stored(rooted.groupBy("root").agg(F.min("rank").alias("rank")), "first")
+    ranks = matched(rooted, first.withColumn("stays", F.lit(True)), ["root", "rank"], "left")
+    # What happens to a row, if anything does: it goes, or it is one of several alike.
+    fates = stored(ranks.where("stays is null or n > 1").select("rank.*", "stays"), "fates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _rank(id, text).alias("rank"))
     rows = rows.select("row", "rank.a", "rank.b", "rank.c")
-    chosen = chosen.select("rank.*")
-    kept = matched(rows, chosen, ["a", "b", "c"], "left_semi")
-    return kept.dropDuplicates(["a", "b", "c"]).select("row.*")
+    key = ["a", "b", "c"]
+    alone = matched(rows, sent_if_small(fates), key, "left_anti")
+    several = matched(rows, sent_if_small(fates.where("stays")), key, "left_semi").dropDuplicates(key)
+    return alone.unionByName(several).select("row.*")
 
 
 WORDS_EACH, MAX_BITS = 4, 4
