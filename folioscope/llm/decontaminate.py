@@ -2,8 +2,8 @@
 
 A short item in a long document has a tiny Jaccard similarity, so the shingles
 of documents are cut into chunks, and items are partitioned by size: each class
-meets chunks a few times its own size, where even one shared shingle in eight
-is found. An item is a candidate for a document if one of their minima agree in
+meets chunks a few times its own size, with as many minima as the containment
+asked for needs. An item is a candidate for a document if one of their minima agree in
 any chunk; candidates are verified on the exact shingles of both.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Minima of a chunk. An item that fills a fifth of a chunk is missed with a
-#: probability of 0.8 ** 64, less than one in a million.
-MINIMA = 64
+#: The probability with which an item that a document contains is missed, at most.
+MISS = 1e-6
 #: Size classes: chunks of so many shingles, for items of up to half as many.
-CHUNKS = tuple(1 << k for k in range(3, 21))
+CHUNKS = tuple(1 << k for k in range(1, 21))
 #: Words of the items that one pass over the documents holds.
 PASS_WORDS = 250_000
 #: Bytes of text that one vector operation reads, and words whose minima one finds.
@@ -34,11 +33,26 @@ _WORDS_AT_ONCE = 1 << 16
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = bytes(32 if c in _PUNCTUATION or 9 <= c <= 13 else c for c in range(256))
 _BASE = 0x9E3779B97F4A7C15
-_FACTORS = np.random.default_rng(20).integers(1, 1 << 63, size=MINIMA, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 #: Leading bits by which most minima are told to belong to no item.
 _FILTER_BITS = 20
 
 
+def n_minima(least: float) -> int:
+    """Minima of a chunk that find an item of which ``least`` is contained.
+
+    An item of m shingles meets chunks of c < 4 m. j of its shingles in a chunk
+    make each minimum agree with a chance of j / (m + c) at least, and all of its
+    chunks have ``least`` x m together, however they are spread. So none of n
+    minima agrees anywhere with less than exp(-n x least / 5), which is to be MISS.
+    """
+    return ceil(5 * log(1 / MISS) / least)
+
+
+@cache
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(1, 1 << 63, size=n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
 def plain(text: bytes | str | None) -> bytes:
     """The text in lower case, spaces for white space and ASCII punctuation; words are what is between."""
     text = text.decode() if isinstance(text, bytes) else text or ""
@@ -112,13 +126,13 @@ def _cut(sizes: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     return before + chunk * (np.arange(len(before)) - np.repeat(np.cumsum(n) - n, n)), n
 
 
-def _minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _minima(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """A row for each chunk of the shingles, a column for each hash function.
 
     Shingles are well mixed, so a product with an odd number is a hash of them.
     """
-    out = np.empty((MINIMA, len(starts)), dtype=np.uint64)
-    for k, factor in enumerate(_FACTORS):
+    out = np.empty((n, len(starts)), dtype=np.uint64)
+    for k, factor in enumerate(_factors(n)):
         np.minimum.reduceat(shingles * factor, starts, out=out[k])
     return out.T
 
@@ -144,10 +158,10 @@ class _Class:
 
 
 class Items:
-    """Items by shingle width and size class, with their sorted minima."""
+    """Items by shingle width and size class, with their sorted minima, to find those of which ``least`` is contained."""
 
-    def __init__(self, rows: list[tuple[object, str]], width: int) -> None:
-        self.ids, self.shingles = [], []
+    def __init__(self, rows: list[tuple[object, str]], width: int, least: float) -> None:
+        self.ids, self.shingles, self.n = [], [], n_minima(least)
         classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item_id, text in rows:
             own = plain(text).split()
@@ -158,11 +172,11 @@ class Items:
             self.shingles.append({tuple(own[i : i + wide]) for i in range(len(own) - wide + 1)})
             hashes = np.unique(_shingle_hashes(_word_hashes([plain(text)])[0], wide))
             chunk = next((c for c in CHUNKS if len(hashes) * 2 <= c), CHUNKS[-1])
-            classes.setdefault((wide, chunk), []).append((len(self.ids) - 1, _minima(hashes, np.zeros(1, np.int64))))
+            classes.setdefault((wide, chunk), []).append((len(self.ids) - 1, _minima(hashes, np.zeros(1, np.int64), self.n)))
         self.classes: dict[int, dict[int, _Class]] = {}
         for (wide, chunk), found in sorted(classes.items()):
             keys = np.concatenate([_keys(m)[0] for _, m in found])
-            self.classes.setdefault(wide, {})[chunk] = _Class(keys, np.repeat([i for i, _ in found], MINIMA))
+            self.classes.setdefault(wide, {})[chunk] = _Class(keys, np.repeat([i for i, _ in found], self.n))
 
     def candidates(self, hashes: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) where they share a minimum; word hashes of documents of these sizes."""
@@ -176,7 +190,7 @@ class Items:
             for chunk, items in classes.items() if len(shingles) else ():
                 if minima is None:
                     starts, runs = _cut(runs, chunk)
-                    minima = _minima(shingles, starts)
+                    minima = _minima(shingles, starts, self.n)
                 else:  # a larger chunk's minima are those of its smaller ones
                     starts, runs = _cut(runs, chunk // size)
                     minima = np.minimum.reduceat(minima, starts, axis=0)
@@ -221,17 +235,17 @@ class Items:
 
 def _keys(minima: np.ndarray) -> np.ndarray:
     """Tell the minima of different functions apart."""
-    return minima * np.uint64(0xD6E8FEB86659FD93) + np.arange(MINIMA, dtype=np.uint64)
+    return minima * np.uint64(0xD6E8FEB86659FD93) + np.arange(minima.shape[1], dtype=np.uint64)
 
 
-def _passes(items: DataFrame, width: int, id: str, text: str) -> Iterator[Items]:
+def _passes(items: DataFrame, width: int, least: float, id: str, text: str) -> Iterator[Items]:
     """The items in blocks that fit in memory; each gets a pass over the documents."""
     distinct = items.select(F.col(id).alias("id"), F.col(text).alias("text")).distinct()
     total = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / (6 * PASS_WORDS)))
     for k in range(blocks):
         block = distinct.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else distinct
-        yield Items([(r.id, r.text) for r in block.toLocalIterator()], width)
+        yield Items([(r.id, r.text) for r in block.toLocalIterator()], width, least)
 
 
 def leaks(
@@ -251,7 +265,8 @@ def leaks(
     that the whole document has. An item of fewer words is one shingle, met by
     the document's shingles of that width; one without words, or null, is
     nowhere. Rows are judged one by one: repeated rows and rows without id give
-    results like any other; items alike in id and text count once. Items are
+    results like any other; items alike in id and text count once. An item is
+    missed with a probability of MISS at most, whatever ``least``. Items are
     held in memory in blocks of bounded size; more items take more passes over
     the documents, which are never moved.
     """
@@ -259,7 +274,7 @@ def leaks(
     item_type = items.schema[item_id].dataType
     out = rows.select(id).schema.add(item_id, item_type).add("containment", "double")
     spark, found = docs.sparkSession, None
-    for known in _passes(items, width, item_id, item_text):
+    for known in _passes(items, width, least, item_id, item_text):
         part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(known), least, out), out)
         found = part if found is None else found.union(part)
     return found
@@ -287,7 +302,7 @@ def clean(docs: DataFrame, items: DataFrame, *, width: int = 5, least: float = 0
     have any names; an empty table stays empty, and without items all rows stay.
     """
     spark = docs.sparkSession
-    for known in _passes(items, width, item_id, item_text):
+    for known in _passes(items, width, least, item_id, item_text):
         sent = spark.sparkContext.broadcast(known)
         at = docs.columns.index(text)
 

@@ -91,3 +91,23 @@ def test_awkward(spark, table, awkward):
     assert D.leaks(table([]), items).collect() == [] and D.clean(table([]), items).collect() == []
     none = items.where(F.lit(False))
     assert D.leaks(docs, none).collect() == [] and D.clean(docs, none).count() == len(awkward)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5])
+def test_low_containment_and_single_shingles(spark, table, least):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [say(rng.choice([1, 3, 5, 6, 30, 100])) for _ in range(150)]
+    docs = []
+    for k in range(120):
+        doc = say(400)
+        for item in rng.sample(items, 3):
+            n = max(min(len(item), 5), round(len(item) * rng.choice([0.25, 0.6, 1])))
+            at = rng.randrange(len(doc))
+            doc[at:at] = item[:n]
+        docs.append((k, " ".join(doc)))
+    texts = [(i, " ".join(x)) for i, x in enumerate(items)]
+    wanted = spark.createDataFrame(texts, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.containment) for r in D.leaks(table(docs), wanted, least=least).collect()}
+    want = brute(docs, texts, least=least)
+    assert got == want and len(want) > 150
