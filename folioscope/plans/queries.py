@@ -30,7 +30,7 @@ SITE = Site(
 URI_PREFIX = "doc://corpus/"
 QUERY = "the nation of the and in a"
 BROWSER = "Mozilla/5.0 (X11; Linux x86_64)"
-INDEX_BUCKETS = 8
+INDEX_BUCKETS = 8  # at least
 ROBOTS = """
 User-agent: *
 Disallow: /en/1
@@ -213,7 +213,8 @@ def _index(spark: SparkSession, root: str) -> str:
     known = (spark.sparkContext.applicationId, root)
     if known not in _indexes:
         name = f"corpus_{len(_indexes)}"
-        index.write_index(_enriched(spark, root), name, INDEX_BUCKETS, path=scratch.new_path(spark, "index"))
+        buckets = index.buckets_for(spark.read.parquet(f"{root}/documents.parquet"), INDEX_BUCKETS)
+        index.write_index(_enriched(spark, root), name, buckets, path=scratch.new_path(spark, "index"))
         _indexes[known] = name
     return _indexes[known]
 

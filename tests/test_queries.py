@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as registered
 from folioscope.plans import queries
+from folioscope.sinks import index
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "benchmark")
@@ -52,3 +53,16 @@ def test_stored_search_reads_terms_where_they_lie(spark):
     hits = registered.queries()["search_stored_topk"](spark, ROOT)
     assert "hashpartitioning(doc_id" not in plan._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_of_the_stored_index_follow_the_documents(spark, monkeypatch):
+    def buckets(number):
+        monkeypatch.setattr(queries, "_indexes", {(i, ROOT): "" for i in range(number)})  # a name of its own
+        name = queries._index(spark, ROOT)
+        details = spark.sql(f"DESCRIBE EXTENDED {name}_postings").where("col_name = 'Num Buckets'")
+        return int(details.first().data_type)
+
+    assert buckets(50) == queries.INDEX_BUCKETS
+    monkeypatch.setattr(index, "BUCKET_DOCUMENTS", 9, raising=False)
+    documents = spark.read.parquet(f"{ROOT}/documents.parquet").count()
+    assert buckets(51) == -(-documents // 9) > queries.INDEX_BUCKETS
