@@ -143,6 +143,30 @@ def test_stored_index(spark, enriched):
     assert got == rule_search(corpus(300), "the of the", 4)
 
 
+def test_postings_are_sorted_bucket_by_bucket(spark, enriched, tmp_path):
+    """Even where a split of files would hold all buckets."""
+    settings = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        index.write_index(enriched, "sorted", 4, path=str(tmp_path))
+        kept = spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    tasks = {file.name.split("-")[1] for file in (tmp_path / "sorted_postings").glob("part-*")}
+    assert len(tasks) == 4 and kept == "true"
+
+
+def test_buckets_follow_rows_and_bytes(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "é" * 50) for i in range(100)] + [(100, None)], "doc_id int, text string")
+    assert index.buckets_for(rows) == 1 and index.buckets_for(rows, 8) == 8 and index.buckets_for(rows.limit(0), 2) == 2
+    monkeypatch.setattr(index, "BUCKET_BYTES", 1000)
+    assert index.buckets_for(rows, 8) == 10
+    monkeypatch.setattr(index, "BUCKET_DOCUMENTS", 4)
+    assert index.buckets_for(rows) == 26
+
+
 def test_the_best_are_chosen_before_they_move(spark, counted, exchanges):
     queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
     hits = search.search_batch(documents.postings(counted), queries)
