@@ -23,6 +23,9 @@ MAX_TOP_K = 20
 NO_HIT = ("未找到与 '", "' 相关的文档, 请尝试其他关键词。")
 NO_DOCUMENT = ("未找到名称为 '", "' 的文档, 可先调用 search_docs 确认可用列表。")
 
+#: Pairs of a query and a document that one task scores, at most about.
+PAIRS = 1 << 20
+
 # What is wrong with a rejected request.
 EMPTY_QUERY = "query must not be empty"
 BAD_TOP_K = f"top_k must be between 1 and {MAX_TOP_K}"
@@ -157,7 +160,9 @@ def search_batch(
     Only postings of asked terms are moved, once, to the partition of their
     document. There every query is scored against the document without a second
     shuffle: what crosses the network does not grow with the number of queries.
-    ``colocated`` postings (bucketed by ``key``) are not moved at all. Whether
+    They are stored before, so that documents can be counted: the number of
+    partitions follows from the pairs to score, not their size. ``colocated``
+    postings (bucketed by ``key``) are not moved at all. Whether
     query terms are sent to the postings or both meet by term, Spark decides by
     their size. A query without tokens has no hits; any ``top_k`` is answered.
 
@@ -170,7 +175,7 @@ def search_batch(
     """
     largest = queries.agg(F.max("top_k")).first()[0] or 0
     terms = query_terms(queries)
-    asked = postings if colocated else postings.join(terms.select("term").distinct(), "term", "left_semi").repartition(key)
+    asked = postings if colocated else _dealt(postings, terms, key)
     scored = _scores(asked.join(terms, "term"), key)
     ranked = scored.withColumn(
         "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_ranking(scored, key)))
@@ -179,6 +184,15 @@ def search_batch(
     return best.select("query_id", "rank", key, "score")
 
 
+def _dealt(postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Postings of asked terms by document, in partitions of at most about ``PAIRS`` pairs."""
+    asked = stored(postings.join(terms.select("term").distinct(), "term", "left_semi"), "asked")
+    documents = asked.agg(F.approx_count_distinct(key)).first()[0]
+    pairs = documents * terms.select("query_id").distinct().count()
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    return asked.repartition(max(cores, -(-pairs // PAIRS)), key)
+
+
 def _scores(matched: DataFrame, key: str) -> DataFrame:
     sums = matched.groupBy("query_id", key).agg(
         F.sum(F.col("tf") * F.col("weight")).alias("dot"),

@@ -181,6 +181,17 @@ def test_the_best_are_chosen_before_they_move(spark, counted, exchanges):
     assert none.collect() == []
 
 
+def test_partitions_follow_the_pairs_to_score(spark, counted, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 100, raising=False)
+    queries = spark.createDataFrame(QUERIES, "query_id int, query string, top_k int")
+    hits = search.search_batch(documents.postings(counted), queries)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    dealt = int(re.search(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan).group(1))
+    # Five queries have tokens, and most of 300 documents a word of them.
+    assert 12 <= dealt <= 16
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in hits.collect()} == batch_expectation()
+
+
 def test_sql_function_reads_the_terms_and_limits_in_tasks(spark, enriched):
     index.write_index(enriched.withColumn("title", F.lit("")).withColumn("description", F.lit("")), "lean", 4)
     index.search_function(spark, "lean")
