@@ -1,11 +1,13 @@
 """Every registered query against its SQL restatement, on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from folioscope.operators import search
 from folioscope.plans import queries
 from folioscope.sinks import index
 
@@ -66,3 +68,12 @@ def test_buckets_of_the_stored_index_follow_the_documents(spark, monkeypatch):
     monkeypatch.setattr(index, "BUCKET_DOCUMENTS", 9, raising=False)
     documents = spark.read.parquet(f"{ROOT}/documents.parquet").count()
     assert buckets(51) == -(-documents // 9) > queries.INDEX_BUCKETS
+
+
+def test_partitions_of_search_empty_follow_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 500, raising=False)
+    plan = registered.queries()["search_empty"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    asked = spark.read.parquet(f"{ROOT}/benchmark.parquet").count()  # their forms without tokens have no pairs
+    documents = spark.read.parquet(f"{ROOT}/documents.parquet").count()
+    dealt = int(re.search(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan).group(1))
+    assert 4 < 0.8 * asked * documents / 500 <= dealt <= 1.1 * asked * documents / 500 + 1
