@@ -70,6 +70,18 @@ def test_buckets_of_the_stored_index_follow_the_documents(spark, monkeypatch):
     assert buckets(51) == -(-documents // 9) > queries.INDEX_BUCKETS
 
 
+def test_a_stored_batch_has_a_task_for_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_indexes", {(i, ROOT): "" for i in range(60)})  # a name of its own
+    monkeypatch.setattr(index, "BUCKET_DOCUMENTS", 9, raising=False)
+    number = -(-spark.read.parquet(f"{ROOT}/documents.parquet").count() // 9)
+    hits = []
+    batch = search.search_batch
+    monkeypatch.setattr(search, "search_batch", lambda *a, **k: hits.append(batch(*a, **k)) or hits[-1])
+    registered.queries()["search_stored_batch"](spark, ROOT)
+    plan = hits[0]._jdf.queryExecution().executedPlan().toString()
+    assert f"SelectedBucketsCount: {number} out of {number}" in plan
+
+
 def test_partitions_of_search_empty_follow_the_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "PAIRS", 500, raising=False)
     plan = registered.queries()["search_empty"](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
