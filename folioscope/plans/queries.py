@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from folioscope.plans import convert
 from folioscope.sources import markdown, tables
 from folioscope.sources import targets as target_sources
 from folioscope.sinks import index, scratch, store
+from folioscope.sinks.tree import remove_tree, write_tree
 from folioscope.sources.tables import table
 
 SITE = Site(
@@ -31,6 +33,7 @@ URI_PREFIX = "doc://corpus/"
 QUERY = "the nation of the and in a"
 BROWSER = "Mozilla/5.0 (X11; Linux x86_64)"
 INDEX_BUCKETS = 8  # at least
+TREE_PARTS = 2
 ROBOTS = """
 User-agent: *
 Disallow: /en/1
@@ -102,15 +105,28 @@ def corpus_load(spark: SparkSession, root: str) -> DataFrame:
 
 
 def corpus_scan(spark: SparkSession, root: str) -> DataFrame:
-    """The documents as a tree of files, a folder each, found again by listing and read whole."""
-    tree = scratch.new_path(spark, "tree")
-    rows = _raw_documents(spark, root).select("category", "stem", F.col("text").alias("value"))
-    rows.write.partitionBy("category", "stem").text(tree)
-    files = tables.read_tree(spark, tree, "part-*")
+    """The documents as a tree of files, a folder each, found again by listing and read whole.
+
+    A folder and a file take a block of disk each, and most documents are
+    smaller. So the documents have their tree in parts, one after the other: a
+    part that is read goes before the next one is written.
+    """
+    category, stem = (F.nullif(F.col(name), F.lit("")).alias(name) for name in ("category", "stem"))
+    rows = _raw_documents(spark, root).select(category, stem, F.col("text").alias("value"))
+    part = F.pmod(F.xxhash64("category", "stem"), F.lit(TREE_PARTS))  # rows of one folder are in one part
     path = F.regexp_replace("path", r"\Acategory=([^/]*)/stem=([^/]*)/.*", "$1/$2.md")
-    found = files.select(path.alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
-    named = documents.with_identity(markdown.require_documents(found), URI_PREFIX)
-    return documents.enrich(named).select("path", "name", "uri", "title", "description", F.md5("text").alias("text_md5"))
+    scanned = []
+    for n in range(TREE_PARTS):
+        if n:
+            remove_tree(spark, tree)
+        tree = scratch.new_path(spark, "tree")
+        write_tree(rows.where(part == n), tree, "category", "stem")
+        files = tables.read_tree(spark, tree, "part-*.txt")
+        found = files.select(path.alias("path"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+        enriched = documents.enrich(documents.with_identity(found, URI_PREFIX))
+        out = enriched.select("path", "name", "uri", "title", "description", F.md5("text").alias("text_md5"))
+        scanned.append(scratch.stored(out, "scan"))
+    return markdown.require_documents(reduce(DataFrame.unionAll, scanned))
 
 
 def path_identity(spark: SparkSession, root: str) -> DataFrame:

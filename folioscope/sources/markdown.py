@@ -22,6 +22,6 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def require_documents(df: DataFrame) -> DataFrame:
-    if df.isEmpty():
+    if not df.select(F.lit(1)).head(1):  # one task after another: isEmpty starts them all
         raise EmptyCorpusError("no document in the corpus")
     return df
